@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import media, mixing
+from . import bpe, media, mixing
 
 QUERIES = {
     "op1_media": media.op1_media,
     "op4_mix": mixing.op4_mix,
+    "op7_bpe": bpe.op7_bpe,
 }
 
 #: DuckDB SQL for the same rows. The other operators are tested against brute force in tests/llm.
