@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, media, mixing
+from . import bpe, language, media, mixing, quality
 
 QUERIES = {
     "op1_media": media.op1_media,
     "op4_mix": mixing.op4_mix,
+    "op5_quality": quality.op5_quality,
     "op7_bpe": bpe.op7_bpe,
+    "op8_language": language.op8_language,
 }
 
 #: DuckDB SQL for the same rows. The other operators are tested against brute force in tests/llm.
