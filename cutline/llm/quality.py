@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from . import common
 
 #: Most labelled rows to fit on; share of the scaled identity in a covariance; score from which a document is good.
-TRAIN_ROWS, SHRINKAGE, THRESHOLD = 12_000, 0.1, 0.3
+TRAIN_ROWS, SHRINKAGE, THRESHOLD = 12_000, 0.05, 0.3
 
 #: Kinds of bytes: 0 white space, 1 lower case, 2 upper case, 3 digit, 4 sentence marks, 5 other symbols, 6 non-ASCII.
 _KIND = np.full(256, 6, np.uint8)
@@ -34,45 +34,45 @@ for _k, _set in ((0, b" \t\n\v\f\r\0"), (1, bytes(range(97, 123))), (2, bytes(ra
     _KIND[list(_set)] = _k
 _LINES = re.compile(r"[^\r\n]+")
 
-STATISTICS = (
-    "log_bytes", "upper", "digits", "marks", "symbols", "other_letters", "mean_word", "sd_word", "distinct_words",
-    "distinct_root", "same_as_before", "top_word", "bare_symbols", "words_a_line", "distinct_lines", "marked_ends",
-)
-
-
-def _logit(x: float, n: float) -> float:
-    """Log odds of a share out of n, smoothed so that none and all stay finite."""
-    return float(np.log((x * n + 0.5) / ((1 - x) * n + 0.5)))
+#: Statistics: name, and for shares the usual value that short texts are drawn to.
+USUAL = {
+    "upper": 0.03, "marks": 0.03, "symbols": 0.005, "other_letters": 0.05,
+    "same_as_before": 0.003, "top_word": 0.05, "bare_symbols": 0.002, "marked_ends": 0.15, "distinct_words": 0.75, "distinct_lines": 0.97,
+}
+STATISTICS = (*USUAL, "mean_word", "sd_word", "words_a_line")
+#: Letters from which words count as equally long.
+LONG = 20
+#: Weight of the usual value, in bytes, words and lines.
+BYTES, WORDS, LINES = 150, 30, 3
 
 
 def statistics(text: str) -> list[float]:
-    """The vector of one text."""
+    """The vector of one text: log odds of shares, logarithms of lengths, each drawn to the usual in short texts."""
     data = text.encode("utf-8", "replace")
-    n = len(data)
-    count = np.bincount(_KIND[np.frombuffer(data, np.uint8)], minlength=7)
-    solid = max(1, n - int(count[0]))
+    kind = np.bincount(_KIND[np.frombuffer(data, np.uint8)], minlength=7).tolist()
+    solid, letters = len(data) - kind[0], kind[1] + kind[2]
     words = text.split()
     m = len(words)
-    letters = max(1, int(count[1] + count[2]))
-    if m:
-        length = np.fromiter(map(len, words), np.float64, m)
-        seen: dict[str, int] = {}
-        for w in words:
-            seen[w] = seen.get(w, 0) + 1
-        same = sum(a == b for a, b in zip(words, words[1:], strict=False)) / m
-        bare = sum(1 for w in words if not w[0].isalnum() and not w[-1].isalnum() and not any(map(str.isalnum, w))) / m
-        ends = sum(1 for w in words if not w[-1].isalnum()) / m
-        mean, sd, distinct, top = length.mean(), length.std(), len(seen), max(seen.values()) / m
-    else:
-        same = bare = ends = mean = sd = top = 0.0
-        distinct = 0
+    seen: dict[str, int] = {}
+    for w in words:
+        seen[w] = seen.get(w, 0) + 1
+    length = np.minimum(np.fromiter(map(len, words), np.float64, m), LONG)  # keys and addresses say little about the prose
     lines = _LINES.findall(text)
-    k = max(1, len(lines))
+    counts = {
+        "upper": (kind[2], letters, BYTES), "marks": (kind[4], solid, BYTES),
+        "symbols": (kind[5], solid, BYTES), "other_letters": (kind[6], solid, BYTES),
+        "same_as_before": (sum(a == b for a, b in zip(words, words[1:], strict=False)), m, WORDS),
+        "top_word": (max(seen.values(), default=0), m, WORDS),
+        "bare_symbols": (sum(c for w, c in seen.items() if not any(map(str.isalnum, w))), m, WORDS),
+        "marked_ends": (sum(c for w, c in seen.items() if not w[-1].isalnum()), m, WORDS),
+        "distinct_words": (len(seen), m, WORDS), "distinct_lines": (len(set(lines)), len(lines), LINES),
+    }
+    shares = [(c + USUAL[name] * k) / (n + k) for name, (c, n, k) in counts.items()]
+    mean = (length.sum() + 5.0 * WORDS) / (m + WORDS)
+    variance = (((length - mean) ** 2).sum() + 9.0 * WORDS) / (m + WORDS)
     return [
-        np.log1p(n), _logit(count[2] / letters, letters), _logit(count[3] / solid, solid), _logit(count[4] / solid, solid),
-        _logit(count[5] / solid, solid), _logit(count[6] / solid, solid), np.log1p(mean), np.log1p(sd),
-        _logit(distinct / max(1, m), max(1, m)), np.log1p(distinct) / np.log1p(m + 1.0), _logit(same, max(1, m)), _logit(top, max(1, m)),
-        _logit(bare, max(1, m)), np.log1p(m / k), _logit(len(set(lines)) / k, k), _logit(ends, max(1, m)),
+        *(float(np.log(s / (1 - s))) if s < 1 else 12.0 for s in shares),
+        float(np.log(mean)), float(np.log(variance) / 2), float(np.log((m + 12.0 * LINES) / (len(lines) + LINES))),
     ]
 
 
