@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, language, media, mixing, quality
+from . import bpe, language, licences, media, mixing, quality
 
 QUERIES = {
     "op1_media": media.op1_media,
+    "op3_licences": licences.op3_licences,
     "op4_mix": mixing.op4_mix,
     "op5_quality": quality.op5_quality,
     "op7_bpe": bpe.op7_bpe,
@@ -14,5 +15,6 @@ QUERIES = {
 
 #: DuckDB SQL for the same rows. The other operators are tested against brute force in tests/llm.
 SQL = {
+    "op3_licences": licences.OP3_SQL,
     "op4_mix": mixing.OP4_SQL,
 }
