@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, language, licences, media, mixing, quality
+from . import bpe, fingerprints, language, licences, media, mixing, quality
 
 QUERIES = {
     "op1_media": media.op1_media,
+    "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_licences": licences.op3_licences,
     "op4_mix": mixing.op4_mix,
     "op5_quality": quality.op5_quality,
