@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, language, licences, media, mixing, quality
+from . import bpe, fingerprints, language, licences, media, mixing, quality, secrets
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op7_bpe": bpe.op7_bpe,
     "op8_language": language.op8_language,
+    "op9_secrets": secrets.op9_secrets,
 }
 
 #: DuckDB SQL for the same rows. The other operators are tested against brute force in tests/llm.
