@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, language, licences, media, mixing, quality, secrets
+from . import bpe, fingerprints, jaccard, language, licences, media, mixing, quality, secrets
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -13,10 +13,12 @@ QUERIES = {
     "op7_bpe": bpe.op7_bpe,
     "op8_language": language.op8_language,
     "op9_secrets": secrets.op9_secrets,
+    "op10_jaccard": jaccard.op10_jaccard,
 }
 
 #: DuckDB SQL for the same rows. The other operators are tested against brute force in tests/llm.
 SQL = {
     "op3_licences": licences.OP3_SQL,
     "op4_mix": mixing.OP4_SQL,
+    "op10_jaccard": jaccard.OP10_SQL,
 }
