@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, jaccard, language, licences, media, mixing, quality, secrets
+from . import bpe, fingerprints, jaccard, language, licences, media, mixing, quality, repeats, secrets
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_licences": licences.op3_licences,
     "op4_mix": mixing.op4_mix,
     "op5_quality": quality.op5_quality,
+    "op6_repeats": repeats.op6_repeats,
     "op7_bpe": bpe.op7_bpe,
     "op8_language": language.op8_language,
     "op9_secrets": secrets.op9_secrets,
