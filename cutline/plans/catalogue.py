@@ -1,3 +1,7 @@
 """Every registered query of the library, with the SQL that must give the same rows."""
 
-QUERIES, SQL = {}, {}
+from . import curve_queries, stat_queries
+
+MODULES = (stat_queries, curve_queries)
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+SQL = {name: text for module in MODULES for name, text in module.SQL.items()}
