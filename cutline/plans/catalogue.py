@@ -1,7 +1,24 @@
 """Every registered query of the library, with the SQL that must give the same rows."""
 
-from . import curve_queries, stat_queries
+from __future__ import annotations
 
-MODULES = (stat_queries, curve_queries)
-QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+from functools import wraps
+
+from cutline.session import sound_unions
+
+from . import curve_queries, segment_queries, stat_queries
+
+MODULES = (stat_queries, segment_queries, curve_queries)
+
+
+def _sound(query):
+    @wraps(query)
+    def run(spark, sf_dir):
+        sound_unions(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {name: _sound(query) for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in MODULES for name, text in module.SQL.items()}
