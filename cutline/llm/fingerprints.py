@@ -1,6 +1,6 @@
 """Document fingerprints: one-permutation MinHash with optimal densification and packed low-order bits, in SQL functions only.
 
-A text's words (runs of non-space, A-Z lower-cased) form shingles of ``SHINGLE`` words; a shorter text is one shingle. Each
+A text's words (runs of non-space, lower-cased) form shingles of ``SHINGLE`` words; a shorter text is one shingle. Each
 shingle is hashed once. The hash's top bits name one of ``BINS`` bins, and each bin keeps its smallest hash. An
 empty bin takes over the value of a filled bin: the first filled one among ``PROBES`` bins drawn by a hash of (bin,
 attempt), else the filled one whose hash with the bin is smallest. Either way the choice depends on the bins alone,
@@ -27,7 +27,7 @@ BUCKET_ROWS, BROADCAST_HEADS = 2048, 100_000
 
 def words(text: Column) -> Column:
     """Runs of non-space; none for null."""
-    return F.filter(F.split(common.lower_ascii(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
 
 
 def shingle_hashes(text: Column, size: int = SHINGLE) -> Column:
@@ -59,24 +59,26 @@ def densified(minima: Column, bins: int = BINS, bits: int = BITS, probes: int =
     """The low-order bits of every bin, empty bins filled from others; no bins for no shingles."""
     low = (1 << bits) - 1
 
+    none = F.lit(None).cast("int")
+
     def fill(m: Column) -> Column:
-        filled = F.transform(m, lambda h: _bin(h, bins))
-        codes = F.transform(m, lambda h: h.bitwiseAND(F.lit(low)).cast("int"))
-        # where each bin's value stands in m, from 1; 0 if it has none
-        whole = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.array_position(filled, i).cast("int"))
+        filled = F.transform(m, lambda h: F.struct(_bin(h, bins).alias("bin"), h.bitwiseAND(F.lit(low)).cast("int").alias("code")))
+
+        def spread(f: Column) -> Column:
+            """The code of every bin, null for an empty one: gaps between filled bins are filled up with nulls."""
+            gap = lambda b, p: b["bin"] - F.coalesce(F.get(f, p - 1)["bin"], F.lit(-1)) - 1
+            pieces = F.flatten(F.transform(f, lambda b, p: F.concat(F.array_repeat(none, gap(b, p)), F.array(b["code"]))))
+            return F.concat(pieces, F.array_repeat(none, bins - 1 - F.element_at(f, -1)["bin"]))
 
-        def borrow(at: Column) -> Column:
+        def borrow(f: Column, at: Column) -> Column:
             def lend(i: Column) -> Column:
-                tried = F.filter(
-                    F.transform(F.sequence(F.lit(1), F.lit(probes)), lambda t: F.get(at, F.pmod(F.xxhash64(i, t), F.lit(bins)).cast("int"))),
-                    lambda p: p > 0,
-                )
-                nearest = F.array_min(F.transform(filled, lambda j, p: F.struct(F.xxhash64(i, j + bins), p + 1)))["col2"]
-                return F.coalesce(F.get(tried, F.lit(0)), nearest)
+                tried = (F.get(at, F.pmod(F.xxhash64(i, F.lit(t)), F.lit(bins)).cast("int")) for t in range(1, probes + 1))
+                nearest = F.array_min(F.transform(f, lambda b: F.struct(F.xxhash64(i, b["bin"] + bins).alias("h"), b["code"].alias("code"))))["code"]
+                return F.coalesce(*tried, nearest)
 
-            return F.transform(at, lambda p, i: F.when(p > 0, p).otherwise(lend(i)))
+            return F.transform(at, lambda code, i: F.coalesce(code, lend(i)))
 
-        return let(F.struct(codes.alias("codes"), whole.alias("at")), lambda s: F.transform(borrow(s["at"]), lambda p: F.get(s["codes"], p - 1)))
+        return let(filled, lambda f: let(spread(f), lambda at: borrow(f, at)))
 
     return let(minima, lambda m: F.when(F.size(m) > 0, fill(m)).otherwise(F.array().cast("array<int>")))
 
@@ -84,7 +86,7 @@ def densified(minima: Column, bins: int = BINS, bits: int = BITS, probes: int =
 def fingerprint(text: Column) -> Column:
     """The packed fingerprint as hexadecimal text."""
     digits = BITS // 4
-    packed = F.array_join(F.transform(densified(bin_minima(shingle_hashes(text))), lambda c: F.lpad(F.hex(c), digits, "0")), "")
+    packed = F.array_join(F.transform(densified(bin_minima(shingle_hashes(text))), lambda c: F.substring(F.hex(c + (1 << BITS)), 2, digits)), "")
     return F.lower(packed)
 
 
