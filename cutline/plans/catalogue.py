@@ -6,9 +6,9 @@ from functools import wraps
 
 from cutline.session import sound_unions
 
-from . import curve_queries, ledger_queries, segment_queries, stat_queries
+from . import curve_queries, ledger_queries, segment_queries, stat_queries, stream_queries, text_queries
 
-MODULES = (stat_queries, segment_queries, curve_queries, ledger_queries)
+MODULES = (stat_queries, segment_queries, curve_queries, ledger_queries, text_queries, stream_queries)
 
 
 def _sound(query):
