@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cutline.session import sound_unions
+
 from .common import written
 
 
@@ -29,6 +31,7 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
 
 def components(edges: DataFrame, tag: str = "components", rounds: int = 60) -> DataFrame:
     """(node, component) of every node of edges (a, b): component is the smallest node reachable."""
+    sound_unions(edges.sparkSession)
     now = written(edges.select("a", "b").filter("a != b").distinct(), f"{tag}-edges")
     before = None
     for k in range(rounds):

@@ -20,11 +20,15 @@ LENGTH lose nothing; of repeated texts of LENGTH bytes or more nothing is left;
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cutline.session import sound_unions
+
 from . import common
 from .common import written
 from .hashing import BYTE_VALUES, mixed, span_hashes
@@ -33,6 +37,8 @@ LENGTH, GRAM, Q = 200, 32, 8
 #: Different stretches of a name up to which one task refines them; bytes that are refined, or scanned, at once; texts that a
 #: task remembers to have sent.
 HOT, REFINED_BYTES, SCANNED_BYTES, SEEN = 2000, 4_000_000, 250_000, 200_000
+#: Stretches to fetch up to which their places are broadcast; with more, the texts are shuffled to them.
+BROADCAST_STRETCHES = 400_000
 
 _U = np.uint64
 
@@ -160,13 +166,26 @@ def _scanned(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "th long, doc_id long, first int, n int, name long, whole long, twice boolean")
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """docs with their data compressed, for the shuffles that move whole texts."""
+
+    def run(batches):
+        for batch in batches:
+            small = [zlib.compress(d, 1) for d in batch.column("data").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "th": batch.column("th"), "packed": pa.array(small, pa.binary())})
+
+    return docs.select("doc_id", "th", "data").mapInArrow(run, "doc_id long, th long, packed binary")
+
+
 def _cut(found: DataFrame, length: int) -> DataFrame:
-    """The bytes of each stretch of found (data, spans)."""
+    """The bytes of each stretch of found (data or packed data, spans)."""
+    packed = "packed" in found.columns
 
     def run(batches):
         for batch in batches:
             names, wholes, pieces = [], [], []
-            for data, spans in zip(batch.column("data").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for data, spans in zip(batch.column(0).to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                data = zlib.decompress(data) if packed else data
                 for x in spans:
                     names.append(x["name"])
                     wholes.append(x["whole"])
@@ -175,7 +194,7 @@ def _cut(found: DataFrame, length: int) -> DataFrame:
                 part = slice(a, a + 2000)
                 yield pa.RecordBatch.from_pydict({"name": pa.array(names[part], pa.int64()), "whole": pa.array(wholes[part], pa.int64()), "piece": pa.array(pieces[part], pa.binary())})
 
-    return found.select("doc_id", "data", "spans").mapInArrow(run, "name long, whole long, piece binary")
+    return found.select("packed" if packed else "data", "spans").mapInArrow(run, "name long, whole long, piece binary")
 
 
 _VERDICT = "name long, whole long, starts array<int>, ends array<int>"
@@ -233,12 +252,13 @@ def _counted(pieces: DataFrame, length: int) -> DataFrame:
 
 
 def _removed(docs: DataFrame, length: int) -> DataFrame:
-    """docs (doc_id, data, places) with the repeated windows cut out."""
+    """docs (doc_id, packed data, places) with the repeated windows cut out."""
 
     def run(batches):
         for batch in batches:
             rows = []
-            for data, places in zip(batch.column("data").to_pylist(), batch.column("places").to_pylist(), strict=True):
+            for data, places in zip(batch.column("packed").to_pylist(), batch.column("places").to_pylist(), strict=True):
+                data = zlib.decompress(data)
                 gone = np.zeros(len(data) + 1, np.int32)
                 for p in places or ():
                     a, b = p["a"], min(p["b"] + length, len(data))
@@ -260,6 +280,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
     """(doc_id, n_bytes, n_removed, n_spans, kept) of docs (doc_id, text); kept are the bytes that are left."""
     spark = docs.sparkSession
     common.small_batches(spark)
+    sound_unions(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("data"))
     base = base.withColumn("th", F.xxhash64("data"))
 
@@ -274,13 +295,16 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
     classes = met.filter("look").groupBy("name", "whole").agg(F.min(F.struct("th", "doc_id", "first", "n")).alias("r"))
     classes = written(classes.select("name", "whole", "r.*", (F.count(F.lit(1)).over(by_name) > hot).alias("hot")), "classes")
 
-    def pieces(chosen: DataFrame) -> DataFrame:
-        spans = chosen.groupBy("th", F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("name", "whole", "first", "n")).alias("spans"))
-        return _cut(base.join(spans, "th").filter(F.col("doc_id").eqNullSafe(F.col("of"))), length)
-
-    verdicts = _refine(pieces(classes.filter("not hot")), length)
-    if not classes.filter("hot").isEmpty():
-        verdicts = verdicts.unionByName(_counted(pieces(classes.filter("hot")), length))
+    spans = classes.groupBy("th", F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("name", "whole", "first", "n")).alias("spans"))
+    few = classes.count() <= BROADCAST_STRETCHES
+    texts = base.join(F.broadcast(spans), "th") if few else _packed(base).join(spans, "th")
+    pieces = _cut(texts.filter(F.col("doc_id").eqNullSafe(F.col("of"))), length)
+    hot_names = classes.filter("hot").select("name").distinct()
+    if hot_names.isEmpty():
+        verdicts = _refine(pieces, length)
+    else:
+        pieces = written(pieces, "pieces")
+        verdicts = _refine(pieces.join(hot_names, "name", "left_anti"), length).unionByName(_counted(pieces.join(hot_names, "name", "left_semi"), length))
     verdicts = written(verdicts, "verdicts")
 
     full = met.filter("again").select("th", F.col("first").alias("a"), (F.col("first") + F.col("n") - 1).alias("b"))
@@ -289,7 +313,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
     copied = base.groupBy("th").agg(F.count(F.lit(1)).alias("k"), F.first(F.length("data")).alias("size")).filter(F.col("k") > 1)
     copied = copied.select("th", F.lit(0).alias("a"), (F.col("size") - length).alias("b")).filter("b >= 0")
     places = full.unionByName(part).unionByName(copied).distinct().groupBy("th").agg(F.collect_list(F.struct("a", "b")).alias("places"))
-    return _removed(base.join(places, "th", "left").select("doc_id", "data", "places"), length)
+    return _removed(_packed(base).join(places, "th", "left").select("doc_id", "packed", "places"), length)
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
