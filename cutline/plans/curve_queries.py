@@ -20,7 +20,7 @@ TARGETS = (15.0, 40.0, 62.5, 85.0)
 
 
 def _points(spark: SparkSession, sf: str, n: int) -> DataFrame:
-    return brand_curves(spark, sf).filter(F.col("setting").isin(*MEASURED[n])).groupBy("p_brand").agg(curves.points().alias("p"))
+    return brand_curves(spark, sf).filter(F.col("setting").isin(*MEASURED[n])).groupBy("p_brand").agg(curves.points().alias("p")).filter(F.size("p") == n)
 
 
 def _interpolated(method: str, n: int):
@@ -78,7 +78,7 @@ def _measured_sql(n: int) -> str:
     xs = ", ".join(f"s[{i + 1}].score AS x{i}, s[{i + 1}].setting AS y{i}" for i in range(n))
     targets = ", ".join(f"({t}::DOUBLE)" for t in TARGETS)
     return f"""WITH {CURVES_SQL}, g AS (SELECT p_brand, list_sort(list({{'score': score, 'setting': setting}})) AS s FROM c WHERE setting IN ({values}) GROUP BY p_brand),
-        p AS (SELECT p_brand, target AS t, {xs} FROM g, (VALUES {targets}) v(target))"""
+        p AS (SELECT p_brand, target AS t, {xs} FROM g, (VALUES {targets}) v(target) WHERE len(s) = {n})"""
 
 
 def _lagrange_sql(n: int) -> str:
