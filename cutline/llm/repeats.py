@@ -37,8 +37,6 @@ LENGTH, GRAM, Q = 200, 32, 8
 #: Different stretches of a name up to which one task refines them; bytes that are refined, or scanned, at once; texts that a
 #: task remembers to have sent.
 HOT, REFINED_BYTES, SCANNED_BYTES, SEEN = 2000, 4_000_000, 250_000, 200_000
-#: Stretches to fetch up to which their places are broadcast; with more, the texts are shuffled to them.
-BROADCAST_STRETCHES = 400_000
 
 _U = np.uint64
 
@@ -178,14 +176,13 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def _cut(found: DataFrame, length: int) -> DataFrame:
-    """The bytes of each stretch of found (data or packed data, spans)."""
-    packed = "packed" in found.columns
+    """The bytes of each stretch of found (packed data, spans)."""
 
     def run(batches):
         for batch in batches:
             names, wholes, pieces = [], [], []
-            for data, spans in zip(batch.column(0).to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                data = zlib.decompress(data) if packed else data
+            for data, spans in zip(batch.column("packed").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                data = zlib.decompress(data)
                 for x in spans:
                     names.append(x["name"])
                     wholes.append(x["whole"])
@@ -194,7 +191,7 @@ def _cut(found: DataFrame, length: int) -> DataFrame:
                 part = slice(a, a + 2000)
                 yield pa.RecordBatch.from_pydict({"name": pa.array(names[part], pa.int64()), "whole": pa.array(wholes[part], pa.int64()), "piece": pa.array(pieces[part], pa.binary())})
 
-    return found.select("packed" if packed else "data", "spans").mapInArrow(run, "name long, whole long, piece binary")
+    return found.select("packed", "spans").mapInArrow(run, "name long, whole long, piece binary")
 
 
 _VERDICT = "name long, whole long, starts array<int>, ends array<int>"
@@ -296,9 +293,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
     classes = written(classes.select("name", "whole", "r.*", (F.count(F.lit(1)).over(by_name) > hot).alias("hot")), "classes")
 
     spans = classes.groupBy("th", F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("name", "whole", "first", "n")).alias("spans"))
-    few = classes.count() <= BROADCAST_STRETCHES
-    texts = base.join(F.broadcast(spans), "th") if few else _packed(base).join(spans, "th")
-    pieces = _cut(texts.filter(F.col("doc_id").eqNullSafe(F.col("of"))), length)
+    pieces = _cut(_packed(base).join(spans, "th").filter(F.col("doc_id").eqNullSafe(F.col("of"))), length)
     hot_names = classes.filter("hot").select("name").distinct()
     if hot_names.isEmpty():
         verdicts = _refine(pieces, length)
