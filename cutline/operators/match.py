@@ -35,7 +35,9 @@ def option_names(help_text: Column, kind: Column) -> Column:
 
 def vocabulary(helps: DataFrame, help_text: str = "help", kind: str = "kind") -> DataFrame:
     """(kind, param) of a table of help texts."""
-    return helps.select(F.col(kind).alias("kind"), F.explode(option_names(F.col(help_text), F.col(kind))).alias("param")).distinct()
+    texts = helps.select(F.col(kind).alias("_kind"), F.col(help_text).alias("_help"))
+    names = texts.select("_kind", F.explode(option_names(F.col("_help"), F.col("_kind"))).alias("param"))
+    return names.select(F.col("_kind").alias("kind"), "param").distinct()
 
 
 def unknown(used: DataFrame, known: DataFrame, by: list[str]) -> DataFrame:
