@@ -39,6 +39,11 @@ def speed(position: Column, resumed: Column, elapsed: Column, total: Column) ->
     return F.struct(F.coalesce(rate, F.lit(0.0)).alias("rate"), text.alias("text"), F.when(known, elapsed / F.nullif(since, F.lit(0)) * (total - position)).alias("eta"))
 
 
+def unit_rate(n_elements: Column, began: Column, ended: Column) -> Column:
+    """Elements a second of one unit; null for no time at all."""
+    return F.try_divide(n_elements.cast("double"), ended.cast("double") - began.cast("double"))
+
+
 def remaining(units: DataFrame, ledger: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Units that are not in the ledger."""
     return units.join(ledger.select(*keys).distinct(), list(keys), "left_anti")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,3 +105,42 @@ def report(measurements: DataFrame, keys: Sequence[str], metric: Column) -> Data
     """A row for each group: its measurements by setting, scores with their own sign."""
     restored = F.when(metric.isin("butteraugli-inf", "butteraugli-3"), -F.col("score")).otherwise(F.col("score"))
     return measurements.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("setting", restored.alias("score")))).alias("measured"), F.count(F.lit(1)).alias("n"))
+
+
+def spline_moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Half second derivatives of the natural cubic spline at its points, by one forward and one backward sweep."""
+    n, h = len(x), np.diff(x)
+    right = 3 * np.diff(np.diff(y) / h)
+    upper, value = np.zeros(n), np.zeros(n)
+    for i in range(1, n - 1):
+        pivot = 2 * (h[i - 1] + h[i]) - h[i - 1] * upper[i - 1]
+        upper[i] = h[i] / pivot
+        value[i] = (right[i - 1] - h[i - 1] * value[i - 1]) / pivot
+    for i in range(n - 2, 0, -1):
+        value[i] -= upper[i] * value[i + 1]
+    return value
+
+
+def natural_splines(measured: DataFrame, asked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """asked (keys, target) with ``setting``, through any number (3 or more) of measured points of each group.
+
+    With 3 or 4 points ``curves.natural`` does the same without Python. Null outside the scores, and where scores repeat or points are fewer.
+    """
+    keys = list(keys)
+    kinds = {f.name: f.dataType.simpleString() for f in asked.schema}
+
+    def solve(points: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        wanted = wanted[[*keys, "target"]].copy()
+        points = points.sort_values("score")
+        x, y, t = points["score"].to_numpy(float), points["setting"].to_numpy(float), wanted["target"].to_numpy(float)
+        if len(x) < 3 or not (np.diff(x) > 0).all():
+            return wanted.assign(setting=np.nan)
+        m, h = spline_moments(x, y), np.diff(x)
+        k = np.clip(np.searchsorted(x, t, "left") - 1, 0, len(h) - 1)
+        u = t - x[k]
+        out = y[k] + (np.diff(y)[k] / h[k] - h[k] * (2 * m[k] + m[k + 1]) / 3) * u + m[k] * u**2 + (m[k + 1] - m[k]) / (3 * h[k]) * u**3
+        return wanted.assign(setting=np.where((t >= x[0]) & (t <= x[-1]), out, np.nan))
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "target")) + ", setting double"
+    solved = measured.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(solve, schema)
+    return solved.withColumn("setting", F.when(~F.isnan("setting"), F.col("setting")))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutline.functions import curves
+from cutline.functions import curves, settings
 from cutline.operators import search
 
 from .tables import CURVES_SQL, brand_curves
@@ -32,6 +32,22 @@ def _interpolated(method: str, n: int):
     return query
 
 
+def interp_natural_many(spark: SparkSession, sf: str) -> DataFrame:
+    """Splines through all of a brand's points."""
+    curve = brand_curves(spark, sf)
+    asked = curve.select("p_brand").distinct().select("p_brand", F.explode(F.array(*map(F.lit, TARGETS))).alias("target"))
+    found = search.natural_splines(curve, asked.toDF("p_brand", "target"), ["p_brand"])
+    return found.withColumn("setting", F.round("setting", 6))
+
+
+def metric_bands(spark: SparkSession, sf: str) -> DataFrame:
+    """Is a measured score inside the band 39 to 41, for a metric of which more is better and one of which less is?"""
+    curve = brand_curves(spark, sf).withColumn("metric", F.when(F.col("setting").cast("int") % 2 == 0, "butteraugli-3").otherwise("ssimulacra2"))
+    band = settings.oriented_band(F.col("metric"), F.lit(39.0), F.lit(41.0))
+    score = settings.oriented(F.col("metric"), F.col("score"))
+    return curve.select("p_brand", "setting", "metric", band["low"].alias("low"), band["high"].alias("high"), settings.within(score, band["low"], band["high"]).alias("inside"))
+
+
 def recommend_next(spark: SparkSession, sf: str) -> DataFrame:
     """As if 0 to 5 settings of each brand had been measured, by the brand's number."""
     curve = brand_curves(spark, sf).withColumn("number", F.regexp_extract("p_brand", r"(\d+)", 1).cast("int") % 6)
@@ -69,7 +85,7 @@ def reuse_measurement(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f"interp_{m}": _interpolated(m, n) for m, n in (("linear", 2), ("quadratic", 3), ("natural", 4), ("pchip", 4), ("catmull", 4), ("akima", 4), ("cubic", 4))}
 QUERIES["interp_natural_3"] = _interpolated("natural", 3)
-QUERIES |= {f.__name__: f for f in (recommend_next, curve_search, final_choice, reuse_measurement)}
+QUERIES |= {f.__name__: f for f in (interp_natural_many, metric_bands, recommend_next, curve_search, final_choice, reuse_measurement)}
 
 
 def _measured_sql(n: int) -> str:
@@ -125,6 +141,8 @@ def _pchip_sql() -> str:
 
 
 SQL = {
+    "metric_bands": f"""WITH {CURVES_SQL}, m AS (SELECT *, setting::INT % 2 = 0 AS less FROM c) SELECT p_brand, setting, CASE WHEN less THEN 'butteraugli-3' ELSE 'ssimulacra2' END AS metric,
+        CASE WHEN less THEN -41 ELSE 39 END::DOUBLE AS low, CASE WHEN less THEN -39 ELSE 41 END::DOUBLE AS high, score BETWEEN 39 AND 41 AS inside FROM m""",
     "interp_linear": _query_sql(2, "y0 + (t - x0) * (y1 - y0) / (x1 - x0)"),
     "interp_quadratic": _query_sql(3, _lagrange_sql(3), "x0", "x2"),
     "interp_cubic": _query_sql(4, _lagrange_sql(4), "x0", "x3"),

@@ -48,6 +48,12 @@ def size_projection(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("o_custkey", "total", "done_elements", *(F.round(c, 4).alias(c) for c in ("kbps", "progress", "estimated_bytes")), F.round(speed["rate"], 4).alias("rate"), speed["text"].alias("shown"), F.round(speed["eta"], 4).alias("eta"))
 
 
+def unit_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Users as units, their events as elements: events a second between the first and the last."""
+    spans = table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("ts").cast("timestamp")).alias("began"), F.max(F.col("ts").cast("timestamp")).alias("ended"))
+    return spans.select("user_id", F.round(ledger.unit_rate(F.col("n"), F.col("began"), F.col("ended")), 9).alias("rate"))
+
+
 def resume_remaining(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     left = ledger.remaining(orders, orders.filter("o_orderstatus = 'F'"), ["o_orderkey"])
@@ -115,7 +121,7 @@ def aligned_pairs(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        parse_progress, progress_increments, size_projection, resume_remaining, reconcile_counts, series_parity, attempts_report, work_order, work_order_random, merge_manifest, merge_options, aligned_pairs,
+        parse_progress, progress_increments, size_projection, unit_rates, resume_remaining, reconcile_counts, series_parity, attempts_report, work_order, work_order_random, merge_manifest, merge_options, aligned_pairs,
     )
 }
 
@@ -128,6 +134,7 @@ SQL = {
         s AS (SELECT *, CASE WHEN d < 3 THEN 3 ELSE d - 3 END AS since FROM u)
         SELECT o_custkey, total::BIGINT AS total, d::BIGINT AS done_elements, CASE WHEN d > 0 THEN round(b * 8 / 1000 / (d / 24.0::DOUBLE), 4) END AS kbps, CASE WHEN d > 0 THEN round(d::DOUBLE / total, 4) END AS progress, CASE WHEN d > 0 THEN round(b / (d::DOUBLE / total) + 1000, 4) END AS estimated_bytes,
           round(since / 10.0::DOUBLE, 4) AS rate, CASE WHEN since = 0 THEN '0 /s' WHEN since < 10 THEN printf('%.2f s each', 10.0::DOUBLE / since) ELSE printf('%.2f /s', since / 10.0::DOUBLE) END AS shown, CASE WHEN since > 0 THEN round(10.0::DOUBLE / since * (total - d), 4) END AS eta FROM s""",
+    "unit_rates": "SELECT user_id, round(count(*) / nullif(epoch_us(max(ts)) / 1e6::DOUBLE - epoch_us(min(ts)) / 1e6::DOUBLE, 0), 9) AS rate FROM events GROUP BY user_id",
     "resume_remaining": "SELECT o_custkey, o_orderkey, CASE WHEN o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0) AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') THEN 'resume' ELSE 'start' END AS mode FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')",
     "reconcile_counts": f"WITH {_COUNTS} SELECT coalesce(o_orderkey, l_orderkey) AS o_orderkey, o_orderkey % 7 + 1 AS expected, n AS actual, true AS error FROM orders FULL JOIN c ON o_orderkey = l_orderkey WHERE (o_orderkey % 7 + 1) IS DISTINCT FROM n",
     "series_parity": "WITH r AS (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL), a AS (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL) SELECT coalesce(r.l_partkey, a.l_partkey) AS l_partkey, r.n AS expected, a.n AS actual, true AS error FROM r FULL JOIN a ON r.l_partkey = a.l_partkey WHERE r.n IS DISTINCT FROM a.n",

@@ -39,11 +39,18 @@ def stream_segments(spark: SparkSession, sf: str) -> DataFrame:
     return streams.run_once(closed, *_folders(spark, "segments"))
 
 
-QUERIES = {f.__name__: f for f in (stream_progress, stream_projection, stream_segments)}
+def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of each type in windows of six hours that the watermark, an hour behind, has passed."""
+    counts = streams.windowed_counts(_stream(spark, sf), "ts", "6 hours", "1 hour", ["event_type"])
+    return streams.run_once(counts, *_folders(spark, "windows")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+QUERIES = {f.__name__: f for f in (stream_progress, stream_projection, stream_segments, stream_windows)}
 
 SQL = {
     "stream_progress": "SELECT user_id, max(CASE WHEN event_id % 6 IN (3, 4) AND event_id % 4 = 1 THEN NULL ELSE event_id % 1000 END) AS done FROM events GROUP BY user_id HAVING max(CASE WHEN event_id % 6 IN (3, 4) AND event_id % 4 = 1 THEN NULL ELSE event_id % 1000 END) IS NOT NULL",
     "stream_projection": "SELECT event_type, sum(event_id % 10)::BIGINT AS done_elements, sum(floor(value))::BIGINT AS done_bytes, count(*) AS done_units FROM events GROUP BY event_type",
+    "stream_windows": "WITH w AS (SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT * FROM w WHERE window_start + INTERVAL '6 hours' <= (SELECT max(ts) - INTERVAL '1 hour' FROM events)",
     "stream_segments": f"""WITH RECURSIVE {EVENTS_SQL}, j AS (SELECT user_id, pos, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY pos)) AS d FROM e), k AS (SELECT user_id, pos FROM j WHERE d >= 60),
         r AS (SELECT DISTINCT user_id, 0::BIGINT AS last FROM e UNION ALL SELECT user_id, next FROM (SELECT r.user_id, min(k.pos) AS next FROM r JOIN k ON k.user_id = r.user_id AND k.pos >= r.last + 3 GROUP BY r.user_id, r.last)),
         s AS (SELECT user_id, last AS start, lead(last) OVER (PARTITION BY user_id ORDER BY last) AS "end" FROM r) SELECT * FROM s WHERE "end" IS NOT NULL""",

@@ -64,6 +64,13 @@ def series_info_json(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def series_sanity(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines as elements whose size or rate changes in some series: accepted ones with their number, others with the reason."""
+    rows = table(spark, sf, "lineitem").select("l_partkey", F.when((F.col("l_partkey") % 5 == 0) & (F.col("l_linenumber") == 1), 640).otherwise(1280).alias("width"), F.lit(720).alias("height"), F.when((F.col("l_partkey") % 7 == 0) & (F.col("l_linenumber") == 2), 25).otherwise(24).alias("rate_num"), F.lit(1).alias("rate_den"))
+    good, bad = readers.constant(rows, ["l_partkey"])
+    return good.withColumn("reject_reason", F.lit(None).cast("string")).unionByName(bad.withColumn("n", F.lit(None).cast("long")))
+
+
 def _override_lines(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("n_nationkey")
     text = (
@@ -138,7 +145,7 @@ def json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return units.groupBy("series_id").agg(F.count(F.lit(1)).alias("units"), F.sum("n_elements").alias("elements"), F.sum("size_bytes").alias("bytes"))
 
 
-QUERIES = {f.__name__: f for f in (vocab_tokens, unknown_terms, fuzzy_match, series_info_json, overrides_text, policy_texts, zip_channels, paired_inputs, json_roundtrip)}
+QUERIES = {f.__name__: f for f in (vocab_tokens, unknown_terms, fuzzy_match, series_info_json, series_sanity, overrides_text, policy_texts, zip_channels, paired_inputs, json_roundtrip)}
 
 SQL = {
     "vocab_tokens": r"""WITH h AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'aom' ELSE 'vpx' END AS kind, unnest(string_split_regex('--' || replace(text, ' ', ' --'), '[ \t\n\r\f]+')) AS w FROM documents),
@@ -154,6 +161,9 @@ SQL = {
           round(rn / 1001.0::DOUBLE, 6) AS rate, round(rn / 1001.0::DOUBLE * 10)::BIGINT AS "limit", CASE WHEN p_size > 25 THEN 'vmaf_4k_v0.6.1' ELSE 'vmaf_v0.6.1' END || CASE WHEN p_partkey % 2 = 0 THEN 'neg' ELSE '' END AS model,
           CASE WHEN p_size % 2 = 0 THEN 'smpte2084' ELSE 'bt1886' END AS curve, p_size AS major, (p_partkey % 7)::INT AS patch, p_size::BIGINT AS first_position, 2 AS positions, p_brand AS bad_position,
           rtrim(rtrim(printf('%.2f', p_size / 4.0::DOUBLE), '0'), '.') AS setting FROM p""",
+    "series_sanity": """WITH e AS (SELECT l_partkey, l_partkey % 5 = 0 AND l_linenumber = 1 AS small, l_partkey % 7 = 0 AND l_linenumber = 2 AS fast FROM lineitem),
+        g AS (SELECT l_partkey, count(*) AS n, count(DISTINCT small) AS sizes, count(DISTINCT fast) AS rates FROM e GROUP BY l_partkey)
+        SELECT l_partkey, CASE WHEN sizes = 1 AND rates = 1 THEN n END AS n, CASE WHEN sizes > 1 THEN 'size changes' WHEN rates > 1 THEN 'rate changes' END AS reject_reason FROM g""",
     "overrides_text": """WITH n AS (SELECT n_nationkey AS k FROM nation)
         SELECT k AS series, CASE WHEN k % 6 <> 5 THEN k * 10 END::BIGINT AS start, CASE k % 6 WHEN 0 THEN 500 WHEN 1 THEN k * 10 + 50 WHEN 2 THEN 5 WHEN 3 THEN 9999 WHEN 4 THEN 400 END::BIGINT AS "end",
           CASE k % 6 WHEN 1 THEN 'rav1e' WHEN 4 THEN 'rav1e' WHEN 5 THEN NULL ELSE 'aom' END AS kind, CASE WHEN k % 6 <> 5 THEN k % 6 = 1 END AS reset,

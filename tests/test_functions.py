@@ -153,3 +153,31 @@ def test_nearest_known_name(spark):
     got = match.suggestions(match.unknown(used, known, ["param"]), known, "param").collect()
     assert [(r.param, r.suggestion) for r in got] == [("--speeed", "--speed")]
     assert match.jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-4)
+
+
+def test_splines_of_any_length(spark):
+    random.seed(2)
+    rows = []
+    for k, n in enumerate((2, 3, 4, 9, 25)):
+        x = sorted(random.sample(range(200), n))
+        rows += [(k, float(a), random.random() * 50) for a in x]
+    measured = spark.createDataFrame(rows, "k int, score double, setting double")
+    asked = spark.createDataFrame([(k, float(t)) for k in range(5) for t in range(0, 200, 7)] + [(r[0], r[1]) for r in rows], "k int, target double")
+    got = {(r.k, r.target): r.setting for r in search.natural_splines(measured, asked, ["k"]).collect()}
+    points = {k: [(s, y) for kk, s, y in rows if kk == k] for k in range(5)}
+    assert all(v is None for (k, _), v in got.items() if k == 0)
+    for k in (1, 2):  # the closed forms
+        for (kk, t), v in got.items():
+            if kk == k:
+                want = value(spark, "natural", *zip(*points[k], strict=True), t)
+                assert (v is None and want is None) or v == pytest.approx(want, abs=1e-9)
+    for k in (3, 4):
+        assert all(got[k, s] == pytest.approx(y, abs=1e-9) for s, y in points[k])
+
+
+def test_policies(spark):
+    raw = spark.createDataFrame([("80-85", "10-50", "3", "percentile=1", "linear-akima", "1280x720"), ("90", None, None, None, None, None), ("85-80", None, None, None, None, None)], "target string, limits string, probes string, statistic string, methods string, resolution string")
+    good, bad = settings.normalised_policies(raw)
+    rows = {r.target: r for r in good.collect()}
+    assert rows["80-85"].warning == "fewer than 4 probes" and rows["80-85"].method_4 == "akima" and (rows["80-85"].width, rows["80-85"].height) == (1280, 720)
+    assert (rows["90"].low, rows["90"].high) == pytest.approx((89.1, 90.9)) and bad.count() == 1
