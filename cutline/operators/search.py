@@ -51,7 +51,7 @@ def search(curve: DataFrame, policies: DataFrame, keys: Sequence[str]) -> DataFr
         F.col("probes").cast("int").alias("probes"), empty.alias("history"), F.lit(None).cast("string").alias("reason"),
     )
     rounds = policies.agg(F.max(F.col("probes").cast("int"))).first()[0] or 0
-    done = None
+    curve, done = staged(curve.select(*keys, "setting", "score"), "curve"), None  # every round looks settings up in it
     for k in range(rounds + 1):
         sorted_points = F.array_sort(F.transform("history", lambda h: F.struct(h["score"].alias("score"), h["setting"].alias("setting"))))
         target = (F.col("low") + F.col("high")) / 2.0

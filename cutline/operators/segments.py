@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutline.session import sound_unions
+from cutline.staging import staged
 
 #: Candidates of a series up to which the fold over an array is used; beyond, a grouped Arrow function.
 FOLD_LIMIT = 50_000
@@ -316,6 +317,7 @@ def segment(info: DataFrame, keys: Sequence[str], costs: DataFrame | None, min_l
         found = attached(found, overrides.select(*keys, "start", "end", F.col("max_len").alias("_own")), keys, "start").withColumn("_limit", F.when(F.col("override_start").isNotNull(), F.col("_own")).otherwise(limit)).drop("override_start", "override_end", "_own")
     else:
         found = found.withColumn("_limit", limit)
+    found = staged(found, "segments")  # what follows reads it several times
     split = bounded(found, keys, F.col("_limit"), costs).drop("_limit")
     return found.drop("_limit").select(*keys, "seg_idx", "start", "end"), split.select(*keys, "seg_idx", "start", "end")
 
