@@ -169,7 +169,7 @@ SQL = {
     "override_attach": _ATTACH,
     "override_attach_cells": _ATTACH,
     "concat_offsets": """WITH p AS (SELECT conv_id, max(turn) AS last_turn, conv_id % 50 AS tape FROM conversations GROUP BY conv_id)
-        SELECT tape, conv_id, coalesce(sum(last_turn + 1) OVER (PARTITION BY tape ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset", sum(last_turn + 1) OVER (PARTITION BY tape) AS total FROM p""",
+        SELECT tape, conv_id, coalesce(sum(last_turn + 1) OVER (PARTITION BY tape ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset", (sum(last_turn + 1) OVER (PARTITION BY tape))::BIGINT AS total FROM p""",
     "contiguity_violations": """WITH t AS (SELECT conv_id, turn AS start, turn + 1 AS "end", lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_start FROM conversations WHERE role <> 'user' OR turn % 3 <> 0) SELECT * FROM t WHERE "end" <> next_start""",
     "forced_cuts": f"""{_BASE}{_SEGMENTS}, k AS (SELECT user_id, start FROM s UNION SELECT user_id, p FROM i, (VALUES {_FORCED}) v(p) WHERE p < n_elements)
         SELECT user_id, row_number() OVER w - 1 AS seg_idx, start, coalesce(lead(start) OVER w, n_elements) AS "end" FROM k JOIN i USING (user_id) WINDOW w AS (PARTITION BY user_id ORDER BY start)""",
