@@ -3,12 +3,14 @@
 A document's set is its distinct shingles of ``SHINGLE`` words (non-space runs, A-Z lower-cased), as 64-bit hashes. Documents
 with equal sets are one *node*; the smallest doc_id stands for them. Linked nodes are found in two steps.
 
-1. *Candidates.* Two sets that reach the threshold differ in at most d elements, d being a ninth of the smaller (at 0.9). Elements are hashed
-   into d + 1 groups, so the two sets agree in one whole group at least. A node therefore sends one key for each group (the
-   hash of the group's elements) and its length class; nodes with a common key become one candidate cluster by connected
-   components. Passages that many documents share don't give common keys, as a group takes elements from the whole text. Keys are compared in
-   a sorted stream, which holds one row at a time, however many nodes share a key.
-2. *Join within a cluster.* Group counts (elements hashed into ``DIMENSIONS`` groups) are the points of a packed R-tree. The sum of
+1. *Candidates.* A node sends keys, and nodes with a common key become one candidate cluster by connected components. At high
+   thresholds (``GROUPED``) keys are groups: two linked sets differ in at most d elements (at 0.9: a ninth of the smaller), so of d + 1 groups
+   that elements are hashed into they have one wholly in common; its elements make the key, for the set's length class. Below, keys are single elements: all
+   elements are put in one order, rare ones before those of very many documents, and two linked sets have an element in common
+   in the first part (at 0.8: a fifth) of either. Passages that many documents share give no common keys either way: a group takes elements
+   from the whole text, and common elements stand last in the order. Keys travel packed in buckets of about ``BUCKET_DOCS`` documents' keys
+   each, so that a task holds little, however large the table.
+2. *Join within a cluster.* Group counts (elements hashed into a number of groups that suits the sets' sizes) are the points of a packed R-tree. The sum of
    coordinate minima bounds the overlap of two sets, or of a set and all below an inner entry. Pairs that pass the bound
    and are not yet connected are verified on the sets themselves. A cluster beyond ``BLOCK_ELEMENTS`` elements is dealt out as pairs of blocks,
    whose links are joined by another pass of connected components; so no task's memory grows with a cluster.
@@ -20,6 +22,7 @@ rows share a component; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from fractions import Fraction
 
 import numpy as np
@@ -27,14 +30,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cutline.session import sound_unions
+
 from . import common
 from .common import written
 from .components import components
 from .hashing import BYTE_VALUES, mixed, span_hashes
 
-SHINGLE, THRESHOLD, DIMENSIONS, FANOUT = 3, Fraction(9, 10), 32, 16
+SHINGLE, THRESHOLD, FANOUT = 3, Fraction(9, 10), 16
+#: Bytes of a key, beyond its bucket, and of a node that candidates are found by (a chance agreement only enlarges a cluster);
+#: documents to a bucket; keys that a task gathers before it sends them.
+KEY_BYTES, SHORT_BYTES, BUCKET_DOCS, FLUSHED_KEYS = 6, 6, 1000, 500_000
+#: Threshold from which groups are the keys.
+GROUPED = Fraction(88, 100)
+#: Most common shingles whose rank tasks know; bytes of the table they stand in; elements that a task counts at once.
+MOST_COMMON, CELLS, COUNTED = 8_000_000, 1 << 24, 2_000_000
 #: Elements of a cluster that one task joins; most rows that are broadcast; nodes that a task remembers to have sent.
-BLOCK_ELEMENTS, BROADCAST_ROWS, SEEN = 4_000_000, 300_000, 200_000
+BLOCK_ELEMENTS, BROADCAST_ROWS, SEEN = 10_000_000, 300_000, 50_000
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -102,67 +114,155 @@ def group_keys(elements: np.ndarray, threshold: Fraction = THRESHOLD) -> np.ndar
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+def common_shingles(docs: DataFrame, size: int = SHINGLE, most: int = MOST_COMMON) -> np.ndarray:
+    """A table of CELLS levels, by a shingle's hash: the binary logarithm of how many documents hold it, for the most common shingles (most of them at most), else 0.
+
+    A task counts COUNTED elements at a time and sends those that it has met twice, so what is shuffled is a small part of the elements; a
+    shingle of very many documents is met twice nearly everywhere. Levels only set an order, for which counts need not be exact nor cells be apart.
+    """
+
+    def count(batches):
+        held, size_held = [], 0
+
+        def flush():
+            value, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_pydict({"shingle": pa.array(value[n > 1].view(np.int64)), "n": pa.array(n[n > 1])})
+
+        for batch in batches:
+            for s in shingle_sets(batch.column("text").to_pylist(), size):
+                held.append(s)
+                size_held += len(s)
+            if size_held > COUNTED:
+                yield flush()
+                held, size_held = [], 0
+        if size_held:
+            yield flush()
+
+    counts = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    levels = written(counts.select(F.pmod("shingle", F.lit(CELLS)).cast("int").alias("cell"), F.floor(F.log2("n")).cast("byte").alias("level")), "common")
+    least, total = 64, 0
+    for row in sorted(levels.groupBy("level").agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True):  # a row a power of two
+        total += row.k
+        if total > most:
+            break
+        least = row.level
+    chosen = levels.filter(F.col("level") >= least).groupBy("cell").agg(F.max("level").alias("level")).toArrow()  # most rows at most
+    table = np.zeros(CELLS, np.uint8)
+    table[chosen["cell"].to_numpy()] = chosen["level"].to_numpy()
+    return table
+
+
+def grouped(threshold: Fraction) -> bool:
+    """Are groups the better keys? They hold threshold / (1 - threshold) elements on average, and few say little."""
+    return threshold >= GROUPED
+
+
+def prefix(elements: np.ndarray, common: np.ndarray, threshold: Fraction = THRESHOLD) -> np.ndarray:
+    """The elements that come first in an order of all elements, rare before common: two linked sets have one of these in common."""
+    n = len(elements)
+    if not n:
+        return elements
+    value = mixed(elements, 5)
+    needed = -(-n * threshold.numerator // threshold.denominator)
+    return value[np.lexsort((value, common[(elements.view(np.int64) % CELLS)]))[: n - needed + 1]]
+
+
 def node_id(elements: np.ndarray) -> int:
     """Names a set: 64 bits as a signed integer."""
     total = mixed(np.array([mixed(elements, 3).sum(dtype=_U) + _U(len(elements))], _U), 4)
     return int(total.view(np.int64)[0])
 
 
-def sets_of(docs: DataFrame, size: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """(doc_id, n, node, keys) of every document; a task sends the keys of a set once."""
+def sets_of(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, n, node) of every document."""
 
     def run(batches):
-        seen: set[int] = set()
         for batch in batches:
             sets = shingle_sets(batch.column("text").to_pylist(), size)
-            nodes = [node_id(s) for s in sets]
-            keys = []
-            for node, s in zip(nodes, sets, strict=True):
-                if node in seen:
-                    keys.append(np.zeros(0, np.int64))
-                    continue
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add(node)
-                keys.append(group_keys(s, threshold))
-            ends = np.cumsum([0, *map(len, keys)])
-            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "n": pa.array([len(s) for s in sets], pa.int64()),
-                    "node": pa.array(nodes, pa.int64()),
-                    "keys": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat),
-                }
+                {"doc_id": batch.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([node_id(s) for s in sets], pa.int64())}
             )
 
     common.small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, keys array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long")
 
 
-def _runs(keys: DataFrame, threshold: Fraction) -> DataFrame:
-    """Edges from the first node of each run of nodes with a common key and lengths that may be linked."""
+def _packed(docs: DataFrame, buckets: int, size: int, threshold: Fraction, common: np.ndarray) -> DataFrame:
+    """The keys of all nodes, dealt to buckets: KEY_BYTES of each key, SHORT_BYTES of its node and the node's size, many in a row. A task sends a set once."""
+    held_common = docs.sparkSession.sparkContext.broadcast(common)  # CELLS bytes at most
+    by_group = grouped(threshold)
 
     def run(batches):
-        last_key = last_node = last_n = hub = None
+        seen: set[int] = set()
+        keys, nodes, sizes, held = [], [], [], 0
+
+        def narrow(values: np.ndarray, width: int) -> np.ndarray:
+            return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
+
+        def flush():
+            times = [len(k) for k in keys]
+            key, node, n = np.concatenate(keys), np.repeat(np.array(nodes, np.int64).view(_U), times), np.repeat(np.array(sizes, np.int64), times)
+            bucket = (key % _U(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(bucket[order]) > 0))
+            spans = list(zip(first, np.append(first[1:], len(order)), strict=True))
+            row = np.concatenate([narrow((key // _U(buckets))[order], KEY_BYTES), narrow(node[order], SHORT_BYTES), narrow(n[order].view(_U), 4)], axis=1)
+            return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[order][first]), "rows": pa.array([row[a:b].tobytes() for a, b in spans], pa.binary())})
+
         for batch in batches:
-            key, node, n = (batch.column(c).to_numpy() for c in ("key", "node", "n"))
-            if not len(key):
-                continue
-            if last_key is None:
-                key, node, n = np.append(~key[:1], key), np.append(node[:1], node), np.append(n[:1], n)  # a row that nothing equals
-                hub = node[0]
-            else:
-                key, node, n = np.append(last_key, key), np.append(last_node, node), np.append(last_n, n)
-            goes_on = (key[1:] == key[:-1]) & (n[:-1] * threshold.denominator >= n[1:] * threshold.numerator)
-            begin = np.append(True, ~goes_on)
-            hubs = np.append(hub, node[1:])[np.maximum.accumulate(np.where(begin, np.arange(len(key)), 0))]
-            last_key, last_node, last_n, hub = key[-1], node[-1], n[-1], hubs[-1]
-            pairs = np.unique(np.stack([hubs, node])[:, hubs != node], axis=1)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
-
-    ordered = keys.repartition("key").sortWithinPartitions("key", "n", "node")
-    return ordered.mapInArrow(run, "a long, b long")
+            for s in shingle_sets(batch.column("text").to_pylist(), size):
+                node = node_id(s)
+                if not len(s) or node in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(node)
+                keys.append(group_keys(s, threshold).view(_U) if by_group else prefix(s, held_common.value, threshold))
+                nodes.append(node)
+                sizes.append(len(s))
+                held += len(keys[-1])
+            if held > FLUSHED_KEYS:
+                yield flush()
+                keys, nodes, sizes, held = [], [], [], 0
+        if held:
+            yield flush()
+
+    return docs.select("text").mapInArrow(run, "bucket long, rows binary")
+
+
+def _edges(packed: DataFrame, threshold: Fraction) -> DataFrame:
+    """Edges (a, b) of shortened nodes: of the nodes with one key, in order of size, each to the first of a run without too large a step. A task holds one bucket at a time."""
+    width, p, q = KEY_BYTES + SHORT_BYTES + 4, threshold.numerator, threshold.denominator
+
+    def star(rows: list[bytes]) -> pa.RecordBatch:
+        data = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, width)
+
+        def wide(a: int, b: int) -> np.ndarray:
+            out = np.zeros((len(data), 8), np.uint8)
+            out[:, : b - a] = data[:, a:b]
+            return out.view("<i8").ravel()
+
+        key, node, n = wide(0, KEY_BYTES), wide(KEY_BYTES, KEY_BYTES + SHORT_BYTES), wide(KEY_BYTES + SHORT_BYTES, width)
+        order = np.lexsort((node, n, key))
+        key, node, n = key[order], node[order], n[order]
+        begin = np.append(True, (key[1:] != key[:-1]) | (n[:-1] * q < n[1:] * p))
+        hub = node[np.maximum.accumulate(np.where(begin, np.arange(len(key)), 0))]
+        pairs = np.unique(np.stack([hub, node])[:, hub != node], axis=1)
+        return pa.RecordBatch.from_pydict({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
+
+    def run(batches):
+        bucket, rows = None, []
+        for batch in batches:
+            for b, r in zip(batch.column("bucket").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                if b != bucket and rows:
+                    yield star(rows)
+                    rows = []
+                bucket = b
+                rows.append(r)
+        if rows:
+            yield star(rows)
+
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
 
 
 class CountTree:
@@ -197,10 +297,20 @@ class CountTree:
         return at[(p + q) * bound >= p * (n + self.sizes[at])]
 
 
+def dimensions(n: int, threshold: Fraction) -> int:
+    """Groups to count the elements of sets of n in, so that the bound tells sets apart that have nothing in common.
+
+    Counts of two such sets differ by about 1.13 sqrt(n k) in all, linked ones by 2 n r at most, r = (1 - threshold) / (1 + threshold); k is four times what makes these equal.
+    """
+    r = float((1 - threshold) / (1 + threshold))
+    return 1 << min(10, max(5, int(12.5 * r * r * n).bit_length()))
+
+
 def linked_groups(sets: list[np.ndarray], threshold: Fraction = THRESHOLD, side: np.ndarray | None = None) -> np.ndarray:
     """A number for each set, equal where links connect sets; with side, only pairs of different sides are looked at."""
-    counts = np.stack([np.bincount((s % _U(DIMENSIONS)).astype(np.int64), minlength=DIMENSIONS) for s in sets]).astype(np.int32)
     sizes = np.array([len(s) for s in sets])
+    k = dimensions(int(np.median(sizes)), threshold)
+    counts = np.stack([np.bincount((s % _U(k)).astype(np.int64), minlength=k) for s in sets]).astype(np.int32)
     order = CountTree.order(counts, sizes)
     tree = CountTree(counts[order], sizes[order])
     group, p, q = np.arange(len(sets)), threshold.numerator, threshold.denominator
@@ -223,20 +333,22 @@ def linked_groups(sets: list[np.ndarray], threshold: Fraction = THRESHOLD, side:
 
 
 def _stars(clusters: DataFrame, size: int, threshold: Fraction) -> DataFrame:
-    """Stars (a, b) around the smallest node of each linked group in a pair of blocks."""
+    """Stars (a, b) around the smallest node of each linked group in a pair of blocks. Texts travel compressed, a third of what their sets take."""
 
-    def cut(batches):
+    def pack(batches):
         for batch in batches:
-            sets = shingle_sets(batch.column("text").to_pylist(), size)
-            nodes = batch.column("node").to_pylist()
-            own = [i for i, s in enumerate(sets) if node_id(s) == nodes[i]]  # an id may stand on several texts
-            kept = {c: batch.column(c).take(pa.array(own, pa.int64())) for c in ("cluster", "node", "blocks", "block")}
-            yield pa.RecordBatch.from_pydict(kept | {"elements": pa.array([sets[i].tobytes() for i in own], pa.binary())})
+            small = [zlib.compress((t or "").encode("utf-8", "replace"), 1) for t in batch.column("text").to_pylist()]
+            kept = {c: batch.column(c) for c in ("cluster", "node", "blocks", "block")}
+            yield pa.RecordBatch.from_pydict(kept | {"packed": pa.array(small, pa.binary())})
 
     def stars(key, rows):
-        nodes = np.array([r[0] for r in rows])
-        side = None if key[1] == key[2] else np.array([r[1] for r in rows])
-        group = linked_groups([np.frombuffer(r[2], _U) for r in rows], threshold, side)
+        sets = [shingle_sets([zlib.decompress(r[2]).decode()], size)[0] for r in rows]
+        own = [i for i, r in enumerate(rows) if node_id(sets[i]) == r[0]]  # an id may stand on several texts
+        if len(own) < 2:
+            return np.zeros((2, 0), np.int64)
+        nodes = np.array([rows[i][0] for i in own], np.int64)
+        side = None if key[1] == key[2] else np.array([rows[i][1] for i in own])
+        group = linked_groups([sets[i] for i in own], threshold, side)
         order = np.lexsort((nodes, group))
         first = np.append(True, group[order][1:] != group[order][:-1])
         hub = nodes[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
@@ -246,34 +358,37 @@ def _stars(clusters: DataFrame, size: int, threshold: Fraction) -> DataFrame:
         key, rows = None, []
         for batch in batches:
             out = [np.zeros((2, 0), np.int64)]
-            columns = [batch.column(c).to_pylist() for c in ("cluster", "p", "q", "node", "block", "elements")]
-            for cluster, p, q, node, block, elements in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("cluster", "p", "q", "node", "block", "packed")]
+            for cluster, p, q, node, block, packed in zip(*columns, strict=True):
                 if (cluster, p, q) != key:
                     if len(rows) > 1:
                         out.append(stars(key, rows))
                     key, rows = (cluster, p, q), []
-                rows.append((node, block, elements))
+                rows.append((node, block, packed))
             a, b = np.concatenate(out, axis=1)
             yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
         if len(rows) > 1:
             a, b = stars(key, rows)
             yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
 
-    sets = clusters.mapInArrow(cut, "cluster long, node long, blocks int, block int, elements binary")
+    texts = clusters.mapInArrow(pack, "cluster long, node long, blocks int, block int, packed binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = sets.withColumn("other", other).withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
+    dealt = texts.withColumn("other", other).withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
     return dealt.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "node").mapInArrow(link, "a long, b long")
 
 
 def near_classes(docs: DataFrame, size: int = SHINGLE, threshold: Fraction = THRESHOLD, block_elements: int = BLOCK_ELEMENTS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs (doc_id, text)."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = written(sets_of(base, size, threshold), "sets")
+    sound_unions(docs.sparkSession)
+    sets = written(sets_of(base, size), "sets")
     nodes = sets.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("rep"))
-    keys = sets.select("node", "n", F.explode("keys").alias("key"))
-    clusters = components(_runs(keys, threshold), "clusters").withColumnRenamed("component", "cluster")
+    buckets = 1 << max(6, (sets.count() // BUCKET_DOCS).bit_length())
+    common = np.zeros(0, np.uint8) if grouped(threshold) else common_shingles(base, size)
+    clusters = components(_edges(_packed(base, buckets, size, threshold, common), threshold), "clusters").select(F.col("node").alias("short"), F.col("component").alias("cluster"))
 
-    found = written(clusters.join(nodes, "node"), "members")
+    shortened = nodes.withColumn("short", F.col("node").bitwiseAND(F.lit((1 << 8 * SHORT_BYTES) - 1)))
+    found = written(shortened.join(clusters, "short").drop("short"), "members")
     weights = found.groupBy("cluster").agg(F.sum("n").alias("elements"))
     blocks = F.when(F.col("elements") <= block_elements, 1).otherwise(F.ceil(2 * F.col("elements") / block_elements)).cast("int")
     members = found.join(weights.select("cluster", blocks.alias("blocks")), "cluster").withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
@@ -303,7 +418,8 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, row_number() OVER () AS rid,
-         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), []) AS w FROM documents
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+'), []) AS w FROM documents
 ), s AS (
   SELECT doc_id, rid, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))
                                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d

@@ -272,6 +272,9 @@ def test_tokens_equal_the_library(spark, docs):
     got = {r.doc_id: r for r in bpe.decode(bpe.encode(df, path).withColumn("kept", F.col("ids")), path).collect()}
     for i, e in enumerate(library.encode_batch(texts, add_special_tokens=False)):
         assert got[i].kept == e.ids and got[i].decoded == library.decode(e.ids, skip_special_tokens=False)
+    once = {r.doc_id: (r.ids, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip(df, path).collect()}
+    twice = {r.doc_id: (r.kept, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.decode(bpe.encode(df, path).withColumn("kept", F.col("ids")), path, digests=True).collect()}
+    assert once == twice
     assert bpe.encode(docs, path).count() == docs.count() and bpe.encode(empty(spark), path).count() == 0
     assert {r.doc_id: r.n for r in bpe.encode(docs, path).select("doc_id", F.size("ids").alias("n")).collect()}[3] == 0
 
@@ -371,7 +374,7 @@ def test_joins_of_awkward_tables(spark, docs):
 def test_tree_bounds_drop_no_partner():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 400, rng.integers(1, 120))).astype(np.uint64) for _ in range(150)]
-    counts = np.stack([np.bincount((s % np.uint64(jaccard.DIMENSIONS)).astype(int), minlength=jaccard.DIMENSIONS) for s in sets])
+    counts = np.stack([np.bincount((s % np.uint64(32)).astype(int), minlength=32) for s in sets])
     sizes = np.array([len(s) for s in sets])
     order = jaccard.CountTree.order(counts, sizes)
     tree = jaccard.CountTree(counts[order], sizes[order])
