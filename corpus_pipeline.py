@@ -56,9 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, their number, and the digests of ids and decoded text."""
-    path = bpe.word_tokenizer()
-    ids = bpe.encode(docs.select("doc_id", "source", "text"), path)
-    return bpe.decode(ids.withColumn("tokens", F.col("ids")), path, digests=True)
+    return bpe.round_trip(docs.select("doc_id", "source", "text"), bpe.word_tokenizer(), out="tokens")
 
 
 STAGES = [

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from . import common
 
 #: Words kept by a worker: two generations of this many.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 50_000
 #: Bytes of a word up to which the rank array is searched from end to end.
 SHORT = 256
 #: Rank of a pair that no merge joins.
@@ -210,6 +210,32 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", dig
     return df.mapInArrow(run, T.StructType(fields + list(added)))
 
 
+def round_trip(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
+    """Encode and decode in one pass, which needs half as many workers: ids, ``n_tokens`` and the digests of ids and decoded text instead of the text."""
+    file = df.sparkSession.sparkContext.broadcast(tokenizer_file(path))
+    added = T.StructType.fromDDL(f"{out} array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+    def run(batches):
+        vocabulary = _vocabulary(file.value)
+        for batch in batches:
+            packed = [vocabulary.encode(t or "") for t in batch.column(text).to_pylist()]
+            ends = np.cumsum([0, *map(len, packed)], dtype=np.int64) // 4
+            values = pa.array(np.frombuffer(b"".join(packed), "<i4"))
+            decoded = [hashlib.sha256(vocabulary.decode(np.frombuffer(p, "<i4")).encode()).hexdigest() for p in packed]
+            new = {
+                out: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values),
+                "n_tokens": pa.array([len(p) // 4 for p in packed], pa.int64()),
+                "ids_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
+                "decoded_sha256": pa.array(decoded, pa.string()),
+            }
+            kept = {k: c for k, c in _passed(batch, out, text).items() if k not in new}
+            yield pa.RecordBatch.from_pydict(kept | new)
+
+    common.small_batches(df.sparkSession)
+    fields = [f for f in df.schema if f.name != text and f.name not in added.names]
+    return df.mapInArrow(run, T.StructType(fields + list(added)))
+
+
 def word_tokenizer() -> str:
     """Path of the public word-end BPE file that op7 and the pipeline use."""
     import public_tokenizers
