@@ -329,6 +329,32 @@ def test_secrets_in_texts(spark, trees, docs):
     assert docs.select(secrets.findings(F.col("text"), F.col("source"), trees)).count() == docs.count()
 
 
+FORMS = {
+    "--token=abcd1234efgh5678": "abcd1234efgh5678", "x-api-key=abcd1234efgh5678": "abcd1234efgh5678", "s3_secret=abcd1234efgh5678": "abcd1234efgh5678",
+    "client-secret=abcd1234efgh5678": "abcd1234efgh5678", "k==abcd1234efgh5678": "abcd1234efgh5678", "db2_admin_password=abcd1234efgh5678": "abcd1234efgh5678",
+    "password=hunter2": "hunter2", "password=CorrectHorseBattery": "CorrectHorseBattery", "password=P@ssw0rd!2024": "P@ssw0rd!2024",
+    '{"api_key": "abcd1234efgh5678"}': "abcd1234efgh5678", "user=al;password=hunter2;host=b": "hunter2", "key: token=abcd1234efgh5678": "abcd1234efgh5678",
+    "a_name_of_very_many_letters_and_more_secret = 'hunter2'": "hunter2", "Authorization: Bearer abcd1234efgh5678": "abcd1234efgh5678", "see (abcd1234efgh5678)": "abcd1234efgh5678",
+}
+
+
+def test_secrets_of_all_forms_are_candidates(spark, trees):
+    df = spark.createDataFrame([(t,) for t in FORMS], "text string").withColumn("f", secrets.findings(F.col("text"), F.lit("src"), trees))
+    for r in df.select("text", "f", secrets.redacted(F.col("text"), F.col("f")).alias("clean")).collect():
+        own = [x for x in r.f if x.value == FORMS[r.text]]
+        assert len(own) == 1, r.text
+        if "secret" in r.text or "password" in r.text or "token" in r.text or "api" in r.text:
+            assert own[0].score >= 0.5 and FORMS[r.text] not in r.clean, r
+    long = spark.createDataFrame([("x" * 50000 + "=" + "a," * 50000 + " " + "=:" * 5000 + "a:b=" * 5000,)], "text string")
+    assert long.select(F.size(secrets.candidates(F.col("text")))).first()[0] > 0
+
+
+def test_short_secrets_go_only_where_they_are_assigned(spark, trees):
+    text = "the hunter2 of the wood; password=hunter2 and note: however, width=1280"
+    found = spark.createDataFrame([(text,)], "text string").withColumn("f", secrets.findings(F.col("text"), F.lit("src"), trees))
+    assert found.select(secrets.redacted(F.col("text"), F.col("f"))).first()[0] == text.replace("password=hunter2", "password=[secret]")
+
+
 # 10 joins
 
 
