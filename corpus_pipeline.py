@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages, each the Parquet output of the one before.
 
 1. quality: documents that the classifier rejects go (labels of the table's folder, none held out).
-2. near copies: of each component of documents whose sets of five-word shingles are at least 0.8 alike, the one with the smallest id stays.
+2. near copies: of each component of documents whose sets of five-word shingles are at least 0.8 alike, the one with the smallest id stays
+   (null ids last, then by a hash of the text). Rows with one id or none are documents of their own; those without words all stay.
 3. secrets: confirmed findings are replaced in the text; every document stays.
 4. mixing: sources are brought to their target weights; a document may be left out or stand twice.
 5. tokens: texts are encoded and decoded.
@@ -33,10 +34,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, and of rows that share its id, one."""
-    classes = jaccard.near_classes(docs, NEAR_WORDS, NEAR)
-    kept = classes.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each component of texts; ids only say which."""
+    return jaccard.one_of_each(docs, NEAR_WORDS, NEAR)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """N-gram Jaccard join: sets of word shingles whose likeness is at least a threshold, with a count-vector R-tree.
 
 A document's set is its distinct shingles of ``SHINGLE`` words (non-space runs, A-Z lower-cased), as 64-bit hashes. Documents
-with equal sets are one *node*; the smallest doc_id stands for them. Linked nodes are found in two steps.
+with equal sets are one *node*; the smallest doc_id names them, or none where all their rows have a null id. Linked nodes are found in two steps.
 
 1. *Candidates.* A node sends keys, and nodes with a common key become one candidate cluster by connected components. At high
    thresholds (``GROUPED``) keys are groups: two linked sets differ in at most d elements (at 0.9: a ninth of the smaller), so of d + 1 groups
@@ -16,7 +16,7 @@ with equal sets are one *node*; the smallest doc_id stands for them. Linked node
    whose links are joined by another pass of connected components; so no task's memory grows with a cluster.
 
 Sets are exact up to collisions of 64-bit hashes. No pair is lost and none is listed: the result names each document's
-component, the smallest doc_id reachable by links. Null and empty texts have an empty set and are linked with nothing; repeated
+component, the smallest doc_id reachable by links, null where none of its rows has an id. Null and empty texts have an empty set and are linked with nothing; repeated
 rows share a component; an empty table gives an empty result.
 """
 
@@ -173,18 +173,19 @@ def node_id(elements: np.ndarray) -> int:
     return int(total.view(np.int64)[0])
 
 
-def sets_of(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, n, node) of every document."""
+def sets_of(docs: DataFrame, size: int = SHINGLE, kept: tuple[str, ...] = ("doc_id",), text: bool = False) -> DataFrame:
+    """(n, node) of every document, after the columns that are kept; with text, before its text."""
 
     def run(batches):
         for batch in batches:
             sets = shingle_sets(batch.column("text").to_pylist(), size)
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([node_id(s) for s in sets], pa.int64())}
-            )
+            out = {c: batch.column(c) for c in kept} | {"n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([node_id(s) for s in sets], pa.int64())}
+            yield pa.RecordBatch.from_pydict(out | ({"text": batch.column("text")} if text else {}))
 
     common.small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long")
+    chosen = docs.select(*kept, "text")
+    fields = [chosen.schema[c].simpleString().replace(":", " ", 1) for c in kept] + ["n long", "node long"] + ["text string"] * text
+    return chosen.mapInArrow(run, ", ".join(fields))
 
 
 def _packed(docs: DataFrame, buckets: int, size: int, threshold: Fraction, common: np.ndarray) -> DataFrame:
@@ -377,11 +378,21 @@ def _stars(clusters: DataFrame, size: int, threshold: Fraction) -> DataFrame:
     return dealt.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "node").mapInArrow(link, "a long, b long")
 
 
-def near_classes(docs: DataFrame, size: int = SHINGLE, threshold: Fraction = THRESHOLD, block_elements: int = BLOCK_ELEMENTS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of docs (doc_id, text)."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _texts_of(base: DataFrame, named: DataFrame, few: bool, size: int) -> DataFrame:
+    """named (doc_id, node and more) with the nodes' texts: by id, and for nodes whose rows have no id by node, a text each."""
+    small = lambda df: F.broadcast(df) if few else df
+    by_id = base.select("doc_id", "text").join(small(named), "doc_id").drop("doc_id")
+    unnamed = named.filter("doc_id is null").drop("doc_id")
+    found = sets_of(base.filter("doc_id is null"), size, (), True).select("node", "text").join(small(unnamed.select("node")), "node", "left_semi")
+    by_node = found.groupBy("node").agg(F.min("text").alias("text")).join(small(unnamed), "node")
+    return by_id.unionByName(by_node.select(*by_id.columns))
+
+
+def _classified(docs: DataFrame, size: int, threshold: Fraction, block_elements: int, kept: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(kept columns, n, class, component_id) of every row of docs: class is the smallest node reachable, null for an empty set."""
+    base = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select(*kept, "text")
     sound_unions(docs.sparkSession)
-    sets = written(sets_of(base, size), "sets")
+    sets = written(sets_of(base, size, kept), "sets")
     nodes = sets.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("rep"))
     buckets = 1 << max(6, (sets.count() // BUCKET_DOCS).bit_length())
     common = np.zeros(0, np.uint8) if grouped(threshold) else common_shingles(base, size)
@@ -394,7 +405,7 @@ def near_classes(docs: DataFrame, size: int = SHINGLE, threshold: Fraction = THR
     members = found.join(weights.select("cluster", blocks.alias("blocks")), "cluster").withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
     count, most = members.agg(F.count(F.lit(1)), F.max("blocks")).first()
     named = members.select(F.col("rep").alias("doc_id"), "cluster", "node", "blocks", "block")
-    stars = _stars(base.join(F.broadcast(named) if count <= BROADCAST_ROWS else named, "doc_id"), size, threshold)
+    stars = _stars(_texts_of(base, named, count <= BROADCAST_ROWS, size), size, threshold)
     if (most or 1) > 1:
         linked = components(stars, "links")
     else:
@@ -403,11 +414,30 @@ def near_classes(docs: DataFrame, size: int = SHINGLE, threshold: Fraction = THR
 
     known = linked.join(found.select("node", "rep"), "node")
     smallest = known.groupBy("component").agg(F.min("rep").alias("smallest"))
-    joined = known.join(smallest, "component").select("node", "smallest")
-    classes = nodes.join(joined, "node", "left").select("node", "n", F.coalesce("smallest", "rep").alias("component_id"))
-    linked_docs = sets.filter("n > 0").select("doc_id", "n", "node").join(classes, ["node", "n"])
-    alone = sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked_docs.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
+    joined = known.join(smallest, "component").select("node", "component", "smallest")
+    classes = nodes.join(joined, "node", "left").select("node", "n", F.coalesce("component", "node").alias("class"), F.coalesce("smallest", "rep").alias("component_id"))
+    linked_docs = sets.filter("n > 0").join(classes, ["node", "n"]).select(*kept, "n", "class", "component_id")
+    alone = sets.filter("n = 0").select(*kept, "n", F.lit(None).cast("long").alias("class"), F.col("doc_id").alias("component_id"))
+    return linked_docs.unionByName(alone)
+
+
+def near_classes(docs: DataFrame, size: int = SHINGLE, threshold: Fraction = THRESHOLD, block_elements: int = BLOCK_ELEMENTS) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of docs (doc_id, text)."""
+    return _classified(docs.select("doc_id", "text"), size, threshold, block_elements).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE, threshold: Fraction = THRESHOLD, block_elements: int = BLOCK_ELEMENTS) -> DataFrame:
+    """docs with one row of each component: the smallest id, null ids last, then by hashes of the text and of the row. Rows without words are linked with nothing and stay.
+
+    Components are of texts, not of ids: rows that share an id, or have none, are rows of their own. Rows are known by two 64-bit hashes, and only these are grouped.
+    """
+    worded = F.coalesce(F.col("text").rlike(common.NON_SPACE), F.lit(False))
+    marked = docs.filter(worded).withColumn("_text", F.xxhash64("text")).withColumn("_row", F.xxhash64(*docs.columns))
+    rows = _classified(marked.select("doc_id", "text", "_text", "_row"), size, threshold, block_elements, ("doc_id", "_text", "_row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_text", "_row")).alias("f")
+    chosen = written(rows.groupBy("class").agg(first).select("f._text", "f._row"), "chosen")
+    kept = marked.join(chosen, ["_text", "_row"], "left_semi").dropDuplicates(["_text", "_row"])  # a wholly equal row stands once
+    return kept.select(*docs.columns).unionByName(docs.filter(~worded))
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -397,6 +397,18 @@ def test_joins_of_awkward_tables(spark, docs):
     assert jaccard.near_classes(docs).count() == docs.count() and jaccard.near_classes(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("block", [jaccard.BLOCK_ELEMENTS, 300])
+def test_joins_reach_over_rows_without_id(spark, block):
+    words = [f"w{i}" for i in range(150)]
+    edited = lambda *at: " ".join(f"x{i}" if i in at else w for i, w in enumerate(words))
+    texts = {"first": edited(), "bridge": edited(50), "last": edited(50, 100), "lone": "a b c d", "alike": "a b c d"}  # first and last are linked by the bridge only
+    rows = [(7, texts["first"]), (None, texts["bridge"]), (None, texts["bridge"]), (9, texts["last"]), (9, "quite another text"), (None, texts["lone"]), (None, texts["alike"])]
+    got = jaccard.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, Fraction(96, 100), block).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == sorted(
+        [("7", 148, "7"), ("None", 148, "7"), ("None", 148, "7"), ("9", 148, "7"), ("9", 1, "9"), ("None", 2, "None"), ("None", 2, "None")]
+    )
+
+
 def test_tree_bounds_drop_no_partner():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 400, rng.integers(1, 120))).astype(np.uint64) for _ in range(150)]

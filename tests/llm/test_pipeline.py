@@ -24,6 +24,16 @@ def test_near_copies_leave_one(spark, small):
     assert sorted(r.doc_id for r in pipeline.drop_near_copies(spark, docs, small).collect()) == [3, 4, 7, 8]
 
 
+def test_near_copies_go_by_text_not_by_id(spark, small):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(90))
+    rows = [(3, PROSE * 6), (5, PROSE * 6), (5, text("a")), (5, text("b")), (None, text("c")), (None, text("c") + " more"), (None, text("d")), (None, text("b")), (None, None), (None, ""), (6, text("d") + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = pipeline.drop_near_copies(spark, docs, small).collect()
+    alike = [sum((r.text or "").startswith(text(k)) for r in left) for k in "abcd"]
+    assert alike == [1, 1, 1, 1] and len(left) == 7
+    assert {(r.doc_id, r.text) for r in left} >= {(3, PROSE * 6), (5, text("a")), (5, text("b")), (6, text("d") + " more"), (None, None), (None, "")}
+
+
 def test_whole_pipeline(spark, small):
     out = pipeline.run(spark, small)
     documents = spark.read.parquet(f"{small}/documents.parquet")
