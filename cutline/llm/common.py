@@ -15,6 +15,10 @@ NON_SPACE = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 256
 
 
+class NothingToLearn(ValueError):
+    """The rows hold nothing that a model can be learned from."""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

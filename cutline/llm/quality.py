@@ -8,7 +8,7 @@ of the difference of the two log densities (Mahalanobis distances plus log deter
 The fit takes at most ``TRAIN_ROWS`` labelled rows, the first in the order of a hash of the id; only their statistics come
 to the driver. Scoring is one ``mapInArrow`` pass without a shuffle. Null texts count as empty, repeated rows get
 repeated scores, an empty table an empty result; labels of null or for ids without document are ignored. Without
-labelled rows of both classes there is no model, and ``fit`` says so.
+labelled rows of both classes there is no model, and ``fit`` says so; the query then gives every document the score ``NEUTRAL``.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from . import common
 
 #: Most labelled rows to fit on; share of the scaled identity in a covariance; score from which a document is good.
 TRAIN_ROWS, SHRINKAGE, THRESHOLD = 12_000, 0.05, 0.3
+#: Score of documents where nothing can be learned: they are not rejected.
+NEUTRAL = 0.5
 
 #: Kinds of bytes: 0 white space, 1 lower case, 2 upper case, 3 digit, 4 sentence marks, 5 other symbols, 6 non-ASCII.
 _KIND = np.full(256, 6, np.uint8)
@@ -89,7 +91,7 @@ class Discriminant:
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, shrinkage: float = SHRINKAGE) -> Discriminant:
         if not ((y == 0).any() and (y == 1).any()):
-            raise ValueError("labelled rows of both classes are needed")
+            raise common.NothingToLearn("labelled rows of both classes are needed")
         centre, scale = x.mean(0), x.std(0) + 1e-9
         z = (x - centre) / scale
         means, factors, logs = [], [], []
@@ -143,13 +145,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, shrinkage: f
     return Discriminant.fit(np.array(got["statistics"].tolist(), dtype=float).reshape(-1, len(STATISTICS)), got["quality"].to_numpy())
 
 
-def score(df: DataFrame, model: Discriminant, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """df with ``score`` (0 to 1, higher is better) and ``predicted``."""
+def score(df: DataFrame, model: Discriminant | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """df with ``score`` (0 to 1, higher is better) and ``predicted``; without a model the score is ``NEUTRAL``."""
 
     def run(batches):
         for batch in batches:
-            rows = [statistics(t or "") for t in batch.column(text).to_pylist()]
-            scores = model.score(np.array(rows, dtype=float).reshape(-1, len(STATISTICS)))
+            if model is None:
+                scores = np.full(batch.num_rows, NEUTRAL)
+            else:
+                rows = [statistics(t or "") for t in batch.column(text).to_pylist()]
+                scores = model.score(np.array(rows, dtype=float).reshape(-1, len(STATISTICS)))
             kept = {k: c for k, c in zip(batch.schema.names, batch.columns, strict=True) if k not in ("score", "predicted")}
             yield pa.RecordBatch.from_pydict(kept | {"score": pa.array(scores), "predicted": pa.array((scores >= threshold).astype(np.int32))})
 
@@ -162,5 +167,9 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by a model that has not seen the held-out labels."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = common.table(spark, sf_dir, "labels").filter(remainder(F.col("doc_id"), 5) != 0)
-    scored = score(docs, fit(docs, labels))
+    try:
+        model = fit(docs, labels)
+    except common.NothingToLearn:
+        model = None
+    scored = score(docs, model)
     return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")

@@ -305,6 +305,17 @@ def test_language_of_awkward_texts(spark, docs, small):
     assert np.allclose(network.probabilities(x, network.tables()), s / s.sum(1, keepdims=True), atol=1e-4)
 
 
+def test_queries_where_nothing_can_be_learned(spark, tmp_path):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, docs in (("none", empty(spark)), ("bare", awkward(spark, extra=False).withColumn("lang", F.lit(None).cast("string")))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        scored = quality.op5_quality(spark, f"{tmp_path}/{name}").collect()
+        named = language.op8_language(spark, f"{tmp_path}/{name}").collect()
+        assert len(scored) == len(named) == docs.count()
+        assert all((r.score, r.predicted) == (quality.NEUTRAL, 1) for r in scored) and all((r.lang_pred, r.score) == ("und", 0.0) for r in named)
+
+
 # 9 secrets
 
 
