@@ -10,14 +10,19 @@ with equal sets are one *node*; the smallest doc_id names them, or none where al
    in the first part (at 0.8: a fifth) of either. Passages that many documents share give no common keys either way: a group takes elements
    from the whole text, and common elements stand last in the order. Keys travel packed in buckets of about ``BUCKET_DOCS`` documents' keys
    each, so that a task holds little, however large the table.
-2. *Join within a cluster.* Group counts (elements hashed into a number of groups that suits the sets' sizes) are the points of a packed R-tree. The sum of
-   coordinate minima bounds the overlap of two sets, or of a set and all below an inner entry. Pairs that pass the bound
-   and are not yet connected are verified on the sets themselves. A cluster beyond ``BLOCK_ELEMENTS`` elements is dealt out as pairs of blocks,
-   whose links are joined by another pass of connected components; so no task's memory grows with a cluster.
-
-Sets are exact up to collisions of 64-bit hashes. No pair is lost and none is listed: the result names each document's
-component, the smallest doc_id reachable by links, null where none of its rows has an id. Null and empty texts have an empty set and are linked with nothing; repeated
-rows share a component; an empty table gives an empty result.
+   A task first joins the nodes of one key among themselves and sends on only its ends and a node in each size step, so a key that very many nodes share is no one's load.
+2. *Pivots.* The node of a cluster that shares most keys is verified against all others, dealt out ``LEAVES`` at a time. A group of copies mostly ends here,
+   in linear time; clusters that are then one component are done.
+3. *Join within the other clusters.* Nodes fall apart again where they share no element of their prefixes, in the cluster's own order of elements. Group counts
+   (elements hashed into a number of groups that suits the sets' sizes) are the points of a packed R-tree: the sum of coordinate minima bounds the overlap of two sets, or
+   of a tile of sets and all below an inner entry. Pairs that pass the bound and are not yet connected are verified on the sets themselves. A cluster
+   beyond ``BLOCK_ELEMENTS`` elements that keys of groups made is first taken apart by prefixes; what is still larger is dealt out as pairs of blocks, but for pairs of
+   nodes that the pivot has joined. So no task's memory grows with a cluster.
+
+Sets are exact up to collisions of 64-bit hashes with non-linear steps. No pair is lost and none is listed: the result names each document's
+component, the smallest doc_id reachable by links, null where none of its rows has an id (rows of null id link like others). Null and empty texts have an empty set and are
+linked with nothing; texts of any length are taken whole, a text in memory at a time; repeated rows share a component; an empty table gives an empty result;
+of the input only doc_id (cast to long) and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ from cutline.session import sound_unions
 from . import common
 from .common import written
 from .components import components
-from .hashing import BYTE_VALUES, mixed, span_hashes
+from .hashing import mixed, span_hashes
 
 SHINGLE, THRESHOLD, FANOUT = 3, Fraction(9, 10), 16
 #: Bytes of a key, beyond its bucket, and of a node that candidates are found by (a chance agreement only enlarges a cluster);
@@ -45,8 +50,10 @@ KEY_BYTES, SHORT_BYTES, BUCKET_DOCS, FLUSHED_KEYS = 6, 6, 1000, 500_000
 GROUPED = Fraction(88, 100)
 #: Most common shingles whose rank tasks know; bytes of the table they stand in; elements that a task counts at once.
 MOST_COMMON, CELLS, COUNTED = 8_000_000, 1 << 24, 2_000_000
-#: Elements of a cluster that one task joins; most rows that are broadcast; nodes that a task remembers to have sent.
-BLOCK_ELEMENTS, BROADCAST_ROWS, SEEN = 10_000_000, 300_000, 50_000
+#: Elements of a cluster that one task joins; most rows that are broadcast; nodes that a task remembers to have sent; nodes that one task holds against a pivot.
+BLOCK_ELEMENTS, BROADCAST_ROWS, SEEN, LEAVES = 10_000_000, 300_000, 50_000, 256
+#: Sets whose bounds are computed at once, against so many others.
+TILE, TILED = 64, 4096
 
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -63,7 +70,7 @@ def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarra
     space = _SPACE[joined]
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    words = span_hashes(BYTE_VALUES[_LOWER[joined]], starts, ends)
+    words = span_hashes(_LOWER[joined], starts, ends)
     cuts = np.searchsorted(starts, edges + 1)
     runs = np.zeros(max(0, len(words) - size + 1), _U)
     for j in range(size):
@@ -73,7 +80,10 @@ def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarra
         if b - a >= size:
             out.append(np.unique(runs[a : b - size + 1]))
         elif b > a:
-            out.append(mixed(np.array([int(sum(int(w) * (i + 3) for i, w in enumerate(words[a:b]))) & 0xFFFFFFFFFFFFFFFF], _U), 1000 + int(b - a)))
+            short = np.zeros(1, _U)  # one sequence of fewer words
+            for j in range(a, b):
+                short = mixed(short + words[j], 1000 + int(j - a))
+            out.append(mixed(short, 1000 + size))
         else:
             out.append(np.zeros(0, _U))
     return out
@@ -188,28 +198,43 @@ def sets_of(docs: DataFrame, size: int = SHINGLE, kept: tuple[str, ...] = ("doc_
     return chosen.mapInArrow(run, ", ".join(fields))
 
 
-def _packed(docs: DataFrame, buckets: int, size: int, threshold: Fraction, common: np.ndarray) -> DataFrame:
-    """The keys of all nodes, dealt to buckets: KEY_BYTES of each key, SHORT_BYTES of its node and the node's size, many in a row. A task sends a set once."""
+def _packed(docs: DataFrame, buckets: int, size: int, threshold: Fraction, common: np.ndarray, by_group: bool) -> DataFrame:
+    """The keys of all nodes, dealt to buckets: KEY_BYTES of each key, SHORT_BYTES of its node and the node's size, many in a row. A task sends a set once.
+
+    Of the nodes that have one key in a task, in runs of sizes without too large a step, only a run's ends and the ends of each step on a scale of sizes go on; they stand
+    in for the run, whose other nodes are joined to its first here. Such edges are rows of a bucket below 0.
+    """
     held_common = docs.sparkSession.sparkContext.broadcast(common)  # CELLS bytes at most
-    by_group = grouped(threshold)
+    p, q = threshold.numerator, threshold.denominator
+    scale = 0.9 * np.log(q / p)
+
+    def narrow(values: np.ndarray, width: int) -> np.ndarray:
+        return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
+
+    def flushed(keys: list[np.ndarray], nodes: list[int], sizes: list[int]) -> pa.RecordBatch:
+        times = [len(k) for k in keys]
+        key, node, n = np.concatenate(keys), np.repeat(np.array(nodes, np.int64).view(_U), times), np.repeat(np.array(sizes, np.int64), times)
+        bucket = (key % _U(buckets)).astype(np.int64)
+        order = np.lexsort((node, n, key, bucket))
+        bucket, key, node, n = bucket[order], key[order], node[order], n[order]
+        begin = np.append(True, (key[1:] != key[:-1]) | (n[:-1] * q < n[1:] * p))
+        step = np.floor(np.log(n) / scale)
+        first = begin | np.append(True, step[1:] != step[:-1])
+        kept = first | np.append(first[1:], True)
+        hub = node[np.maximum.accumulate(np.where(begin, np.arange(len(key)), 0))]
+        local = np.concatenate([narrow(hub[~kept], SHORT_BYTES), narrow(node[~kept], SHORT_BYTES)], axis=1)
+        row = np.concatenate([narrow((key // _U(buckets))[kept], KEY_BYTES), narrow(node[kept], SHORT_BYTES), narrow(n[kept].view(_U), 4)], axis=1)
+        bucket = bucket[kept]
+        start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        names, rows = bucket[start].tolist(), [row[a:b].tobytes() for a, b in zip(start, np.append(start[1:], len(bucket)), strict=True)]
+        if len(local):
+            names.append(-1 - int(bucket[0]))
+            rows.append(np.unique(local, axis=0).tobytes())
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(names, pa.int64()), "rows": pa.array(rows, pa.binary())})
 
     def run(batches):
         seen: set[int] = set()
         keys, nodes, sizes, held = [], [], [], 0
-
-        def narrow(values: np.ndarray, width: int) -> np.ndarray:
-            return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
-
-        def flush():
-            times = [len(k) for k in keys]
-            key, node, n = np.concatenate(keys), np.repeat(np.array(nodes, np.int64).view(_U), times), np.repeat(np.array(sizes, np.int64), times)
-            bucket = (key % _U(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            first = np.flatnonzero(np.append(True, np.diff(bucket[order]) > 0))
-            spans = list(zip(first, np.append(first[1:], len(order)), strict=True))
-            row = np.concatenate([narrow((key // _U(buckets))[order], KEY_BYTES), narrow(node[order], SHORT_BYTES), narrow(n[order].view(_U), 4)], axis=1)
-            return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[order][first]), "rows": pa.array([row[a:b].tobytes() for a, b in spans], pa.binary())})
-
         for batch in batches:
             for s in shingle_sets(batch.column("text").to_pylist(), size):
                 node = node_id(s)
@@ -223,10 +248,10 @@ def _packed(docs: DataFrame, buckets: int, size: int, threshold: Fraction, commo
                 sizes.append(len(s))
                 held += len(keys[-1])
             if held > FLUSHED_KEYS:
-                yield flush()
+                yield flushed(keys, nodes, sizes)
                 keys, nodes, sizes, held = [], [], [], 0
         if held:
-            yield flush()
+            yield flushed(keys, nodes, sizes)
 
     return docs.select("text").mapInArrow(run, "bucket long, rows binary")
 
@@ -235,15 +260,18 @@ def _edges(packed: DataFrame, threshold: Fraction) -> DataFrame:
     """Edges (a, b) of shortened nodes: of the nodes with one key, in order of size, each to the first of a run without too large a step. A task holds one bucket at a time."""
     width, p, q = KEY_BYTES + SHORT_BYTES + 4, threshold.numerator, threshold.denominator
 
-    def star(rows: list[bytes]) -> pa.RecordBatch:
-        data = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, width)
+    def wide(data: np.ndarray, a: int, b: int) -> np.ndarray:
+        out = np.zeros((len(data), 8), np.uint8)
+        out[:, : b - a] = data[:, a:b]
+        return out.view("<i8").ravel()
 
-        def wide(a: int, b: int) -> np.ndarray:
-            out = np.zeros((len(data), 8), np.uint8)
-            out[:, : b - a] = data[:, a:b]
-            return out.view("<i8").ravel()
+    def known(rows: bytes) -> pa.RecordBatch:
+        data = np.frombuffer(rows, np.uint8).reshape(-1, 2 * SHORT_BYTES)
+        return pa.RecordBatch.from_pydict({"a": pa.array(wide(data, 0, SHORT_BYTES)), "b": pa.array(wide(data, SHORT_BYTES, 2 * SHORT_BYTES))})
 
-        key, node, n = wide(0, KEY_BYTES), wide(KEY_BYTES, KEY_BYTES + SHORT_BYTES), wide(KEY_BYTES + SHORT_BYTES, width)
+    def star(rows: list[bytes]) -> pa.RecordBatch:
+        data = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, width)
+        key, node, n = wide(data, 0, KEY_BYTES), wide(data, KEY_BYTES, KEY_BYTES + SHORT_BYTES), wide(data, KEY_BYTES + SHORT_BYTES, width)
         order = np.lexsort((node, n, key))
         key, node, n = key[order], node[order], n[order]
         begin = np.append(True, (key[1:] != key[:-1]) | (n[:-1] * q < n[1:] * p))
@@ -255,6 +283,9 @@ def _edges(packed: DataFrame, threshold: Fraction) -> DataFrame:
         bucket, rows = None, []
         for batch in batches:
             for b, r in zip(batch.column("bucket").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                if b < 0:
+                    yield known(r)
+                    continue
                 if b != bucket and rows:
                     yield star(rows)
                     rows = []
@@ -283,19 +314,38 @@ class CountTree:
         """Tiles of equal numbers by size, then by the leading groups."""
         return np.lexsort((*counts.T[:4], sizes))
 
-    def partners(self, i: int, threshold: Fraction) -> np.ndarray:
-        """Entries after i whose bound lets them be linked with i."""
-        x, n, p, q = self.counts[i], int(self.sizes[i]), threshold.numerator, threshold.denominator
+    def partners(self, tile: np.ndarray, threshold: Fraction) -> np.ndarray:
+        """Entries from the tile's first on whose bound lets them be linked with one of the tile (places in a row, sorted)."""
+        p, q = threshold.numerator, threshold.denominator
+        top, least = self.counts[tile].max(0), int(self.sizes[tile].min())
+        fits = lambda high, low: (p + q) * np.minimum(high, top).sum(1, dtype=np.int64) >= p * (least + low)
         at = None
         for high, low in reversed(self.levels):
             at = np.arange(len(high)) if at is None else at[at < len(high)]
-            bound = np.minimum(high[at], x).sum(1)
-            at = at[(p + q) * bound >= p * (n + low[at])]
+            at = at[fits(high[at], low[at])]
             at = (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
         at = np.arange(len(self.sizes)) if at is None else at
-        at = at[(at > i) & (at < len(self.sizes))]
-        bound = np.minimum(self.counts[at], x).sum(1)
-        return at[(p + q) * bound >= p * (n + self.sizes[at])]
+        at = at[(at >= tile[0]) & (at < len(self.sizes))]
+        return at[fits(self.counts[at], self.sizes[at])]
+
+    def pairs(self, threshold: Fraction, apart=None):
+        """(i, j) arrays of entries, i before j, whose bound lets them be linked; apart(i, j) tells which pairs are still wanted."""
+        p, q = threshold.numerator, threshold.denominator
+        for begin in range(0, len(self.sizes), TILE):
+            tile = np.arange(begin, min(begin + TILE, len(self.sizes)))
+            near = self.partners(tile, threshold)
+            for cut in range(0, len(near), TILED):
+                at = near[cut : cut + TILED]
+                bound = np.zeros((len(tile), len(at)), np.int64)
+                for c in range(self.counts.shape[1]):
+                    bound += np.minimum(self.counts[tile, c][:, None], self.counts[at, c])
+                i, j = np.nonzero(((p + q) * bound >= p * (self.sizes[tile][:, None] + self.sizes[at])) & (tile[:, None] < at))
+                i, j = tile[i], at[j]
+                if apart is not None:
+                    wanted = apart(i, j)
+                    i, j = i[wanted], j[wanted]
+                if len(i):
+                    yield i, j
 
 
 def dimensions(n: int, threshold: Fraction) -> int:
@@ -307,49 +357,158 @@ def dimensions(n: int, threshold: Fraction) -> int:
     return 1 << min(10, max(5, int(12.5 * r * r * n).bit_length()))
 
 
-def linked_groups(sets: list[np.ndarray], threshold: Fraction = THRESHOLD, side: np.ndarray | None = None) -> np.ndarray:
-    """A number for each set, equal where links connect sets; with side, only pairs of different sides are looked at."""
+class Groups:
+    """Disjoint sets of 0 to n - 1."""
+
+    def __init__(self, n: int):
+        self.above = list(range(n))
+
+    def find(self, i: int) -> int:
+        above = self.above
+        while above[i] != i:
+            above[i] = above[above[i]]
+            i = above[i]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        self.above[self.find(j)] = self.find(i)
+
+    def labels(self) -> np.ndarray:
+        label = np.array(self.above, np.int64)
+        while (label[label] != label).any():
+            label = label[label]
+        return label
+
+
+def prefix_cells(sets: list[np.ndarray], threshold: Fraction) -> np.ndarray:
+    """A number for each set, different where no chain of shared prefix elements connects two sets: prefixes in the order of how many of these sets have an element."""
     sizes = np.array([len(s) for s in sets])
-    k = dimensions(int(np.median(sizes)), threshold)
-    counts = np.stack([np.bincount((s % _U(k)).astype(np.int64), minlength=k) for s in sets]).astype(np.int32)
-    order = CountTree.order(counts, sizes)
-    tree = CountTree(counts[order], sizes[order])
-    group, p, q = np.arange(len(sets)), threshold.numerator, threshold.denominator
-    for i, own in enumerate(order):
-        near = tree.partners(i, threshold)
-        if side is not None:
-            near = near[side[order[near]] != side[own]]
-        near = near[group[near] != group[i]]
-        while len(near):
-            j, near = near[0], near[1:]
-            a, b = sets[own], sets[order[j]]
-            place = np.searchsorted(b, a)
-            both = int((b[np.minimum(place, len(b) - 1)] == a).sum())
-            if (p + q) * both >= p * (len(a) + len(b)):
-                group[group == group[j]] = group[i]
-                near = near[group[near] != group[i]]
-    out = np.empty(len(sets), np.int64)
-    out[order] = group
-    return out
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    element, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    order = np.lexsort((element, count[element], owner))
+    place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    needed = -(-sizes * threshold.numerator // threshold.denominator)
+    first = order[place < np.repeat(sizes - needed + 1, sizes)]
+    shared = first[count[element[first]] > 1]
+    by_element = shared[np.argsort(element[shared], kind="stable")]
+    token, node = element[by_element], owner[by_element]
+    if not len(token):
+        return np.arange(len(sets))
+    begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    length = np.diff(np.append(begin, len(token)))
+    label = np.arange(len(sets))
+    while True:
+        least = np.repeat(np.minimum.reduceat(label[node], begin), length)
+        new = label.copy()
+        np.minimum.at(new, node, least)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
+
+
+def alike(a: np.ndarray, b: np.ndarray, threshold: Fraction) -> bool:
+    """Are two sorted sets linked?"""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if len(small) * threshold.denominator < len(large) * threshold.numerator:
+        return False
+    place = np.searchsorted(large, small)
+    both = int((large[np.minimum(place, len(large) - 1)] == small).sum())
+    return (threshold.numerator + threshold.denominator) * both >= threshold.numerator * (len(a) + len(b))
+
+
+def linked_groups(sets: list[np.ndarray], threshold: Fraction = THRESHOLD, side: np.ndarray | None = None, joined: np.ndarray | None = None) -> np.ndarray:
+    """A number for each set, equal where links connect sets; with side, only pairs of different sides are looked at; sets flagged joined are known to be connected."""
+    groups = Groups(len(sets))
+    for i in np.flatnonzero(joined).tolist() if joined is not None else ():
+        groups.join(int(np.flatnonzero(joined)[0]), i)
+    cells = prefix_cells(sets, threshold)
+    by_cell = np.argsort(cells, kind="stable")
+    for own in np.split(by_cell, np.flatnonzero(np.diff(cells[by_cell])) + 1):
+        if len(own) < 2:
+            continue
+        sizes = np.array([len(sets[i]) for i in own])
+        k = dimensions(int(np.median(sizes)), threshold)
+        counts = np.stack([np.bincount((sets[i] % _U(k)).astype(np.int64), minlength=k) for i in own]).astype(np.int32)
+        order = CountTree.order(counts, sizes)
+        own = own[order]
+
+        def apart(i: np.ndarray, j: np.ndarray, own=own) -> np.ndarray:
+            label = groups.labels()
+            wanted = label[own[i]] != label[own[j]]
+            return wanted if side is None else wanted & (side[own[i]] != side[own[j]])
+
+        for i, j in CountTree(counts[order], sizes[order]).pairs(threshold, apart):
+            for a, b in zip(own[i].tolist(), own[j].tolist(), strict=True):
+                if groups.find(a) != groups.find(b) and alike(sets[a], sets[b], threshold):
+                    groups.join(a, b)
+    return groups.labels()
 
 
-def _stars(clusters: DataFrame, size: int, threshold: Fraction) -> DataFrame:
-    """Stars (a, b) around the smallest node of each linked group in a pair of blocks. Texts travel compressed, a third of what their sets take."""
+_TEXTS = "cluster long, node long, packed binary"
 
-    def pack(batches):
+
+def _compressed(texts: DataFrame) -> DataFrame:
+    """(cluster, node, packed) of texts: compressed they take a third of what their sets do."""
+
+    def run(batches):
         for batch in batches:
             small = [zlib.compress((t or "").encode("utf-8", "replace"), 1) for t in batch.column("text").to_pylist()]
-            kept = {c: batch.column(c) for c in ("cluster", "node", "blocks", "block")}
-            yield pa.RecordBatch.from_pydict(kept | {"packed": pa.array(small, pa.binary())})
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("cluster", "node")} | {"packed": pa.array(small, pa.binary())})
+
+    return texts.select("cluster", "node", "text").mapInArrow(run, _TEXTS)
+
+
+def _set_of(packed: bytes, node: int, size: int) -> np.ndarray | None:
+    """The node's set; None where the text is another's, as an id may stand on several texts."""
+    s = shingle_sets([zlib.decompress(packed).decode()], size)[0]
+    return s if node_id(s) == node else None
+
+
+_EDGES = "a long, b long"
+
+
+def _pairs_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": pa.array(np.asarray(a, np.int64)), "b": pa.array(np.asarray(b, np.int64))})
+
+
+def _pivot_links(texts: DataFrame, pivots: DataFrame, size: int, threshold: Fraction) -> DataFrame:
+    """(a, b): nodes b linked with a, their cluster's pivot. The pivot's text goes to each part of its cluster; a task holds one text beside it."""
+
+    def run(batches):
+        key, pivot, hub = None, None, 0
+        for batch in batches:
+            a, b = [], []
+            for cluster, part, node, leaf, packed in zip(*(batch.column(c).to_pylist() for c in ("cluster", "part", "node", "leaf", "packed")), strict=True):
+                if (cluster, part) != key:
+                    key, pivot = (cluster, part), None
+                if leaf and pivot is None:
+                    continue
+                found = _set_of(packed, node, size)
+                if not leaf:
+                    pivot, hub = (found, node) if found is not None else (pivot, hub)
+                elif found is not None and alike(pivot, found, threshold):
+                    a.append(hub)
+                    b.append(node)
+            yield _pairs_batch(a, b)
+
+    own = F.pmod(F.hash("node"), F.col("parts"))
+    placed = texts.join(pivots, "cluster").withColumn("leaf", F.col("node") != F.col("pivot"))
+    dealt = placed.withColumn("part", F.explode(F.when(F.col("leaf"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    return dealt.select("cluster", "part", "node", "leaf", "packed").repartition("cluster", "part").sortWithinPartitions("cluster", "part", "leaf").mapInArrow(run, _EDGES)
+
+
+def _stars(texts: DataFrame, dealt: DataFrame, size: int, threshold: Fraction) -> DataFrame:
+    """Stars (a, b) around the smallest node of each linked group in a pair of blocks."""
 
     def stars(key, rows):
-        sets = [shingle_sets([zlib.decompress(r[2]).decode()], size)[0] for r in rows]
-        own = [i for i, r in enumerate(rows) if node_id(sets[i]) == r[0]]  # an id may stand on several texts
+        sets = [_set_of(r[3], r[0], size) for r in rows]
+        own = [i for i, s in enumerate(sets) if s is not None]
         if len(own) < 2:
             return np.zeros((2, 0), np.int64)
         nodes = np.array([rows[i][0] for i in own], np.int64)
         side = None if key[1] == key[2] else np.array([rows[i][1] for i in own])
-        group = linked_groups([sets[i] for i in own], threshold, side)
+        group = linked_groups([sets[i] for i in own], threshold, side, np.array([rows[i][2] for i in own]))
         order = np.lexsort((nodes, group))
         first = np.append(True, group[order][1:] != group[order][:-1])
         hub = nodes[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
@@ -358,24 +517,20 @@ def _stars(clusters: DataFrame, size: int, threshold: Fraction) -> DataFrame:
     def link(batches):
         key, rows = None, []
         for batch in batches:
-            out = [np.zeros((2, 0), np.int64)]
-            columns = [batch.column(c).to_pylist() for c in ("cluster", "p", "q", "node", "block", "packed")]
-            for cluster, p, q, node, block, packed in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("cluster", "p", "q", "node", "block", "joined", "packed")]
+            for cluster, p, q, *row in zip(*columns, strict=True):
                 if (cluster, p, q) != key:
                     if len(rows) > 1:
-                        out.append(stars(key, rows))
+                        yield _pairs_batch(*stars(key, rows))
                     key, rows = (cluster, p, q), []
-                rows.append((node, block, packed))
-            a, b = np.concatenate(out, axis=1)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
+                if not rows or row[0] != rows[-1][0] or row[3] != rows[-1][3]:
+                    rows.append(row)
         if len(rows) > 1:
-            a, b = stars(key, rows)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
+            yield _pairs_batch(*stars(key, rows))
 
-    texts = clusters.mapInArrow(pack, "cluster long, node long, blocks int, block int, packed binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = texts.withColumn("other", other).withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
-    return dealt.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "node").mapInArrow(link, "a long, b long")
+    placed = texts.join(dealt.drop("cluster"), "node").withColumn("other", F.explode("others"))
+    pairs = placed.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other"))
+    return pairs.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "node").mapInArrow(link, _EDGES)
 
 
 def _texts_of(base: DataFrame, named: DataFrame, few: bool, size: int) -> DataFrame:
@@ -388,31 +543,60 @@ def _texts_of(base: DataFrame, named: DataFrame, few: bool, size: int) -> DataFr
     return by_id.unionByName(by_node.select(*by_id.columns))
 
 
+def _clustered(base: DataFrame, nodes: DataFrame, size: int, threshold: Fraction, by_group: bool, tag: str) -> DataFrame:
+    """(node, n, rep, degree, cluster) of the nodes that share a key with another one of base; degree: edges that it is the hub of."""
+    buckets = 1 << max(6, (nodes.count() // BUCKET_DOCS).bit_length())
+    common = np.zeros(0, np.uint8) if by_group else common_shingles(base, size)
+    edges = written(_edges(_packed(base, buckets, size, threshold, common, by_group), threshold), f"{tag}-edges")
+    degrees = edges.groupBy(F.col("a").alias("short")).agg(F.count(F.lit(1)).alias("degree"))
+    clusters = components(edges, tag).select(F.col("node").alias("short"), F.col("component").alias("cluster")).join(degrees, "short", "left").fillna(0, ["degree"])
+    shortened = nodes.withColumn("short", F.col("node").bitwiseAND(F.lit((1 << 8 * SHORT_BYTES) - 1)))
+    return written(shortened.join(clusters, "short").drop("short"), f"{tag}-members")
+
+
+def _linked(base: DataFrame, nodes: DataFrame, size: int, threshold: Fraction, block_elements: int) -> DataFrame:
+    """(node, component): every node that has a link, and the smallest node reachable."""
+    found = _clustered(base, nodes, size, threshold, grouped(threshold), "clusters")
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.select(F.col("rep").alias("doc_id"), "cluster", "node")
+
+    sums = found.groupBy("cluster").agg(F.sum("n").alias("elements"), F.count(F.lit(1)).alias("members"), F.max_by("node", F.struct("degree", "node")).alias("pivot"))
+    count, most = sums.agg(F.sum("members"), F.max("elements")).first()
+    if grouped(threshold) and (most or 0) > block_elements:  # take apart what only parts of sets hold together
+        large = written(found.join(sums.filter(F.col("elements") > block_elements).select("cluster"), "cluster", "left_semi"), "large")
+        again = _clustered(_texts_of(base, named(large), False, size), large.select("node", "n", "rep"), size, threshold, False, "apart")
+        found = written(found.join(large.select("node"), "node", "left_anti").unionByName(again), "members")
+        sums = found.groupBy("cluster").agg(F.sum("n").alias("elements"), F.count(F.lit(1)).alias("members"), F.max_by("node", F.struct("degree", "node")).alias("pivot"))
+    texts = written(_compressed(_texts_of(base, named(found), (count or 0) <= BROADCAST_ROWS, size)), "texts")
+    pivots = sums.select("cluster", "pivot", F.ceil(F.col("members") / LEAVES).cast("int").alias("parts"))
+    to_pivot = written(_pivot_links(texts, pivots, size, threshold).distinct(), "pivots")
+
+    joined = to_pivot.select(F.col("b").alias("node")).unionByName(to_pivot.select(F.col("a").alias("node"))).distinct().withColumn("joined", F.lit(True))
+    marked = found.join(joined, "node", "left").fillna(False, ["joined"])
+    part = lambda flag: F.coalesce(F.sum(F.when(F.col("joined") == flag, F.col("n"))), F.lit(0))
+    rest = marked.groupBy("cluster").agg(part(False).alias("rest"), part(True).alias("group")).filter("rest > 0")
+    whole = F.col("rest") + F.col("group") <= block_elements
+    blocks = lambda c: F.ceil(2 * F.col(c) / block_elements).cast("int")
+    shares = rest.select("cluster", F.when(whole, 1).otherwise(blocks("rest")).alias("k"), F.when(whole, 0).otherwise(blocks("group")).alias("m"))
+    place = F.when(F.col("joined") & (F.col("m") > 0), F.col("k") + F.pmod(F.hash("node"), F.greatest("m", F.lit(1)))).otherwise(F.pmod(F.hash("node"), F.col("k")))
+    others = F.sequence(F.lit(0), F.when(F.col("joined") & (F.col("m") > 0), F.col("k") - 1).otherwise(F.col("k") + F.col("m") - 1))
+    dealt = written(marked.join(shares, "cluster").select("cluster", "node", "joined", "k", "m", place.alias("block"), others.alias("others")), "dealt")
+    stars = written(_stars(texts, dealt.select("cluster", "node", "joined", "block", "others"), size, threshold).distinct(), "links")
+    if not dealt.filter("k + m > 1").isEmpty():
+        return components(to_pivot.unionByName(stars), "links")
+    closed = to_pivot.join(dealt.select(F.col("node").alias("a")), "a", "left_anti").unionByName(stars)  # whole stars: an open cluster's hold its pivot's links
+    hubs = closed.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("component"))
+    return closed.join(hubs, "a").select(F.col("b").alias("node"), "component").unionByName(hubs.select(F.col("a").alias("node"), "component"))
+
+
 def _classified(docs: DataFrame, size: int, threshold: Fraction, block_elements: int, kept: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(kept columns, n, class, component_id) of every row of docs: class is the smallest node reachable, null for an empty set."""
     base = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select(*kept, "text")
     sound_unions(docs.sparkSession)
     sets = written(sets_of(base, size, kept), "sets")
     nodes = sets.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("rep"))
-    buckets = 1 << max(6, (sets.count() // BUCKET_DOCS).bit_length())
-    common = np.zeros(0, np.uint8) if grouped(threshold) else common_shingles(base, size)
-    clusters = components(_edges(_packed(base, buckets, size, threshold, common), threshold), "clusters").select(F.col("node").alias("short"), F.col("component").alias("cluster"))
-
-    shortened = nodes.withColumn("short", F.col("node").bitwiseAND(F.lit((1 << 8 * SHORT_BYTES) - 1)))
-    found = written(shortened.join(clusters, "short").drop("short"), "members")
-    weights = found.groupBy("cluster").agg(F.sum("n").alias("elements"))
-    blocks = F.when(F.col("elements") <= block_elements, 1).otherwise(F.ceil(2 * F.col("elements") / block_elements)).cast("int")
-    members = found.join(weights.select("cluster", blocks.alias("blocks")), "cluster").withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
-    count, most = members.agg(F.count(F.lit(1)), F.max("blocks")).first()
-    named = members.select(F.col("rep").alias("doc_id"), "cluster", "node", "blocks", "block")
-    stars = _stars(_texts_of(base, named, count <= BROADCAST_ROWS, size), size, threshold)
-    if (most or 1) > 1:
-        linked = components(stars, "links")
-    else:
-        stars = written(stars.distinct(), "links")
-        linked = stars.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(stars.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
-
-    known = linked.join(found.select("node", "rep"), "node")
+    known = _linked(base, nodes, size, threshold, block_elements).join(nodes.select("node", "rep"), "node")
     smallest = known.groupBy("component").agg(F.min("rep").alias("smallest"))
     joined = known.join(smallest, "component").select("node", "component", "smallest")
     classes = nodes.join(joined, "node", "left").select("node", "n", F.coalesce("component", "node").alias("class"), F.coalesce("smallest", "rep").alias("component_id"))

@@ -31,7 +31,7 @@ from cutline.session import sound_unions
 
 from . import common
 from .common import written
-from .hashing import BYTE_VALUES, mixed, span_hashes
+from .hashing import BYTE_VALUES, mixed, run_hashes
 
 LENGTH, GRAM, Q = 200, 32, 8
 #: Different stretches of a name up to which one task refines them; bytes that are refined, or scanned, at once; texts that a
@@ -86,7 +86,7 @@ def stretches(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tup
     value, n = np.unique(pair, return_counts=True)
     often = value[n > 1]
     twice = np.isin(mixed(name ^ mixed(own.astype(_U), 21), 22), often)
-    return own, first - edges[own], last - first + 1, name.view(np.int64), span_hashes(grams, first, last + width).view(np.int64), twice
+    return own, first - edges[own], last - first + 1, name.view(np.int64), run_hashes(data, first, last + length).view(np.int64), twice
 
 
 def _numbered(values: np.ndarray) -> np.ndarray:
@@ -235,11 +235,11 @@ def _counted(pieces: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for name, whole, piece in zip(*(batch.column(c).to_pylist() for c in ("name", "whole", "piece")), strict=True):
-                data = BYTE_VALUES[np.frombuffer(piece, np.uint8)]
+                data = np.frombuffer(piece, np.uint8)
                 at = np.arange(len(data) - length + 1)
                 k = len(at)
                 yield pa.RecordBatch.from_pydict(
-                    {"name": pa.array(np.full(k, name)), "whole": pa.array(np.full(k, whole)), "at": pa.array(at.astype(np.int32)), "window": pa.array(span_hashes(data, at, at + length).view(np.int64))}
+                    {"name": pa.array(np.full(k, name)), "whole": pa.array(np.full(k, whole)), "at": pa.array(at.astype(np.int32)), "window": pa.array(run_hashes(data, at, at + length).view(np.int64))}
                 )
 
     windows = pieces.dropDuplicates(["name", "whole"]).mapInArrow(run, "name long, whole long, at int, window long")

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cutline.llm import bpe, components, fingerprints, jaccard, language, licences, media, mixing, quality, queries, repeats, secrets
+from cutline.llm import bpe, components, fingerprints, hashing, jaccard, language, licences, media, mixing, quality, queries, repeats, secrets
 
 from ..oracle import assert_same, connect
 from .data import PROSE, awkward, empty
@@ -428,12 +428,58 @@ def test_tree_bounds_drop_no_partner():
     order = jaccard.CountTree.order(counts, sizes)
     tree = jaccard.CountTree(counts[order], sizes[order])
     for t in (Fraction(1, 2), Fraction(9, 10)):
+        near = {(a, b) for i, j in tree.pairs(t) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
         for i in range(len(sets)):
-            near = set(tree.partners(i, t).tolist())
             for j in range(i + 1, len(sets)):
                 both = len(np.intersect1d(sets[order[i]], sets[order[j]]))
                 if both >= t * (len(sets[order[i]]) + len(sets[order[j]]) - both):
-                    assert j in near
+                    assert (i, j) in near
+
+
+def test_words_that_cancel_out_in_sums_differ(spark):
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    rows = [(1, thue), (2, other), (3, f"{thue} b c"), (4, f"{other} b c"), (5, f"a {thue[:200]}"), (6, f"a {other[:200]}")]
+    got = {r.doc_id: r.component_id for r in jaccard.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(1, 7)}
+    data = np.frombuffer((thue + other).encode(), np.uint8)
+    assert len(set(hashing.run_hashes(data, np.array([0, 1024]), np.array([1024, 2048])).tolist())) == 2
+
+
+def test_run_hashes_are_sums_modulo_a_prime(monkeypatch):
+    rng = np.random.default_rng(4)
+    data = rng.integers(0, 256, 3000).astype(np.uint8)
+    starts = rng.integers(0, 2900, 60)
+    ends = starts + rng.integers(0, 100, 60)
+    want = [sum((int(x) + 1) * pow(hashing.BASE, k, hashing.PRIME) for k, x in enumerate(data[a:b])) % hashing.PRIME for a, b in zip(starts, ends, strict=True)]
+    for stride in (hashing.STRIDE, 7):
+        monkeypatch.setattr(hashing, "STRIDE", stride)
+        assert hashing.run_hashes(data, starts, ends).tolist() == want
+
+
+def test_templated_sets_fall_apart():
+    rng = np.random.default_rng(1)
+    shared = rng.integers(0, 1 << 62, 40).astype(np.uint64)
+    sets = [np.unique(np.concatenate([shared, rng.integers(0, 1 << 62, 20).astype(np.uint64)])) for _ in range(4000)]
+    assert len(set(jaccard.prefix_cells(sets, Fraction(9, 10)).tolist())) == len(set(jaccard.linked_groups(sets).tolist())) == 4000
+
+
+def test_joins_with_keys_combined_in_tasks(spark, monkeypatch):
+    """A group of near copies of many sizes, pages of one template, and blocks small enough for every path."""
+    rng = random.Random(17)
+    words = [f"w{i}" for i in range(4000)]
+    base, frame = rng.choices(words, k=200), rng.choices(words, k=60)
+    texts = [" ".join(base[: 200 - k % 12] + ([rng.choice(words)] if k % 3 else [])) for k in range(120)]
+    texts += [" ".join(frame + rng.choices(words, k=25)) for _ in range(80)] + [" ".join(base[:150])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(str.split, texts)]
+    group = brute_components(sets, Fraction(9, 10))
+    least = {g: min(i for i in range(len(texts)) if group[i] == g) for g in set(group)}
+    for block, flushed in ((jaccard.BLOCK_ELEMENTS, 500), (3000, 200)):
+        monkeypatch.setattr(jaccard, "LEAVES", 16)
+        monkeypatch.setattr(jaccard, "FLUSHED_KEYS", flushed)
+        got = {r.doc_id: r.component_id for r in jaccard.near_classes(df, 3, Fraction(9, 10), block).collect()}
+        assert got == {i: least[group[i]] for i in range(len(texts))}
 
 
 def test_components(spark):
