@@ -561,13 +561,17 @@ def _linked(base: DataFrame, nodes: DataFrame, size: int, threshold: Fraction, b
     def named(df: DataFrame) -> DataFrame:
         return df.select(F.col("rep").alias("doc_id"), "cluster", "node")
 
-    sums = found.groupBy("cluster").agg(F.sum("n").alias("elements"), F.count(F.lit(1)).alias("members"), F.max_by("node", F.struct("degree", "node")).alias("pivot"))
+    def summed(df: DataFrame) -> DataFrame:
+        # written, as a join with an aggregate of its own rows would meet a large cluster in one task
+        return written(df.groupBy("cluster").agg(F.sum("n").alias("elements"), F.count(F.lit(1)).alias("members"), F.max_by("node", F.struct("degree", "node")).alias("pivot")), "sums")
+
+    sums = summed(found)
     count, most = sums.agg(F.sum("members"), F.max("elements")).first()
     if grouped(threshold) and (most or 0) > block_elements:  # take apart what only parts of sets hold together
         large = written(found.join(sums.filter(F.col("elements") > block_elements).select("cluster"), "cluster", "left_semi"), "large")
         again = _clustered(_texts_of(base, named(large), False, size), large.select("node", "n", "rep"), size, threshold, False, "apart")
         found = written(found.join(large.select("node"), "node", "left_anti").unionByName(again), "members")
-        sums = found.groupBy("cluster").agg(F.sum("n").alias("elements"), F.count(F.lit(1)).alias("members"), F.max_by("node", F.struct("degree", "node")).alias("pivot"))
+        sums = summed(found)
     texts = written(_compressed(_texts_of(base, named(found), (count or 0) <= BROADCAST_ROWS, size)), "texts")
     pivots = sums.select("cluster", "pivot", F.ceil(F.col("members") / LEAVES).cast("int").alias("parts"))
     to_pivot = written(_pivot_links(texts, pivots, size, threshold).distinct(), "pivots")
@@ -581,7 +585,7 @@ def _linked(base: DataFrame, nodes: DataFrame, size: int, threshold: Fraction, b
     shares = rest.select("cluster", F.when(whole, 1).otherwise(blocks("rest")).alias("k"), F.when(whole, 0).otherwise(blocks("group")).alias("m"))
     place = F.when(F.col("joined") & (F.col("m") > 0), F.col("k") + F.pmod(F.hash("node"), F.greatest("m", F.lit(1)))).otherwise(F.pmod(F.hash("node"), F.col("k")))
     others = F.sequence(F.lit(0), F.when(F.col("joined") & (F.col("m") > 0), F.col("k") - 1).otherwise(F.col("k") + F.col("m") - 1))
-    dealt = written(marked.join(shares, "cluster").select("cluster", "node", "joined", "k", "m", place.alias("block"), others.alias("others")), "dealt")
+    dealt = written(marked.join(written(shares, "shares"), "cluster").select("cluster", "node", "joined", "k", "m", place.alias("block"), others.alias("others")), "dealt")
     stars = written(_stars(texts, dealt.select("cluster", "node", "joined", "block", "others"), size, threshold).distinct(), "links")
     if not dealt.filter("k + m > 1").isEmpty():
         return components(to_pivot.unionByName(stars), "links")
@@ -597,7 +601,8 @@ def _classified(docs: DataFrame, size: int, threshold: Fraction, block_elements:
     sets = written(sets_of(base, size, kept), "sets")
     nodes = sets.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("rep"))
     known = _linked(base, nodes, size, threshold, block_elements).join(nodes.select("node", "rep"), "node")
-    smallest = known.groupBy("component").agg(F.min("rep").alias("smallest"))
+    known = written(known, "known")
+    smallest = written(known.groupBy("component").agg(F.min("rep").alias("smallest")), "smallest")
     joined = known.join(smallest, "component").select("node", "component", "smallest")
     classes = nodes.join(joined, "node", "left").select("node", "n", F.coalesce("component", "node").alias("class"), F.coalesce("smallest", "rep").alias("component_id"))
     linked_docs = sets.filter("n > 0").join(classes, ["node", "n"]).select(*kept, "n", "class", "component_id")
