@@ -26,6 +26,18 @@ def families(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FAMILIES, "family string, min_default int, max_default int, scale double, step double")
 
 
+def with_default_range(policies: DataFrame, known: DataFrame, family: str = "family") -> DataFrame:
+    """policies with ``min_q`` and ``max_q`` of their family where they have none of their own, and the family's ``step``; a policy of no known family keeps its nulls.
+
+    known: ``families``, six rows, which are broadcast.
+    """
+    defaults = F.broadcast(known.select(F.col("family").alias("_family"), "min_default", "max_default", F.col("step").alias("_step")))
+    joined = policies.drop("step").join(defaults, F.col(family) == F.col("_family"), "left")
+    whole = F.col("min_q").isNull() | F.col("max_q").isNull()  # a range is given as a whole
+    filled = joined.withColumn("_min", F.when(whole, F.col("min_default")).otherwise(F.col("min_q"))).withColumn("_max", F.when(whole, F.col("max_default")).otherwise(F.col("max_q")))
+    return filled.drop("min_q", "max_q", "_family", "min_default", "max_default").withColumnsRenamed({"_min": "min_q", "_max": "max_q", "_step": "step"})
+
+
 def scale_position(setting: Column, scale: Column) -> Column:
     """Place of a setting, cut to a whole number, on its family's scale: 0 to 1."""
     return F.least(F.greatest(setting.cast("int") / scale, F.lit(0.0)), F.lit(1.0))

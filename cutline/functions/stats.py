@@ -31,8 +31,8 @@ def mean(x: Column) -> Column:
 
 
 def harmonic_mean(x: Column) -> Column:
-    """n over the sum of reciprocals; 0 as soon as one score is 0."""
-    return F.count(x) / F.sum(F.when(x == 0, F.lit(INF)).otherwise(F.try_divide(F.lit(1.0), x)))
+    """n over the sum of reciprocals; 0 as soon as one score is 0, null where the reciprocals cancel out."""
+    return F.try_divide(F.count(x).cast("double"), F.sum(F.when(x == 0, F.lit(INF)).otherwise(F.try_divide(F.lit(1.0), x))))
 
 
 def median(x: Column) -> Column:

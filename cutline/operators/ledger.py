@@ -14,6 +14,18 @@ def increments(progress: DataFrame, keys: Sequence[str], order: Sequence[str], d
     return progress.withColumn("increment", F.greatest(F.coalesce(F.col(done), F.lit(0)) - F.coalesce(best, F.lit(0)), F.lit(0)))
 
 
+def net_progress(progress: DataFrame, keys: Sequence[str], order: Sequence[str], failed: Column, done: str = "done") -> DataFrame:
+    """progress with ``net``: elements finished so far over a unit's attempts. A failure takes back what its attempt had reported, and the next attempt counts from nothing; never below 0.
+
+    failed: does this row report the failure of the attempt it stands in? Its own count is not read.
+    """
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    tried = progress.withColumn("_failed", F.coalesce(failed, F.lit(False))).withColumn("_attempt", F.coalesce(F.sum(F.col("_failed").cast("long")).over(before), F.lit(0)))
+    own = Window.partitionBy(*keys, "_attempt").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    best = F.coalesce(F.max(F.when(~F.col("_failed"), F.col(done))).over(own), F.lit(0))
+    return tried.withColumn("net", F.greatest(F.when(F.col("_failed"), F.lit(0)).otherwise(best), F.lit(0))).drop("_failed", "_attempt")
+
+
 def totals(ledger: DataFrame, keys: Sequence[str]) -> DataFrame:
     """done_elements, done_bytes, done_units of each series."""
     return ledger.groupBy(*keys).agg(F.sum("n_elements").alias("done_elements"), F.sum("size_bytes").alias("done_bytes"), F.count(F.lit(1)).alias("done_units"))
@@ -77,7 +89,7 @@ def attempts(tries: DataFrame, keys: Sequence[str], ok: Column, most: int) -> Da
 def work_order(units: DataFrame, length: Column, index: str, how: str = "long-to-short", seed: int = 0) -> list[Column]:
     """Sort columns: long-to-short, short-to-long, sequential, or random, which is the same for the same seed."""
     i = F.col(index)
-    return {"long-to-short": [length.desc(), i.asc()], "short-to-long": [length.asc(), i.asc()], "sequential": [i.asc()], "random": [F.xxhash64(i, F.lit(seed)).asc(), i.asc()]}[how]
+    return {"long-to-short": [length.desc(), i.asc()], "short-to-long": [length.asc(), i.asc()], "sequential": [i.asc()], "random": [F.md5(F.concat(F.lit(f"{seed}:"), i.cast("string"))).asc(), i.asc()]}[how]
 
 
 def stem_number(name: Column) -> Column:

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutline.functions import curves
-from cutline.staging import staged
 
 
 def recommend_next(measurements: DataFrame, policies: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -26,58 +25,55 @@ def recommend_next(measurements: DataFrame, policies: DataFrame, keys: Sequence[
     return joined.withColumn("next_setting", chosen).drop("_p")
 
 
-def nearest(curve: DataFrame, wanted: DataFrame, keys: Sequence[str], setting: str = "_wanted") -> DataFrame:
-    """wanted with ``measured`` and ``score`` of the curve's nearest setting (the lower of two as near)."""
-    keys = list(keys)
-    both = wanted.join(curve.select(*keys, F.col("setting").alias("_s"), F.col("score").alias("_y")), keys)
-    best = F.min(F.struct(F.abs(F.col("_s") - F.col(setting)).alias("d"), F.col("_s").alias("s"), F.col("_y").alias("y"))).alias("_n")
-    others = [c for c in wanted.columns if c not in keys]
-    return both.groupBy(*keys).agg(best, *(F.first(c).alias(c) for c in others)).select(*keys, *others, F.col("_n.s").alias("measured"), F.col("_n.y").alias("score"))
+def nearest(points: Column, wanted: Column) -> Column:
+    """struct<d, setting, score> of the point (of an array of structs setting, score) whose setting is nearest to wanted: the lower of two as near."""
+    return F.array_min(F.transform(points, lambda x: F.struct(F.abs(x["setting"] - wanted).alias("d"), x["setting"].alias("setting"), x["score"].alias("score"))))
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with value computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def search(curve: DataFrame, policies: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Search every group's curve for a setting in the band, all groups in step; settings are those measured nearest to the predicted ones.
+    """Search every group's curve for a setting in the band; settings are those measured nearest to the predicted ones.
 
-    curve: keys, setting, score (more is better, falling in setting). policies: keys, min_q, max_q, low, high (the band), step, probes. A round predicts, looks up the
-    nearest measured setting's score, and moves a limit; finished groups are set aside, so a round costs what is still open. The state is written to the shared
-    folder every round; there are at most as many rounds as the largest number of probes.
-    Returns keys, history (array of setting, score in the order measured), reason. Reasons: within band, limit reached, too high, too low (it ended on a limit
-    with the score beyond the band), none (the setting had been measured before).
+    curve: keys, setting, score (more is better, falling in setting). policies: keys, min_q, max_q, low, high (the band), step, probes. A group's curve is gathered once, an array of as
+    many points as there are settings; its whole search is then one expression in its row, a fold over the rounds: predict, look up the nearest measured setting, move a limit.
+    So the search adds no shuffle, table or action to the plan, whatever the number of probes.
+    Returns keys, history (array of setting, score in the order measured), reason, low, high. Reasons: within band, limit reached, too high, too low (it ended on a limit
+    with the score beyond the band), none (the setting had been measured before). A group without a curve is left out.
     """
     keys = list(keys)
+    double = lambda c: F.col(c).cast("double").alias(c)
+    gathered = curve.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(double("setting"), double("score")))).alias("_curve"))
+    asked = policies.select(*keys, double("min_q"), double("max_q"), double("low"), double("high"), double("step"), F.col("probes").cast("int").alias("probes")).join(gathered, keys)
+    low, high, step, probes = (F.col(c) for c in ("low", "high", "step", "probes"))
     empty = F.array().cast("array<struct<setting:double,score:double>>")
-    state = policies.select(
-        *keys, F.col("min_q").cast("double").alias("_lo"), F.col("max_q").cast("double").alias("_hi"), "low", "high", F.col("step").cast("double").alias("step"),
-        F.col("probes").cast("int").alias("probes"), empty.alias("history"), F.lit(None).cast("string").alias("reason"),
-    )
-    rounds = policies.agg(F.max(F.col("probes").cast("int"))).first()[0] or 0
-    curve, done = staged(curve.select(*keys, "setting", "score"), "curve"), None  # every round looks settings up in it
-    for k in range(rounds + 1):
-        sorted_points = F.array_sort(F.transform("history", lambda h: F.struct(h["score"].alias("score"), h["setting"].alias("setting"))))
-        target = (F.col("low") + F.col("high")) / 2.0
-        predicted = state.withColumn("_points", sorted_points).withColumn("_wanted", curves.recommended(F.col("_points"), F.col("_lo"), F.col("_hi"), target, F.col("step"))).drop("_points")
-        looked_up = nearest(curve, predicted, keys)
-        again = F.exists("history", lambda h: h["setting"] == F.col("measured"))
-        last = F.element_at("history", -1)["score"]
-        ended = F.when(F.size("history") == 0, "none").when(last > F.col("high"), "too high").when(last < F.col("low"), "too low").otherwise("none")
-        score, at, step = F.col("score"), F.col("measured"), F.col("step")
-        inside = score.between(F.col("low"), F.col("high"))
-        longer = F.concat("history", F.array(F.struct(at.alias("setting"), score.alias("score"))))
-        both = looked_up.withColumn("_again", again).select(
-            *keys,
-            F.when(~F.col("_again") & (score > F.col("high")), F.least(at + step, F.col("_hi"))).otherwise(F.col("_lo")).alias("_lo"),
-            F.when(~F.col("_again") & (score < F.col("low")), F.greatest(at - step, F.col("_lo"))).otherwise(F.col("_hi")).alias("_hi"),
-            "low", "high", "step", "probes",
-            F.when(F.col("_again"), F.col("history")).otherwise(longer).alias("history"),
-            F.when(F.col("_again"), ended).when(inside, "within band").when(F.size("history") + 1 >= F.col("probes"), "limit reached").alias("reason"),
-        )
-        both = staged(both, f"search-{k}")
-        over = both.filter("reason is not null").select(*keys, "history", "reason", "low", "high")
-        done = over if done is None else done.unionByName(over)
-        state = both.filter("reason is null")
-        if state.isEmpty():
-            break
-    return done
+    begin = F.struct(F.col("min_q").alias("lo"), F.col("max_q").alias("hi"), empty.alias("history"), F.lit(None).cast("string").alias("reason"))
+
+    def advanced(s: Column, m: Column) -> Column:
+        """The state after measuring m."""
+        at, score, seen = m["setting"], m["score"], s["history"]
+        again = F.exists(seen, lambda h: h["setting"] == at)
+        last = F.element_at(seen, -1)["score"]
+        ended = F.when(F.size(seen) == 0, "none").when(last > high, "too high").when(last < low, "too low").otherwise("none")
+        over = F.when(again, ended).when(score.between(low, high), "within band").when(F.size(seen) + 1 >= probes, "limit reached")
+        return F.struct(
+            F.when(~again & (score > high), F.least(at + step, s["hi"])).otherwise(s["lo"]).alias("lo"),
+            F.when(~again & (score < low), F.greatest(at - step, s["lo"])).otherwise(s["hi"]).alias("hi"),
+            F.when(again, seen).otherwise(F.concat(seen, F.array(F.struct(at.alias("setting"), score.alias("score"))))).alias("history"),
+            over.alias("reason"),
+        )
+
+    def played(s: Column) -> Column:
+        points = F.array_sort(F.transform(s["history"], lambda h: F.struct(h["score"].alias("score"), h["setting"].alias("setting"))))
+        wanted = _let(points, lambda p: curves.recommended(p, s["lo"], s["hi"], (low + high) / 2.0, step))
+        return _let(wanted, lambda w: _let(nearest(F.col("_curve"), w), lambda m: advanced(s, m)))
+
+    rounds = F.sequence(F.lit(0), F.greatest(probes, F.lit(0)))
+    state = F.aggregate(rounds, begin, lambda s, _: F.when(s["reason"].isNotNull(), s).otherwise(played(s)))
+    return asked.withColumn("_s", state).select(*keys, "_s.history", "_s.reason", "low", "high")
 
 
 def final_choice(measurements: DataFrame, policies: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -101,10 +97,19 @@ def reusable(units: DataFrame) -> Column:
     return (F.col("sampling_rate") == 1) & F.col("measured_params").eqNullSafe(F.col("final_params")) & F.col("filter").isNull() & F.col("second_input").isNull()
 
 
-def report(measurements: DataFrame, keys: Sequence[str], metric: Column) -> DataFrame:
-    """A row for each group: its measurements by setting, scores with their own sign."""
-    restored = F.when(metric.isin("butteraugli-inf", "butteraugli-3"), -F.col("score")).otherwise(F.col("score"))
-    return measurements.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("setting", restored.alias("score")))).alias("measured"), F.count(F.lit(1)).alias("n"))
+def report(found: DataFrame, keys: Sequence[str], metric: Column) -> DataFrame:
+    """A row for each group of a search (keys, history, reason, low, high): what was measured, by setting, with the metric's own sign, the number of
+    measurements, the reason, and the final choice: of the settings in the band the greatest, else the one nearest the band's middle, the first of ties.
+    """
+    turned = metric.isin("butteraugli-inf", "butteraugli-3")
+    own = lambda score: F.when(turned, -score).otherwise(score)
+    low, high = F.col("low"), F.col("high")
+    inside = F.filter("history", lambda h: h["score"].between(low, high))
+    away = F.transform("history", lambda h, i: F.struct(F.abs(h["score"] - (low + high) / 2.0).alias("d"), i.alias("i"), h["setting"].alias("setting"), h["score"].alias("score")))
+    best, near = F.array_max(inside), F.array_min(away)
+    final = lambda c: F.coalesce(best[c], near[c])
+    measured = F.array_sort(F.transform("history", lambda h: F.struct(h["setting"].alias("setting"), own(h["score"]).alias("score"))))
+    return found.select(*keys, measured.alias("measured"), F.size("history").alias("n"), "reason", final("setting").alias("final_setting"), own(final("score")).alias("final_score"))
 
 
 def spline_moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:

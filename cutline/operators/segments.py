@@ -2,23 +2,22 @@
 
 Every function takes the columns that name a series as ``keys``. Tables: *cuts* (keys, pos); *info* (keys, n_elements); *segments* (keys, seg_idx, start, end, ...);
 *overrides* (keys, start, end, ...). Positions are whole numbers from 0 and ends are exclusive. What can run as a window over a series does; windows are partitioned by series, so a
-table of many series spreads well, and one very long series is one task's sort.
+table of many series spreads well, and one very long series is one task's sort. The two walks over ordered elements (``spaced``, ``guided_splits``) stream through partitions that
+are sorted by series and position: nothing of a series is gathered but, for a segment that must be split, its own scores.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutline.session import sound_unions
 from cutline.staging import staged
 
-#: Candidates of a series up to which the fold over an array is used; beyond, a grouped Arrow function.
-FOLD_LIMIT = 50_000
-
 
 def _series(keys: Sequence[str], order: str = "start"):
     return Window.partitionBy(*keys).orderBy(order)
@@ -168,39 +167,40 @@ def candidates(costs: DataFrame) -> DataFrame:
     return costs.filter("inter_cost >= threshold")
 
 
-def spaced(cuts: DataFrame, keys: Sequence[str], min_len: str = "min_len", start: str = "scope_start", grouped: bool | None = None) -> DataFrame:
+def _key_fields(df: DataFrame, keys: Sequence[str]) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    return ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+
+
+def _positions(batch: pa.RecordBatch, keys: list[str], rows: list[int], pos: list[int]) -> pa.RecordBatch:
+    """The keys of some rows of a batch, with positions of one's own."""
+    taken = pa.array(rows, pa.int64())
+    return pa.RecordBatch.from_pydict({k: batch.column(k).take(taken) for k in keys} | {"pos": pa.array(pos, pa.int64())})
+
+
+def spaced(cuts: DataFrame, keys: Sequence[str], min_len: str = "min_len", start: str = "scope_start") -> DataFrame:
     """Cuts that are at least min_len after the last accepted one, or after the start of their scope.
 
-    cuts: keys (with the scope), pos, and min_len and start, the same for all cuts of a scope. Reduced to candidates, a scope's positions are folded in one sorted array;
-    scopes of more than FOLD_LIMIT candidates go through a grouped function instead (grouped forces either form).
+    cuts: keys (with the scope), pos, and min_len and start, the same for all cuts of a scope. One walk over each sorted partition; only the last accepted cut is held.
     """
     keys = list(keys)
 
-    def folded(df: DataFrame) -> DataFrame:
-        gathered = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col("pos"))).alias("_c"), F.max(min_len).alias("_m"), F.max(start).alias("_s"))
-        begin = F.struct(F.array().cast("array<bigint>").alias("kept"), F.col("_s").cast("bigint").alias("last"))
-        accept = lambda a, x: F.when(x - a["last"] >= F.col("_m"), F.struct(F.concat(a["kept"], F.array(x)).alias("kept"), x.alias("last"))).otherwise(a)
-        return gathered.select(*keys, F.explode(F.aggregate("_c", begin, accept, lambda a: a["kept"])).alias("pos"))
-
-    def by_group(df: DataFrame) -> DataFrame:
-        def fold(rows: pd.DataFrame) -> pd.DataFrame:
-            last, least, kept = int(rows[start].iloc[0]), int(rows[min_len].iloc[0]), []
-            for p in sorted(rows["pos"].tolist()):
-                if p - last >= least:
-                    kept.append(p)
-                    last = p
-            return pd.DataFrame({**{k: [rows[k].iloc[0]] * len(kept) for k in keys}, "pos": kept})
-
-        fields = {f.name: f.dataType.simpleString() for f in df.schema}
-        return df.groupBy(*keys).applyInPandas(fold, ", ".join(f"`{k}` {fields[k]}" for k in keys) + ", pos bigint")
-
-    cuts = cuts.withColumn("pos", F.col("pos").cast("bigint"))
-    if grouped is not None:
-        return by_group(cuts) if grouped else folded(cuts)
-    large = cuts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > FOLD_LIMIT).select(*keys)
-    if large.isEmpty():
-        return folded(cuts)
-    return folded(cuts.join(large, keys, "left_anti")).unionByName(by_group(cuts.join(large, keys, "left_semi")))
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scope, last = None, 0
+        for batch in batches:
+            rows, kept = [], []
+            columns = [batch.column(c).to_pylist() for c in (*keys, "pos", min_len, start)]
+            for i, (*key, pos, least, begin) in enumerate(zip(*columns, strict=True)):
+                if key != scope:
+                    scope, last = key, begin
+                if pos - last >= least:
+                    rows.append(i)
+                    kept.append(pos)
+                    last = pos
+            yield _positions(batch, keys, rows, kept)
+
+    chosen = cuts.select(*dict.fromkeys([*keys, min_len, start]), F.col("pos").cast("bigint").alias("pos"))  # the scope's start may be a key
+    return chosen.repartition(*keys).sortWithinPartitions(*keys, "pos").mapInArrow(walk, f"{_key_fields(cuts, keys)}, pos bigint")
 
 
 def detected(costs: DataFrame, info: DataFrame, keys: Sequence[str], min_len: int, overrides: DataFrame | None = None) -> DataFrame:
@@ -250,10 +250,10 @@ def even_splits(segments: DataFrame, keys: Sequence[str], max_len: Column) -> Da
     return numbered(split.drop("_n", "_k", "_i", "_b"), keys)
 
 
-def guided_cuts(start: int, end: int, limit: int, scores: dict[int, float]) -> list[int]:
+def guided_cuts(start: int, end: int, limit: int, at: np.ndarray, scores: np.ndarray) -> list[int]:
     """Cut positions of one segment: each cut where the score, weighted by nearness to an even piece, is best; ties go to the larger piece.
 
-    Without any score in reach the even piece is taken.
+    at, scores: positions, ascending, and their scores. Without any score in reach the even piece is taken. Weighted scores are compared rounded to four decimals, halves up.
     """
     cuts = []
     while end - start > limit:
@@ -261,31 +261,56 @@ def guided_cuts(start: int, end: int, limit: int, scores: dict[int, float]) -> l
         middle = max(1, rest // (rest // limit + 1))
         least, most = max(1, middle // 2), min(limit, middle + middle // 2)
         width = max(1, most - middle // 2)
-        best = max(((round(scores[start + k] * (1 - abs(middle - k) / width) * 10000), k) for k in range(least, most + 1) if start + k in scores), default=(0, middle))
-        start += best[1]
+        a, b = np.searchsorted(at, [start + least, start + most + 1])
+        piece = middle
+        if a < b:
+            size = at[a:b] - start
+            weighted = np.floor(np.nan_to_num(scores[a:b] * (1 - np.abs(middle - size) / width)) * 10000 + 0.5)
+            piece = int(size[len(size) - 1 - int(weighted[::-1].argmax())])
+        start += piece
         cuts.append(start)
     return cuts
 
 
 def guided_splits(segments: DataFrame, costs: DataFrame, keys: Sequence[str], max_len: Column) -> DataFrame:
-    """Segments longer than max_len cut where costs are high for their threshold. Short segments bypass the grouped function; scores reach it for long ones only."""
+    """Segments longer than max_len cut where costs are high for their threshold; an element without cost, or with a threshold of 0, has no score.
+
+    Segments and scores of a series meet in one sorted partition; the walk holds the scores of the segment it is in.
+    """
     keys = list(keys)
     limited = segments.withColumn("_limit", max_len.cast("long"))
-    long = limited.filter((F.col("_limit") > 0) & (F.col("end") - F.col("start") > F.col("_limit"))).select(*keys, "start", "end", "_limit")
-    scores = costs.filter("inter_cost is not null").select(*keys, "pos", (F.col("inter_cost") / F.col("threshold")).alias("score"))
-    near = scores.join(long.select(*keys, "start", "end"), keys).filter("pos > start and pos < end").drop("end")
-
-    def cut(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a):
-            return pd.DataFrame({c: [] for c in (*keys, "pos")})
-        row = a.iloc[0]
-        found = guided_cuts(int(row["start"]), int(row["end"]), int(row["_limit"]), dict(zip(b["pos"].tolist(), b["score"].tolist(), strict=True)))
-        return pd.DataFrame({**{k: [row[k]] * len(found) for k in keys}, "pos": found})
-
-    kinds = {f.name: f.dataType.simpleString() for f in segments.schema}
-    by = [*keys, "start"]
-    cuts = long.groupBy(*by).cogroup(near.toDF(*near.columns).groupBy(*by)).applyInPandas(cut, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", pos bigint")
-    return forced(segments, cuts, keys)[0]
+    long = limited.filter((F.col("_limit") > 0) & (F.col("end") - F.col("start") > F.col("_limit")))
+    scores = costs.withColumn("_score", F.try_divide("inter_cost", "threshold")).filter("_score is not null")
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = long.select(*keys, F.col("start").cast("long").alias("_at"), F.col("end").cast("long").alias("_end"), "_limit", none("double").alias("_score")).unionByName(
+        scores.select(*keys, F.col("pos").cast("long").alias("_at"), none("long").alias("_end"), none("long").alias("_limit"), F.col("_score").cast("double").alias("_score"))
+    )
+    sound_unions(segments.sparkSession)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        series, segment, at, found = None, None, [], []
+        kept: pa.RecordBatch | None = None  # a row with the segment's keys
+
+        def cut() -> pa.RecordBatch:
+            cuts = guided_cuts(*segment, np.array(at, np.int64), np.array(found))
+            return _positions(kept, keys, [0] * len(cuts), cuts)
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (*keys, "_at", "_end", "_limit", "_score")]
+            for i, (*key, pos, end, limit, score) in enumerate(zip(*columns, strict=True)):
+                if segment and (key != series or pos >= segment[1]):
+                    yield cut()
+                    segment = None
+                if end is not None:
+                    series, segment, at, found, kept = key, (pos, end, limit), [], [], batch.slice(i, 1)
+                elif segment and pos > segment[0]:
+                    at.append(pos)
+                    found.append(score)
+        if segment:
+            yield cut()
+
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "_at", F.col("_end").asc_nulls_first())
+    return forced(segments, ordered.mapInArrow(walk, f"{_key_fields(segments, keys)}, pos bigint"), keys)[0]
 
 
 def bounded(segments: DataFrame, keys: Sequence[str], max_len: Column, costs: DataFrame | None = None) -> DataFrame:
@@ -293,9 +318,11 @@ def bounded(segments: DataFrame, keys: Sequence[str], max_len: Column, costs: Da
     keys = list(keys)
     if costs is None:
         return even_splits(segments, keys, max_len)
-    scored = costs.filter("inter_cost is not null").select(*keys).distinct()
-    guided = guided_splits(segments.join(scored, keys, "left_semi"), costs, keys, max_len)
-    return guided.unionByName(even_splits(segments.join(scored, keys, "left_anti"), keys, max_len), allowMissingColumns=True)
+    scored = costs.filter("inter_cost is not null").select(*keys).distinct().withColumn("_scored", F.lit(True))
+    marked = segments.join(scored, keys, "left")
+    guided = guided_splits(marked.filter("_scored"), costs, keys, max_len)
+    sound_unions(segments.sparkSession)
+    return guided.unionByName(even_splits(marked.filter("_scored is null"), keys, max_len), allowMissingColumns=True).drop("_scored")
 
 
 def segment(info: DataFrame, keys: Sequence[str], costs: DataFrame | None, min_len: int, max_len: int, overrides: DataFrame | None = None, cuts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -317,7 +344,8 @@ def segment(info: DataFrame, keys: Sequence[str], costs: DataFrame | None, min_l
         found = attached(found, overrides.select(*keys, "start", "end", F.col("max_len").alias("_own")), keys, "start").withColumn("_limit", F.when(F.col("override_start").isNotNull(), F.col("_own")).otherwise(limit)).drop("override_start", "override_end", "_own")
     else:
         found = found.withColumn("_limit", limit)
-    found = staged(found, "segments")  # what follows reads it several times
+    found = staged(found, "segments")  # what follows reads both several times
+    costs = costs if costs is None else staged(costs, "costs")
     split = bounded(found, keys, F.col("_limit"), costs).drop("_limit")
     return found.drop("_limit").select(*keys, "seg_idx", "start", "end"), split.select(*keys, "seg_idx", "start", "end")
 

@@ -18,12 +18,12 @@ def _rendered(e: DataFrame) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, ("aom", "rav1e", "svt-av1", "x264", "x265", "vpx"))), (F.col("event_id") % 6 + 1).cast("int"))
     text = n.cast("string")
     line = (
-        F.when(kind.isin("aom", "vpx"), F.concat(F.lit("Pass 1/1 frame    3/"), text, F.lit("       2131B    5997 us 500.25 fps")))
-        .when(kind == "rav1e", F.concat(F.lit("encoded "), text, F.lit(" frames, 126.416 fps, 16.32 Kb/s")))
-        .when(kind == "svt-av1", F.concat(F.lit("\x1b[33mEncoding:  "), text, F.lit("/9999 Frames\x1b[0m @ 8.54 fps")))
-        .when(F.col("event_id") % 4 == 0, F.concat(F.lit("[42.5%] "), text, F.lit("/285 frames, 2.47 fps")))
-        .when(F.col("event_id") % 4 == 1, F.lit("x265 [info]: frame threads"))
-        .otherwise(F.concat(text, F.lit(" frames: 39.11 fps")))
+        F.when(kind.isin("aom", "vpx"), F.concat(F.lit("Pass 1/2 frame   12/"), text, F.lit("      48213B   31744 us 61.75 fps")))
+        .when(kind == "rav1e", F.concat(F.lit("encoded "), text, F.lit(" frames, 73.905 fps, 240.11 Kb/s")))
+        .when(kind == "svt-av1", F.concat(F.lit("\x1b[33mEncoding:  "), text, F.lit("/1200 Frames\x1b[0m @ 37.02 fps")))
+        .when(F.col("event_id") % 4 == 0, F.concat(F.lit("[87.1%] "), text, F.lit("/640 frames, 18.30 fps")))
+        .when(F.col("event_id") % 4 == 1, F.lit("x265 [info]: no lookahead"))
+        .otherwise(F.concat(text, F.lit(" frames: 55.60 fps")))
     )
     return e.select("event_id", "user_id", "ts", kind.alias("kind"), line.alias("line"))
 
@@ -37,6 +37,12 @@ def progress_increments(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.increments(e, ["user_id"], ["pos"]).select("user_id", "pos", "done", "increment")
 
 
+def progress_rollback(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as reports of a unit, errors as failures of an attempt: what stands as finished after each."""
+    e = events(spark, sf).withColumn("done", F.floor(F.col("value")).cast("long"))
+    return ledger.net_progress(e, ["user_id"], ["pos"], F.col("event_type") == "error").select("user_id", "pos", "net")
+
+
 def size_projection(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as units by customer: their lines as elements, their price as bytes, final status as done."""
     counts = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_elements"))
@@ -121,7 +127,7 @@ def aligned_pairs(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        parse_progress, progress_increments, size_projection, unit_rates, resume_remaining, reconcile_counts, series_parity, attempts_report, work_order, work_order_random, merge_manifest, merge_options, aligned_pairs,
+        parse_progress, progress_increments, progress_rollback, size_projection, unit_rates, resume_remaining, reconcile_counts, series_parity, attempts_report, work_order, work_order_random, merge_manifest, merge_options, aligned_pairs,
     )
 }
 
@@ -130,6 +136,10 @@ _COUNTS = "c AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_order
 SQL = {
     "parse_progress": "SELECT event_id, ['aom', 'rav1e', 'svt-av1', 'x264', 'x265', 'vpx'][(event_id % 6 + 1)::INT] AS kind, CASE WHEN event_id % 6 IN (3, 4) AND event_id % 4 = 1 THEN NULL ELSE event_id % 1000 END AS done FROM events",
     "progress_increments": f"WITH {EVENTS_SQL} SELECT user_id, pos, floor(value)::BIGINT AS done, greatest(floor(value)::BIGINT - coalesce(max(floor(value)::BIGINT) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS increment FROM e",
+    "progress_rollback": f"""WITH {EVENTS_SQL}, a AS (SELECT *, coalesce(sum((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS attempt FROM e),
+        b AS (SELECT *, max(CASE WHEN event_type <> 'error' THEN floor(value)::BIGINT END) OVER (PARTITION BY user_id, attempt ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best FROM a)
+        SELECT user_id, pos, greatest(CASE WHEN event_type = 'error' THEN 0 ELSE coalesce(best, 0) END, 0)::BIGINT AS net FROM b""",
+    "work_order_random": "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY md5('5:' || o_orderkey), o_orderkey) AS place FROM orders",
     "size_projection": f"""WITH {_COUNTS}, u AS (SELECT o_custkey, sum(n) AS total, coalesce(sum(n) FILTER (WHERE o_orderstatus = 'F'), 0) AS d, sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS b FROM orders JOIN c ON o_orderkey = l_orderkey GROUP BY o_custkey),
         s AS (SELECT *, CASE WHEN d < 3 THEN 3 ELSE d - 3 END AS since FROM u)
         SELECT o_custkey, total::BIGINT AS total, d::BIGINT AS done_elements, CASE WHEN d > 0 THEN round(b * 8 / 1000 / (d / 24.0::DOUBLE), 4) END AS kbps, CASE WHEN d > 0 THEN round(d::DOUBLE / total, 4) END AS progress, CASE WHEN d > 0 THEN round(b / (d::DOUBLE / total) + 1000, 4) END AS estimated_bytes,

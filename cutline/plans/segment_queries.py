@@ -155,6 +155,38 @@ _OVERRIDES = f"o AS (SELECT user_id, start, \"end\", max_len, min_len, noise, re
 _SEGMENTS = """b AS (SELECT user_id, pos AS start FROM e WHERE event_type = 'error' AND pos > 0 UNION SELECT user_id, 0 FROM i),
   s AS (SELECT user_id, row_number() OVER w - 1 AS seg_idx, start, coalesce(lead(start) OVER w, n_elements) AS "end" FROM b JOIN i USING (user_id) WINDOW w AS (PARTITION BY user_id ORDER BY start))"""
 _BASE = f"WITH {EVENTS_SQL}, {_INFO}, "
+_COSTS = "c AS (SELECT user_id, pos, inter_cost, inter_cost / 60.0::DOUBLE AS score FROM (SELECT user_id, pos, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY pos)) AS inter_cost FROM e) WHERE inter_cost IS NOT NULL)"
+
+
+def _guided_sql(name: str, source: str, limit: str) -> str:
+    """A recursive table (user_id, first, cur, "end", lim): of each segment of source longer than limit the places where its pieces begin, the last one that is short enough included."""
+    middle = "greatest((\"end\" - cur) // ((\"end\" - cur) // lim + 1), 1)"
+    return f"""{name} AS (SELECT user_id, start AS first, start AS cur, "end", ({limit})::BIGINT AS lim FROM {source} WHERE ({limit}) > 0 AND "end" - start > ({limit})
+      UNION ALL
+      SELECT user_id, first, cur + coalesce(max(floor(score * (1 - abs(middle - (pos - cur))::DOUBLE / greatest(least(lim, middle + middle // 2) - middle // 2, 1)) * 10000 + 0.5)::BIGINT * 1000000 + (pos - cur)) % 1000000, any_value(middle)) AS cur, "end", lim
+      FROM (SELECT x.*, c.pos, c.score FROM (SELECT *, {middle} AS middle FROM {name} WHERE "end" - cur > lim) x
+        LEFT JOIN c ON c.user_id = x.user_id AND c.pos >= x.cur + greatest(x.middle // 2, 1) AND c.pos <= x.cur + least(x.lim, x.middle + x.middle // 2)) GROUP BY user_id, first, cur, "end", lim)"""
+
+
+def _numbered_sql(source: str) -> str:
+    return f"""SELECT user_id, row_number() OVER w - 1 AS seg_idx, start, coalesce(lead(start) OVER w, n_elements) AS "end" FROM {source} JOIN i USING (user_id) WINDOW w AS (PARTITION BY user_id ORDER BY start)"""
+
+
+#: Stretches of a series: overrides, and what lies between, before and after them (max_len null there, own false), with a least length of its own or the default.
+_STRETCHES = """p AS (SELECT user_id, start, "end", coalesce(max("end") OVER (PARTITION BY user_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS q FROM o),
+  g AS (SELECT user_id, start, "end", min_len FROM o UNION ALL SELECT user_id, q, start, 2 FROM p WHERE start > q
+    UNION ALL SELECT i.user_id, coalesce(m, 0), n_elements, 2 FROM i LEFT JOIN (SELECT user_id, max("end") AS m FROM o GROUP BY user_id) USING (user_id) WHERE coalesce(m, 0) < n_elements)"""
+_PIPELINE = f"""WITH RECURSIVE {EVENTS_SQL}, {_INFO}, {_OVERRIDES}, {_COSTS}, {_STRETCHES},
+  k AS (SELECT g.user_id, g.start, g.min_len, pos FROM g JOIN c ON c.user_id = g.user_id AND pos > g.start AND pos < g."end" AND inter_cost >= 60),
+  r AS (SELECT user_id, start, min_len, start AS last FROM g
+    UNION ALL SELECT user_id, start, min_len, next FROM (SELECT r.user_id, r.start, r.min_len, min(k.pos) AS next FROM r JOIN k ON k.user_id = r.user_id AND k.start = r.start AND k.pos >= r.last + r.min_len GROUP BY r.user_id, r.start, r.min_len, r.last)),
+  b AS (SELECT user_id, last AS start FROM r UNION SELECT user_id, 0 FROM i UNION SELECT user_id, 11 FROM i WHERE n_elements > 11),
+  f AS ({_numbered_sql("b")}),
+  l AS (SELECT f.user_id, f.start, f."end", CASE WHEN o.start IS NULL THEN 6 ELSE o.max_len END AS lim0 FROM f LEFT JOIN o ON o.user_id = f.user_id AND o.start <= f.start AND f.start < o."end"),
+  {_guided_sql("z", "l", "coalesce(lim0, 0)")},
+  y AS (SELECT user_id, cur AS start FROM z UNION SELECT user_id, start FROM f),
+  h AS ({_numbered_sql("y")})
+  SELECT user_id, seg_idx, start, "end", 'found' AS step FROM f UNION ALL SELECT user_id, seg_idx, start, "end", 'split' FROM h"""
 _ATTACH = f"""{_BASE}{_OVERRIDES} SELECT e.user_id, pos, o.start AS override_start, coalesce(max_len, 100) AS effective_max_len, coalesce(min_len, 10) AS effective_min_len,
   coalesce(noise, CASE WHEN coalesce(reset, false) THEN NULL ELSE 4 END, 0) AS effective_noise FROM e LEFT JOIN o ON e.user_id = o.user_id AND o.start <= pos AND pos < o."end" """
 _FORCED = ", ".join(f"({p})" for p in FORCED)
@@ -177,6 +209,8 @@ SQL = {
     "even_splits": f"""{_BASE}{_SEGMENTS}, k AS (SELECT *, "end" - start AS n, CASE WHEN "end" - start > 3 THEN ("end" - start) // 3 + 1 ELSE 1 END AS k FROM s), x AS (SELECT *, unnest(range(1, k + 1)) AS j FROM k),
         y AS (SELECT user_id, (start + floor(n * ((j - 1)::DOUBLE / k)))::BIGINT AS a, CASE WHEN j = k THEN "end" ELSE (start + floor(n * (j::DOUBLE / k)))::BIGINT END AS z FROM x)
         SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY a) - 1 AS seg_idx, a AS start, z AS "end" FROM y""",
+    "score_guided_splits": f"""WITH RECURSIVE {EVENTS_SQL}, {_INFO}, {_SEGMENTS}, {_COSTS}, {_guided_sql("z", "s", "4")}, y AS (SELECT user_id, cur AS start FROM z UNION SELECT user_id, start FROM s) {_numbered_sql("y")}""",
+    "segment_pipeline": _PIPELINE,
     "change_points_scalar": f"WITH {EVENTS_SQL}, c AS (SELECT user_id, pos, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY pos)) AS inter_cost FROM e) SELECT user_id, pos, round(inter_cost, 6) AS inter_cost FROM c WHERE inter_cost >= 60",
     "change_points_vector": f"WITH {VECTORS_SQL}, c AS (SELECT label, pos, list_distance(embedding::DOUBLE[], (lag(embedding) OVER (PARTITION BY label ORDER BY pos))::DOUBLE[]) AS inter_cost FROM v) SELECT label, pos, round(inter_cost, 4) AS inter_cost FROM c WHERE inter_cost IS NOT NULL",
     "min_length_cuts": f"""WITH RECURSIVE {EVENTS_SQL}, {_INFO}, {_OVERRIDES}, p AS (SELECT user_id, start, "end", coalesce(max("end") OVER (PARTITION BY user_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS q FROM o),

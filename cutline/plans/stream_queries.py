@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutline.staging import shared_folder
+from cutline.staging import temporary
 from cutline.streaming import streams
 
 from .ledger_queries import _rendered
@@ -20,7 +20,7 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _folders(spark: SparkSession, name: str) -> tuple[str, str]:
-    folder = f"{shared_folder(spark)}/cutline-{name}-{uuid.uuid4().hex}"
+    folder = temporary(spark, f"{name}-{uuid.uuid4().hex}")
     return f"{folder}/out", f"{folder}/checkpoint"
 
 

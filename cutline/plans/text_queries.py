@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cutline.functions import settings
 from cutline.operators import match
 from cutline.sources import readers, writers
-from cutline.staging import shared_folder
+from cutline.staging import temporary
 
 from .tables import LINES_SQL, lines, table
 
@@ -122,10 +122,10 @@ def policy_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def zip_channels(spark: SparkSession, sf: str) -> DataFrame:
-    """Three channels of the order lines, the third shorter than the others, zipped by position."""
+    """Three channels of the order lines, of which the third lacks some positions, zipped by position."""
     rows = lines(spark, sf).withColumn("series_id", F.col("l_partkey").cast("string"))
-    channel = lambda c, limit: rows.filter(F.col("pos") < limit).select("series_id", "pos", F.col(c).alias("score"))
-    zipped = readers.zipped_channels(channel("l_quantity", 1000), channel("l_discount", 1000), channel("l_tax", 5))
+    channel = lambda df, c: df.select("series_id", "pos", F.col(c).alias("score"))
+    zipped = readers.zipped_channels(channel(rows, "l_quantity"), channel(rows, "l_discount"), channel(rows.filter("pos % 7 < 5"), "l_tax"))
     return zipped.select("series_id", "pos", F.round("score", 6).alias("score"))
 
 
@@ -135,14 +135,13 @@ def paired_inputs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders' ledger and segments by customer written as JSON documents and read again, counted by customer."""
-    folder = f"{shared_folder(spark)}/cutline-roundtrip-{uuid.uuid4().hex}"
-    orders = table(spark, sf, "orders").select(F.concat(F.lit("c"), F.pmod("o_custkey", F.lit(20)).cast("string")).alias("series_id"), F.format_string("%09d", "o_orderkey").alias("unit"), (F.col("o_orderkey") % 9 + 1).cast("long").alias("n_elements"), F.col("o_totalprice").cast("long").alias("size_bytes"))
-    documents = writers.ledger_json(orders, 0)
-    documents.write.partitionBy("series_id").text(f"{folder}/ledger")
-    texts = spark.read.option("wholetext", True).text(f"{folder}/ledger").select("series_id", F.from_json("value", readers.LEDGER).alias("l"))
-    units = texts.select("series_id", F.explode("l.done").alias("unit", "d")).select("series_id", "unit", F.col("d.frames").alias("n_elements"), F.col("d.size_bytes").alias("size_bytes"))
-    return units.groupBy("series_id").agg(F.count(F.lit(1)).alias("units"), F.sum("n_elements").alias("elements"), F.sum("size_bytes").alias("bytes"))
+    """Orders' ledgers by customer written as JSON documents, one to a line, and read again, counted by the customer's number modulo 20."""
+    folder = temporary(spark, f"roundtrip-{uuid.uuid4().hex}")
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("series_id"), F.format_string("%09d", "o_orderkey").alias("unit"), (F.col("o_orderkey") % 9 + 1).cast("long").alias("n_elements"), F.col("o_totalprice").cast("long").alias("size_bytes"))
+    writers.documents(writers.ledger_json(orders, 0), folder)
+    units = readers.ledger(spark, folder, lines=True)[0]
+    series = F.concat(F.lit("c"), F.pmod(F.col("series_id").cast("long"), F.lit(20)).cast("string"))
+    return units.groupBy(series.alias("series_id")).agg(F.count(F.lit(1)).alias("units"), F.sum("n_elements").alias("elements"), F.sum("size_bytes").alias("bytes"))
 
 
 QUERIES = {f.__name__: f for f in (vocab_tokens, unknown_terms, fuzzy_match, series_info_json, series_sanity, overrides_text, policy_texts, zip_channels, paired_inputs, json_roundtrip)}
@@ -170,7 +169,7 @@ SQL = {
           CASE k % 6 WHEN 2 THEN 'start must be before end' WHEN 3 THEN 'past the end of the series' WHEN 4 THEN 'change of kind without reset' WHEN 5 THEN 'invalid syntax' END AS reject_reason,
           CASE WHEN k % 6 = 0 THEN '60' END AS max_len, CASE WHEN k % 6 = 1 THEN '4' END AS noise, CASE k % 6 WHEN 0 THEN '--cq-level --min-scene-len -x' WHEN 1 THEN '--photon-noise --speed' END AS options
         FROM n WHERE NOT (k % 6 = 5 AND k % 4 = 1)""",
-    "zip_channels": f"WITH {LINES_SQL} SELECT l_partkey::VARCHAR AS series_id, pos, round((4 * l_quantity + l_discount + l_tax) / 6, 6) AS score FROM l WHERE pos < 5",
+    "zip_channels": f"WITH {LINES_SQL} SELECT l_partkey::VARCHAR AS series_id, pos, round((4 * l_quantity + l_discount + l_tax) / 6, 6) AS score FROM l WHERE pos % 7 < 5",
     "paired_inputs": "WITH a AS (SELECT row_number() OVER (ORDER BY n_name) AS i, n_name FROM nation), b AS (SELECT row_number() OVER (ORDER BY r_name) AS i, r_name FROM region) SELECT a.i, n_name AS first, coalesce(r_name, (SELECT min(r_name) FROM region)) AS second FROM a LEFT JOIN b USING (i)",
     "json_roundtrip": "SELECT 'c' || (o_custkey % 20) AS series_id, count(*) AS units, sum(o_orderkey % 9 + 1)::BIGINT AS elements, sum(trunc(o_totalprice)::BIGINT)::BIGINT AS bytes FROM orders GROUP BY 1",
     "policy_texts": """WITH u AS (SELECT (o_orderkey % 11)::INT AS m, count(*) AS orders FROM orders GROUP BY 1)

@@ -1,12 +1,14 @@
 """Readers of the files around a series: score files, logs, probe results, segments, overrides, ledgers. Explicit schemas, no inference.
 
-The series of a file is its name without extension. Bad rows go to a table of rejects with a reason, instead of ending the job.
+The series of a file is its name without extension; of a file in a folder ``series_id=...`` it is that folder's. JSON documents stand one to a file, or, with ``lines``, one to a line with
+their ``series_id`` inside, which is the form for very many series. Bad rows go to a table of rejects with a reason, instead of ending the job.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SCORES = "frames array<struct<metrics:struct<vmaf:double>>>"
 PROBE = "streams array<struct<width:int,height:int,pix_fmt:string,color_transfer:string,avg_frame_rate:string,nb_frames:string>>"
@@ -23,16 +25,21 @@ AVERAGE_LINE = rf"XPSNR average, \d+ frames  y: *{_INFINITE_OR}  u: *{_INFINITE_
 
 
 def _series() -> Column:
-    return F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    folder = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"/series_id=([^/]*)/[^/]*$", 1))
+    return F.when(folder != "", folder).otherwise(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", ""))
 
 
-def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def _json(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
+    """series_id and the fields of JSON documents, one to a file or to a line."""
+    fields = [f.name for f in T.StructType.fromDDL(schema)]
+    if lines:
+        return spark.read.schema(f"series_id string, {schema}").json(path)
+    return spark.read.schema(schema).option("multiLine", True).json(path).select(_series().alias("series_id"), *fields)
 
 
-def element_scores(spark: SparkSession, path: str) -> DataFrame:
+def element_scores(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(series_id, pos, score) of JSON score files; order is the array's."""
-    rows = _json(spark, path, SCORES).select(_series().alias("series_id"), F.posexplode("frames").alias("pos", "f"))
+    rows = _json(spark, path, SCORES, lines).select("series_id", F.posexplode("frames").alias("pos", "f"))
     return rows.select("series_id", F.col("pos").cast("bigint").alias("pos"), F.col("f.metrics.vmaf").alias("score"))
 
 
@@ -55,10 +62,13 @@ def channels(line: Column, pattern: str = ELEMENT_LINE) -> Column:
 
 
 def channel_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(elements, averages, rejects) of text logs; a log without its line of averages is rejected. Each file is read as one text, so that the order of its lines holds."""
-    lines = spark.read.option("wholetext", True).text(path).select(_series().alias("series_id"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
-    elements = lines.filter(F.col("line").rlike(ELEMENT_LINE)).withColumn("pos", F.row_number().over(Window.partitionBy("series_id").orderBy("line_no")) - 1)
-    averages = lines.filter(F.col("line").contains("XPSNR average")).groupBy("series_id").agg(F.min_by("line", "line_no").alias("line"))
+    """(elements, averages, rejects) of text logs; a log without its line of averages is rejected.
+
+    Files are read line by line and may be split: lines of a split come in order, so its start in the file and the order within it place a line.
+    """
+    lines = spark.read.text(path).select(_series().alias("series_id"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"), F.col("value").alias("line"))
+    elements = lines.filter(F.col("line").rlike(ELEMENT_LINE)).withColumn("pos", F.row_number().over(Window.partitionBy("series_id").orderBy("at")) - 1)
+    averages = lines.filter(F.col("line").contains("XPSNR average")).groupBy("series_id").agg(F.min_by("line", "at").alias("line"))
     found = averages.withColumn("c", channels(F.col("line"), AVERAGE_LINE)).filter("c is not null").select("series_id", "c.*")
     rejects = lines.select("series_id").distinct().join(found, "series_id", "left_anti").withColumn("reject_reason", F.lit("no line of averages"))
     return elements.select("series_id", F.col("pos").cast("bigint").alias("pos"), channels(F.col("line")).alias("c")).select("series_id", "pos", "c.*"), found, rejects
@@ -115,9 +125,9 @@ def overrides(lines: DataFrame, n_elements: Column, line: str = "line") -> tuple
     return good, read.filter("_o.kind is null").drop("_o").withColumn("reject_reason", F.lit("invalid syntax"))
 
 
-def segments(spark: SparkSession, path: str) -> DataFrame:
+def segments(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(series_id, seg_idx, start, end, max_len, min_len) of segment files; an old file's only list counts as the split one."""
-    rows = _json(spark, path, SEGMENTS).select(_series().alias("series_id"), F.posexplode(F.coalesce("split_scenes", "scenes")).alias("seg_idx", "s"))
+    rows = _json(spark, path, SEGMENTS, lines).select("series_id", F.posexplode(F.coalesce("split_scenes", "scenes")).alias("seg_idx", "s"))
     return rows.select("series_id", "seg_idx", F.col("s.start_frame").alias("start"), F.col("s.end_frame").alias("end"), F.col("s.zone_overrides.extra_splits_len").alias("max_len"), F.col("s.zone_overrides.min_scene_len").alias("min_len"))
 
 
@@ -126,9 +136,9 @@ def queue(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(QUEUE).parquet(path)
 
 
-def ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def ledger(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """(units, totals) of ledger files; a stored total of 0 is computed anew."""
-    files = _json(spark, path, LEDGER).select(_series().alias("series_id"), "frames", "done", "audio_done")
+    files = _json(spark, path, LEDGER, lines)
     units = files.select("series_id", F.explode("done").alias("unit", "d")).select("series_id", "unit", F.col("d.frames").alias("n_elements"), F.col("d.size_bytes").alias("size_bytes"))
     summed = F.aggregate(F.map_values("done"), F.lit(0).cast("bigint"), lambda s, d: s + d["frames"])
     return units, files.select("series_id", F.when(F.coalesce("frames", F.lit(0)) == 0, summed).otherwise(F.col("frames")).alias("total"), "audio_done")
@@ -140,9 +150,12 @@ def progress_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, length) of a folder's own files, not of folders in it, or of the one file named."""
+    """(path, file_name, length) of a folder's own files, not of folders in it, or of the one file named. Contents are not read."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
-    return listed.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "length")
+    depth = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().count("/") + 1
+    below = F.regexp_count(F.regexp_replace("path", r"^[A-Za-z0-9+.-]+:(?://[^/]*)?", ""), F.lit("/"))
+    listed = listed.filter(below <= depth)  # folders named like partitions would be read too
+    return listed.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "length")
 
 
 def paired(first: DataFrame, second: DataFrame, order: str) -> DataFrame:

@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where it is unset (tests) a folder of our own."""
+    """spark.checkpoint.dir, or the checkpoint folder of the context; one of them must be set, as no other folder is known to be shared."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="spark-cutline-")
-        spark.sparkContext.setCheckpointDir(named)
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
     return named.rstrip("/")
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder and read again; deleted when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cutline-{tag}-{uuid.uuid4().hex}"
+def temporary(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that is deleted when the application ends."""
+    path = f"{shared_folder(spark)}/cutline-{name}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    df.write.parquet(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def staged(df: DataFrame, tag: str) -> DataFrame:
+    """df written to the shared folder and read again."""
+    path = temporary(df.sparkSession, f"{tag}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

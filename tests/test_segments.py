@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ def test_even_splits(spark, borders, limit, own, expected):
     assert [r.seg_idx for r in got] == list(range(len(expected)))
 
 
-def test_spacing_forms_agree_with_a_loop(spark):
+def test_spacing_agrees_with_a_loop(spark):
     random.seed(1)
     rows = [(k, p, random.choice([3]), 0) for k in range(6) for p in random.sample(range(1, 200), 60)]
     df = spark.createDataFrame(rows, "k int, pos long, min_len long, scope_start long")
@@ -42,19 +43,44 @@ def test_spacing_forms_agree_with_a_loop(spark):
             if p - last >= 3:
                 expected.add((k, p))
                 last = p
-    for grouped in (False, True, None):
-        assert {tuple(r) for r in s.spaced(df, ["k"], grouped=grouped).collect()} == expected
+    assert {tuple(r) for r in s.spaced(df, ["k"]).collect()} == expected
+
+
+def guided(start, end, limit, scores):
+    at = sorted(scores)
+    return s.guided_cuts(start, end, limit, np.array(at, np.int64), np.array([scores[p] for p in at], float))
 
 
 def test_guided_cuts():
-    assert s.guided_cuts(0, 10, 4, {}) == [3, 6]  # even pieces where nothing is scored
-    assert s.guided_cuts(0, 8, 4, {2: 1.0, 4: 0.9}) == [2, 4] or s.guided_cuts(0, 8, 4, {2: 1.0, 4: 0.9})[0] in (2, 4)
-    assert s.guided_cuts(0, 10, 6, {4: 1.0, 6: 1.0}) == [6]  # as good: the larger piece
-    cuts = s.guided_cuts(0, 1000, 7, {p: random.random() for p in range(1000)})
+    assert guided(0, 10, 4, {}) == [3, 6]  # even pieces where nothing is scored
+    assert guided(0, 8, 4, {2: 1.0, 4: 0.9})[0] in (2, 4)
+    assert guided(0, 10, 6, {4: 1.0, 6: 1.0}) == [6]  # as good: the larger piece
+    assert guided(0, 6, 4, {2: 0.00005, 3: 0.0}) == [2]  # half a unit rounds up
+    cuts = guided(0, 1000, 7, {p: random.random() for p in range(1000)})
     borders = [0, *cuts, 1000]
     assert all(0 < b - a <= 7 for a, b in zip(borders, borders[1:], strict=False))
 
 
+def test_guided_splits_walk_over_segments(spark):
+    """Many series in few partitions, scores on borders, thresholds of 0, against the cuts of each segment alone."""
+    random.seed(3)
+    segments, costs, expected = [], [], set()
+    for k in range(12):
+        borders = sorted({0, *random.sample(range(1, 200), 5), 200})
+        scores = {p: random.choice([0.0, 0.5, 1.0, random.random()]) for p in range(1, 200) if random.random() < 0.6}
+        costs += [(k, p, x, 1.0) for p, x in scores.items()] + [(k, 7, 1.0, 0.0), (k, 8, None, 1.0)]
+        for i, (a, b) in enumerate(zip(borders, borders[1:], strict=False)):
+            segments.append((k, i, a, b))
+            expected |= {(k, p) for p in [a, *guided(a, b, 9, {p: x for p, x in scores.items() if a < p < b})]}
+    df = spark.createDataFrame(segments, "k int, seg_idx int, start long, end long")
+    scored = spark.createDataFrame([r for r in costs if (r[1] != 7 or r[3] == 0.0) and (r[1] != 8 or r[2] is None)], "k int, pos long, inter_cost double, threshold double")
+    expected = set()
+    usable = {(r[0], r[1]): r[2] for r in scored.collect() if r[2] is not None and r[3]}
+    for k, _, a, b in segments:
+        expected |= {(k, p) for p in [a, *guided(a, b, 9, {p: x for (j, p), x in usable.items() if j == k and a < p < b})]}
+    assert {(r.k, r.start) for r in s.guided_splits(df, scored, ["k"], F.lit(9)).collect()} == expected
+
+
 def test_pipeline_covers_and_bounds(spark):
     random.seed(5)
     lengths = {k: random.randint(1, 120) for k in range(20)}
