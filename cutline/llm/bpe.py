@@ -6,8 +6,8 @@ into words, and each word is encoded on its own: the part boundaries of the word
 stand in two short lists; the smallest rank is searched, its boundary deleted, and the two neighbouring ranks read
 again, until no pair has a rank. Words repeat, so each worker keeps a bounded cache of encoded words.
 
-Encoding and decoding are two ``mapInArrow`` passes without a shuffle. Null texts are empty: no ids. Repeated rows give
-repeated results, an empty table an empty one; other columns are kept.
+Encoding and decoding are two ``mapInArrow`` passes without a shuffle. Null texts are empty: no ids. Texts of any length are encoded whole; a word of more than
+``SHORT`` bytes, whose rank array would be searched quadratically, keeps its ranks in a heap, with the same merges. Repeated rows give repeated results, an empty table an empty one; other columns are kept, those named like outputs replaced.
 """
 
 from __future__ import annotations
@@ -182,32 +182,18 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", keep_
     return df.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
 
-def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", digests: bool = False) -> DataFrame:
-    """Replace a column of token ids by the decoded text, or by ``n_tokens`` and the digests of ids and decoded text."""
-    spark = df.sparkSession
-    file = spark.sparkContext.broadcast(tokenizer_file(path))
-    added = T.StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else f"{out} string")
+def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """Replace a column of token ids by the decoded text."""
+    file = df.sparkSession.sparkContext.broadcast(tokenizer_file(path))
 
     def run(batches):
         vocabulary = _vocabulary(file.value)
         for batch in batches:
-            column = batch.column(ids)
-            rows = [np.asarray(x.values, dtype="<i4") if x.is_valid else np.zeros(0, "<i4") for x in column]
-            texts = [vocabulary.decode(x) for x in rows]
-            if digests:
-                new = {
-                    "n_tokens": pa.array(map(len, rows), pa.int64()),
-                    "ids_sha256": pa.array(hashlib.sha256(x.tobytes()).hexdigest() for x in rows),
-                    "decoded_sha256": pa.array(hashlib.sha256(x.encode()).hexdigest() for x in texts),
-                }
-                new = {k: v.cast(pa.string()) if k != "n_tokens" else v for k, v in new.items()}
-            else:
-                new = {out: pa.array(texts, pa.string())}
-            kept = {k: c for k, c in _passed(batch, out, ids).items() if k not in new}
-            yield pa.RecordBatch.from_pydict(kept | new)
+            rows = [np.asarray(x.values, dtype="<i4") if x.is_valid else np.zeros(0, "<i4") for x in batch.column(ids)]
+            yield pa.RecordBatch.from_pydict(_passed(batch, out, ids) | {out: pa.array([vocabulary.decode(x) for x in rows], pa.string())})
 
-    fields = [f for f in df.schema if f.name not in {ids, *added.names}]
-    return df.mapInArrow(run, T.StructType(fields + list(added)))
+    fields = [f for f in df.schema if f.name not in (ids, out)]
+    return df.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.StringType())]))
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -246,5 +232,4 @@ def word_tokenizer() -> str:
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    path = word_tokenizer()
-    return decode(encode(docs, path), path, digests=True)
+    return round_trip(docs, word_tokenizer()).drop("ids")

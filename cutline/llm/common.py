@@ -40,11 +40,11 @@ def let(value: Column, body) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
+    """The folder all executors share: spark.checkpoint.dir, or the checkpoint folder of the context. Where neither is set a folder of our own, in local mode only: a cluster must name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-cutline-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

@@ -5,11 +5,12 @@ shingle is hashed once. The hash's top bits name one of ``BINS`` bins, and each
 empty bin takes over the value of a filled bin: the first filled one among ``PROBES`` bins drawn by a hash of (bin,
 attempt), else the filled one whose hash with the bin is smallest. Either way the choice depends on the bins alone,
 so two documents whose bins are filled alike borrow alike. Of every bin the ``BITS`` low-order bits are stored, two hexadecimal
-digits a bin. Two fingerprints agree by chance in one of ``2**BITS`` bins, which the likeness corrects for.
+digits a bin; a borrowed value is hashed with the borrowing bin first, so that two different values never agree everywhere they are lent. Two fingerprints agree by chance in
+one of ``2**BITS`` bins, which the likeness corrects for.
 
 All work on a text stands in one expression: sort the hashes, keep the first of each bin. There is no explode and
-no shuffle. Null and empty texts have the empty fingerprint, which is like another empty one (1) and unlike all
-others (0). Equal texts have equal fingerprints.
+no shuffle. Texts of any length are read whole, in the memory of their row. Null and empty texts have the empty fingerprint, which is like another empty one (1) and unlike all
+others (0). Equal texts, and so repeated rows, have equal fingerprints; an empty table gives an empty result; other columns are untouched.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from . import common
 from .common import let
 
 SHINGLE, BINS, BITS, PROBES = 5, 256, 8, 8
-#: Documents in one window partition when each is paired with the next; buckets up to which their heads are broadcast.
-BUCKET_ROWS, BROADCAST_HEADS = 2048, 100_000
+#: Documents in one window partition when each is paired with the next; buckets up to which their heads are broadcast; quantiles of the keys that buckets lie between.
+BUCKET_ROWS, BROADCAST_HEADS, QUANTILES = 2048, 100_000, 256
 
 
 def words(text: Column) -> Column:
@@ -57,26 +58,25 @@ def _bin(h: Column, bins: int) -> Column:
 
 def densified(minima: Column, bins: int = BINS, bits: int = BITS, probes: int = PROBES) -> Column:
     """The low-order bits of every bin, empty bins filled from others; no bins for no shingles."""
-    low = (1 << bits) - 1
-
-    none = F.lit(None).cast("int")
+    low = F.lit((1 << bits) - 1)
+    none = F.lit(None).cast("long")
 
     def fill(m: Column) -> Column:
-        filled = F.transform(m, lambda h: F.struct(_bin(h, bins).alias("bin"), h.bitwiseAND(F.lit(low)).cast("int").alias("code")))
+        filled = F.transform(m, lambda h: F.struct(_bin(h, bins).alias("bin"), h.alias("h")))
 
         def spread(f: Column) -> Column:
-            """The code of every bin, null for an empty one: gaps between filled bins are filled up with nulls."""
+            """The hash of every bin, null for an empty one: gaps between filled bins are filled up with nulls."""
             gap = lambda b, p: b["bin"] - F.coalesce(F.get(f, p - 1)["bin"], F.lit(-1)) - 1
-            pieces = F.flatten(F.transform(f, lambda b, p: F.concat(F.array_repeat(none, gap(b, p)), F.array(b["code"]))))
+            pieces = F.flatten(F.transform(f, lambda b, p: F.concat(F.array_repeat(none, gap(b, p)), F.array(b["h"]))))
             return F.concat(pieces, F.array_repeat(none, bins - 1 - F.element_at(f, -1)["bin"]))
 
         def borrow(f: Column, at: Column) -> Column:
             def lend(i: Column) -> Column:
                 tried = (F.get(at, F.pmod(F.xxhash64(i, F.lit(t)), F.lit(bins)).cast("int")) for t in range(1, probes + 1))
-                nearest = F.array_min(F.transform(f, lambda b: F.struct(F.xxhash64(i, b["bin"] + bins).alias("h"), b["code"].alias("code"))))["code"]
-                return F.coalesce(*tried, nearest)
+                nearest = F.array_min(F.transform(f, lambda b: F.struct(F.xxhash64(i, b["bin"] + bins).alias("k"), b["h"].alias("h"))))["h"]
+                return F.xxhash64(F.coalesce(*tried, nearest), i)
 
-            return F.transform(at, lambda code, i: F.coalesce(code, lend(i)))
+            return F.transform(at, lambda h, i: F.coalesce(h, lend(i)).bitwiseAND(low).cast("int"))
 
         return let(filled, lambda f: let(spread(f), lambda at: borrow(f, at)))
 
@@ -103,32 +103,49 @@ def likeness(a: Column, b: Column, bins: int = BINS, bits: int = BITS) -> Column
     return let(F.struct(F.encode(a, "US-ASCII").alias("x"), F.encode(b, "US-ASCII").alias("y")), compare)
 
 
+def _buckets(df: DataFrame, key: str) -> tuple[Column, int]:
+    """A bucket of each key, in the order of keys, null ones first, and the number of rows: between QUANTILES quantiles of all keys equal widths, so that about BUCKET_ROWS rows fall into each wherever keys lie."""
+    k = F.col(key).cast("long")
+    cuts, low, n = df.agg(F.approx_percentile(k, [i / QUANTILES for i in range(1, QUANTILES)], 20 * QUANTILES), F.min(k), F.count(F.lit(1))).first()
+    edges = sorted({low, *(cuts or ())} - {None})
+    inner = max(1, n // (QUANTILES * BUCKET_ROWS))  # buckets between two quantiles
+    widths = [max(1.0, (b - a) / inner) for a, b in zip(edges, [*edges[1:], edges[-1] + 1], strict=True)] if edges else []
+
+    def place(q: Column) -> Column:
+        start, width = F.element_at(F.array(*map(F.lit, edges)), q), F.element_at(F.array(*map(F.lit, widths)), q)
+        return q.cast("long") * (1 << 40) + F.floor((k.cast("double") - start) / width)
+
+    if not edges:
+        return F.lit(0).cast("long"), n
+    at = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= k))
+    return F.when(k.isNull(), 0).otherwise(let(at, place)).cast("long"), n
+
+
 def with_next(df: DataFrame, carried: list[str], key: str = "doc_id", tie: str = "text") -> DataFrame:
-    """df with ``next_<column>`` of the row that follows in the order of key (after the last: the first).
+    """df with ``next_<column>`` of the row that follows in the order of key, and of tie where keys are equal (after the last: the first). Null keys come first.
 
-    Rows fall into buckets of neighbouring keys, each with about BUCKET_ROWS rows; the first row of a bucket is also
-    dealt to the bucket before it. So each row is shuffled about once, and no task holds more than a bucket. Null keys come first.
+    Rows fall into buckets of neighbouring keys; the first row of a bucket is also dealt to the bucket before it. So each row is shuffled about once, and a task sorts
+    one bucket at a time; rows of one key stand in one bucket.
     """
-    ids = df.select(F.coalesce(F.col(key), F.lit(-(1 << 62))).alias("_key"))
-    low, high, n = ids.agg(F.min("_key"), F.max("_key"), F.count(F.lit(1))).first()
+    bucket, n = _buckets(df, key)
     if not n:
         return df.select("*", *(F.col(c).alias(f"next_{c}") for c in carried))
-    low = ids.filter(f"_key > {-(1 << 62)}").agg(F.min("_key")).first()[0] if low == -(1 << 62) and low != high else low
-    width = max(1, (high - low + 1) * BUCKET_ROWS // n)
-    bucket = F.greatest(F.lit(-1), F.floor((F.col("_key") - low) / width)).cast("long")
-    heads = ids.groupBy(bucket.alias("_bucket")).agg(F.min("_key").alias("_head"))
-    buckets = heads.count()
-    whole = Window.orderBy("_bucket")  # one row a bucket
-    heads = heads.select(F.coalesce(F.lag("_bucket").over(whole), F.max("_bucket").over(Window.partitionBy())).alias("_before"), "_head")
-    if buckets <= BROADCAST_HEADS:
+    part = F.shiftright("_bucket", 40)
+    heads = df.groupBy(bucket.alias("_bucket")).agg(F.min(F.col(key).cast("long")).alias("_head"))
+    lasts = heads.groupBy(part.alias("_part")).agg(F.max("_bucket").alias("_last"))  # a row a quantile
+    around = Window.orderBy("_part")
+    lasts = lasts.select("_part", F.coalesce(F.lag("_last").over(around), F.max("_last").over(Window.partitionBy())).alias("_far"))
+    near = F.lag("_bucket").over(Window.partitionBy("_part").orderBy("_bucket"))
+    heads = heads.withColumn("_part", part).withColumn("_near", near).join(F.broadcast(lasts), "_part").select(F.coalesce("_near", "_far").alias("_before"), F.col("_bucket").alias("_own"), "_head")
+    if n // BUCKET_ROWS <= BROADCAST_HEADS:
         heads = F.broadcast(heads)
-    keyed = df.withColumn("_key", F.coalesce(F.col(key), F.lit(-(1 << 62)))).withColumn("_bucket", bucket)
-    dealt = keyed.join(heads, keyed["_key"] == heads["_head"], "left").drop("_head")
+    keyed = df.withColumn("_bucket", bucket)
+    dealt = keyed.join(heads, (keyed["_bucket"] == heads["_own"]) & F.col(key).cast("long").eqNullSafe(heads["_head"]), "left").drop("_head", "_own")
     places = F.filter(F.array(F.struct(F.col("_bucket").alias("b"), F.lit(True).alias("own")), F.struct(F.col("_before").alias("b"), F.lit(False).alias("own"))), lambda p: p["b"].isNotNull())
     dealt = dealt.withColumn("_place", F.explode(places))
     # a foreign row follows all rows of the bucket, also where the last bucket is followed by the first
-    order = Window.partitionBy("_place.b").orderBy(F.desc("_place.own"), "_key", tie)
-    return dealt.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in carried)).filter("_place.own").drop("_place", "_key", "_bucket", "_before")
+    order = Window.partitionBy("_place.b").orderBy(F.desc("_place.own"), F.asc_nulls_first(key), tie)
+    return dealt.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in carried)).filter("_place.own").drop("_place", "_bucket", "_before")
 
 
 def edited(text: Column, following: Column) -> Column:

@@ -2,14 +2,15 @@
 
 A media column is a binary column holding one whole image file a row. ``decode`` reads
 
-* Netpbm P1 to P6 (plain and raw bit maps, grey maps, pixel maps) with up to 16 bits a sample, and
-* BMP with 1, 4, 8, 24 or 32 bits a pixel, uncompressed, bottom-up or top-down,
+* Netpbm P1 to P6 (plain and raw bit maps, grey maps, pixel maps) with up to 16 bits a sample; samples under another maximum than 255 or 65535 are scaled
+  to the full range (halves up), and
+* BMP with 1, 4, 8, 16, 24 or 32 bits a pixel, uncompressed or with channel masks, bottom-up or top-down,
 
-into ``uint8``/``uint16`` arrays of shape (height, width) or (height, width, 3). Every row is handled on its own in a
+into ``uint8``/``uint16`` arrays of shape (height, width) or (height, width, 3), of at least one sample. Every row is handled on its own in a
 ``mapInArrow`` pass: no shuffle, memory bounded by one Arrow batch.
 
-Null media gives null features; bytes that are no such image give null features and a text in ``media_error``. Empty
-tables give empty results, repeated rows give repeated results, and columns of the input are kept (a clash with an
+Null media gives null features; whatever bytes are no such image, cut off, of no or too many samples (``MOST_SAMPLES``), or with a sample above its maximum, give null features and a text in
+``media_error``. Texts of any length are stored whole. Empty tables give empty results, repeated rows give repeated results, and columns of the input are kept (a clash with an
 output name is resolved in favour of the output).
 """
 
@@ -32,6 +33,8 @@ from . import common
 SIDE, PAD = 24, 255
 #: Height and width of the stored tile, and of the grid whose neighbours the difference hash compares.
 TILE, HASH_GRID = (16, 16), (8, 9)
+#: Samples that a decoded image may have; a header can claim any number.
+MOST_SAMPLES = 1 << 28
 
 _HEADER = re.compile(rb"\s*(?:#[^\r\n]*[\r\n]\s*)*(\d+)")
 
@@ -47,6 +50,13 @@ def _netpbm_numbers(data: bytes, at: int, count: int) -> tuple[list[int], int]:
     return found, at
 
 
+def _checked(width: int, height: int) -> int:
+    """Samples of a plane, if an image may have them."""
+    if not 0 < width * height <= MOST_SAMPLES:
+        raise ValueError("no samples, or too many")
+    return width * height
+
+
 def _decode_netpbm(data: bytes) -> np.ndarray:
     kind = data[1:2]
     bitmap, planes = kind in b"14", 3 if kind in b"36" else 1
@@ -55,7 +65,7 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
     top = 1 if bitmap else numbers[2]
     if not 0 < top < 65536:
         raise ValueError("bad Netpbm maximum")
-    n = width * height * planes
+    n = _checked(width, height) * planes
     if kind in b"123":
         body = re.sub(rb"#[^\r\n]*", b"", data[at:])
         values = re.findall(rb"[01]" if kind == b"1" else rb"\d+", body)[:n]
@@ -70,6 +80,11 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
         raise ValueError("short Netpbm body")
     if bitmap:
         samples = (1 - samples.astype(np.int64)) * 255  # 1 is black
+    elif samples.size and int(samples.max()) > top:
+        raise ValueError("Netpbm sample above its maximum")
+    elif top not in (255, 65535):
+        full = 255 if top < 256 else 65535
+        samples = (samples.astype(np.int64) * full + top // 2) // top
     samples = samples.astype(np.uint8 if top < 256 else np.uint16)
     return samples.reshape((height, width, 3) if planes == 3 else (height, width))
 
@@ -79,11 +94,23 @@ def _decode_bmp(data: bytes) -> np.ndarray:
     if head < 40:
         raise ValueError("old BMP header")
     width, height, _, bits, packing = struct.unpack_from("<iiHHI", data, 18)
-    if packing not in (0, 3) or bits not in (1, 4, 8, 24, 32) or width <= 0 or height == 0:
+    if packing not in (0, 3) or (packing == 3 and bits not in (16, 32)) or bits not in (1, 4, 8, 16, 24, 32) or width <= 0:
         raise ValueError("unsupported BMP")
     rows, stride = abs(height), (width * bits + 31) // 32 * 4
+    _checked(width, rows)
     body = np.frombuffer(data, np.uint8, rows * stride, offset).reshape(rows, stride)
-    if bits >= 24:
+    if packing == 3 or bits == 16:
+        masks = struct.unpack_from("<III", data, 54) if packing == 3 else (0x7C00, 0x3E0, 0x1F)
+        words = np.ascontiguousarray(body[:, : width * bits // 8]).view("<u2" if bits == 16 else "<u4").astype(np.int64)
+        planes = []
+        for mask in masks:
+            shift = (mask & -mask).bit_length() - 1
+            top = mask >> shift if mask else 0
+            if mask == 0 or top & (top + 1):
+                raise ValueError("bad BMP channel mask")
+            planes.append((((words & mask) >> shift) * 255 + top // 2) // top)
+        image = np.stack(planes, axis=2).astype(np.uint8)
+    elif bits >= 24:
         image = body[:, : width * bits // 8].reshape(rows, width, bits // 8)[:, :, 2::-1]
     else:
         used = struct.unpack_from("<I", data, 46)[0] or 1 << bits
@@ -217,10 +244,11 @@ def media_features(df: DataFrame, media: str = "media") -> DataFrame:
         stored = (len(data), hashlib.sha256(data).hexdigest())
         try:
             image = decode(data)
-        except (ValueError, struct.error, IndexError) as e:
-            return (None,) * 5 + stored + (None, None, str(e))
+            hashed, tile = difference_hash(image), _tile(image)
+        except (ValueError, struct.error, IndexError, OverflowError, MemoryError) as e:  # whatever bytes a column holds, its other rows go on
+            return (None,) * 5 + stored + (None, None, str(e) or type(e).__name__)
         payload = image.tobytes()
-        return (*image.shape[:2], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *stored, difference_hash(image), _tile(image), None)
+        return (*image.shape[:2], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *stored, hashed, tile, None)
 
     def features(batches):
         for batch in batches:

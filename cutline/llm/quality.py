@@ -5,8 +5,8 @@ words and lines), taken through logarithms or logits so that a class is closer t
 mean and the Cholesky factor of its covariance, shrunk towards a multiple of the identity; the score is the logistic
 of the difference of the two log densities (Mahalanobis distances plus log determinants) and the log prior odds.
 
-The fit takes at most ``TRAIN_ROWS`` labelled rows, the first in the order of a hash of the id; only their statistics come
-to the driver. Scoring is one ``mapInArrow`` pass without a shuffle. Null texts count as empty, repeated rows get
+The fit takes at most ``TRAIN_ROWS`` labelled rows, the first in the order of a hash of the id, each with one text of its id (the smallest, where rows share an id); only their statistics come
+to the driver. Texts of any length are read whole. Scoring is one ``mapInArrow`` pass without a shuffle. Null texts count as empty, repeated rows get
 repeated scores, an empty table an empty result; labels of null or for ids without document are ignored. Without
 labelled rows of both classes there is no model, and ``fit`` says so; the query then gives every document the score ``NEUTRAL``.
 """
@@ -140,8 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, shrinkage: f
         .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
         .limit(rows)
     )
-    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = add_statistics(known).orderBy("doc_id", "quality").limit(4 * rows).toPandas()
+    first = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))  # ids may repeat: a text each
+    got = add_statistics(first.join(F.broadcast(chosen), "doc_id")).orderBy("doc_id", "quality").toPandas()
     return Discriminant.fit(np.array(got["statistics"].tolist(), dtype=float).reshape(-1, len(STATISTICS)), got["quality"].to_numpy())
 
 

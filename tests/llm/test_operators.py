@@ -3,6 +3,7 @@
 import hashlib
 import io
 import random
+import struct
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -67,9 +68,38 @@ def test_area_resize_is_the_mean_of_areas():
 
 
 def test_bad_media_are_named(spark):
-    df = spark.createDataFrame([(1, bytearray(b"P5\n9 9\n255\nshort")), (2, None), (3, bytearray(b"BM"))], "id int, media binary")
+    bad = [b"P5\n9 9\n255\nshort", b"BM", b"P5\n0 0\n255\n", b"P5\n99999999999999999999 3\n255\n", b"P2\n1 1\n255\n300", b"P6\n1 1\n0\n", b"GIF89a", b"P2\n2 1\n9\n1", b"", media.encode_bmp(np.zeros((2, 2), np.uint8))[:60]]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(bad)] + [(98, None), (99, bytearray(b"P5\n1 1\n255\nx"))], "id int, media binary")
     got = {r.id: r for r in media.media_features(df).collect()}
-    assert got[1].feature is None and got[1].media_error and got[2].media_error is None and got[3].media_error
+    assert all(got[i].feature is None and got[i].media_error and got[i].media_bytes == len(bad[i]) for i in range(len(bad)))
+    assert got[98].media_error is None and got[98].media_bytes is None and got[99].feature == "0" * 16 and got[99].media_error is None
+
+
+def test_samples_of_other_ranges():
+    assert media.decode(b"P2\n3 1\n3\n0 1 3").tolist() == [[0, 85, 255]] and media.decode(b"P5\n2 1\n1023\n\x03\xff\x02\x00").tolist() == [[65535, 32800]]
+    head = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 0, 0, 0, 66, 40, 2, -1, 1, 16, 3, 0, 0, 0, 0, 0) + struct.pack("<III", 0xF800, 0x7E0, 0x1F)
+    assert media.decode(head + struct.pack("<HH", 0xF800, 0x7FF)).tolist() == [[[255, 0, 0], [0, 255, 255]]]
+    head = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 0, 0, 0, 66, 40, 1, -1, 1, 32, 3, 0, 0, 0, 0, 0) + struct.pack("<III", 0xFF, 0xFF00, 0xFF0000)
+    assert media.decode(head + bytes([1, 2, 3, 0])).tolist() == [[[1, 2, 3]]]
+    for broken in (head[:54] + struct.pack("<III", 0, 0xFF00, 0xFF0000) + bytes(4), head[:54] + struct.pack("<III", 0x5, 0xFF00, 0xFF0000) + bytes(4)):
+        with pytest.raises(ValueError, match="mask"):
+            media.decode(broken)
+
+
+def test_hashes_compare_means_of_areas():
+    rng = np.random.default_rng(8)
+    for shape in ((5, 7), (24, 24), (31, 40)):
+        image = rng.integers(0, 256, shape).astype(np.uint8)
+        cells = np.zeros(media.HASH_GRID)
+        for i in range(8):
+            for j in range(9):
+                for y in range(shape[0]):
+                    for x in range(shape[1]):
+                        rows = max(0, min((i + 1) * shape[0] / 8, y + 1) - max(i * shape[0] / 8, y))
+                        cells[i, j] += image[y, x] * rows * max(0, min((j + 1) * shape[1] / 9, x + 1) - max(j * shape[1] / 9, x))
+        cells = (cells * 72 / (shape[0] * shape[1])).round(6)
+        bits = "".join("1" if a < b else "0" for row in cells for a, b in zip(row, row[1:], strict=False))
+        assert media.difference_hash(image) == f"{int(bits, 2):016x}"
 
 
 # 2 fingerprints
@@ -109,12 +139,24 @@ def test_fingerprints_of_awkward_texts(spark, docs):
 
 def test_next_rows_over_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 7)
-    keys = random.Random(4).sample(range(-5000, 10**9), 300)
-    ordered = sorted(keys)
+    monkeypatch.setattr(fingerprints, "QUANTILES", 6)
+    keys = random.Random(4).sample(range(-5000, 10**9), 200) + list(range(2000, 2100)) + [10**15, (1 << 62) + 5, -(1 << 62)]
+    ordered = sorted(set(keys))
+    df = spark.createDataFrame([(k, str(k)) for k in ordered], "doc_id long, text string")
     for few in (fingerprints.BROADCAST_HEADS, 0):
         monkeypatch.setattr(fingerprints, "BROADCAST_HEADS", few)
-        got = {r.doc_id: r.next_doc_id for r in fingerprints.with_next(spark.createDataFrame([(k, str(k)) for k in keys], "doc_id long, text string"), ["doc_id"]).collect()}
+        got = {r.doc_id: r.next_doc_id for r in fingerprints.with_next(df, ["doc_id"]).collect()}
         assert got == dict(zip(ordered, ordered[1:] + ordered[:1], strict=True))
+    bucket, _ = fingerprints._buckets(df, "doc_id")
+    assert df.groupBy(bucket).count().agg(F.max("count")).first()[0] <= 60  # one key far away does not gather the others
+    none = spark.createDataFrame([(None, "b"), (None, "a"), (4, "c")], "doc_id long, text string")
+    assert {(r.text, r.next_text) for r in fingerprints.with_next(none, ["text"]).collect()} == {("a", "b"), ("b", "c"), ("c", "a")}
+
+
+def test_single_shingles_differ(spark):
+    texts = spark.range(60).select(F.concat(F.lit("word"), F.col("id").cast("string")).alias("text")).select(fingerprints.fingerprint(F.col("text")).alias("f"))
+    pairs = texts.crossJoin(texts.withColumnRenamed("f", "g")).filter("f < g").select(fingerprints.likeness(F.col("f"), F.col("g")).alias("l"))
+    assert pairs.agg(F.max("l")).first()[0] < 0.05
 
 
 # 3 licences
@@ -274,8 +316,8 @@ def test_tokens_equal_the_library(spark, docs):
     for i, e in enumerate(library.encode_batch(texts, add_special_tokens=False)):
         assert got[i].kept == e.ids and got[i].decoded == library.decode(e.ids, skip_special_tokens=False)
     once = {r.doc_id: (r.ids, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip(df, path).collect()}
-    twice = {r.doc_id: (r.kept, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.decode(bpe.encode(df, path).withColumn("kept", F.col("ids")), path, digests=True).collect()}
-    assert once == twice
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    assert once == {i: (r.kept, len(r.kept), sha(np.array(r.kept, "<u4").tobytes()), sha(r.decoded.encode())) for i, r in got.items()}
     assert bpe.encode(docs, path).count() == docs.count() and bpe.encode(empty(spark), path).count() == 0
     assert {r.doc_id: r.n for r in bpe.encode(docs, path).select("doc_id", F.size("ids").alias("n")).collect()}[3] == 0
 
@@ -294,6 +336,8 @@ def test_language_of_awkward_texts(spark, docs, small):
     network = language.train(spark.read.parquet(f"{small}/documents.parquet"), per_language=20)
     got = {r.doc_id: r for r in language.predict(docs, network).collect()}
     assert got[3].lang_pred == got[4].lang_pred == got[9].lang_pred == "und" and got[3].score == 0
+    marks = spark.createDataFrame([(t,) for t in ("½ ² Ⅷ 12 _ !", "№ a")], "text string")
+    assert [r.lang_pred == "und" for r in language.predict(marks, network).collect()] == [True, False]
     assert language.predict(empty(spark), network).count() == 0
     x = np.random.default_rng(0).integers(0, 256, (9, language.WINDOW)).astype(np.uint8)
     e = network.embedding[x]
