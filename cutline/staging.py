@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or the checkpoint folder of the context; one of them must be set, as no other folder is known to be shared."""
+    """spark.checkpoint.dir, or the checkpoint folder of the context. Where neither is set a folder of our own, in local mode only: a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        named = tempfile.mkdtemp(prefix="spark-cutline-")
+        spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 

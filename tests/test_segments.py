@@ -55,7 +55,7 @@ def test_guided_cuts():
     assert guided(0, 10, 4, {}) == [3, 6]  # even pieces where nothing is scored
     assert guided(0, 8, 4, {2: 1.0, 4: 0.9})[0] in (2, 4)
     assert guided(0, 10, 6, {4: 1.0, 6: 1.0}) == [6]  # as good: the larger piece
-    assert guided(0, 6, 4, {2: 0.00005, 3: 0.0}) == [2]  # half a unit rounds up
+    assert guided(0, 6, 4, {2: 0.000076, 3: 0.00004}) == [2]  # in units of a ten-thousandth, halves up: 1 and 0
     cuts = guided(0, 1000, 7, {p: random.random() for p in range(1000)})
     borders = [0, *cuts, 1000]
     assert all(0 < b - a <= 7 for a, b in zip(borders, borders[1:], strict=False))
