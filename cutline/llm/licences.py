@@ -1,7 +1,7 @@
 """Licence scans: an exact set-similarity join of text blocks with licence templates.
 
-A block is a window of ``BLOCK`` words that starts every ``STEP`` words; a template is a set of words. A pair matches when
-the block holds at least ``CONTAINMENT`` of the template's words. The template words are put in the order of the number of
+A template is a set of words. A block is a window of words that fits it: where the template's text has up to M words (M is ``STEP``, or that doubled as often as needed), blocks of 2 M words start
+every M words, so a template that stands anywhere in a text stands in one block as a whole. A pair matches when the block holds at least ``CONTAINMENT`` of the template's words. The template words are put in the order of the number of
 documents that hold them, rarest first, over the whole corpus. Then
 
 * prefix filter: a matching block holds one of the template's first ``m - needed + 1`` words in that order,
@@ -10,10 +10,10 @@ documents that hold them, rarest first, over the whole corpus. Then
 
 and the pairs that are left are counted. Nothing is missed: each filter only drops pairs that can't match.
 
-Templates are a short list of at most ``MAX_TEMPLATES`` that goes to every task. Counting is one pass that leaves a row for each template
+Templates are a short list, sent to every task and refused above ``MAX_TEMPLATES``; whole licence texts and notices stand in it, and single statements. Counting is one pass that leaves a row for each template
 word and task, matching another, both ``mapInArrow``; documents are not shuffled.
 
-Beside the join, places are found where given phrases stand word by word. Null texts have no words, repeated rows give repeated results, an empty table an empty one; other
+Beside the join, places are found where given phrases stand word by word. Null and empty texts have no words, texts of any length are scanned whole, repeated rows give repeated results, an empty table an empty one; other
 columns are kept, those with names of outputs are replaced.
 """
 
@@ -29,11 +29,11 @@ from pyspark.sql import types as T
 
 from . import common
 
-BLOCK, STEP, CONTAINMENT, MAX_TEMPLATES = 40, 20, 0.8, 1000
+STEP, CONTAINMENT, MAX_TEMPLATES = 20, 0.8, 1000
 
 #: Phrases that must stand word by word, and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Statements of well-known licences and their labels; a template has at most STEP words.
+#: Public texts and notices of well-known licences, and statements that name them, with their labels.
 TEMPLATES = {
     "this work is released under the terms of the mit license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit",
@@ -43,6 +43,29 @@ TEMPLATES = {
     "this work is licensed under the gnu general public license version 3": "gpl-3",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
     "this source code form is subject to the terms of the mozilla public license": "mpl-2",
+    """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without
+    restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is
+    furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS
+    PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT
+    SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE
+    OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""": "mit",
+    """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the
+    above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+    disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+    INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY
+    DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+    INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN
+    IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""": "bsd",
+    """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in
+    all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE
+    AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER
+    TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""": "isc",
+    """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+    http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+    CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""": "apache-2",
+    """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License,
+    or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+    PARTICULAR PURPOSE. See the GNU General Public License for more details.""": "gpl-3",
 }
 
 #: Words: runs of a-z, 0-9 and anything beyond ASCII, after A-Z have been lower-cased.
@@ -53,6 +76,14 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_TABLE).split()
 
 
+def fitting_step(text: str) -> int:
+    """Words between the starts of the blocks that a template is held against; the blocks are twice as long."""
+    step = STEP
+    while step < len(words(text)):
+        step *= 2
+    return step
+
+
 class Templates:
     """Templates with their words in global order."""
 
@@ -60,13 +91,15 @@ class Templates:
         if len(templates) > MAX_TEMPLATES:
             raise ValueError(f"more than {MAX_TEMPLATES} templates")
         self.of_prefix: dict[bytes, list[int]] = {}
-        self.all: list[tuple[str, list[bytes], int]] = []
+        self.all: list[tuple[str, list[bytes], int, int]] = []
         for text, label in templates.items():
+            if not words(text):
+                raise ValueError("a template without words")
             ordered = sorted(set(words(text)), key=lambda w: (frequency.get(w, 0), w))
             needed = max(1, math.ceil(containment * len(ordered) - 1e-9))
             for w in ordered[: len(ordered) - needed + 1]:
                 self.of_prefix.setdefault(w, []).append(len(self.all))
-            self.all.append((label, ordered, needed))
+            self.all.append((label, ordered, needed, fitting_step(text)))
         self.prefixes = self.of_prefix.keys()
 
     def matches(self, found: list[bytes]) -> list[tuple[str, int, int, float]]:
@@ -74,25 +107,26 @@ class Templates:
         hits = self.prefixes & set(found)
         if not hits:
             return []
-        pairs = {
-            (block, t)
-            for at, w in enumerate(found)
-            if w in hits
-            for t in self.of_prefix[w]
-            for block in range(max(0, (at - BLOCK) // STEP + 1), at // STEP + 1)
-        }
+        pairs, held = set(), {}
+        for at, w in enumerate(found):
+            if w in hits:
+                for t in self.of_prefix[w]:
+                    step = self.all[t][3]
+                    pairs.update((block * step, t) for block in range(max(0, at // step - 1), at // step + 1))
         out = []
-        for block, t in sorted(pairs):
-            label, ordered, needed = self.all[t]
-            held = set(found[block * STEP : block * STEP + BLOCK])
-            if len(held) < needed:
+        for begin, t in sorted(pairs):
+            label, ordered, needed, step = self.all[t]
+            if (begin, step) not in held:
+                held[begin, step] = set(found[begin : begin + 2 * step])
+            block = held[begin, step]
+            if len(block) < needed:
                 continue
-            first = next(i for i, w in enumerate(ordered) if w in held)
+            first = next(i for i, w in enumerate(ordered) if w in block)
             if len(ordered) - first < needed:
                 continue
-            overlap = sum(w in held for w in ordered[first:])
+            overlap = sum(w in block for w in ordered[first:])
             if overlap >= needed:
-                out.append((label, block * STEP, min(len(found), block * STEP + BLOCK) - 1, overlap / len(ordered)))
+                out.append((label, begin, min(len(found), begin + 2 * step) - 1, overlap / len(ordered)))
         return out
 
 
@@ -161,12 +195,12 @@ def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    values = lambda d: ", ".join(f"('{t}', '{label}')" for t, label in d.items())
+    values = lambda d, more: ", ".join(f"('{' '.join(w.decode() for w in words(t))}', '{label}'{more(t)})" for t, label in d.items())
     return rf"""
 WITH t AS (
-  SELECT label, list_distinct(string_split(phrase, ' ')) AS tw FROM (VALUES {values(TEMPLATES)}) v(phrase, label)
+  SELECT label, step, list_distinct(string_split(phrase, ' ')) AS tw FROM (VALUES {values(TEMPLATES, lambda t: f", {fitting_step(t)}")}) v(phrase, label, step)
 ), p AS (
-  SELECT label, string_split(phrase, ' ') AS pw FROM (VALUES {values(PHRASES)}) v(phrase, label)
+  SELECT label, string_split(phrase, ' ') AS pw FROM (VALUES {values(PHRASES, lambda t: '')}) v(phrase, label)
 ), d AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w,
          row_number() OVER () AS rid
@@ -176,10 +210,10 @@ WITH t AS (
 ), bb AS (
   SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word FROM b GROUP BY rid
 ), k AS (
-  SELECT rid, unnest(range((len(w) + {STEP - 1}) // {STEP})) AS blk, w FROM d
+  SELECT rid, step, unnest(range((len(w) + step - 1) // step)) * step AS b, w FROM d, (SELECT DISTINCT step FROM t)
 ), m AS (
-  SELECT rid, label, len(list_intersect(tw, list_slice(w, blk * {STEP} + 1, blk * {STEP} + {BLOCK}))) / len(tw)::DOUBLE AS held
-  FROM k, t WHERE len(list_intersect(tw, list_slice(w, blk * {STEP} + 1, blk * {STEP} + {BLOCK}))) >= {CONTAINMENT} * len(tw) - 1e-9
+  SELECT rid, label, len(list_intersect(tw, list_slice(w, b + 1, b + 2 * k.step))) / len(tw)::DOUBLE AS held
+  FROM k JOIN t ON t.step = k.step WHERE len(list_intersect(tw, list_slice(w, b + 1, b + 2 * k.step))) >= {CONTAINMENT} * len(tw) - 1e-9
 ), l AS (
   SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM b UNION SELECT rid, label FROM m) GROUP BY rid
 ), bl AS (

@@ -5,12 +5,12 @@ copies are prefix-summed in order of size, one random offset is added, and a cop
 that the running sum crosses. As neighbours in the order have like sizes, the words taken come within about one
 document of the target.
 
-The prefix sum is done in two levels, so that a source with a third of all rows is not one task's work: documents fall
-into buckets (size class, salt), a small table holds how many documents stand before each bucket, and a window numbers
-the rows within a bucket. The number of salts grows with the table.
+The prefix sum is done in two levels, so that a source with a third of all rows, or many documents of one size, is not one task's work: documents fall
+into buckets (size class, one of ``SALTS`` by a hash of the id), a small table holds how many documents stand before each bucket, and a window numbers
+the rows within a bucket. The order is the same at every size of the table. Sources are taken to be few (a row each is sorted in one task).
 
-Null texts have size 0, null sources are a source of their own (last), repeated rows are documents of their own, an
-empty table gives an empty result, a source without words gets nothing. Other columns are kept.
+Null texts have size 0, null sources are a source of their own (last), repeated rows are documents of their own (rows alike in size and id are interchangeable), null ids come first in their
+bucket, texts of any length are counted whole, an empty table gives an empty result, a source without words gets nothing. Other columns are kept, those named like outputs replaced.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from . import common
 
 #: Words to take over words there are; most copies of a document; weights of the sources in order, repeated.
 SHARE, CAP, WEIGHTS = 1.5, 2.0, (3.0, 1.0, 2.0)
-#: One salt for this many rows of the table.
-ROWS_A_SALT = 2_000_000
+#: Parts of each size class, and so tasks that a class of one source can be spread over.
+SALTS = 64
 
 
 def n_words(text: Column) -> Column:
@@ -73,10 +73,14 @@ def cycled(weights=WEIGHTS):
 
 def mix(docs: DataFrame, weigh=cycled(), share: float = SHARE, cap: float = CAP, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """docs with ``size``, ``source_size``, ``target`` and ``copies``. weigh adds ``weight`` to a table of sources."""
-    base = docs.drop("size", "source_size", "target", "copies").select("*", *_source_columns(source), n_words(F.col(text)).alias("size"))
+    return mix_sized(docs.withColumn("size", n_words(F.col(text))), weigh, share, cap, seed, doc_id, source)
+
+
+def mix_sized(docs: DataFrame, weigh=cycled(), share: float = SHARE, cap: float = CAP, seed: str = "mix", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+    """The same for documents whose ``size`` is known; docs is read three times, twice for its sources and sizes only."""
+    base = docs.drop("source_size", "target", "copies").select("*", *_source_columns(source))
     by_source = base.groupBy("_none", "_source").agg(F.sum("size").alias("source_size"))
-    salts = 1 + docs.count() // ROWS_A_SALT
-    salt = F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") % salts
+    salt = F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") % SALTS
     base = base.withColumn("_class", _size_class(F.col("size"))).withColumn("_salt", salt)
 
     bucket = ["_none", "_source", "_class", "_salt"]
@@ -103,8 +107,8 @@ def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes of it."""
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    mixed = mix(docs)
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    mixed = mix_sized(common.written(docs, "sizes"))  # words are counted once
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
@@ -129,7 +133,7 @@ WITH d AS (
   FROM l
 ), b AS (
   SELECT d.*, length(bin(size)) * 8 + (size * 8) // (1::BIGINT << (length(bin(size)) - 1)) - 8 AS cls,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % (1 + (SELECT count(*) FROM documents) // {ROWS_A_SALT}) AS salt
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % {SALTS} AS salt
   FROM d
 ), n AS (
   SELECT b.*, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,

@@ -181,11 +181,25 @@ def test_licence_filters_drop_no_pair():
         found = [rng.choice(vocabulary) for _ in range(rng.randint(0, 130))]
         want = set()
         for block in range((len(found) + licences.STEP - 1) // licences.STEP):
-            held = set(found[block * licences.STEP : block * licences.STEP + licences.BLOCK])
+            held = set(found[block * licences.STEP : block * licences.STEP + 2 * licences.STEP])
             want |= {(label, block * licences.STEP) for t, label in templates.items() if len(held & set(licences.words(t))) >= 0.8 * len(set(licences.words(t))) - 1e-9}
         assert {(m[0], m[1]) for m in known.matches(found)} == want
 
 
+def test_whole_licence_texts_match_at_every_offset():
+    known = licences.Templates(licences.TEMPLATES, {}, licences.CONTAINMENT)
+    filler = [f"filler{i}".encode() for i in range(500)]
+    for text, label in licences.TEMPLATES.items():
+        own = licences.words(text)
+        for offset in range(0, licences.fitting_step(text) + 1, 7):
+            found = known.matches(filler[:offset] + own + filler[offset:])
+            assert any(m[0] == label and m[3] == 1.0 and m[1] <= offset and m[2] >= offset + len(own) - 1 for m in found), (label, offset)
+        half = known.matches(filler[:9] + own[: len(own) // 3] + filler[9:])
+        assert len(own) < 60 or not any(m[0] == label and m[3] == 1.0 and m[2] - m[1] > 150 for m in half)
+    with pytest.raises(ValueError, match="without words"):
+        licences.Templates({" .": "none"}, {}, 0.8)
+
+
 # 4 mixing
 
 
@@ -211,7 +225,11 @@ def test_mix_meets_its_targets(spark):
 
 def test_mix_of_awkward_tables(spark, docs):
     got = mixing.mix(docs)
-    assert got.count() == docs.count() and mixing.mix(empty(spark)).count() == 0
+    rows = got.collect()
+    words = lambda t: len((t or "").split())
+    assert Counter((r.doc_id, r.text, r.source, r.size) for r in rows) == Counter((r.doc_id, r.text, r.source, words(r.text)) for r in docs.collect())
+    assert {r.source: r.source_size for r in rows} == {s: sum(words(r.text) for r in rows if r.source == s) for s in ("a", "b", "c", None)}
+    assert all(0 <= r.copies <= 2 and r.score == "mine" for r in rows) and {r.copies for r in rows if r.source is None} == {0} and mixing.mix(empty(spark)).count() == 0
     assert mixing.repeated(got, ["doc_id", "labels"]).filter("labels = 'mine'").count() == got.agg(F.sum("copies")).first()[0]
 
 
