@@ -4,27 +4,29 @@ Strings ("windows") never cross documents, overlaps count, and all are judged on
 suffixes is not needed for this, only which windows are equal, so suffixes are compared where they meet:
 
 1. *Gathering.* Each window is named by the smallest hash of its ``GRAM``-byte grams. A *stretch* is a run of window starts
-   with one name; equal windows have one name, wherever they stand. Stretches meet by name; a task sends those of one
-   text once, however many copies it has.
-2. *Equal stretches* need no look at bytes: all windows of a stretch that occurs twice are repeats. Of the others, only
-   those are looked at whose name has several different stretches, or occurs twice in its text. One text of each is fetched.
-3. *Bucket-pointer refinement* finds the equal windows among them: suffixes start in buckets by their first ``Q`` bytes;
+   with one name; equal windows have one name, wherever they stand. Equal stretches are one class, known by name and a second hash; one text of each class is looked at, and whether it
+   occurs elsewhere too. A class that has its name to itself and occurs once has no repeats.
+2. *Bucket-pointer refinement* finds the equal windows among the classes of a name: suffixes start in buckets by their first ``Q`` bytes;
    buckets are refined by sorting on the bucket of the suffix Q further on, and the refined buckets serve the next pass in
-   turn (2Q, 4Q, ... up to LENGTH). Suffixes alone in a bucket leave at once. A name with more than ``HOT`` different stretches is not
-   one task's work: its windows are counted by hash, which sums before it shuffles.
+   turn (2Q, 4Q, ... up to LENGTH). Suffixes alone in a bucket leave at once, unless their class occurs elsewhere.
+3. *Hot names.* A name of more than ``HOT`` classes is not one task's work: a short line that stands in very many documents names stretches that differ around it. Its windows are
+   split into those whose anchor (the first place of the smallest gram) lies in the first and in the second half of where it can lie, and each half by the bytes that all its windows share; equal
+   windows stay together. What is still hot is split again, until windows of one anchor place share all their bytes and are one class. The parts are refined like names.
 4. *Removal.* Repeated windows go back to all places of their stretch; each document's are merged and cut out.
 
-Stretches are equal up to collisions of two 64-bit hashes; refinement is exact. Null texts are empty; texts shorter than
-LENGTH lose nothing; of repeated texts of LENGTH bytes or more nothing is left; an empty table gives an empty result; rows may share a doc_id.
+Classes and texts are told apart by 128 bits of hashes; which windows are equal within them is decided on their bytes. Null texts are empty; texts shorter than
+LENGTH lose nothing; texts of any length are read whole, one at a time; of repeated texts (and rows) of LENGTH bytes or more nothing is left; an empty table gives an empty result; rows may share a doc_id or have
+none, and each is judged on its own; of the input only doc_id (of any type) and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutline.session import sound_unions
@@ -34,7 +36,7 @@ from .common import written
 from .hashing import BYTE_VALUES, mixed, run_hashes
 
 LENGTH, GRAM, Q = 200, 32, 8
-#: Different stretches of a name up to which one task refines them; bytes that are refined, or scanned, at once; texts that a
+#: Classes of a name up to which one task refines them as they are; bytes that are refined, or scanned, at once; texts that a
 #: task remembers to have sent.
 HOT, REFINED_BYTES, SCANNED_BYTES, SEEN = 2000, 4_000_000, 250_000, 200_000
 
@@ -89,27 +91,29 @@ def stretches(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tup
     return own, first - edges[own], last - first + 1, name.view(np.int64), run_hashes(data, first, last + length).view(np.int64), twice
 
 
-def _numbered(values: np.ndarray) -> np.ndarray:
-    """Equal numbers for equal values, 0 for a value that stands alone."""
+def _numbered(values: np.ndarray, double: np.ndarray) -> np.ndarray:
+    """Equal numbers for equal values, 0 for a value that stands alone and is not flagged double."""
     order = np.argsort(values, kind="stable")
     ranked = values[order]
     number = np.cumsum(np.append(True, ranked[1:] != ranked[:-1]))
+    times = np.bincount(number) + np.bincount(number, weights=double[order])
     out = np.empty(len(values), np.int64)
-    out[order] = np.where(np.bincount(number)[number] > 1, number, 0)
+    out[order] = np.where(times[number] > 1, number, 0)
     return out
 
 
-def refined(pieces: list[bytes], length: int = LENGTH, q: int = Q) -> np.ndarray:
-    """For each byte of the joined pieces a bucket: the same for equal strings of length bytes, 0 for one that stands alone or runs out of its piece."""
+def refined(pieces: list[bytes], length: int = LENGTH, q: int = Q, again: list[bool] | None = None) -> np.ndarray:
+    """For each byte of the joined pieces a bucket: the same for equal strings of length bytes, 0 for one that stands alone or runs out of its piece. Pieces flagged again occur elsewhere as well."""
     data = np.frombuffer(b"".join(pieces), np.uint8)
-    ends = np.cumsum(list(map(len, pieces)))
-    stop = np.repeat(ends, list(map(len, pieces)))
+    sizes = list(map(len, pieces))
+    stop = np.repeat(np.cumsum(sizes), sizes)
+    double = np.repeat(np.array(again, bool) if again is not None else np.zeros(len(pieces), bool), sizes)
     bucket = np.zeros(len(data), np.int64)
     at = np.flatnonzero(np.arange(len(data)) + q <= stop)
     packed = np.zeros(len(at), _U)
     for j in range(q):
         packed = packed << _U(8) | data[at + j].astype(_U)
-    bucket[at] = _numbered(packed)
+    bucket[at] = _numbered(packed, double[at])
     depth = q
     while depth < length:
         ahead = min(depth, length - depth)
@@ -117,7 +121,7 @@ def refined(pieces: list[bytes], length: int = LENGTH, q: int = Q) -> np.ndarray
         at = at[bucket[at + ahead] > 0]
         pointers = bucket[at] * (bucket.max() + 1) + bucket[at + ahead]
         bucket = np.zeros(len(data), np.int64)
-        bucket[at] = _numbered(pointers) if len(at) else 0
+        bucket[at] = _numbered(pointers, double[at]) if len(at) else 0
         depth += ahead
     return bucket
 
@@ -129,7 +133,7 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scanned(docs: DataFrame, length: int) -> DataFrame:
-    """Stretches of docs (doc_id, data, th)."""
+    """Stretches of docs (doc_id, data, th). A task sends those of one text once."""
 
     def blocks(data: list[bytes]):
         size = begin = 0
@@ -140,28 +144,32 @@ def _scanned(docs: DataFrame, length: int) -> DataFrame:
                 size, begin = 0, i + 1
 
     def run(batches):
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
-            th = batch.column("th").to_numpy()
+            th = batch.column("th")
             take = []
-            for i, t in enumerate(th.tolist()):
+            for i, t in enumerate(th.to_pylist()):
                 if t not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(t)
                     take.append(i)
             ids, data = batch.column("doc_id").take(pa.array(take, pa.int64())), batch.column("data").take(pa.array(take, pa.int64())).to_pylist()
-            th = th[take]
+            th = th.take(pa.array(take, pa.int64()))
             for a, b in blocks(data):
                 own, first, n, name, whole, twice = stretches(data[a:b], length)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "th": pa.array(th[a:b][own]), "doc_id": ids.slice(a, b - a).take(pa.array(own)), "first": pa.array(first.astype(np.int32)),
+                        "th": th.slice(a, b - a).take(pa.array(own)), "doc_id": ids.slice(a, b - a).take(pa.array(own)), "first": pa.array(first.astype(np.int32)),
                         "n": pa.array(n.astype(np.int32)), "name": pa.array(name), "whole": pa.array(whole), "twice": pa.array(twice),
                     }
                 )
 
-    return docs.mapInArrow(run, "th long, doc_id long, first int, n int, name long, whole long, twice boolean")
+    return docs.select("doc_id", "data", "th").mapInArrow(run, f"th binary, {_id(docs)}, first int, n int, name long, whole long, twice boolean")
+
+
+def _id(docs: DataFrame) -> str:
+    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -172,80 +180,127 @@ def _packed(docs: DataFrame) -> DataFrame:
             small = [zlib.compress(d, 1) for d in batch.column("data").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "th": batch.column("th"), "packed": pa.array(small, pa.binary())})
 
-    return docs.select("doc_id", "th", "data").mapInArrow(run, "doc_id long, th long, packed binary")
+    return docs.select("doc_id", "th", "data").mapInArrow(run, f"{_id(docs)}, th binary, packed binary")
+
+
+_PIECE = "key long, cls long, again boolean, piece binary"
+_PART = f"{_PIECE}, name long, lo int, hi int, of_name long, of_whole long, at int"
 
 
 def _cut(found: DataFrame, length: int) -> DataFrame:
-    """The bytes of each stretch of found (packed data, spans)."""
+    """The bytes of each stretch of found (packed data, spans): key is its name, cls its hash."""
 
     def run(batches):
         for batch in batches:
-            names, wholes, pieces = [], [], []
+            rows = []
             for data, spans in zip(batch.column("packed").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 data = zlib.decompress(data)
-                for x in spans:
-                    names.append(x["name"])
-                    wholes.append(x["whole"])
-                    pieces.append(data[x["first"] : x["first"] + x["n"] + length - 1])
-            for a in range(0, len(names), 2000):
-                part = slice(a, a + 2000)
-                yield pa.RecordBatch.from_pydict({"name": pa.array(names[part], pa.int64()), "whole": pa.array(wholes[part], pa.int64()), "piece": pa.array(pieces[part], pa.binary())})
+                rows += [(x["name"], x["whole"], x["again"], data[x["first"] : x["first"] + x["n"] + length - 1]) for x in spans]
+            for a in range(0, len(rows), 2000):
+                yield _batch(_PIECE, rows[a : a + 2000])
+
+    return found.select("packed", "spans").mapInArrow(run, _PIECE)
+
+
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
 
-    return found.select("packed", "spans").mapInArrow(run, "name long, whole long, piece binary")
 
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_pydict({name: pa.array(list(c), _KINDS[kind]) for (name, kind), c in zip(fields, columns, strict=True)})
 
-_VERDICT = "name long, whole long, starts array<int>, ends array<int>"
+
+_VERDICT = "key long, cls long, starts array<int>, ends array<int>"
 
 
 def _refine(pieces: DataFrame, length: int) -> DataFrame:
-    """Repeated window starts of each stretch, as runs; pieces of a name meet in one task."""
+    """Repeated window starts of each piece, as runs; pieces of a key meet in one task."""
 
     def verdicts(rows):
-        bucket = refined([r[2] for r in rows], length)
-        out, at = ([], [], [], []), 0
-        for name, whole, piece in rows:
+        bucket = refined([r[3] for r in rows], length, Q, [r[2] for r in rows])
+        out, at = [], 0
+        for key, cls, _, piece in rows:
             starts, ends = _runs(bucket[at : at + len(piece)] > 0)
             at += len(piece)
             if len(starts):
-                for o, x in zip(out, (name, whole, starts.tolist(), ends.tolist()), strict=True):
-                    o.append(x)
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-        return pa.RecordBatch.from_pydict({c: pa.array(o, k) for c, o, k in zip(("name", "whole", "starts", "ends"), out, kinds, strict=True)})
+                out.append((key, cls, starts.tolist(), ends.tolist()))
+        return _batch(_VERDICT, out)
 
     def run(batches):
         rows, size = [], 0
         for batch in batches:
-            for name, whole, piece in zip(*(batch.column(c).to_pylist() for c in ("name", "whole", "piece")), strict=True):
-                if rows and (name, whole) == rows[-1][:2]:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "cls", "again", "piece")), strict=True):
+                if rows and row[:2] == rows[-1][:2]:
                     continue  # the same row twice in the table
-                if rows and size >= REFINED_BYTES and name != rows[-1][0]:
+                if rows and size >= REFINED_BYTES and row[0] != rows[-1][0]:
                     yield verdicts(rows)
                     rows, size = [], 0
-                rows.append((name, whole, piece))
-                size += len(piece)
+                rows.append(row)
+                size += len(row[3])
         if rows:
             yield verdicts(rows)
 
-    return pieces.repartition("name").sortWithinPartitions("name", "whole").mapInArrow(run, _VERDICT)
+    return pieces.select("key", "cls", "again", "piece").repartition("key").sortWithinPartitions("key", "cls").mapInArrow(run, _VERDICT)
+
+
+def _digest(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
+
 
+def split_piece(piece: bytes, name: int, lo: int, hi: int, length: int = LENGTH, gram: int = GRAM):
+    """(lo, hi, key, first window, bytes) of the parts of a piece whose windows have their anchors lo to hi bytes behind their starts: halves of that range, by anchor and by the bytes all windows of a part share."""
+    grams = gram_hashes(np.frombuffer(piece, np.uint8), gram).view(np.int64)
+    anchors, begin = np.flatnonzero(grams == name).tolist(), 0
+    middle = (lo + hi) // 2
+    for p in anchors:
+        last = min(p, len(piece) - length)  # windows from begin on whose first anchor is p
+        for a, b in ((middle + 1, hi), (lo, middle)):
+            i, j = max(begin, p - b), min(last, p - a)
+            if i <= j:
+                shared = piece[p - a : p - b + length]
+                yield a, b, _digest(name.to_bytes(8, "little", signed=True), bytes([a, b]), shared), i, piece[i : j + length]
+        begin = p + 1
 
-def _counted(pieces: DataFrame, length: int) -> DataFrame:
-    """The same for names with very many stretches: windows counted by two hashes."""
+
+def _split(parts: DataFrame, length: int) -> DataFrame:
+    """Parts (_PART), each in its halves."""
 
     def run(batches):
         for batch in batches:
-            for name, whole, piece in zip(*(batch.column(c).to_pylist() for c in ("name", "whole", "piece")), strict=True):
-                data = np.frombuffer(piece, np.uint8)
-                at = np.arange(len(data) - length + 1)
-                k = len(at)
-                yield pa.RecordBatch.from_pydict(
-                    {"name": pa.array(np.full(k, name)), "whole": pa.array(np.full(k, whole)), "at": pa.array(at.astype(np.int32)), "window": pa.array(run_hashes(data, at, at + length).view(np.int64))}
-                )
-
-    windows = pieces.dropDuplicates(["name", "whole"]).mapInArrow(run, "name long, whole long, at int, window long")
-    often = windows.groupBy("name", "window").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("name", "window")
-    places = windows.join(often, ["name", "window"]).groupBy("name", "whole").agg(F.sort_array(F.collect_list("at")).alias("starts"))
-    return places.select("name", "whole", "starts", F.col("starts").alias("ends"))
+            rows = []
+            for key, cls, again, piece, name, lo, hi, of_name, of_whole, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                del key, cls
+                rows += [(k, _digest(bytes_), again, bytes_, name, a, b, of_name, of_whole, at + i) for a, b, k, i, bytes_ in split_piece(piece, name, lo, hi, length)]
+                if len(rows) > 2000:
+                    yield _batch(_PART, rows)
+                    rows = []
+            if rows:
+                yield _batch(_PART, rows)
+
+    return parts.select(*(f.split()[0] for f in _PART.split(", "))).mapInArrow(run, _PART)
+
+
+def _hot_verdicts(pieces: DataFrame, length: int, hot: int) -> DataFrame:
+    """The verdicts (name, whole, starts, ends) of pieces of hot names. Each round splits what is hot; at the last one windows of a key are equal, and so one class."""
+    whole = [F.col("key").alias("name"), F.lit(0).alias("lo"), F.lit(length - GRAM).alias("hi"), F.col("key").alias("of_name"), F.col("cls").alias("of_whole"), F.lit(0).alias("at")]
+    parts, verdicts = pieces.dropDuplicates(["key", "cls"]).select("key", "cls", "again", "piece", *whole), None
+    while True:
+        parts = written(_split(parts, length), "parts")
+        classes = parts.groupBy("key", "cls").agg(F.min(F.struct("of_name", "of_whole", "at")).alias("r"), F.count(F.lit(1)).alias("k"), F.max("again").alias("again"))
+        classes = written(classes.select("key", "cls", "r", ((F.col("k") > 1) | F.col("again")).alias("again")), "part-classes")
+        large = classes.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > hot).select("key")
+        hot_parts = written(parts.join(large, "key", "left_semi").filter("hi > lo"), "hot-parts")
+        keys = written(hot_parts.select("key").distinct(), "hot-keys")
+        chosen = classes.join(keys, "key", "left_anti").select("key", "cls", "again", "r.of_name", "r.of_whole", "r.at")
+        found = _refine(parts.drop("again").join(chosen, ["key", "cls", "of_name", "of_whole", "at"]), length)
+        moved = parts.select("key", "cls", "of_name", "of_whole", "at").join(found, ["key", "cls"])
+        shifted = lambda c: F.transform(c, lambda x: x + F.col("at")).alias(c)
+        own = moved.select(F.col("of_name").alias("name"), F.col("of_whole").alias("whole"), shifted("starts"), shifted("ends"))
+        verdicts = own if verdicts is None else verdicts.unionByName(own)
+        if hot_parts.isEmpty():
+            return verdicts
+        parts = hot_parts
 
 
 def _removed(docs: DataFrame, length: int) -> DataFrame:
@@ -270,7 +325,7 @@ def _removed(docs: DataFrame, length: int) -> DataFrame:
                 {"doc_id": batch.column("doc_id")} | {c: pa.array(list(x), k) for c, x, k in zip(("n_bytes", "n_removed", "n_spans", "kept"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)}
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return docs.mapInArrow(run, f"{_id(docs)}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -278,37 +333,33 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
     spark = docs.sparkSession
     common.small_batches(spark)
     sound_unions(spark)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("data"))
-    base = base.withColumn("th", F.xxhash64("data"))
-
-    by_name, by_whole = Window.partitionBy("name"), Window.partitionBy("name", "whole")
-    met = _scanned(base, length).select(
-        "*", F.count(F.lit(1)).over(by_name).alias("_k"), F.count(F.lit(1)).over(by_whole).alias("_same"),
-        F.min("whole").over(by_name).alias("_low"), F.max("whole").over(by_name).alias("_high"), F.max("twice").over(by_name).alias("_twice"),
-    )
-    look = (F.col("_low") != F.col("_high")) | F.col("_twice")
-    met = written(met.filter("_k > 1 or _twice").select("th", "doc_id", "first", "n", "name", "whole", (F.col("_same") > 1).alias("again"), look.alias("look")), "stretches")
-
-    classes = met.filter("look").groupBy("name", "whole").agg(F.min(F.struct("th", "doc_id", "first", "n")).alias("r"))
-    classes = written(classes.select("name", "whole", "r.*", (F.count(F.lit(1)).over(by_name) > hot).alias("hot")), "classes")
-
-    spans = classes.groupBy("th", F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("name", "whole", "first", "n")).alias("spans"))
-    pieces = _cut(_packed(base).join(spans, "th").filter(F.col("doc_id").eqNullSafe(F.col("of"))), length)
-    hot_names = classes.filter("hot").select("name").distinct()
+    base = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("data"))
+    base = base.withColumn("th", F.substring(F.unhex(F.sha2("data", 256)), 1, 16))
+
+    met = written(_scanned(base, length), "stretches")
+    place = F.struct("th", "first")
+    classes = met.groupBy("name", "whole").agg(F.min(F.struct("th", "first", "doc_id", "n")).alias("r"), (F.min(place) != F.max(place)).alias("again"), F.max("twice").alias("twice"))
+    names = classes.groupBy("name").agg(F.count(F.lit(1)).alias("k"), F.max("again").alias("again"), F.max("twice").alias("twice")).filter("k > 1 or again or twice")
+    looked = written(classes.select("name", "whole", "r.*", "again").join(names.select("name", (F.col("k") > hot).alias("hot")), "name"), "classes")
+
+    spans = looked.groupBy("th", F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("name", "whole", "first", "n", "again")).alias("spans")).withColumnRenamed("th", "of_th")
+    texts = _packed(base)
+    pieces = _cut(texts.join(spans, (F.col("th") == F.col("of_th")) & F.col("doc_id").eqNullSafe(F.col("of"))), length)
+    hot_names = looked.filter("hot").select(F.col("name").alias("key")).distinct()
+    named = lambda v: v.select(F.col("key").alias("name"), F.col("cls").alias("whole"), "starts", "ends")
     if hot_names.isEmpty():
-        verdicts = _refine(pieces, length)
+        verdicts = named(_refine(pieces, length))
     else:
-        pieces = written(pieces, "pieces")
-        verdicts = _refine(pieces.join(hot_names, "name", "left_anti"), length).unionByName(_counted(pieces.join(hot_names, "name", "left_semi"), length))
+        pieces, hot_names = written(pieces, "pieces"), written(hot_names, "hot-names")
+        verdicts = named(_refine(pieces.join(hot_names, "key", "left_anti"), length)).unionByName(_hot_verdicts(pieces.join(hot_names, "key", "left_semi"), length, hot))
     verdicts = written(verdicts, "verdicts")
 
-    full = met.filter("again").select("th", F.col("first").alias("a"), (F.col("first") + F.col("n") - 1).alias("b"))
-    part = met.filter("look and not again").join(verdicts, ["name", "whole"]).select("th", "first", F.explode(F.arrays_zip("starts", "ends")).alias("v"))
+    part = met.join(verdicts, ["name", "whole"]).select("th", "first", F.explode(F.arrays_zip("starts", "ends")).alias("v"))
     part = part.select("th", (F.col("first") + F.col("v.starts")).alias("a"), (F.col("first") + F.col("v.ends")).alias("b"))
     copied = base.groupBy("th").agg(F.count(F.lit(1)).alias("k"), F.first(F.length("data")).alias("size")).filter(F.col("k") > 1)
     copied = copied.select("th", F.lit(0).alias("a"), (F.col("size") - length).alias("b")).filter("b >= 0")
-    places = full.unionByName(part).unionByName(copied).distinct().groupBy("th").agg(F.collect_list(F.struct("a", "b")).alias("places"))
-    return _removed(_packed(base).join(places, "th", "left").select("doc_id", "packed", "places"), length)
+    places = part.unionByName(copied).distinct().groupBy("th").agg(F.collect_list(F.struct("a", "b")).alias("places"))
+    return _removed(texts.join(places, "th", "left").select("doc_id", "packed", "places"), length)
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -281,7 +281,7 @@ def brute(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [repeats.HOT, 1])
+@pytest.mark.parametrize("hot", [repeats.HOT, 1, 12])
 def test_repeats_against_brute_force(spark, hot):
     rng = random.Random(9)
     words = ["alpha", "beta", "gamma", "délta", "epsilon", "zeta"]
@@ -302,8 +302,35 @@ def test_repeats_against_brute_force(spark, hot):
 
 
 def test_repeats_of_awkward_tables(spark, docs):
+    rows = docs.select("doc_id", "text").collect()
+    want = Counter(zip([r.doc_id for r in rows], brute([(r.text or "").encode() for r in rows], repeats.LENGTH), strict=True))
     got = repeats.without_repeats(docs).collect()
-    assert len(got) == docs.count() and repeats.without_repeats(empty(spark)).count() == 0
+    assert Counter((r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept))) for r in got) == want
+    assert repeats.without_repeats(empty(spark)).count() == 0
+    named = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("doc_id"), "text")
+    assert repeats.without_repeats(named).filter("doc_id = 'none'").count() == 1
+
+
+def test_parts_of_a_piece_keep_equal_windows_together():
+    """Every window stands in one part of each round, and equal windows in parts of one key; at the end a part's windows are the bytes of its key."""
+    rng = random.Random(12)
+    line = bytes(rng.choices(b"abcdefgh", k=90))
+    texts = [bytes(rng.choices(b"abcdefgh", k=230)) + line + bytes(rng.choices(b"abcdefgh", k=230)) for _ in range(6)] + [b"ab" * 300]
+    texts += [texts[0][:400], texts[1][100:]]
+    parts = []
+    for text in texts:
+        own, first, n, name, _, _ = repeats.stretches([text])
+        parts += [(text[a : a + k + 199], int(x), 0, 168, a, text) for a, k, x in zip(first.tolist(), n.tolist(), name.tolist(), strict=True)]
+    while any(p[3] > p[2] for p in parts):
+        keys, new = {}, []
+        for piece, name, lo, hi, at, text in parts:
+            for a, b, key, i, sub in repeats.split_piece(piece, name, lo, hi) if hi > lo else ():
+                assert text[at + i : at + i + len(sub)] == sub
+                new.append((sub, name, a, b, at + i, text))
+                for j in range(len(sub) - 199):
+                    assert keys.setdefault(sub[j : j + 200], key) == key
+        assert sum(len(p[0]) - 199 for p in new) == sum(len(p[0]) - 199 for p in parts if p[3] > p[2])
+        parts = [p for p in new if p[3] > p[2]]
 
 
 def test_refinement_finds_equal_windows():
@@ -316,6 +343,9 @@ def test_refinement_finds_equal_windows():
         for i in range(len(p)):
             assert (bucket[at + i] > 0) == (i + 200 <= len(p) and windows[p[i : i + 200]] > 1)
         at += len(p)
+    alone = bytes(rng.choices(b"cd", k=210))  # known to occur elsewhere
+    bucket = repeats.refined([alone, pieces[0]], again=[True, False])
+    assert (bucket[:11] > 0).all() and not bucket[11:].any()
 
 
 # 7 tokens
