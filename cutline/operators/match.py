@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def option_names(help_text: Column, kind: Column) -> Column:
@@ -45,50 +45,77 @@ def unknown(used: DataFrame, known: DataFrame, by: list[str]) -> DataFrame:
     return used.join(known.select(*by).distinct(), by, "left_anti")
 
 
-def jaro_winkler(a: str, b: str) -> float:
-    """Similarity from 0 to 1: Jaro's, raised for a common prefix of up to four letters."""
-    if a == b:
-        return 1.0
-    n, m = len(a), len(b)
-    if not n or not m:
-        return 0.0
-    reach = max(max(n, m) // 2 - 1, 0)
-    taken, hits = [False] * m, []
-    for i, x in enumerate(a):
-        for j in range(max(0, i - reach), min(m, i + reach + 1)):
-            if not taken[j] and b[j] == x:
-                taken[j] = True
-                hits.append(x)
-                break
-    k = len(hits)
-    if not k:
-        return 0.0
-    swaps = sum(x != y for x, y in zip(hits, (y for y, t in zip(b, taken, strict=True) if t), strict=True)) // 2
-    jaro = (k / n + k / m + (k - swaps) / k) / 3
-    prefix = 0
-    for x, y in zip(a[:4], b[:4], strict=False):
-        if x != y:
-            break
-        prefix += 1
-    return jaro + prefix * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
-
-
-@F.pandas_udf(T.DoubleType())
-def similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """jaro_winkler of two columns, batch by batch."""
-    for a, b in pairs:
-        yield pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
-def suggestions(unknown_names: DataFrame, known: DataFrame, name: str, least: float = 0.75, block: Column | None = None, known_block: Column | None = None) -> DataFrame:
-    """The most similar known name of each unknown one, if its similarity is above least; of equals the first in order.
-
-    Only names of one block are compared (by default: the same first letter, dashes aside), which keeps this an equi join.
+def _codes(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of names in rows padded with -1, and their lengths."""
+    sizes = np.array([len(n) for n in names], np.int64)
+    out = np.full((len(names), max(1, int(sizes.max(initial=0)))), -1, np.int64)
+    for row, name in zip(out, names, strict=True):
+        row[: len(name)] = [ord(c) for c in name]
+    return out, sizes
+
+
+def jaro_winkler(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Similarity from 0 to 1 of each name of a with the name of b in the same row: Jaro's, raised for a common prefix of up to four letters. A letter of all rows at a time."""
+    (x, n), (y, m) = a, b
+    rows, width, columns = len(n), x.shape[1], np.arange(y.shape[1])
+    reach = np.maximum(np.maximum(n, m) // 2 - 1, 0)
+    taken = np.zeros((rows, y.shape[1]), bool)
+    hit = np.zeros((rows, width), bool)
+    for i in range(width):
+        fits = (y == x[:, i : i + 1]) & (x[:, i : i + 1] >= 0) & ~taken & (np.abs(columns - i) <= reach[:, None])
+        first, any_ = fits.argmax(1), fits.any(1)
+        taken[np.flatnonzero(any_), first[any_]] = True
+        hit[:, i] = any_
+    k = hit.sum(1)
+    most = int(k.max(initial=0))
+    order = lambda found, codes: np.take_along_axis(codes, np.argsort(~found, axis=1, kind="stable"), 1)[:, :most]
+    swaps = ((order(hit, x) != order(taken, y)) & (np.arange(most) < k[:, None])).sum(1) // 2 if most else np.zeros(rows, np.int64)
+    safe = np.maximum(k, 1)
+    jaro = np.where(k > 0, (k / np.maximum(n, 1) + k / np.maximum(m, 1) + (k - swaps) / safe) / 3, 0.0)
+    head = min(4, x.shape[1], y.shape[1])
+    prefix = np.cumprod((x[:, :head] == y[:, :head]) & (x[:, :head] >= 0), axis=1).sum(1) if head else np.zeros(rows, np.int64)
+    same = np.where((n == m) & (n == 0), 1.0, jaro)
+    return np.where(same > 0.7, same + prefix * 0.1 * (1 - same), same)
+
+
+#: Names of the vocabulary, and of the names asked for, that are compared at once.
+BLOCK = 512
+
+
+def suggestions(unknown_names: DataFrame, known: DataFrame, name: str, least: float = 0.75) -> DataFrame:
+    """The most similar known name of each unknown one, if its similarity is above least; of equals the first in order. Null names are left out.
+
+    Every unknown name is held against the whole vocabulary, as no bound on letters or lengths that a join could use is safe: both are dealt into blocks, and a task
+    compares a block with a block, vectorised; pairs with too few letters in common to reach least are dropped by their lengths first. Only a block's best goes on.
     """
-    first = lambda c: F.substring(F.regexp_replace(c, "^-+", ""), 1, 1)
-    a = unknown_names.select(F.col(name).alias("_a"), (block if block is not None else first(F.col(name))).alias("_b")).distinct()
-    k = known.select(F.col(name).alias("_k"), (known_block if known_block is not None else first(F.col(name))).alias("_b")).distinct()
-    near = F.least(F.length("_a"), F.length("_k")) * 2 >= F.greatest(F.length("_a"), F.length("_k"))
-    scored = a.join(k, "_b").filter(near).withColumn("_s", similarity(F.col("_a"), F.col("_k"))).filter(F.col("_s") > least)
-    best = scored.groupBy("_a").agg(F.min(F.struct((-F.col("_s")).alias("d"), F.col("_k").alias("k"))).alias("_m"))
-    return best.select(F.col("_a").alias(name), F.col("_m.k").alias("suggestion"), (-F.col("_m.d")).alias("similarity"))
+    distinct = lambda df: df.select(F.col(name).alias("_n")).filter("_n is not null").distinct()
+    a, k = distinct(unknown_names), distinct(known)
+    parts = max(1, -(-k.count() // BLOCK))
+    asked = max(1, -(-a.count() // BLOCK))
+    vocabulary = k.groupBy(F.pmod(F.hash("_n"), F.lit(parts)).alias("_b")).agg(F.sort_array(F.collect_list("_n")).alias("_known"))
+    blocks = a.groupBy(F.pmod(F.hash("_n"), F.lit(asked)).alias("_a")).agg(F.collect_list("_n").alias("_names"))
+    dealt = blocks.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(vocabulary, "_b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for names, words in zip(batch.column("_names").to_pylist(), batch.column("_known").to_pylist(), strict=True):
+                codes, sizes = _codes(words)
+                for one in names:
+                    short, long = np.minimum(sizes, len(one)), np.maximum(sizes, len(one))
+                    # with every letter of the shorter in common; a common prefix raises it by four tenths of the rest at most
+                    top = (2 + short / np.maximum(long, 1)) / 3
+                    near = np.flatnonzero(top + 0.4 * (1 - top) > least)
+                    if not len(near):
+                        continue
+                    own, size = _codes([one])
+                    s = jaro_winkler((np.repeat(own, len(near), 0), np.repeat(size, len(near))), (codes[near], sizes[near]))
+                    best = int(np.round(s, 12).argmax())  # words are sorted: the first of equals
+                    if s[best] > least:
+                        for o, v in zip(out, (one, words[near[best]], float(s[best])), strict=True):
+                            o.append(v)
+            yield pa.RecordBatch.from_pydict({"_n": pa.array(out[0], pa.string()), "_k": pa.array(out[1], pa.string()), "_s": pa.array(out[2], pa.float64())})
+
+    scored = dealt.select("_names", "_known").mapInArrow(compare, "_n string, _k string, _s double")
+    best = scored.groupBy("_n").agg(F.min(F.struct((-F.round("_s", 12)).alias("d"), F.col("_k").alias("k"), F.col("_s").alias("s"))).alias("_m"))
+    return best.select(F.col("_n").alias(name), F.col("_m.k").alias("suggestion"), F.col("_m.s").alias("similarity"))

@@ -34,9 +34,24 @@ def stream_projection(spark: SparkSession, sf: str) -> DataFrame:
     return streams.run_once(streams.projection(units, ["event_type"]), *_folders(spark, "projection"), mode="update", latest_by=["event_type"])
 
 
+#: Microseconds that an element waits for earlier ones of its series.
+LATE = 2 * 3600 * 1_000_000
+
+
 def stream_segments(spark: SparkSession, sf: str) -> DataFrame:
-    closed = streams.segments(_stream(spark, sf).select("user_id", "ts", "event_id", "value"), "user_id", "ts", "event_id", "value", 60.0, 3)
-    return streams.run_once(closed, *_folders(spark, "segments"))
+    """Segments of each user's events, closed by those that two hours of the user's own time have passed."""
+    found = streams.segments(_stream(spark, sf).select("user_id", "ts", "event_id", "value"), "user_id", "ts", "event_id", "value", 60.0, 3, LATE)
+    return streams.closed(streams.run_once(found, *_folders(spark, "segments")))
+
+
+def stream_late(spark: SparkSession, sf: str) -> DataFrame:
+    """The events, those of even ids first and the others as a second file: elements that came too late for their user's segments, as nothing waits."""
+    folder = temporary(spark, f"late-in-{uuid.uuid4().hex}")
+    for part in (0, 1):
+        table(spark, sf, "events").filter(F.col("event_id") % 2 == part).select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema("user_id long, ts timestamp, event_id long, value double").option("maxFilesPerTrigger", 1).parquet(folder)
+    found = streams.segments(stream, "user_id", "ts", "event_id", "value", 60.0, 3)
+    return streams.late_elements(streams.run_once(found, *_folders(spark, "late"))).select("user_id", F.timestamp_micros("at").cast("timestamp_ntz").alias("ts"), "value")
 
 
 def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,13 +60,14 @@ def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
     return streams.run_once(counts, *_folders(spark, "windows")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-QUERIES = {f.__name__: f for f in (stream_progress, stream_projection, stream_segments, stream_windows)}
+QUERIES = {f.__name__: f for f in (stream_progress, stream_projection, stream_segments, stream_late, stream_windows)}
 
 SQL = {
     "stream_progress": "SELECT user_id, max(CASE WHEN event_id % 6 IN (3, 4) AND event_id % 4 = 1 THEN NULL ELSE event_id % 1000 END) AS done FROM events GROUP BY user_id HAVING max(CASE WHEN event_id % 6 IN (3, 4) AND event_id % 4 = 1 THEN NULL ELSE event_id % 1000 END) IS NOT NULL",
     "stream_projection": "SELECT event_type, sum(event_id % 10)::BIGINT AS done_elements, sum(floor(value))::BIGINT AS done_bytes, count(*) AS done_units FROM events GROUP BY event_type",
     "stream_windows": "WITH w AS (SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT * FROM w WHERE window_start + INTERVAL '6 hours' <= (SELECT max(ts) - INTERVAL '1 hour' FROM events)",
-    "stream_segments": f"""WITH RECURSIVE {EVENTS_SQL}, j AS (SELECT user_id, pos, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY pos)) AS d FROM e), k AS (SELECT user_id, pos FROM j WHERE d >= 60),
+    "stream_segments": f"""WITH RECURSIVE {EVENTS_SQL.replace("FROM events)", "FROM (SELECT *, max(ts) OVER (PARTITION BY user_id) - INTERVAL '2 hours' AS passed FROM events) WHERE ts <= passed)")}, j AS (SELECT user_id, pos, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY pos)) AS d FROM e), k AS (SELECT user_id, pos FROM j WHERE d >= 60),
         r AS (SELECT DISTINCT user_id, 0::BIGINT AS last FROM e UNION ALL SELECT user_id, next FROM (SELECT r.user_id, min(k.pos) AS next FROM r JOIN k ON k.user_id = r.user_id AND k.pos >= r.last + 3 GROUP BY r.user_id, r.last)),
         s AS (SELECT user_id, last AS start, lead(last) OVER (PARTITION BY user_id ORDER BY last) AS "end" FROM r) SELECT * FROM s WHERE "end" IS NOT NULL""",
+    "stream_late": "WITH m AS (SELECT user_id, max(ts) AS upto FROM events WHERE event_id % 2 = 0 GROUP BY user_id) SELECT e.user_id, e.ts, e.value FROM events e JOIN m ON m.user_id = e.user_id WHERE event_id % 2 = 1 AND e.ts < m.upto",
 }

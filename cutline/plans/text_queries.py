@@ -31,10 +31,11 @@ def unknown_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fuzzy_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Part names with a letter left out, and the known name that each resembles most."""
-    known = table(spark, sf, "part").select("p_name").distinct()
-    place = (F.length("p_name") % 5 + 2).cast("int")
-    typos = known.select(F.concat(F.substring("p_name", F.lit(1), place - 1), F.substring("p_name", place + 1, F.length("p_name"))).alias("p_name"))
+    """Part names and brands with a letter left out, be it the first, or cut short, and the known name that each resembles most."""
+    parts = table(spark, sf, "part")
+    known = parts.select("p_name").union(parts.select("p_brand")).distinct()
+    place = (F.length("p_name") % 5 + 1).cast("int")
+    typos = known.select(F.explode(F.array(F.concat(F.substring("p_name", F.lit(1), place - 1), F.substring("p_name", place + 1, F.length("p_name"))), F.substring("p_name", F.lit(2), F.length("p_name")), F.left("p_name", F.lit(4)))).alias("p_name"))
     return match.suggestions(typos, known, "p_name").select("p_name", "suggestion", F.round("similarity", 6).alias("similarity"))
 
 
@@ -152,8 +153,9 @@ SQL = {
             WHEN length(regexp_extract(w, '^[-_0-9A-Za-z]*')) > 1 THEN regexp_extract(w, '^[-_0-9A-Za-z]*') END AS param FROM h WHERE w LIKE '-%' AND w NOT IN ('-', '--'))
         SELECT kind, param, count(*) AS texts FROM n WHERE param IS NOT NULL GROUP BY kind, param""",
     "unknown_terms": "SELECT DISTINCT token FROM (SELECT unnest(string_split_regex(text, '[ \\n]+')) AS token FROM documents) WHERE token NOT IN (SELECT unnest(string_split_regex(text, '[ \\n]+')) FROM benchmark)",
-    "fuzzy_match": """WITH k AS (SELECT DISTINCT p_name FROM part), a AS (SELECT DISTINCT substr(p_name, 1, length(p_name) % 5 + 1) || substr(p_name, length(p_name) % 5 + 3) AS t FROM k),
-        s AS (SELECT t, p_name, jaro_winkler_similarity(t, p_name) AS s FROM a JOIN k ON substr(t, 1, 1) = substr(p_name, 1, 1) AND least(length(t), length(p_name)) * 2 >= greatest(length(t), length(p_name))),
+    "fuzzy_match": """WITH k AS (SELECT p_name FROM part UNION SELECT p_brand FROM part),
+        a AS (SELECT substr(p_name, 1, length(p_name) % 5) || substr(p_name, length(p_name) % 5 + 2) AS t FROM k UNION SELECT substr(p_name, 2) FROM k UNION SELECT left(p_name, 4) FROM k),
+        s AS (SELECT t, p_name, jaro_winkler_similarity(t, p_name) AS s FROM a, k),
         r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY round(s, 12) DESC, p_name) AS rn FROM s WHERE s > 0.75) SELECT t AS p_name, p_name AS suggestion, round(s, 6) AS similarity FROM r WHERE rn = 1""",
     "series_info_json": """WITH c AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey), p AS (SELECT *, (p_partkey % 30 + 1) * 1000 AS rn FROM part LEFT JOIN c ON l_partkey = p_partkey)
         SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 OR p_partkey % 5 = 0 THEN n ELSE p_size * 100 END::BIGINT AS n_elements, p_size * 16 AS width, p_size * 9 AS height, CASE WHEN p_partkey % 4 = 0 THEN 'smpte2084' ELSE 'bt1886' END AS transfer,

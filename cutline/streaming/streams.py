@@ -1,7 +1,8 @@
 """The ledger and segments on unbounded input.
 
 Progress: the best report of each unit, as a running maximum; late and repeated lines do no harm. Projection: totals of the ledger as they grow. Segments: a
-stateful processor that keeps of each series the last value, the last cut and the next position, and emits segments as they close. Driver tables carry time stamps without
+stateful processor that keeps of each series the last value, the last cut, the next position and the elements that may still be overtaken, emits segments as they close and late elements beside them, and
+forgets a series that has been idle. Driver tables carry time stamps without
 a zone, which watermarks refuse; ``stamped`` turns them into instants (the session's zone should be UTC).
 """
 
@@ -9,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,38 +38,80 @@ def windowed_counts(df: DataFrame, ts: str, length: str, late: str, keys: list[s
     return df.withWatermark(ts, late).groupBy(F.window(ts, length), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("window_start"), *keys, "n")
 
 
-def segments(elements: DataFrame, key: str, ts: str, tie: str, value: str, threshold: float, min_len: int) -> DataFrame:
-    """Closed segments (key, start, end) of each series, for append mode: a cut where the value jumps by threshold or more, min_len elements at least after the last.
+def segments(elements: DataFrame, key: str, ts: str, tie: str, value: str, threshold: float, min_len: int, late: int = 0, idle: str | None = None) -> DataFrame:
+    """Closed segments of each series, and elements that came too late, for append mode: (key, kind, start, end, at, value), told apart by ``closed`` and ``late_elements``.
 
-    A batch's elements are sorted by time before they are read; elements of an earlier batch's time are taken in the order they come. The state of a series is four numbers.
+    A cut stands where the value jumps by threshold or more, min_len elements at least after the last. A series' elements are taken in the order of ts (a time stamp, or a whole number) and tie, whatever
+    batches bring them: an element waits until the series has seen one ``late`` later (microseconds for time stamps), and one that is older than what has been taken is not put into a
+    segment but handed out as late. With ``idle``, such as "24 hours", a series without elements for so long (processing time) is finished: what waits is taken, its last segment closed, its state dropped;
+    a stream with a timeout never runs out of batches, so one that is run once over what is there takes none.
     """
     kind = elements.schema[key].dataType.simpleString()
+    patience = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pos, cut, last, seen = state.get if state.exists else (0, 0, 0.0, False)
-        closed = []
-        for row in pd.concat(list(batches)).sort_values([ts, tie])[value].tolist():
-            if seen and abs(row - last) >= threshold and pos - cut >= min_len:
-                closed.append((cut, pos))
-                cut = pos
-            last, seen, pos = row, True, pos + 1
-        state.update((pos, cut, float(last), seen))
-        yield pd.DataFrame({key: [name[0]] * len(closed), "start": [a for a, _ in closed], "end": [b for _, b in closed]})
-
-    return elements.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, start bigint, end bigint", "pos bigint, cut bigint, last double, seen boolean", "append", GroupStateTimeout.NoTimeout)
+        pos, cut, last, seen, upto, *waiting = state.get if state.exists else (0, 0, 0.0, False, None, [], [], [])
+        rows = pd.DataFrame(dict(zip(("t", "k", "v"), waiting, strict=True)))
+        old = rows.iloc[:0]
+        if not state.hasTimedOut:
+            new = pd.concat(list(batches))
+            times = new["_ts"].to_numpy("datetime64[us]").astype("int64") if new["_ts"].dtype.kind == "M" else new["_ts"].to_numpy("int64")
+            new = pd.DataFrame({"t": times, "k": new["_tie"].to_numpy(), "v": new["_value"].to_numpy(float)})
+            if upto is not None:
+                old, new = new[new["t"] < upto], new[new["t"] >= upto]
+            rows = pd.concat([rows, new]) if len(rows) else new
+        rows = rows.sort_values(["t", "k"])
+        ripe = len(rows) if state.hasTimedOut or not len(rows) else int(np.searchsorted(rows["t"].to_numpy("int64"), int(rows["t"].iloc[-1]) - late, "right"))
+        taken, rows = rows.iloc[:ripe], rows.iloc[ripe:]
+        values, closed = taken["v"].to_numpy(float), []
+        before = np.concatenate([[last if seen else np.nan], values[:-1]]) if len(values) else values
+        for i in np.flatnonzero(np.abs(values - before) >= threshold).tolist():
+            if pos + i - cut >= min_len:
+                closed.append((cut, pos + i))
+                cut = pos + i
+        if len(values):
+            pos, last, seen, upto = pos + len(values), float(values[-1]), True, int(taken["t"].iloc[-1])
+        if state.hasTimedOut:
+            state.remove()
+            closed += [(cut, pos)] if pos > cut else []
+        else:
+            state.update((pos, cut, last, seen, upto, *(rows[c].tolist() for c in "tkv")))
+            if patience:
+                state.setTimeoutDuration(patience)
+        n, m = len(closed), len(old)
+        yield pd.DataFrame(
+            {
+                key: [name[0]] * (n + m), "kind": ["segment"] * n + ["late"] * m, "start": pd.array([a for a, _ in closed] + [None] * m, "Int64"), "end": pd.array([b for _, b in closed] + [None] * m, "Int64"),
+                "at": pd.array([None] * n + old["t"].tolist(), "Int64"), "value": [None] * n + old["v"].tolist(),
+            }
+        )
+
+    out = f"{key} {kind}, kind string, start bigint, end bigint, at bigint, value double"
+    held = "pos bigint, cut bigint, last double, seen boolean, upto bigint, times array<bigint>, ties array<bigint>, waiting array<double>"
+    chosen = elements.select(key, F.col(ts).alias("_ts"), F.col(tie).cast("bigint").alias("_tie"), F.col(value).cast("double").alias("_value"))
+    return chosen.groupBy(key).applyInPandasWithState(step, out, held, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
+
+
+def closed(found: DataFrame) -> DataFrame:
+    """The segments that ``segments`` wrote."""
+    return found.filter("kind = 'segment'").drop("kind", "at", "value")
+
+
+def late_elements(found: DataFrame) -> DataFrame:
+    """The elements that came too late for their segment."""
+    return found.filter("kind = 'late'").drop("kind", "start", "end")
 
 
 def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append", latest_by: list[str] | None = None) -> DataFrame:
-    """Run a stream over what is there now, and return what it wrote. Update mode keeps each batch; latest_by then picks a key's last row."""
+    """Run a stream over what is there now, and return what it wrote. Update mode keeps each batch; latest_by then picks a key's last row. A batch that is run again replaces what it wrote before."""
     spark = df.sparkSession
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, _epoch int").parquet(path)
+    out = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, epoch int").parquet(path)
     if latest_by:
         others = [c for c in df.columns if c not in latest_by]
-        out = out.groupBy(*latest_by).agg(F.max_by(F.struct(*others), "_epoch").alias("_r")).select(*latest_by, "_r.*")
-        return out
-    return out.drop("_epoch")
+        return out.groupBy(*latest_by).agg(F.max_by(F.struct(*others), "epoch").alias("_r")).select(*latest_by, "_r.*")
+    return out.drop("epoch")

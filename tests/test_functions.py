@@ -152,7 +152,11 @@ def test_nearest_known_name(spark):
     known = spark.createDataFrame([("--speed",), ("--spread",), ("--tune",)], "param string")
     got = match.suggestions(match.unknown(used, known, ["param"]), known, "param").collect()
     assert [(r.param, r.suggestion) for r in got] == [("--speeed", "--speed")]
-    assert match.jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-4)
+    pairs = [("martha", "marhta", 0.9611), ("dwayne", "duane", 0.84), ("dixon", "dicksonx", 0.8133), ("crf", "xrf", 0.7778), ("abcd", "abcdefghij", 0.88), ("a", "b", 0.0), ("", "", 1.0), ("", "x", 0.0)]
+    got = match.jaro_winkler(match._codes([p[0] for p in pairs]), match._codes([p[1] for p in pairs]))
+    assert got == pytest.approx([p[2] for p in pairs], abs=1e-4)
+    first = match.suggestions(spark.createDataFrame([("--xrf",), ("zpeed",), (None,)], "param string"), spark.createDataFrame([("--crf",), ("speed",), (None,)], "param string"), "param")
+    assert {(r.param, r.suggestion) for r in first.collect()} == {("--xrf", "--crf"), ("zpeed", "speed")}
 
 
 def test_splines_of_any_length(spark):

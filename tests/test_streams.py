@@ -19,7 +19,7 @@ def test_segments_over_several_batches(spark, tmp_path):
     random.seed(4)
     rows = [(k, i, float(random.choice([0, 0, 0, 50]))) for i in range(60) for k in ("a", "b")]
     stream = feed(spark, rows, "k string, t int, v double", tmp_path / "in", 3)
-    got = streams.run_once(streams.segments(stream, "k", "t", "t", "v", 40.0, 4), str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = streams.closed(streams.run_once(streams.segments(stream, "k", "t", "t", "v", 40.0, 4), str(tmp_path / "out"), str(tmp_path / "cp")))
     want = set()
     for k in ("a", "b"):
         values, cut = [v for kk, _, v in rows if kk == k], 0
@@ -30,6 +30,36 @@ def test_segments_over_several_batches(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_elements_wait_for_earlier_ones(spark, tmp_path):
+    """Batches bring elements up to five steps out of order: with patience for them nothing is late, and the segments are those of the whole order; without, late ones stand aside."""
+    rng = random.Random(9)
+    values = [float(rng.choice([0, 0, 50])) for _ in range(80)]
+    shuffled = sorted(range(80), key=lambda i: i + rng.randint(0, 5))
+    rows = [("a", i, values[i]) for i in shuffled]
+    for patience in (6, 0):
+        stream = feed(spark, rows, "k string, t long, v double", tmp_path / f"in{patience}", 4)
+        out = streams.run_once(streams.segments(stream, "k", "t", "t", "v", 40.0, 4, patience), str(tmp_path / f"out{patience}"), str(tmp_path / f"cp{patience}"))
+        late, upto = [], -1
+        for batch in (rows[i : i + 20] for i in range(0, 80, 20)):
+            late += [t for _, t, _ in batch if t < upto]
+            upto = max(upto, max(t for _, t, _ in batch) - patience) if patience == 0 else upto
+        assert sorted(r["at"] for r in streams.late_elements(out).collect()) == sorted(late)
+        if patience:
+            taken, cut, want = range(80 - patience), 0, set()
+            for i in taken[1:]:
+                if abs(values[i] - values[i - 1]) >= 40 and i - cut >= 4:
+                    want.add((cut, i))
+                    cut = i
+            assert {(r.start, r.end) for r in streams.closed(out).collect()} == want
+
+
+def test_a_batch_run_again_replaces_itself(spark, tmp_path):
+    stream = feed(spark, [("a", 1), ("b", 2)], "k string, n long", tmp_path / "in", 1)
+    assert streams.run_once(stream, str(tmp_path / "out"), str(tmp_path / "cp")).count() == 2
+    again = feed(spark, [], "k string, n long", tmp_path / "in", 1)
+    assert streams.run_once(again, str(tmp_path / "out"), str(tmp_path / "other")).count() == 2
+
+
 def test_progress_ignores_late_and_repeated_lines(spark, tmp_path):
     rows = [("u", "rav1e", f"encoded {n} frames, x") for n in (5, 9, 7, 9, 12, 3)] + [("w", "x264", "noise")]
     stream = feed(spark, rows, "unit string, kind string, line string", tmp_path / "in", 3)
