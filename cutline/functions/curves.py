@@ -166,14 +166,18 @@ def recommended(p: Column, low: Column, high: Column, target: Column, step: Colu
     0, 1 and more than 4 points: the middle of the limits; 2: linear; 3 and 4: the chosen method. Where a method has no answer, the middle again. The
     result is snapped to step and held in the limits.
     """
-    method_3 = F.lit(method_3) if isinstance(method_3, str) else F.coalesce(method_3, F.lit("natural"))
-    method_4 = F.lit(method_4) if isinstance(method_4, str) else F.coalesce(method_4, F.lit("pchip"))
     n = F.size(p)
-    three, four = F.when(F.lit(False), 0.0), F.when(F.lit(False), 0.0)
-    for name in ("linear", "quadratic", "natural"):
-        three = three.when(method_3 == name, METHODS[name](p, target))
-    for name, method in METHODS.items():
-        four = four.when(method_4 == name, method(p, target))
+
+    def chosen(method: Column | str, default: str, names: tuple[str, ...]) -> Column:
+        """The answer of the method named; a name that is known now leaves the others out of the expression."""
+        if isinstance(method, str):
+            return METHODS[method](p, target)
+        out = F.when(F.lit(False), 0.0)
+        for name in names:
+            out = out.when(F.coalesce(method, F.lit(default)) == name, METHODS[name](p, target))
+        return out
+
+    three, four = chosen(method_3, "natural", ("linear", "quadratic", "natural")), chosen(method_4, "pchip", tuple(METHODS))
     found = F.when(n == 2, linear(p, target)).when(n == 3, three).when(n == 4, four)
     middle = (low + high) / 2.0
     return F.least(F.greatest(F.round(F.coalesce(found, middle) / step) * step, low), high)
