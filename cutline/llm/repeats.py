@@ -14,7 +14,7 @@ suffixes is not needed for this, only which windows are equal, so suffixes are c
    windows stay together. What is still hot is split again, until windows of one anchor place share all their bytes and are one class. The parts are refined like names.
 4. *Removal.* Repeated windows go back to all places of their stretch; each document's are merged and cut out.
 
-Classes and texts are told apart by 128 bits of hashes; which windows are equal within them is decided on their bytes. Null texts are empty; texts shorter than
+Classes are told apart by 125 bits of hashes, texts by a 64-bit hash and their length; which windows are equal within them is decided on their bytes. Null texts are empty; texts shorter than
 LENGTH lose nothing; texts of any length are read whole, one at a time; of repeated texts (and rows) of LENGTH bytes or more nothing is left; an empty table gives an empty result; rows may share a doc_id or have
 none, and each is judged on its own; of the input only doc_id (of any type) and text are read, so other columns cannot clash.
 """
@@ -133,7 +133,7 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scanned(docs: DataFrame, length: int) -> DataFrame:
-    """Stretches of docs (doc_id, data, th). A task sends those of one text once."""
+    """Stretches of docs (doc_id, data, th, size). A task sends those of one text once."""
 
     def blocks(data: list[bytes]):
         size = begin = 0
@@ -144,28 +144,28 @@ def _scanned(docs: DataFrame, length: int) -> DataFrame:
                 size, begin = 0, i + 1
 
     def run(batches):
-        seen: set[bytes] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            th = batch.column("th")
+            th, size = batch.column("th"), batch.column("size")
             take = []
-            for i, t in enumerate(th.to_pylist()):
+            for i, t in enumerate(zip(th.to_pylist(), size.to_pylist(), strict=True)):
                 if t not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(t)
                     take.append(i)
             ids, data = batch.column("doc_id").take(pa.array(take, pa.int64())), batch.column("data").take(pa.array(take, pa.int64())).to_pylist()
-            th = th.take(pa.array(take, pa.int64()))
+            th, size = th.take(pa.array(take, pa.int64())), size.take(pa.array(take, pa.int64()))
             for a, b in blocks(data):
                 own, first, n, name, whole, twice = stretches(data[a:b], length)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "th": th.slice(a, b - a).take(pa.array(own)), "doc_id": ids.slice(a, b - a).take(pa.array(own)), "first": pa.array(first.astype(np.int32)),
+                        "th": th.slice(a, b - a).take(pa.array(own)), "size": size.slice(a, b - a).take(pa.array(own)), "doc_id": ids.slice(a, b - a).take(pa.array(own)), "first": pa.array(first.astype(np.int32)),
                         "n": pa.array(n.astype(np.int32)), "name": pa.array(name), "whole": pa.array(whole), "twice": pa.array(twice),
                     }
                 )
 
-    return docs.select("doc_id", "data", "th").mapInArrow(run, f"th binary, {_id(docs)}, first int, n int, name long, whole long, twice boolean")
+    return docs.select("doc_id", "data", "th", "size").mapInArrow(run, f"th long, size int, {_id(docs)}, first int, n int, name long, whole long, twice boolean")
 
 
 def _id(docs: DataFrame) -> str:
@@ -178,9 +178,9 @@ def _packed(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             small = [zlib.compress(d, 1) for d in batch.column("data").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "th": batch.column("th"), "packed": pa.array(small, pa.binary())})
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("doc_id", "th", "size")} | {"packed": pa.array(small, pa.binary())})
 
-    return docs.select("doc_id", "th", "data").mapInArrow(run, f"{_id(docs)}, th binary, packed binary")
+    return docs.select("doc_id", "th", "size", "data").mapInArrow(run, f"{_id(docs)}, th long, size int, packed binary")
 
 
 _PIECE = "key long, cls long, again boolean, piece binary"
@@ -334,17 +334,19 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
     common.small_batches(spark)
     sound_unions(spark)
     base = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("data"))
-    base = base.withColumn("th", F.substring(F.unhex(F.sha2("data", 256)), 1, 16))
+    base = base.withColumn("th", F.xxhash64("data")).withColumn("size", F.length("data"))
 
-    met = written(_scanned(base, length), "stretches")
-    place = F.struct("th", "first")
-    classes = met.groupBy("name", "whole").agg(F.min(F.struct("th", "first", "doc_id", "n")).alias("r"), (F.min(place) != F.max(place)).alias("again"), F.max("twice").alias("twice"))
-    names = classes.groupBy("name").agg(F.count(F.lit(1)).alias("k"), F.max("again").alias("again"), F.max("twice").alias("twice")).filter("k > 1 or again or twice")
-    looked = written(classes.select("name", "whole", "r.*", "again").join(names.select("name", (F.col("k") > hot).alias("hot")), "name"), "classes")
+    found = written(_scanned(base, length), "stretches")
+    shared = found.groupBy("name").agg(F.count(F.lit(1)).alias("k"), F.max("twice").alias("twice")).filter("k > 1 or twice").select("name")  # most names have one stretch and go here
+    met = written(found.drop("twice").join(shared, "name", "left_semi"), "met")
+    place = F.struct("th", "size", "first")
+    classes = met.groupBy("name", "whole").agg(F.min(F.struct("th", "size", "first", "doc_id", "n")).alias("r"), (F.min(place) != F.max(place)).alias("again"))
+    counts = classes.groupBy("name").agg((F.count(F.lit(1)) > hot).alias("hot"))
+    looked = written(classes.select("name", "whole", "r.*", "again").join(counts, "name"), "classes")
 
-    spans = looked.groupBy("th", F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("name", "whole", "first", "n", "again")).alias("spans")).withColumnRenamed("th", "of_th")
+    spans = looked.groupBy(F.col("th").alias("of_th"), F.col("size").alias("of_size"), F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("name", "whole", "first", "n", "again")).alias("spans"))
     texts = _packed(base)
-    pieces = _cut(texts.join(spans, (F.col("th") == F.col("of_th")) & F.col("doc_id").eqNullSafe(F.col("of"))), length)
+    pieces = _cut(texts.join(spans, (F.col("th") == F.col("of_th")) & (F.col("size") == F.col("of_size")) & F.col("doc_id").eqNullSafe(F.col("of"))), length)
     hot_names = looked.filter("hot").select(F.col("name").alias("key")).distinct()
     named = lambda v: v.select(F.col("key").alias("name"), F.col("cls").alias("whole"), "starts", "ends")
     if hot_names.isEmpty():
@@ -354,12 +356,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
         verdicts = named(_refine(pieces.join(hot_names, "key", "left_anti"), length)).unionByName(_hot_verdicts(pieces.join(hot_names, "key", "left_semi"), length, hot))
     verdicts = written(verdicts, "verdicts")
 
-    part = met.join(verdicts, ["name", "whole"]).select("th", "first", F.explode(F.arrays_zip("starts", "ends")).alias("v"))
-    part = part.select("th", (F.col("first") + F.col("v.starts")).alias("a"), (F.col("first") + F.col("v.ends")).alias("b"))
-    copied = base.groupBy("th").agg(F.count(F.lit(1)).alias("k"), F.first(F.length("data")).alias("size")).filter(F.col("k") > 1)
-    copied = copied.select("th", F.lit(0).alias("a"), (F.col("size") - length).alias("b")).filter("b >= 0")
-    places = part.unionByName(copied).distinct().groupBy("th").agg(F.collect_list(F.struct("a", "b")).alias("places"))
-    return _removed(texts.join(places, "th", "left").select("doc_id", "packed", "places"), length)
+    part = met.join(verdicts, ["name", "whole"]).select("th", "size", "first", F.explode(F.arrays_zip("starts", "ends")).alias("v"))
+    part = part.select("th", "size", (F.col("first") + F.col("v.starts")).alias("a"), (F.col("first") + F.col("v.ends")).alias("b"))
+    copied = base.groupBy("th", "size").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    copied = copied.select("th", "size", F.lit(0).alias("a"), (F.col("size") - length).alias("b")).filter("b >= 0")
+    places = part.unionByName(copied).distinct().groupBy("th", "size").agg(F.collect_list(F.struct("a", "b")).alias("places"))
+    return _removed(texts.join(places, ["th", "size"], "left").select("doc_id", "packed", "places"), length)
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
