@@ -569,7 +569,16 @@ def test_joins_against_brute_force(spark, size, threshold, block):
 
 
 def test_joins_of_awkward_tables(spark, docs):
-    assert jaccard.near_classes(docs).count() == docs.count() and jaccard.near_classes(empty(spark)).count() == 0
+    rows = docs.select("doc_id", "text").collect()
+    sets = []
+    for r in rows:
+        w = "".join(c.lower() if c.isascii() else c for c in r.text or "").split()
+        sets.append({tuple(w[i : i + 3]) for i in range(len(w) - 2)} or ({tuple(w)} if w else set()))
+    group = brute_components(sets, Fraction(9, 10))
+    least = {g: min((r.doc_id for r, h in zip(rows, group, strict=True) if h == g and r.doc_id is not None), default=None) for g in set(group)}
+    want = Counter((r.doc_id, len(x), least[g] if x else r.doc_id) for r, x, g in zip(rows, sets, group, strict=True))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_classes(docs).collect()) == want
+    assert jaccard.near_classes(empty(spark)).count() == 0
 
 
 @pytest.mark.parametrize("block", [jaccard.BLOCK_ELEMENTS, 300])
