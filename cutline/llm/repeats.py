@@ -337,7 +337,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
     base = base.withColumn("th", F.xxhash64("data")).withColumn("size", F.length("data"))
 
     found = written(_scanned(base, length), "stretches")
-    shared = found.groupBy("name").agg(F.count(F.lit(1)).alias("k"), F.max("twice").alias("twice")).filter("k > 1 or twice").select("name")  # most names have one stretch and go here
+    often = found.groupBy("name").agg(F.count(F.lit(1)).alias("k"), F.max("twice").alias("twice")).filter("k > 1 or twice").select("name")  # most names have one stretch and go here
+    shared = written(often, "names")  # a join with an aggregate of its own rows would meet a hot name in one task
     met = written(found.drop("twice").join(shared, "name", "left_semi"), "met")
     place = F.struct("th", "size", "first")
     classes = met.groupBy("name", "whole").agg(F.min(F.struct("th", "size", "first", "doc_id", "n")).alias("r"), (F.min(place) != F.max(place)).alias("again"))
