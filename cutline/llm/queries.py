@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, jaccard, language, licences, media, mixing, quality, repeats, secrets
+from . import bpe, collocations, fingerprints, jaccard, language, licences, media, mixing, quality, repeats, secrets
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language": language.op8_language,
     "op9_secrets": secrets.op9_secrets,
     "op10_jaccard": jaccard.op10_jaccard,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 #: DuckDB SQL for the same rows. The other operators are tested against brute force in tests/llm.
@@ -22,4 +23,5 @@ SQL = {
     "op3_licences": licences.OP3_SQL,
     "op4_mix": mixing.OP4_SQL,
     "op10_jaccard": jaccard.OP10_SQL,
+    "op13_collocations": collocations.OP13_SQL,
 }
