@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, collocations, fingerprints, jaccard, language, licences, media, mixing, quality, repeats, secrets
+from . import bpe, collocations, fingerprints, jaccard, language, licences, media, mixing, quality, repeats, secrets, variants
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language": language.op8_language,
     "op9_secrets": secrets.op9_secrets,
     "op10_jaccard": jaccard.op10_jaccard,
+    "op11_variants": variants.op11_variants,
     "op13_collocations": collocations.op13_collocations,
 }
 
