@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, collocations, fingerprints, jaccard, language, licences, media, mixing, quality, repeats, secrets, variants
+from . import bpe, collocations, fingerprints, jaccard, language, licences, media, mixing, quality, repeats, secrets, toxicity, variants
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secrets": secrets.op9_secrets,
     "op10_jaccard": jaccard.op10_jaccard,
     "op11_variants": variants.op11_variants,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_collocations": collocations.op13_collocations,
 }
 
