@@ -67,9 +67,9 @@ def letters(unit: str) -> list[int]:
 
 def windows(unit: str) -> list[list[int]]:
     """A unit's codes between boundaries, in windows of bounded length; none where it has no letter."""
-    codes = letters(unit)
-    if not any(codes):
+    if not any(map(str.isalpha, unit)):
         return []
+    codes = letters(unit)
     if len(codes) <= WINDOW:
         return [[_EDGE, *codes, _EDGE]]
     return [[_EDGE, *codes[a : a + WINDOW], _EDGE] for a in range(0, len(codes) - WINDOW // 2, WINDOW // 2)]
@@ -261,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
     bound = math.log(known.units / CHANCE)
     scored = counts.withColumn("surprise", F.when(share > prior, surprise).otherwise(0.0))
     found = scored.filter((F.col("surprise") >= bound) & (share > PURE)).select("unit", (1 - share).alias("doubt")).orderBy(F.desc("surprise"), "unit").limit(POSITIVE).collect()
-    positive, doubt = [r.unit for r in found if any(letters(r.unit))], [r.doubt for r in found if any(letters(r.unit))]
+    positive, doubt = [r.unit for r in found if windows(r.unit)], [r.doubt for r in found if windows(r.unit)]
     plain = scored.filter((F.col("clean") > 0) & ((F.col("surprise") < bound) & (share <= max(0.5, prior))))
     clean = [r.unit for r in plain.orderBy(F.xxhash64("unit"), "unit").limit(NEGATIVE).collect()]
     if not positive or not clean:

@@ -38,7 +38,7 @@ def test_kernel_is_its_definition():
 
 
 def test_long_units_are_taken_in_windows():
-    assert toxicity.windows("1" * 9 + "!") != [] and toxicity.windows("...") == [] and toxicity.windows("") == []
+    assert toxicity.windows("1d") != [] and toxicity.windows("1" * 9 + "!") == [] and toxicity.windows("...") == [] and toxicity.windows("") == []
     for n in (24, 25, 36, 37, 100):
         rows = toxicity.windows("a" * n)
         assert all(len(r) <= toxicity.WINDOW + 2 for r in rows)
