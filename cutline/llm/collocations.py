@@ -5,7 +5,7 @@ the ``MOST`` words from a place on, ended by its piece. Everything is counted fo
 
 1. *Words and pairs.* A pass counts words, and pairs of neighbours by ``CELLS`` cells that they are hashed into. A cell of fewer than ``least``
    pairs holds no frequent pair, and no phrase of a rare pair is frequent. What tasks learn of it is a bit a cell, in a table of fixed size that changes cost only: where it is full, all suffixes travel.
-2. *Routing.* Suffixes end before their first rare pair; equal ones of a task become one with a count and go, by a hash of their first two words, to a bucket. Suffixes whose pair stands
+2. *Routing.* Suffixes end before their first rare pair; equal ones of a task become one with a count and go, packed, by a hash of their first two words to a bucket. Suffixes whose pair stands
    in a cell of more than ``hot`` pairs (a bucket's worth) go by all their words instead, so no pair is one task's load; their phrases' counts are summed afterwards.
 3. *Sorting.* A bucket's suffix pointers are sorted by three-way partition on the word at the partition's depth: less, equal, greater. All
    partitions of a round are split at once in numpy. An equal partition is a phrase, its size the count; it goes on a word deeper. Partitions of fewer than ``least`` suffixes are abandoned, which is exact since all suffixes of a bucket's pairs are there.
@@ -17,6 +17,7 @@ columns cannot clash. Texts of any length are taken whole, one in memory at a ti
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
 
 import numpy as np
@@ -30,8 +31,8 @@ from .common import written
 
 #: Most words of a phrase, least occurrences, phrases of a language in the result.
 MOST, LEAST, TOP = 5, 100, 2000
-#: Bits of a pair's cell; cells to a row of the table of bits; words that a task counts at once; suffixes to a bucket.
-CELL_BITS, ROW_BITS, COUNTED, BUCKET_ROWS = 26, 15, 1_000_000, 200_000
+#: Bits of a pair's cell; of its place in a block of cells; words that a task counts at once; places of suffixes to a bucket.
+CELL_BITS, ROW_BITS, COUNTED, BUCKET_ROWS = 26, 14, 1_000_000, 400_000
 #: The language of rows that name none.
 UNKNOWN = "und"
 
@@ -109,18 +110,24 @@ def chunks(batches, text: str, lang: str, words: int = COUNTED):
 
 
 def _counted(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """(lang, word, cell, n): how often each word stands, and each cell's pairs, by task; one of word and cell is null."""
+    """By task: (lang, word, n), how often each word stands, and (block, cells, counts), packed counts of the cells of a block."""
 
     def run(batches):
         for c in chunks(batches, text, lang):
-            n = np.bincount(c.ids, minlength=len(c.names))[1:]
-            cells, sizes = np.unique(c.cell, return_counts=True)
-            words = pa.array(c.names[1:], pa.binary()).cast(pa.string())
-            for rows, word, cell, count in ((len(words), words, pa.nulls(len(words), pa.int32()), n), (len(cells), pa.nulls(len(cells), pa.string()), pa.array(cells, pa.int32()), sizes)):
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([c.lang] * rows, pa.string()), "word": word, "cell": cell, "n": pa.array(count, pa.int64())})
+            n, words = np.bincount(c.ids, minlength=len(c.names))[1:], pa.array(c.names[1:], pa.binary()).cast(pa.string())
+            cells, counts = np.unique(c.cell, return_counts=True)
+            block, low, counts = cells >> ROW_BITS, (cells & (1 << ROW_BITS) - 1).astype(np.uint16), counts.astype(np.uint32)
+            first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
+            spans = list(itertools.pairwise([*first.tolist(), len(block)]))
+            for rows, columns in (
+                (len(words), {"lang": pa.array([c.lang] * len(words), pa.string()), "word": words, "n": pa.array(n, pa.int64())}),
+                (len(spans), {"block": pa.array(block[first], pa.int32()), "cells": pa.array([low[x:y].tobytes() for x, y in spans], pa.binary()), "counts": pa.array([counts[x:y].tobytes() for x, y in spans], pa.binary())}),
+            ):
+                nulls = {"lang": pa.string(), "word": pa.string(), "n": pa.int64(), "block": pa.int32(), "cells": pa.binary(), "counts": pa.binary()}
+                yield pa.RecordBatch.from_pydict({k: columns[k] if k in columns else pa.nulls(rows, kind) for k, kind in nulls.items()})
 
     common.small_batches(docs.sparkSession)
-    return docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).mapInArrow(_renamed(run, text, lang), "lang string, word string, cell int, n long")
+    return docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).mapInArrow(_renamed(run, text, lang), "lang string, word string, n long, block int, cells binary, counts binary")
 
 
 def _renamed(run, text, lang):
@@ -128,23 +135,38 @@ def _renamed(run, text, lang):
     return lambda batches: run(pa.RecordBatch.from_arrays(b.columns, names=[text, lang]) for b in batches)
 
 
-def _bits(cells: DataFrame, least: int) -> np.ndarray:
-    """A bit a cell, set where it holds at least so many pairs. Gathered as rows of packed bits: 2 ** CELL_BITS / 8 bytes at most."""
-    rows = (
-        cells.filter(F.col("n") >= least)
-        .groupBy(F.shiftright("cell", ROW_BITS).alias("row"), F.shiftright("cell", 6).alias("at"))
-        .agg(F.expr("bit_or(shiftleft(1L, cell & 63))").alias("bits"))
-        .groupBy("row")
-        .agg(F.collect_list("at").alias("at"), F.collect_list("bits").alias("bits"))
-    )
-    out = np.zeros(1 << (CELL_BITS - 6), np.int64)
-    for r in rows.collect():
-        out[np.array(r["at"], np.int64)] = np.array(r["bits"], np.int64)
-    return out
+def _frequent(counted: DataFrame, bounds: list[int]) -> tuple[list[np.ndarray], int]:
+    """For each bound a bit a cell, set where it holds at least so many pairs, and the pairs in cells of the first: 2 ** CELL_BITS / 8 bytes a bound."""
+    size = 1 << ROW_BITS
+
+    def run(batches):
+        now, total = None, None
+
+        def row():
+            bits = [np.packbits(total >= b, bitorder="little").tobytes() for b in bounds]
+            return pa.RecordBatch.from_pydict({"block": pa.array([now], pa.int32()), "bits": pa.array([bits], pa.list_(pa.binary())), "pairs": pa.array([int(total[total >= bounds[0]].sum())], pa.int64())})
+
+        for batch in batches:  # sorted by block: one block's sums at a time
+            for block, cells, counts in zip(*(batch.column(k).to_pylist() for k in ("block", "cells", "counts")), strict=True):
+                if block != now:
+                    if now is not None:
+                        yield row()
+                    now, total = block, np.zeros(size, np.int64)
+                total[np.frombuffer(cells, np.uint16)] += np.frombuffer(counts, np.uint32)
+        if now is not None:
+            yield row()
+
+    sums = counted.filter("block is not null").select("block", "cells", "counts").repartition("block").sortWithinPartitions("block")
+    out, pairs = [np.zeros(1 << (CELL_BITS - 3), np.uint8) for _ in bounds], 0
+    for r in sums.mapInArrow(run, "block int, bits array<binary>, pairs long").collect():
+        pairs += r.pairs
+        for bits, own in zip(out, r.bits, strict=True):
+            bits[r.block * size // 8 : (r.block + 1) * size // 8] = np.frombuffer(bytes(own), np.uint8)
+    return out, pairs
 
 
 def _set(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    return (bits[cells >> 6].view(_U) >> (cells & 63).astype(_U)) & _U(1) != 0
+    return (bits[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 != 0
 
 
 def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,8 +179,8 @@ def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, n
 
 
-def _suffixes(docs: DataFrame, text: str, lang: str, frequent, hot, most: int) -> DataFrame:
-    """(route, deep, lang, phrase, n): distinct suffixes of each task without what follows a rare pair."""
+def _suffixes(docs: DataFrame, text: str, lang: str, frequent, hot, buckets: int, most: int) -> DataFrame:
+    """(bucket, deep, lang, phrases, counts): a task's distinct suffixes without what follows a rare pair, packed by bucket."""
 
     def run(batches):
         bits, crowded = frequent.value, hot.value
@@ -177,18 +199,26 @@ def _suffixes(docs: DataFrame, text: str, lang: str, frequent, hot, most: int) -
             rows, at = rows[first], at[first]
             where = np.searchsorted(c.pair, at)
             lead, deep = c.lead[where], _set(crowded, c.cell[where])
-            route = lead.copy()
+            route = lead
             for j in range(2, most):
                 route = np.where(deep, mixed(route + c.hashes[rows[:, j]]), route)
-            names = c.names
+            bucket = (route % _U(buckets)).astype(np.int64) * 2 + deep
+            order = np.argsort(bucket, kind="stable")
+            bucket, rows, n, names = bucket[order], rows[order], n[order].astype(np.uint32), c.names
             phrases = [b" ".join([names[i] for i in r if i]) for r in rows.tolist()]
-            for a in range(0, len(at), 50_000):
-                s = slice(a, a + 50_000)
-                yield pa.RecordBatch.from_pydict(
-                    {"route": pa.array(route[s].view(np.int64)), "deep": pa.array(deep[s]), "lang": pa.array([c.lang] * len(phrases[s]), pa.string()), "phrase": pa.array(phrases[s], pa.binary()).cast(pa.string()), "n": pa.array(n[s], pa.int64())}
-                )
+            first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            spans = list(itertools.pairwise([*first.tolist(), len(bucket)]))
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "bucket": pa.array(bucket[first] // 2, pa.int64()),
+                    "deep": pa.array(bucket[first] % 2 == 1),
+                    "lang": pa.array([c.lang] * len(spans), pa.string()),
+                    "phrases": pa.array([b"\n".join(phrases[x:y]) for x, y in spans], pa.binary()),
+                    "counts": pa.array([n[x:y].tobytes() for x, y in spans], pa.binary()),
+                }
+            )
 
-    return docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).mapInArrow(_renamed(run, text, lang), "route long, deep boolean, lang string, phrase string, n long")
+    return docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).mapInArrow(_renamed(run, text, lang), "bucket long, deep boolean, lang string, phrases binary, counts binary")
 
 
 def multikey(words: np.ndarray, weight: np.ndarray, least: int | np.ndarray):
@@ -234,19 +264,23 @@ def _phrases(routed: DataFrame, least: int, most: int) -> DataFrame:
     """(lang, phrase, n, part): counted phrases of at least two words; part: the count is of this bucket alone and may be below least."""
 
     def one(rows: pa.Table):
-        deep = np.array(rows.column("deep"), bool)
         known: dict = defaultdict()
         known.default_factory = known.__len__
-        texts, langs = rows.column("phrase").to_pylist(), rows.column("lang").to_pylist()
+        split, langs, deep = [], [], []
+        for name, d, phrases in zip(*(rows.column(k).to_pylist() for k in ("lang", "deep", "phrases")), strict=True):
+            own = [p.split(b" ") for p in phrases.split(b"\n")]  # no word holds a blank or a line end
+            split += own
+            langs += [name] * len(own)
+            deep += [d] * len(own)
+        deep = np.array(deep, bool)
         # the language is the first word of a suffix
-        words = np.full((len(texts), most + 1), -1, np.int64)
-        split = [t.split(" ") for t in texts]
+        words = np.full((len(split), most + 1), -1, np.int64)
         lengths = np.fromiter(map(len, split), np.int64, len(split))
-        words[:, 0] = np.fromiter((known[(x, d)] for x, d in zip(langs, deep.tolist(), strict=True)), np.int64, len(langs))
+        words[:, 0] = np.fromiter((known[x] for x in zip(langs, deep.tolist(), strict=True)), np.int64, len(langs))
         flat = np.fromiter((known[w] for s in split for w in s), np.int64, int(lengths.sum()))
         row = np.repeat(np.arange(len(split)), lengths)
         words[row, 1 + np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
-        weight = np.array(rows.column("n"), np.int64)
+        weight = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint32).astype(np.int64)
         for pointer, length, total in multikey(words, weight, np.where(deep, 1, least)):
             good = length >= 3
             pointer, length, total = pointer[good], length[good] - 1, total[good]
@@ -254,7 +288,7 @@ def _phrases(routed: DataFrame, least: int, most: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(
                     {
                         "lang": pa.array([langs[p] for p in pointer], pa.string()),
-                        "phrase": pa.array([" ".join(split[p][:k]) for p, k in zip(pointer, length, strict=True)], pa.string()),
+                        "phrase": pa.array([b" ".join(split[p][:k]) for p, k in zip(pointer, length, strict=True)], pa.binary()).cast(pa.string()),
                         "n": pa.array(total, pa.int64()),
                         "part": pa.array(deep[pointer]),
                     }
@@ -274,13 +308,11 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MOST, text: s
     words = counted.filter("word is not null").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = written(words, "collocation-vocabulary")
     totals = written(words.groupBy("lang").agg(F.sum("n").alias("words")), "collocation-totals")
-    cells = written(counted.filter("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")), "collocation-cells")
-    frequent = spark.sparkContext.broadcast(_bits(cells, least))
-    hot = spark.sparkContext.broadcast(_bits(cells, max(least, bucket_rows)))
-    suffixes = written(_suffixes(docs, text, lang, frequent, hot, most), "collocation-suffixes")
-    buckets = max(1, -(-suffixes.count() // bucket_rows))
-    routed = suffixes.withColumn("bucket", F.pmod("route", F.lit(buckets)).cast("int"))
-    routed = routed.repartition(max(buckets, _parallel(spark)), "bucket").sortWithinPartitions("bucket")
+    bits, pairs = _frequent(counted, [least, max(least, bucket_rows)])
+    frequent, hot = (spark.sparkContext.broadcast(b) for b in bits)
+    buckets = -(-pairs // bucket_rows) or 1
+    suffixes = _suffixes(docs, text, lang, frequent, hot, buckets, most)
+    routed = suffixes.repartition(max(buckets, _parallel(spark)), "bucket").sortWithinPartitions("bucket")
     found = written(_phrases(routed, least, most), "collocation-phrases")
     whole = found.filter("not part").select("lang", "phrase", "n")
     parts = found.filter("part").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)

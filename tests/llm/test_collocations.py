@@ -39,7 +39,7 @@ def texts(rng, documents=120):
     return [("".join(rng.choice(words) + rng.choice([" ", " ", "\t", "  ", ", ", ".", "\n", "! "]) for _ in range(rng.randrange(60))) + fixed * rng.randrange(3), rng.choice(["en", "de", None])) for _ in range(documents)]
 
 
-@pytest.mark.parametrize("bucket_rows", [20, 200_000])
+@pytest.mark.parametrize("bucket_rows", [20, 400_000])
 def test_phrases_against_counting(spark, monkeypatch, bucket_rows):
     rows = texts(random.Random(3))
     df = spark.createDataFrame(rows, "text string, lang string").repartition(5)
