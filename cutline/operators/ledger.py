@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import long
 
-def increments(progress: DataFrame, keys: Sequence[str], order: Sequence[str], done: str = "done") -> DataFrame:
+
+def increments(progress: DataFrame, keys: Sequence[str], order: Sequence[str], done: str = "done", split: long.Cells | None = None) -> DataFrame:
     """progress with ``increment``: by how much a report exceeds the best one before it; reports never take back."""
-    best = F.max(done).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return progress.withColumn("increment", F.greatest(F.coalesce(F.col(done), F.lit(0)) - F.coalesce(best, F.lit(0)), F.lit(0)))
+    best = long.running(progress, keys, order, {"_best": ("max_before", F.col(done))}, split)
+    return best.withColumn("increment", F.greatest(F.coalesce(F.col(done), F.lit(0)) - F.coalesce("_best", F.lit(0)), F.lit(0))).drop("_best")
 
 
 def net_progress(progress: DataFrame, keys: Sequence[str], order: Sequence[str], failed: Column, done: str = "done") -> DataFrame:

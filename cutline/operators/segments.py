@@ -2,7 +2,7 @@
 
 Every function takes the columns that name a series as ``keys``. Tables: *cuts* (keys, pos); *info* (keys, n_elements); *segments* (keys, seg_idx, start, end, ...);
 *overrides* (keys, start, end, ...). Positions are whole numbers from 0 and ends are exclusive. What can run as a window over a series does; windows are partitioned by series, so a
-table of many series spreads well, and one very long series is one task's sort. The two walks over ordered elements (``spaced``, ``guided_splits``) stream through partitions that
+table of many series spreads well. For very long series the functions with ``split`` take cells (``long.cells``) and run over those; without, one very long series is one task's sort. The two walks over ordered elements (``spaced``, ``guided_splits``) stream through partitions that
 are sorted by series and position: nothing of a series is gathered but, for a segment that must be split, its own scores.
 """
 
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from cutline.session import sound_unions
 from cutline.staging import staged
 
+from . import long
+
 
 def _series(keys: Sequence[str], order: str = "start"):
     return Window.partitionBy(*keys).orderBy(order)
@@ -41,21 +43,20 @@ def between(df: DataFrame, start: int, end: int, pos: str = "pos") -> DataFrame:
 # Boundaries and segments
 
 
-def from_cuts(cuts: DataFrame, info: DataFrame, keys: Sequence[str], pos: str = "pos") -> DataFrame:
+def from_cuts(cuts: DataFrame, info: DataFrame, keys: Sequence[str], pos: str = "pos", split: long.Cells | None = None) -> DataFrame:
     """Contiguous segments that cover each series: a segment from 0 and from each cut inside the series to the next."""
     keys = list(keys)
     inside = cuts.select(*keys, F.col(pos).alias("start")).join(info, keys).filter((F.col("start") > 0) & (F.col("start") < F.col("n_elements")))
     begins = inside.unionByName(info.filter("n_elements > 0").select(*keys, F.lit(0).cast("long").alias("start"), "n_elements")).distinct()
-    w = _series(keys)
     sound_unions(cuts.sparkSession)
-    return begins.select(*keys, (F.row_number().over(w) - 1).alias("seg_idx"), "start", F.coalesce(F.lead("start").over(w), F.col("n_elements")).alias("end"))
+    found = long.running(begins, keys, ["start"], {"_row": ("row",), "_next": ("next", F.col("start"))}, split)
+    return found.select(*keys, (F.col("_row") - 1).alias("seg_idx"), "start", F.coalesce("_next", "n_elements").alias("end"))
 
 
-def gaps_filled(overrides: DataFrame, info: DataFrame, keys: Sequence[str]) -> DataFrame:
+def gaps_filled(overrides: DataFrame, info: DataFrame, keys: Sequence[str], split: long.Cells | None = None) -> DataFrame:
     """overrides and, with nulls in their columns, the stretches between, before and after them."""
     keys = list(keys)
-    w = _series(keys)
-    marked = overrides.withColumn("_before", F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
+    marked = long.running(overrides, keys, ["start"], {"_before": ("max_before", F.col("end"))}, split).withColumn("_before", F.coalesce("_before", F.lit(0).cast("long")))
     before = marked.filter(F.col("start") > F.col("_before")).select(*keys, F.col("_before").alias("start"), F.col("start").alias("end"))
     last = overrides.groupBy(*keys).agg(F.max("end").alias("_last"))
     after = info.join(last, keys, "left").select(*keys, F.coalesce("_last", F.lit(0).cast("long")).alias("start"), F.col("n_elements").alias("end")).filter("start < end")
@@ -124,12 +125,12 @@ def merged_options(base: Column, override: Column, reset: Column) -> Column:
     return F.map_concat(F.map_filter(below, lambda k, _: ~F.map_contains_key(over, k)), over)
 
 
-def within_spans(segments: DataFrame, key_positions: DataFrame, info: DataFrame, keys: Sequence[str]) -> DataFrame:
+def within_spans(segments: DataFrame, key_positions: DataFrame, info: DataFrame, keys: Sequence[str], split: long.Cells | None = None) -> DataFrame:
     """Segments that lie inside a span from one key position to the next, with span_start, span_end and start, end counted from the span's start."""
     keys = list(keys)
-    w = _series(keys, "span_start")
-    spans = key_positions.select(*keys, F.col("pos").alias("span_start")).join(info, keys).select(*keys, "span_start", F.coalesce(F.lead("span_start").over(w), F.col("n_elements")).alias("span_end"))
-    held = segments.join(spans, keys).filter("start >= span_start and end <= span_end")
+    spans = long.running(key_positions.select(*keys, "pos").join(info, keys), keys, ["pos"], {"_next": ("next", F.col("pos"))}, split).select(*keys, F.col("pos").alias("start"), F.coalesce("_next", "n_elements").alias("end"))
+    found = long.swept(segments, spans, keys, "start", split).withColumnsRenamed({"override_start": "span_start", "override_end": "span_end"})
+    held = found.filter("end <= span_end")
     return held.withColumn("rel_start", F.col("start") - F.col("span_start")).withColumn("rel_end", F.col("end") - F.col("span_start"))
 
 
@@ -148,10 +149,10 @@ def concat_offsets(parts: DataFrame, keys: Sequence[str], order: str, last_pos:
 # Detection
 
 
-def scalar_costs(df: DataFrame, keys: Sequence[str], pos: str, value: str, threshold: Column) -> DataFrame:
+def scalar_costs(df: DataFrame, keys: Sequence[str], pos: str, value: str, threshold: Column, split: long.Cells | None = None) -> DataFrame:
     """Cost of a cut before each element: how far its value is from the one before; nothing before the first."""
-    cost = F.abs(F.col(value) - F.lag(value).over(_series(keys, pos)))
-    return df.select(*keys, F.col(pos).alias("pos"), cost.alias("inter_cost"), threshold.alias("threshold"))
+    paired = long.running(df, keys, [pos], {"_before": ("previous", F.col(value))}, split)
+    return paired.select(*keys, F.col(pos).alias("pos"), F.abs(F.col(value) - F.col("_before")).alias("inter_cost"), threshold.alias("threshold"))
 
 
 def vector_costs(df: DataFrame, keys: Sequence[str], pos: str, vector: str, threshold: Column) -> DataFrame:
@@ -231,9 +232,10 @@ def forced(segments: DataFrame, cuts: DataFrame, keys: Sequence[str]) -> tuple[D
     return numbered(cut, keys), outside
 
 
-def numbered(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
+def numbered(segments: DataFrame, keys: Sequence[str], split: long.Cells | None = None) -> DataFrame:
     """Segments with seg_idx in their order."""
-    return segments.drop("seg_idx").withColumn("seg_idx", F.row_number().over(_series(keys)) - 1)
+    found = long.running(segments.drop("seg_idx"), keys, ["start"], {"_row": ("row",)}, split)
+    return found.withColumn("seg_idx", F.col("_row") - 1).drop("_row")
 
 
 # Maximum length

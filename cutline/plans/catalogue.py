@@ -6,9 +6,9 @@ from functools import wraps
 
 from cutline.session import sound_unions
 
-from . import curve_queries, file_queries, ledger_queries, segment_queries, stat_queries, stream_queries, text_queries
+from . import curve_queries, file_queries, ledger_queries, long_queries, segment_queries, stat_queries, stream_queries, text_queries
 
-MODULES = (stat_queries, segment_queries, curve_queries, ledger_queries, text_queries, file_queries, stream_queries)
+MODULES = (stat_queries, segment_queries, long_queries, curve_queries, ledger_queries, text_queries, file_queries, stream_queries)
 
 
 def _sound(query):
