@@ -87,3 +87,16 @@ def runs(batches, keys: list[str]):
             held.append(batch.slice(a, b - a))
     if held:
         yield now, pa.Table.from_batches(held)
+
+
+def gathered(batches, rows: int, size: int = 1 << 24):
+    """Batches put together to about so many rows, or so many bytes where rows are long."""
+    held, n, b = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        n, b = n + batch.num_rows, b + batch.nbytes
+        if n >= rows or b >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n, b = [], 0, 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()

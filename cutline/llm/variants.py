@@ -8,7 +8,7 @@ longer lies one up. So a word is looked for in the tree of its own length and in
 2. *Cells.* From a sample of at most about ``SAMPLE`` words the driver builds the upper part of each length's tree: median splits of one letter's count, until a cell has about ``CELL_WORDS`` words or ``MOST_CELLS`` are made. The
    sample shapes the cells only. Every word lies in one cell, and asks all cells whose box its own point reaches. A cell that is larger than expected (many words of the same letters) is dealt out
    in parts, and what asks the cell asks all parts.
-3. *Search.* A task builds the lower part of the tree over a cell's words; queries walk it together, level by level, each with what it has left of its one letter up and one down. Words of the leaves that are reached are compared letter by letter.
+3. *Search.* A task builds the lower part of the tree over a cell's words; queries walk it together, level by level, each with what it has left of its one letter up and one down. Words of the leaves that are reached, if their vectors can differ by one letter (told by a sum over the vector) and a half of their letters is alike, are compared letter by letter.
 4. *Forms.* Each word keeps how many are near and the most frequent of them. Following forms to the last is pointer jumping over those forms that have a form themselves, so the rounds are the logarithm of the longest chain, and
    a chain's counts grow tenfold a step.
 
@@ -33,10 +33,10 @@ from .common import written
 #: Least letters and occurrences of a word; times a form is more frequent than its variant.
 LETTERS, OCCURRENCES, TIMES = 7, 2, 10
 #: Words to a leaf, to a cell; bytes of words and words from which a cell is dealt out; most cells of a length; words in the sample.
-LEAF, CELL_WORDS, PART_WORDS, PART_BYTES, CELL_BITS, SAMPLE = 32, 40_000, 100_000, 64_000_000, 12, 100_000
+LEAF, CELL_WORDS, PART_WORDS, PART_BYTES, CELL_BITS, SAMPLE = 16, 40_000, 100_000, 64_000_000, 12, 100_000
 MOST_CELLS = 1 << CELL_BITS
-#: Places of the letters beyond z; distinct words that a task counts at once; pairs of a query and a node, and bytes of letters, that are worked on at once.
-OTHERS, COUNTED, PAIRS, BLOCK_BYTES = 6, 500_000, 1 << 20, 1 << 24
+#: Places of the letters beyond z; distinct words that a task counts at once; words that ask together; words of a leaf, and asking words, that are held against each other at once; bytes of letters that are compared at once.
+OTHERS, COUNTED, ASKING, SQUARE, BLOCK_BYTES = 6, 500_000, 50_000, 4096, 1 << 24
 
 _LOWER = {i: i + 32 for i in range(65, 91)}
 _RUNS = re.compile("[a-zÀ-ÿ]{%d,}" % LETTERS)
@@ -70,6 +70,25 @@ def vectors(words: list[str]) -> np.ndarray:
     return np.bincount(row * _DIMS + _PLACE[flat], minlength=len(words) * _DIMS).reshape(-1, _DIMS).astype(np.int32)
 
 
+#: A number for each place of a vector; a word's sum of them tells, by its difference from another's, whether their vectors can differ by one letter.
+_WEIGHTS = np.random.default_rng(11).integers(0, 1 << 32, _DIMS).astype(np.uint32)
+_ONE_UP = np.zeros(1 << 16, bool)
+_ONE_UP[_WEIGHTS & 0xFFFF] = True
+_UP_AND_DOWN = np.zeros(1 << 16, bool)
+_UP_AND_DOWN[(_WEIGHTS[:, None] - _WEIGHTS[None]).ravel() & 0xFFFF] = True
+
+
+def sums(points: np.ndarray) -> np.ndarray:
+    return (points.astype(np.uint32) * _WEIGHTS).sum(axis=1, dtype=np.uint32)
+
+
+def halves(codes: np.ndarray, cut: int, rest: int) -> tuple[np.ndarray, np.ndarray]:
+    """A number for the letters before cut and one for those from rest on: one edit leaves either the first or the second half of a pair alike."""
+    powers = np.cumprod(np.full(codes.shape[1] + 1, 0x9E3779B1, np.uint32), dtype=np.uint32)
+    part = lambda x: (x.astype(np.uint32) * powers[: x.shape[1]]).sum(axis=1, dtype=np.uint32)
+    return part(codes[:, :cut]), part(codes[:, rest:])
+
+
 class Tree:
     """A k-d tree: node i splits points by ``point[dim[i]] <= cut[i]`` into nodes ``child[i]`` and ``child[i] + 1``; leaves have dim -1 and the points ``order[begin:end]``."""
 
@@ -119,8 +138,8 @@ class Tree:
 
         A box's distance from a point is kept for the split letters only, from the path's bounds: what a path already needs up or down.
         """
-        for a in range(0, len(points), max(1, PAIRS // 64)):
-            rows = np.arange(a, min(len(points), a + max(1, PAIRS // 64)))
+        for a in range(0, len(points), ASKING):
+            rows = np.arange(a, min(len(points), a + ASKING))
             stack = [(0, rows, {}, np.zeros(len(rows), np.int32), np.zeros(len(rows), np.int32))]
             while stack:
                 node, own, bounds, ups, downs = stack.pop()
@@ -179,19 +198,26 @@ def near_pairs(queries: list[str], words: list[str], tree: Tree | None = None):
         good = one_edit(asked[q], known[w])
         return q[good], w[good]
 
-    for own, leaf in tree.walk(vectors(queries), 1, 1 if m == n else 0):
+    points = vectors(queries)
+    (first_q, second_q), (first_w, second_w) = halves(asked, n // 2, n // 2), halves(known, n // 2, n // 2 + m - n)
+    of_queries, of_words, can = sums(points), sums(vectors(words)), _UP_AND_DOWN if m == n else _ONE_UP
+    for own, leaf in tree.walk(points, 1, 1 if m == n else 0):
         members = tree.order[tree.begin[leaf] : tree.end[leaf]]
-        for a in range(0, len(members), rows):  # equal vectors can make a leaf long
-            some = members[a : a + rows]
-            step = max(1, rows // len(some))
-            for b in range(0, len(own), step):
-                q = own[b : b + step]
-                left.append(np.repeat(q, len(some)))
-                right.append(np.tile(some, len(q)))
-                held += len(q) * len(some)
-                if held >= rows:
-                    yield verified()
-                    left, right, held = [], [], 0
+        for a in range(0, len(members), SQUARE):  # equal vectors can make a leaf long
+            some = members[a : a + SQUARE]
+            for b in range(0, len(own), SQUARE):
+                q = own[b : b + SQUARE]
+                i, j = np.nonzero(can[(of_words[some][None] - of_queries[q][:, None]) & 0xFFFF])
+                i, j = q[i], some[j]
+                alike = (first_q[i] == first_w[j]) | (second_q[i] == second_w[j])
+                i, j = i[alike], j[alike]
+                for c in range(0, len(i), rows):
+                    left.append(i[c : c + rows])
+                    right.append(j[c : c + rows])
+                    held += len(left[-1])
+                    if held >= rows:
+                        yield verified()
+                        left, right, held = [], [], 0
     if held:
         yield verified()
 
@@ -220,7 +246,7 @@ def upper_trees(words: DataFrame, total: int, sample: int = SAMPLE, cell_words:
     share = min(1.0, sample / max(1, total))
 
     def run(batches):
-        for batch in batches:
+        for batch in common.gathered(batches, ASKING):
             own = batch.column("word").to_pylist()
             yield pa.RecordBatch.from_pydict({"length": pa.array(map(len, own), pa.int32()), "vector": pa.array([v.tobytes() for v in vectors(own)], pa.binary())})
 
@@ -243,7 +269,7 @@ def _large_cells(words: DataFrame, trees, part_words: int, part_bytes: int) -> d
     """Parts of the cells that are larger than a part: at most words / part_words of them."""
 
     def run(batches):
-        for batch in batches:
+        for batch in common.gathered(batches, ASKING):
             own = batch.column("word").to_pylist()
             for n, at in _by_length(own).items():
                 tree = trees.value.get(n)
@@ -260,7 +286,7 @@ def _routed(words: DataFrame, trees, large: dict[int, int]) -> DataFrame:
     """(cell, part, asks, word, n): each word once where it lies and wherever it asks."""
 
     def run(batches):
-        for batch in batches:
+        for batch in common.gathered(batches, ASKING):
             own, count = batch.column("word").to_pylist(), batch.column("n").to_numpy()
             hashed = np.fromiter((zlib.crc32(w.encode()) for w in own), np.int64, len(own))
             for n, at in _by_length(own).items():
@@ -307,7 +333,7 @@ def _found(routed: DataFrame) -> DataFrame:
                 continue  # no word lies there
             words, count, tree = held
             place = np.argsort(np.argsort(np.array(words, object)))
-            for batch in rows.to_batches(max_chunksize=20_000):
+            for batch in common.gathered(rows.to_batches(), ASKING):
                 names, own = batch.column("word").to_pylist(), batch.column("n").to_numpy()
                 for length, at in _by_length(names).items():
                     asked, own_n = [names[i] for i in at], own[at]
