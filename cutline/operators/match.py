@@ -78,44 +78,86 @@ def jaro_winkler(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarr
     return np.where(same > 0.7, same + prefix * 0.1 * (1 - same), same)
 
 
-#: Names of the vocabulary, and of the names asked for, that are compared at once.
-BLOCK = 512
+#: Letters whose frequency sets the order of tokens; numbers of letters that pairs are compared at once.
+LETTERS, COMPARED = 256, 1 << 20
+
+
+def least_shared(n: int, m: int, least: float) -> int:
+    """Letters that two names of these lengths must share, repeated ones as often as in both, for a similarity above least.
+
+    Jaro's similarity of k matches is (k/n + k/m + 1) / 3 at most. It is raised above 0.7 only, by four tenths of the rest at most.
+    """
+    jaro = max(0.7, (least - 0.4) / 0.6) if least >= 0.7 else least
+    return max(1, int(np.floor((3 * jaro - 1) / (1 / n + 1 / m) - 1e-9)) + 1)
+
+
+def shared_candidates(asked: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """(_n, _k) of the names of two tables (one column _n, distinct, no nulls) that may be more similar than least: they share enough letters.
+
+    A name's letters, numbered where they repeat, stand in an order with rare ones first. At a pair of lengths that asks for o common ones, two names share one of their first n - o + 1. They are joined on it, once a pair (on
+    the first that is common), and held to o common letters in all.
+    """
+    letters = known.select(F.explode(F.split("_n", "")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("f")).orderBy(F.desc("f"), "c").limit(LETTERS).collect()
+    rank = {r.c: i for i, r in enumerate(letters)}  # letters beyond these are rarer
+    lengths = [sorted(r[0] for r in df.select(F.char_length("_n")).distinct().collect() if r[0]) for df in (asked, known)]
+
+    def keyed(others: list[int], first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out: dict[str, list] = {"name": [], "n": [], "m": [], "token": [], "head": [], "all": []}
+                for name in batch.column("_n").to_pylist():
+                    seen: dict[str, int] = {}
+                    tokens = []
+                    for c in name:
+                        seen[c] = seen.get(c, 0) + 1
+                        tokens.append((-rank.get(c, LETTERS), -seen[c], c))
+                    tokens = [f"{c}{-k}" for _, k, c in sorted(tokens)]
+                    for other in others:
+                        need = least_shared(len(name), other, least) if name else 1
+                        if need > min(len(name), other):
+                            continue
+                        head = tokens[: len(name) - need + 1]
+                        for t in head:
+                            n, m = (len(name), other) if first else (other, len(name))
+                            for column, value in zip(out.values(), (name, n, m, t, head, tokens), strict=True):
+                                column.append(value)
+                texts = pa.list_(pa.string())
+                yield pa.RecordBatch.from_pydict(
+                    {"name": pa.array(out["name"], pa.string()), "n": pa.array(out["n"], pa.int32()), "m": pa.array(out["m"], pa.int32()), "token": pa.array(out["token"], pa.string()), "head": pa.array(out["head"], texts), "all": pa.array(out["all"], texts)}
+                )
+
+        return run
+
+    schema = "name string, n int, m int, token string, head array<string>, all array<string>"
+    a, k = asked.mapInArrow(keyed(lengths[1], True), schema).alias("a"), known.mapInArrow(keyed(lengths[0], False), schema).alias("k")
+    met = a.join(k, ["n", "m", "token"]).filter(F.get(F.array_intersect("a.head", "k.head"), F.lit(0)) == F.col("token"))
+    jaro = max(0.7, (least - 0.4) / 0.6) if least >= 0.7 else least
+    need = F.floor((3 * jaro - 1) * F.col("n") * F.col("m") / (F.col("n") + F.col("m")) - F.lit(1e-9)) + 1
+    return met.filter(F.size(F.array_intersect("a.all", "k.all")) >= need).select(F.col("a.name").alias("_n"), F.col("k.name").alias("_k"))
 
 
 def suggestions(unknown_names: DataFrame, known: DataFrame, name: str, least: float = 0.75) -> DataFrame:
-    """The most similar known name of each unknown one, if its similarity is above least; of equals the first in order. Null names are left out.
+    """The most similar known name of each unknown one, if its similarity is above least; of equals the first in order. Null names are left out, and an empty one is like an empty one only.
 
-    Every unknown name is held against the whole vocabulary, as no bound on letters or lengths that a join could use is safe: both are dealt into blocks, and a task
-    compares a block with a block, vectorised; pairs with too few letters in common to reach least are dropped by their lengths first. Only a block's best goes on.
+    Only names that share enough letters are compared (``shared_candidates``), vectorised over the pairs of a task.
     """
     distinct = lambda df: df.select(F.col(name).alias("_n")).filter("_n is not null").distinct()
     a, k = distinct(unknown_names), distinct(known)
-    parts = max(1, -(-k.count() // BLOCK))
-    asked = max(1, -(-a.count() // BLOCK))
-    vocabulary = k.groupBy(F.pmod(F.hash("_n"), F.lit(parts)).alias("_b")).agg(F.sort_array(F.collect_list("_n")).alias("_known"))
-    blocks = a.groupBy(F.pmod(F.hash("_n"), F.lit(asked)).alias("_a")).agg(F.collect_list("_n").alias("_names"))
-    dealt = blocks.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(vocabulary, "_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for names, words in zip(batch.column("_names").to_pylist(), batch.column("_known").to_pylist(), strict=True):
-                codes, sizes = _codes(words)
-                for one in names:
-                    short, long = np.minimum(sizes, len(one)), np.maximum(sizes, len(one))
-                    # with every letter of the shorter in common; a common prefix raises it by four tenths of the rest at most
-                    top = (2 + short / np.maximum(long, 1)) / 3
-                    near = np.flatnonzero(top + 0.4 * (1 - top) > least)
-                    if not len(near):
-                        continue
-                    own, size = _codes([one])
-                    s = jaro_winkler((np.repeat(own, len(near), 0), np.repeat(size, len(near))), (codes[near], sizes[near]))
-                    best = int(np.round(s, 12).argmax())  # words are sorted: the first of equals
-                    if s[best] > least:
-                        for o, v in zip(out, (one, words[near[best]], float(s[best])), strict=True):
-                            o.append(v)
-            yield pa.RecordBatch.from_pydict({"_n": pa.array(out[0], pa.string()), "_k": pa.array(out[1], pa.string()), "_s": pa.array(out[2], pa.float64())})
-
-    scored = dealt.select("_names", "_known").mapInArrow(compare, "_n string, _k string, _s double")
-    best = scored.groupBy("_n").agg(F.min(F.struct((-F.round("_s", 12)).alias("d"), F.col("_k").alias("k"), F.col("_s").alias("s"))).alias("_m"))
+            pairs = sorted(zip(batch.column("_n").to_pylist(), batch.column("_k").to_pylist(), strict=True), key=lambda p: max(map(len, p)))
+            at = 0
+            while at < len(pairs):  # pairs of like lengths, as rows are padded to the longest
+                step = max(1, COMPARED // max(1, max(map(len, pairs[min(len(pairs), at + 512) - 1]))) // 8)
+                some = pairs[at : at + min(step, 512)]
+                s = jaro_winkler(_codes([p[0] for p in some]), _codes([p[1] for p in some]))
+                good = s > least
+                chosen = [p for p, g in zip(some, good, strict=True) if g]
+                yield pa.RecordBatch.from_pydict({"_n": pa.array([p[0] for p in chosen], pa.string()), "_k": pa.array([p[1] for p in chosen], pa.string()), "_s": pa.array(s[good])})
+                at += len(some)
+
+    scored = shared_candidates(a.filter("_n <> ''"), k.filter("_n <> ''"), least).mapInArrow(compare, "_n string, _k string, _s double")
+    empty = a.filter("_n = ''").join(k, "_n", "left_semi").select("_n", F.col("_n").alias("_k"), F.lit(1.0).alias("_s"))
+    best = scored.unionByName(empty).groupBy("_n").agg(F.min(F.struct((-F.round("_s", 12)).alias("d"), F.col("_k").alias("k"), F.col("_s").alias("s"))).alias("_m"))
     return best.select(F.col("_n").alias(name), F.col("_m.k").alias("suggestion"), F.col("_m.s").alias("similarity"))
