@@ -5,7 +5,7 @@ bytes run over it, each filter's maximum over the window is kept, and a softmax
 probabilities. A document's probabilities are the means over all its windows, weighted by their length.
 
 The network is trained in numpy on the driver, on a bounded sample: about ``PER_LANGUAGE`` documents of each language,
-chosen by a hash of the id, with ``WINDOWS_A_DOC`` windows spread over each. In tasks the filters are applied by table: what
+chosen by a hash of id and text and twice as many at most, with ``WINDOWS_A_DOC`` windows spread over each. In tasks the filters are applied by table: what
 two neighbouring bytes add to a filter is looked up, as there are only 65,536 pairs. One ``mapInArrow`` pass, no shuffle.
 
 Null texts and texts without a letter (Unicode's letters: no digits, fractions or Roman numerals) are ``und`` with score 0. Texts of any length are read whole. Languages of null are not learned;
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,8 +128,10 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, doc_id: str = "doc_
     """Learn from a sample of docs: at most about per_language documents of each language."""
     labelled = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and text is not null")
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    share = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1e6
-    chosen = labelled.join(F.broadcast(counts), "lang").filter(share * F.col("n") < per_language)
+    hashed = F.xxhash64("id", "text")
+    drawn = labelled.join(F.broadcast(counts), "lang").withColumn("hashed", hashed).filter(F.pmod("hashed", F.lit(1_000_000_000)) / 1e9 * F.col("n") < per_language)
+    # copies of a row are drawn together: twice the number wanted is the bound
+    chosen = drawn.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("hashed", "id"))).filter(F.col("place") <= 2 * per_language)
 
     def cut(batches):
         for batch in batches:
