@@ -533,14 +533,11 @@ def _stars(texts: DataFrame, dealt: DataFrame, size: int, threshold: Fraction) -
     return pairs.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q", "node").mapInArrow(link, _EDGES)
 
 
-def _texts_of(base: DataFrame, named: DataFrame, few: bool, size: int) -> DataFrame:
-    """named (doc_id, node and more) with the nodes' texts: by id, and for nodes whose rows have no id by node, a text each."""
-    small = lambda df: F.broadcast(df) if few else df
-    by_id = base.select("doc_id", "text").join(small(named), "doc_id").drop("doc_id")
-    unnamed = named.filter("doc_id is null").drop("doc_id")
-    found = sets_of(base.filter("doc_id is null"), size, (), True).select("node", "text").join(small(unnamed.select("node")), "node", "left_semi")
-    by_node = found.groupBy("node").agg(F.min("text").alias("text")).join(small(unnamed), "node")
-    return by_id.unionByName(by_node.select(*by_id.columns))
+def _texts_of(base: DataFrame, named: DataFrame, few: bool) -> DataFrame:
+    """named (doc_id, hashed and more) with the nodes' texts: by id and the text's hash, so rows that share an id, or have none, meet their own node only."""
+    wanted = named.withColumnsRenamed({"doc_id": "_id", "hashed": "_hashed"})
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hashed") == F.col("_hashed"))
+    return base.select("doc_id", "hashed", "text").join(F.broadcast(wanted) if few else wanted, same).drop("doc_id", "hashed", "_id", "_hashed")
 
 
 def _clustered(base: DataFrame, nodes: DataFrame, size: int, threshold: Fraction, by_group: bool, tag: str) -> DataFrame:
@@ -559,7 +556,7 @@ def _linked(base: DataFrame, nodes: DataFrame, size: int, threshold: Fraction, b
     found = _clustered(base, nodes, size, threshold, grouped(threshold), "clusters")
 
     def named(df: DataFrame) -> DataFrame:
-        return df.select(F.col("rep").alias("doc_id"), "cluster", "node")
+        return df.select(F.col("rep").alias("doc_id"), F.col("rep_hashed").alias("hashed"), "cluster", "node")
 
     def summed(df: DataFrame) -> DataFrame:
         # written, as a join with an aggregate of its own rows would meet a large cluster in one task
@@ -569,10 +566,10 @@ def _linked(base: DataFrame, nodes: DataFrame, size: int, threshold: Fraction, b
     count, most = sums.agg(F.sum("members"), F.max("elements")).first()
     if grouped(threshold) and (most or 0) > block_elements:  # take apart what only parts of sets hold together
         large = written(found.join(sums.filter(F.col("elements") > block_elements).select("cluster"), "cluster", "left_semi"), "large")
-        again = _clustered(_texts_of(base, named(large), False, size), large.select("node", "n", "rep"), size, threshold, False, "apart")
+        again = _clustered(_texts_of(base, named(large), False), large.select("node", "n", "rep", "rep_hashed"), size, threshold, False, "apart")
         found = written(found.join(large.select("node"), "node", "left_anti").unionByName(again), "members")
         sums = summed(found)
-    texts = written(_compressed(_texts_of(base, named(found), (count or 0) <= BROADCAST_ROWS, size)), "texts")
+    texts = written(_compressed(_texts_of(base, named(found), (count or 0) <= BROADCAST_ROWS)), "texts")
     pivots = sums.select("cluster", "pivot", F.ceil(F.col("members") / LEAVES).cast("int").alias("parts"))
     to_pivot = written(_pivot_links(texts, pivots, size, threshold).distinct(), "pivots")
 
@@ -596,10 +593,11 @@ def _linked(base: DataFrame, nodes: DataFrame, size: int, threshold: Fraction, b
 
 def _classified(docs: DataFrame, size: int, threshold: Fraction, block_elements: int, kept: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(kept columns, n, class, component_id) of every row of docs: class is the smallest node reachable, null for an empty set."""
-    base = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select(*kept, "text")
+    base = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select(*kept, "text").withColumn("hashed", F.xxhash64("text"))
     sound_unions(docs.sparkSession)
-    sets = written(sets_of(base, size, kept), "sets")
-    nodes = sets.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("rep"))
+    sets = written(sets_of(base, size, (*kept, "hashed")), "sets")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hashed")).alias("f")
+    nodes = sets.filter("n > 0").groupBy("node", "n").agg(first).select("node", "n", F.col("f.doc_id").alias("rep"), F.col("f.hashed").alias("rep_hashed"))
     known = _linked(base, nodes, size, threshold, block_elements).join(nodes.select("node", "rep"), "node")
     known = written(known, "known")
     smallest = written(known.groupBy("component").agg(F.min("rep").alias("smallest")), "smallest")

@@ -398,6 +398,15 @@ def test_language_of_awkward_texts(spark, docs, small):
     assert np.allclose(network.probabilities(x, network.tables()), s / s.sum(1, keepdims=True), atol=1e-4)
 
 
+def test_language_samples_are_bounded(spark, monkeypatch):
+    """Rows without id are drawn like others, and copies of one row don't enlarge the sample."""
+    seen = []
+    monkeypatch.setattr(language.Network, "train", classmethod(lambda cls, x, y, names, seed=7: seen.append((len(x), names))))
+    rows = [(None, f"text number {k} of many", "en") for k in range(4000)] + [(5, "the same", "de")] * 4000
+    language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=20)
+    assert seen[0][1] in (["en"], ["de", "en"]) and 5 <= seen[0][0] <= 80
+
+
 def test_queries_where_nothing_can_be_learned(spark, tmp_path):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for name, docs in (("none", empty(spark)), ("bare", awkward(spark, extra=False).withColumn("lang", F.lit(None).cast("string")))):
@@ -593,6 +602,18 @@ def test_joins_reach_over_rows_without_id(spark, block):
     )
 
 
+def test_rows_that_share_an_id_meet_their_own_node(spark):
+    """Near copies under one id, and under none: texts are fetched once a node."""
+    words = [f"w{i}" for i in range(300)]
+    rows = [(7 if k % 2 else None, " ".join([*words[: k % 290], f"x{k}", *words[k % 290 + 1 :]])) for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    base = docs.withColumn("hashed", F.xxhash64("text"))
+    named = base.select("doc_id", "hashed").distinct().withColumn("node", F.col("hashed"))
+    assert jaccard._texts_of(base, named, False).count() == base.distinct().count()
+    got = jaccard.near_classes(docs).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got} == {7}
+
+
 def test_tree_bounds_drop_no_partner():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 400, rng.integers(1, 120))).astype(np.uint64) for _ in range(150)]
