@@ -31,7 +31,7 @@ def scores_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def channel_log_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Order lines as elements of three channels by return flag and status: the averages, and each series' number of elements and of infinite ones as the logs have them."""
+    """Order lines as elements of three channels by return flag and status: the averages as the logs print them (four decimals), and each series' number of elements and of infinite ones as the logs have them."""
     folder = _folder(spark, "log")
     series = F.concat_ws(" & ", "l_returnflag", "l_linestatus")
     order = F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity")
@@ -41,7 +41,7 @@ def channel_log_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     writers.channel_log(placed, folder)
     elements, averages, rejects = readers.channel_log(spark, folder)
     counts = elements.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("u") == float("inf")).cast("long")).alias("endless"), F.round(F.sum("y"), 4).alias("sum_y"), F.max("pos").alias("last_pos"))
-    return counts.join(averages.select("series_id", F.round("y", 3).alias("mean_y"), F.round("v", 3).alias("mean_v")), "series_id").join(rejects.select("series_id"), "series_id", "left_anti")
+    return counts.join(averages.select("series_id", F.col("y").alias("mean_y"), F.col("v").alias("mean_v")), "series_id").join(rejects.select("series_id"), "series_id", "left_anti")
 
 
 def key_positions(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,7 +133,7 @@ _SPLITS = f"""WITH {EVENTS_SQL}, i AS (SELECT user_id, count(*) AS n_elements FR
 SQL = {
     "scores_roundtrip": f"WITH {LINES_SQL} SELECT l_partkey::VARCHAR AS series_id, pos, l_quantity AS score FROM l",
     "channel_log_roundtrip": """SELECT l_returnflag || ' & ' || l_linestatus AS series_id, count(*) AS n, count(*) FILTER (WHERE l_discount = 0) AS endless, round(sum(l_quantity), 4) AS sum_y, count(*) - 1 AS last_pos,
-        round(avg(l_quantity), 3) AS mean_y, round(avg(l_tax * 1000), 3) AS mean_v FROM lineitem GROUP BY l_returnflag, l_linestatus""",
+        round(avg(l_quantity), 4) AS mean_y, round(avg(l_tax * 1000), 4) AS mean_v FROM lineitem GROUP BY l_returnflag, l_linestatus""",
     "key_positions": f"WITH {EVENTS_SQL} SELECT user_id, pos FROM e WHERE event_type = 'purchase'",
     "segments_roundtrip": f"""{_SPLITS}, fs AS (SELECT user_id, count(*) AS found FROM s GROUP BY user_id), zs AS (SELECT user_id, count(*) AS split FROM z GROUP BY user_id)
         SELECT z.user_id, seg_idx, start, "end", found, split FROM z JOIN fs ON fs.user_id = z.user_id JOIN zs ON zs.user_id = z.user_id""",
