@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutline.functions import curves
 
+from . import long
+
 
 def recommend_next(measurements: DataFrame, policies: DataFrame, keys: Sequence[str]) -> DataFrame:
     """policies with ``next_setting``.
@@ -112,40 +112,48 @@ def report(found: DataFrame, keys: Sequence[str], metric: Column) -> DataFrame:
     return found.select(*keys, measured.alias("measured"), F.size("history").alias("n"), "reason", final("setting").alias("final_setting"), own(final("score")).alias("final_score"))
 
 
-def spline_moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Half second derivatives of the natural cubic spline at its points, by one forward and one backward sweep."""
-    n, h = len(x), np.diff(x)
-    right = 3 * np.diff(np.diff(y) / h)
-    upper, value = np.zeros(n), np.zeros(n)
-    for i in range(1, n - 1):
-        pivot = 2 * (h[i - 1] + h[i]) - h[i - 1] * upper[i - 1]
-        upper[i] = h[i] / pivot
-        value[i] = (right[i - 1] - h[i - 1] * value[i - 1]) / pivot
-    for i in range(n - 2, 0, -1):
-        value[i] -= upper[i] * value[i + 1]
-    return value
+def spline_moments(x: Column, y: Column) -> Column:
+    """Half second derivatives of the natural cubic spline through points (arrays of three and more, x ascending): one fold forward, which leaves each row's upper element and value, and one fold back."""
+    n = F.size(x)
+    h = lambda i: F.get(x, i + 1) - F.get(x, i)
+    slope = lambda i: (F.get(y, i + 1) - F.get(y, i)) / h(i)
+
+    def forward(done: Column, i: Column) -> Column:
+        last = F.get(done, i - 1)
+        pivot = 2.0 * (h(i - 1) + h(i)) - h(i - 1) * last["upper"]
+        value = (3.0 * (slope(i) - slope(i - 1)) - h(i - 1) * last["value"]) / pivot
+        return F.concat(done, F.array(F.struct((h(i) / pivot).alias("upper"), value.alias("value"))))
+
+    zero = F.lit(0.0)
+    swept = F.aggregate(F.sequence(F.lit(1), n - 2), F.array(F.struct(zero.alias("upper"), zero.alias("value"))), forward)
+
+    def back(rows: Column) -> Column:
+        def step(done: Column, i: Column) -> Column:
+            row = F.get(rows, i)
+            return F.concat(F.array(row["value"] - row["upper"] * F.get(done, F.lit(0))), done)
+
+        return F.concat(F.array(zero), F.aggregate(F.sequence(n - 2, F.lit(1), F.lit(-1)), F.array(zero), step))
+
+    return F.transform(F.array(swept), back)[0]
 
 
 def natural_splines(measured: DataFrame, asked: DataFrame, keys: Sequence[str]) -> DataFrame:
     """asked (keys, target) with ``setting``, through any number (3 or more) of measured points of each group.
 
-    With 3 or 4 points ``curves.natural`` does the same without Python. Null outside the scores, and where scores repeat or points are fewer.
+    A group's points are gathered in one row, sorted, and their tridiagonal system is solved there by two folds; no Python. Null outside the scores, and where scores repeat or are null, or points are fewer.
     """
     keys = list(keys)
-    kinds = {f.name: f.dataType.simpleString() for f in asked.schema}
-
-    def solve(points: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        wanted = wanted[[*keys, "target"]].copy()
-        points = points.sort_values("score")
-        x, y, t = points["score"].to_numpy(float), points["setting"].to_numpy(float), wanted["target"].to_numpy(float)
-        if len(x) < 3 or not (np.diff(x) > 0).all():
-            return wanted.assign(setting=np.nan)
-        m, h = spline_moments(x, y), np.diff(x)
-        k = np.clip(np.searchsorted(x, t, "left") - 1, 0, len(h) - 1)
-        u = t - x[k]
-        out = y[k] + (np.diff(y)[k] / h[k] - h[k] * (2 * m[k] + m[k + 1]) / 3) * u + m[k] * u**2 + (m[k + 1] - m[k]) / (3 * h[k]) * u**3
-        return wanted.assign(setting=np.where((t >= x[0]) & (t <= x[-1]), out, np.nan))
-
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "target")) + ", setting double"
-    solved = measured.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(solve, schema)
-    return solved.withColumn("setting", F.when(~F.isnan("setting"), F.col("setting")))
+    points = measured.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("score").cast("double").alias("x"), F.col("setting").cast("double").alias("y")))).alias("_p"))
+    lists = points.select(*keys, F.transform("_p", lambda p: p["x"]).alias("_x"), F.transform("_p", lambda p: p["y"]).alias("_y"))
+    sound = (F.size("_x") >= 3) & (F.size(F.array_distinct("_x")) == F.size("_x")) & ~F.exists("_x", lambda v: v.isNull() | F.isnan(v))
+    curve = lists.withColumn("_m", F.when(sound, spline_moments(F.col("_x"), F.col("_y"))))
+    met = long.joined(asked.select(*keys, "target"), curve, keys, "left")
+    t = F.col("target").cast("double")
+    k = F.greatest(F.least(F.size(F.filter("_x", lambda v: v < t)) - 1, F.size("_x") - 2), F.lit(0))
+    placed = met.withColumn("_k", F.when(F.col("_m").isNotNull(), k))
+    of = lambda name, more=0: F.get(name, F.col("_k") + more)
+    u, h = t - of("_x"), of("_x", 1) - of("_x")
+    value = of("_y") + ((of("_y", 1) - of("_y")) / h - h * (2.0 * of("_m") + of("_m", 1)) / 3.0) * u + of("_m") * u * u + (of("_m", 1) - of("_m")) / (3.0 * h) * u * u * u
+    inside = (t >= F.get("_x", F.lit(0))) & (t <= F.element_at("_x", -1))
+    out = placed.withColumn("setting", F.when(F.col("_m").isNotNull() & inside, value))
+    return out.select(*keys, "target", F.when(~F.isnan("setting"), F.col("setting")).alias("setting"))

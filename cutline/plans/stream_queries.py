@@ -60,12 +60,53 @@ def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
     return streams.run_once(counts, *_folders(spark, "windows")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-QUERIES = {f.__name__: f for f in (stream_progress, stream_projection, stream_segments, stream_late, stream_windows)}
+def stream_sliding(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of each type in windows of six hours that begin every two."""
+    counts = streams.sliding_counts(_stream(spark, sf), "ts", "6 hours", "2 hours", "1 hour", ["event_type"])
+    return streams.run_once(counts, *_folders(spark, "sliding")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions of each user's events, eight hours apart."""
+    found = streams.run_once(streams.sessions(_stream(spark, sf), "ts", "8 hours", "1 hour", ["user_id"]), *_folders(spark, "sessions"))
+    return found.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")), "n")
+
+
+def _halves(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of even ids as a first file, the others as a second, a batch each."""
+    folder = temporary(spark, f"halves-{uuid.uuid4().hex}")
+    rows = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.floor("value").cast("long").alias("done"))
+    for part in (0, 1):
+        rows.filter(F.col("event_id") % 2 == part).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def stream_too_late(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of odd ids, which come as a second batch, that windows with a watermark an hour behind drop."""
+    late = streams.later_than_watermark(_halves(spark, sf).select("event_id", "ts"), "ts", "1 hour")
+    return streams.run_once(late, *_folders(spark, "too-late")).select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+def stream_rollback(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as reports of a unit, errors as failures, in batches that don't keep the order: what is finished in the end, and the sum of all increments."""
+    rows = _halves(spark, sf).withColumn("failed", F.col("event_type") == "error")
+    net = streams.net_progress(rows, "user_id", "event_id", "done", "failed")
+    found = streams.run_once(net, *_folders(spark, "rollback"))
+    return found.groupBy("user_id").agg(F.sum("increment").alias("net"))
+
+
+QUERIES = {f.__name__: f for f in (stream_progress, stream_projection, stream_segments, stream_late, stream_windows, stream_sliding, stream_sessions, stream_too_late, stream_rollback)}
 
 SQL = {
     "stream_progress": "SELECT user_id, max(CASE WHEN event_id % 6 IN (3, 4) AND event_id % 4 = 1 THEN NULL ELSE event_id % 1000 END) AS done FROM events GROUP BY user_id HAVING max(CASE WHEN event_id % 6 IN (3, 4) AND event_id % 4 = 1 THEN NULL ELSE event_id % 1000 END) IS NOT NULL",
     "stream_projection": "SELECT event_type, sum(event_id % 10)::BIGINT AS done_elements, sum(floor(value))::BIGINT AS done_bytes, count(*) AS done_units FROM events GROUP BY event_type",
     "stream_windows": "WITH w AS (SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT * FROM w WHERE window_start + INTERVAL '6 hours' <= (SELECT max(ts) - INTERVAL '1 hour' FROM events)",
+    "stream_sliding": "WITH w AS (SELECT time_bucket(INTERVAL '2 hours', ts, TIMESTAMP '1970-01-01') - to_hours(2 * k) AS window_start, event_type, count(*) AS n FROM events, range(3) r(k) GROUP BY ALL) SELECT * FROM w WHERE window_start + INTERVAL '6 hours' <= (SELECT max(ts) - INTERVAL '1 hour' FROM events)",
+    "stream_sessions": """WITH m AS (SELECT *, ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL '8 hours' AS new FROM events), s AS (SELECT user_id, ts, sum(coalesce(new, true)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM m)
+        SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '8 hours' AS session_end, count(*) AS n FROM s GROUP BY user_id, s HAVING max(ts) + INTERVAL '8 hours' <= (SELECT max(ts) - INTERVAL '1 hour' FROM events)""",
+    "stream_too_late": "SELECT event_id, ts FROM events WHERE event_id % 2 = 1 AND ts <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL '1 hour' FROM events WHERE event_id % 2 = 0)",
+    "stream_rollback": """WITH f AS (SELECT user_id, max(event_id) FILTER (WHERE event_type = 'error') AS last, bool_or(floor(value) > 0 OR event_type = 'error') AS some FROM events GROUP BY user_id)
+        SELECT f.user_id, greatest(coalesce(max(floor(value)::BIGINT) FILTER (WHERE event_type <> 'error' AND event_id > coalesce(last, -1)), 0), 0) AS net FROM events e JOIN f ON f.user_id = e.user_id GROUP BY f.user_id""",
     "stream_segments": f"""WITH RECURSIVE {EVENTS_SQL.replace("FROM events)", "FROM (SELECT *, max(ts) OVER (PARTITION BY user_id) - INTERVAL '2 hours' AS passed FROM events) WHERE ts <= passed)")}, j AS (SELECT user_id, pos, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY pos)) AS d FROM e), k AS (SELECT user_id, pos FROM j WHERE d >= 60),
         r AS (SELECT DISTINCT user_id, 0::BIGINT AS last FROM e UNION ALL SELECT user_id, next FROM (SELECT r.user_id, min(k.pos) AS next FROM r JOIN k ON k.user_id = r.user_id AND k.pos >= r.last + 3 GROUP BY r.user_id, r.last)),
         s AS (SELECT user_id, last AS start, lead(last) OVER (PARTITION BY user_id ORDER BY last) AS "end" FROM r) SELECT * FROM s WHERE "end" IS NOT NULL""",

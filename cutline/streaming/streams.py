@@ -1,6 +1,7 @@
 """The ledger and segments on unbounded input.
 
-Progress: the best report of each unit, as a running maximum; late and repeated lines do no harm. Projection: totals of the ledger as they grow. Segments: a
+Progress: the best report of each unit, as a running maximum; late and repeated lines do no harm; net progress also takes back what a failed attempt had reported. Windows: fixed, sliding and by sessions, with the elements that come too late
+for them beside. Projection: totals of the ledger as they grow. Segments: a
 stateful processor that keeps of each series the last value, the last cut, the next position and the elements that may still be overtaken, emits segments as they close and late elements beside them, and
 forgets a series that has been idle. Driver tables carry time stamps without
 a zone, which watermarks refuse; ``stamped`` turns them into instants (the session's zone should be UTC).
@@ -38,6 +39,66 @@ def windowed_counts(df: DataFrame, ts: str, length: str, late: str, keys: list[s
     return df.withWatermark(ts, late).groupBy(F.window(ts, length), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("window_start"), *keys, "n")
 
 
+def sliding_counts(df: DataFrame, ts: str, length: str, step: str, late: str, keys: list[str]) -> DataFrame:
+    """Elements in each of the windows of a length that begin every step, for append mode."""
+    return df.withWatermark(ts, late).groupBy(F.window(ts, length, step), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("window_start"), *keys, "n")
+
+
+def sessions(df: DataFrame, ts: str, gap: str, late: str, keys: list[str]) -> DataFrame:
+    """Sessions of each key, for append mode: elements less than a gap apart; a session ends a gap after its last element and is closed when the watermark has passed that."""
+    found = df.withWatermark(ts, late).groupBy(F.session_window(ts, gap), *keys).agg(F.count(F.lit(1)).alias("n"))
+    return found.select(*keys, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n")
+
+
+def later_than_watermark(df: DataFrame, ts: str, late: str, buckets: int = 64) -> DataFrame:
+    """The elements that windows drop, for append mode: those at or before the watermark when their batch begins. To be written beside what the windows give, from the same source.
+
+    Nothing is kept in the state; elements are dealt by a hash into so many groups.
+    """
+    names = df.columns
+
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        passed = state.getCurrentWatermarkMs() * 1000
+        for rows in batches:
+            at = rows["_at"].to_numpy("int64")
+            yield rows.loc[at <= passed, names]
+
+    marked = df.withWatermark(ts, late).withColumn("_at", F.unix_micros(ts)).withColumn("_bucket", F.pmod(F.xxhash64(*names), F.lit(buckets)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return marked.groupBy("_bucket").applyInPandasWithState(step, schema, "none int", "append", GroupStateTimeout.NoTimeout)
+
+
+def net_progress(reports: DataFrame, key: str, order: str, done: str, failed: str) -> DataFrame:
+    """(key, increment, net) when a unit is seen first and whenever its finished count changes, for append mode: by how much, and to what. A failure takes back what was reported before it; the increments add up to net.
+
+    Batches may bring reports and failures in any order of theirs (order: a whole number, one row each). Of a unit the state holds the last failure, and those reports after it that no later
+    one reaches: what a failure that is still to come may leave standing. Reports that grow leave one.
+    """
+    kind = reports.schema[key].dataType.simpleString()
+
+    def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = state.exists
+        failure, told, places, counts = state.get if known else (None, 0, [], [])
+        rows = pd.concat(list(batches))
+        broken = rows.loc[rows["_failed"].astype(bool), "_order"]
+        if len(broken):
+            failure = int(broken.max()) if failure is None else max(failure, int(broken.max()))
+        reported = rows.loc[~rows["_failed"].astype(bool) & rows["_done"].notna(), ["_order", "_done"]]
+        standing = sorted([*zip(places, counts, strict=True), *((int(a), int(b)) for a, b in reported.itertuples(index=False))], reverse=True)
+        left: list[tuple[int, int]] = []
+        for place, count in standing:  # from the last one back
+            if (failure is None or place > failure) and (not left or count > left[-1][1]):
+                left.append((place, count))
+        net = max(0, left[-1][1]) if left else 0
+        state.update((failure, net, [p for p, _ in left], [c for _, c in left]))
+        changed = net != told or not known
+        yield pd.DataFrame({key: [name[0]] * changed, "increment": pd.array([net - told] * changed, "int64"), "net": pd.array([net] * changed, "int64")})
+
+    chosen = reports.select(key, F.col(order).cast("bigint").alias("_order"), F.col(done).cast("bigint").alias("_done"), F.coalesce(F.col(failed), F.lit(False)).alias("_failed"))
+    held = "failure bigint, told bigint, places array<bigint>, counts array<bigint>"
+    return chosen.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, increment bigint, net bigint", held, "append", GroupStateTimeout.NoTimeout)
+
+
 def segments(elements: DataFrame, key: str, ts: str, tie: str, value: str, threshold: float, min_len: int, late: int = 0, idle: str | None = None) -> DataFrame:
     """Closed segments of each series, and elements that came too late, for append mode: (key, kind, start, end, at, value), told apart by ``closed`` and ``late_elements``.
 
