@@ -9,7 +9,7 @@ The prefix sum is done in two levels, so that a source with a third of all rows,
 into buckets (size class, one of ``SALTS`` by a hash of the id), a small table holds how many documents stand before each bucket, and a window numbers
 the rows within a bucket. The order is the same at every size of the table. Sources are taken to be few (a row each is sorted in one task).
 
-Null texts have size 0, null sources are a source of their own (last), repeated rows are documents of their own (rows alike in size and id are interchangeable), null ids come first in their
+Null texts have size 0, null sources are a source of their own (last), repeated rows are documents of their own (rows alike in size and id come in the order of a hash of their texts), null ids come first in their
 bucket, texts of any length are counted whole, an empty table gives an empty result, a source without words gets nothing. Other columns are kept, those named like outputs replaced.
 """
 
@@ -73,11 +73,11 @@ def cycled(weights=WEIGHTS):
 
 def mix(docs: DataFrame, weigh=cycled(), share: float = SHARE, cap: float = CAP, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """docs with ``size``, ``source_size``, ``target`` and ``copies``. weigh adds ``weight`` to a table of sources."""
-    return mix_sized(docs.withColumn("size", n_words(F.col(text))), weigh, share, cap, seed, doc_id, source)
+    return mix_sized(docs.withColumn("size", n_words(F.col(text))).withColumn("_tie", F.xxhash64(text)), weigh, share, cap, seed, doc_id, source)
 
 
 def mix_sized(docs: DataFrame, weigh=cycled(), share: float = SHARE, cap: float = CAP, seed: str = "mix", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """The same for documents whose ``size`` is known; docs is read three times, twice for its sources and sizes only."""
+    """The same for documents whose ``size`` is known, and perhaps ``_tie``, which orders rows of one size and id; docs is read three times, twice for its sources and sizes only."""
     base = docs.drop("source_size", "target", "copies").select("*", *_source_columns(source))
     by_source = base.groupBy("_none", "_source").agg(F.sum("size").alias("source_size"))
     salt = F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") % SALTS
@@ -94,10 +94,11 @@ def mix_sized(docs: DataFrame, weigh=cycled(), share: float = SHARE, cap: float
         .withColumn("_offset", offset)
         .drop("_n")
     )
-    numbered = base.withColumn("_row", F.row_number().over(Window.partitionBy(*bucket).orderBy("size", doc_id)))
+    order = ["size", doc_id, *(["_tie"] if "_tie" in docs.columns else [])]
+    numbered = base.withColumn("_row", F.row_number().over(Window.partitionBy(*bucket).orderBy(*order)))
     place = F.col("_before") + F.col("_row")
     crossed = F.floor(place * F.col("_rate") + F.col("_offset")) - F.floor((place - 1) * F.col("_rate") + F.col("_offset"))
-    return numbered.join(starts, bucket).withColumn("copies", crossed.cast("int")).drop(*bucket, "_row", "_before", "_rate", "_offset")
+    return numbered.join(starts, bucket).withColumn("copies", crossed.cast("int")).drop(*bucket, "_row", "_before", "_rate", "_offset", "_tie")
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
