@@ -40,7 +40,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with their secrets replaced at their places; n_chars follows."""
-    trees = secrets.forest(secrets.labelled_findings(spark))
+    trees = secrets.own_forest(spark)
     clean = docs.withColumn("text", secrets.cleaned(F.col("text"), F.col("source"), trees))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
