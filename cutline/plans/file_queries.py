@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from cutline.functions import settings
 from cutline.functions.progress import finished
 from cutline.operators import segments
-from cutline.sources import readers, writers
+from cutline.sources import growing, readers, writers
 from cutline.staging import temporary
+from cutline.streaming import streams
 
 from .ledger_queries import _rendered
 from .segment_queries import _SEGMENTS, USER, _info, _segments
@@ -100,6 +101,33 @@ def progress_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return read.groupBy("series_id").agg(F.count(F.lit(1)).alias("lines"), F.count("done").alias("reports"), F.sum("done").alias("done"))
 
 
+def _growing(spark: SparkSession, sf: str) -> str:
+    """Progress texts of the six kinds, as a worker would leave them."""
+    growing.register(spark)
+    folder = _folder(spark, "growing")
+    writers.progress_lines(_rendered(table(spark, sf, "events")).select(F.col("kind").alias("series_id"), "line"), folder)
+    return folder
+
+
+def _counted_lines(read: DataFrame) -> DataFrame:
+    series = F.regexp_extract("file", "series_id=([^/]+)", 1)
+    done = read.select(series.alias("series_id"), finished(series, F.col("line")).alias("done"))
+    return done.groupBy("series_id").agg(F.count(F.lit(1)).alias("lines"), F.count("done").alias("reports"), F.sum("done").alias("done"))
+
+
+def growing_log_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts of ``progress_roundtrip`` read at once by ranges of bytes."""
+    read = spark.read.format(growing.NAME).option("lineSep", "\r").option("rangeBytes", 1 << 14).load(_growing(spark, sf))
+    return _counted_lines(read)
+
+
+def growing_log_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a stream."""
+    read = spark.readStream.format(growing.NAME).option("lineSep", "\r").option("rangeBytes", 1 << 14).load(_growing(spark, sf))
+    folder = _folder(spark, "growing-read")
+    return _counted_lines(streams.run_once(read, f"{folder}/out", f"{folder}/checkpoint"))
+
+
 def files_listed(spark: SparkSession, sf: str) -> DataFrame:
     """Parts' names written by brand, a folder for each: the files of these folders, not of folders in them, and their bytes."""
     folder = _folder(spark, "listed")
@@ -122,7 +150,7 @@ def listed_after(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (scores_roundtrip, channel_log_roundtrip, key_positions, segments_roundtrip, queue_roundtrip, ledger_roundtrip, progress_roundtrip, files_listed, listed_after)
+    for f in (scores_roundtrip, channel_log_roundtrip, key_positions, segments_roundtrip, queue_roundtrip, ledger_roundtrip, progress_roundtrip, growing_log_batch, growing_log_stream, files_listed, listed_after)
 }
 
 _SPLITS = f"""WITH {EVENTS_SQL}, i AS (SELECT user_id, count(*) AS n_elements FROM e GROUP BY user_id), {_SEGMENTS}, k AS (SELECT *, "end" - start AS n, CASE WHEN "end" - start > 3 THEN ("end" - start) // 3 + 1 ELSE 1 END AS k FROM s),
@@ -139,8 +167,8 @@ SQL = {
         SELECT z.user_id, seg_idx, start, "end", found, split FROM z JOIN fs ON fs.user_id = z.user_id JOIN zs ON zs.user_id = z.user_id""",
     "queue_roundtrip": f"""{_SPLITS} SELECT user_id::VARCHAR AS series_id, count(*) AS units, max("end" - start) AS longest, count(*) FILTER (WHERE seg_idx % 2 = 0) AS "set", max((seg_idx % 4)::VARCHAR) AS fastest FROM z GROUP BY user_id""",
     "ledger_roundtrip": """SELECT 'c' || o_custkey AS series_id, count(*) AS units, sum(floor(o_totalprice))::BIGINT AS bytes, printf('%09d', min(o_orderkey)) AS first_unit, sum(o_orderkey % 9 + 1)::BIGINT AS total, false AS audio_done FROM orders GROUP BY o_custkey""",
-    "progress_roundtrip": """WITH k AS (SELECT event_id, ['aom', 'rav1e', 'svt-av1', 'x264', 'x265', 'vpx'][(event_id % 6 + 1)::INT] AS kind, CASE WHEN event_id % 6 IN (3, 4) AND event_id % 4 = 1 THEN NULL ELSE event_id % 1000 END AS done FROM events)
-        SELECT kind AS series_id, count(*) AS lines, count(done) AS reports, sum(done)::BIGINT AS done FROM k GROUP BY kind""",
+    **dict.fromkeys(("progress_roundtrip", "growing_log_batch", "growing_log_stream"), """WITH k AS (SELECT event_id, ['aom', 'rav1e', 'svt-av1', 'x264', 'x265', 'vpx'][(event_id % 6 + 1)::INT] AS kind, CASE WHEN event_id % 6 IN (3, 4) AND event_id % 4 = 1 THEN NULL ELSE event_id % 1000 END AS done FROM events)
+        SELECT kind AS series_id, count(*) AS lines, count(done) AS reports, sum(done)::BIGINT AS done FROM k GROUP BY kind"""),
     "files_listed": "SELECT p_brand, 1 AS files, sum(length(p_name) + 1)::BIGINT AS bytes, 0 AS top FROM part GROUP BY p_brand",
     "listed_after": """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 OR p_partkey % 5 = 0 THEN 0 ELSE len(string_split(p_name, ' ')) + 1 END AS n,
         CASE WHEN p_partkey % 3 = 0 OR p_partkey % 5 = 0 THEN '' ELSE replace(p_name, ' ', '|') || '|x' || p_size END AS words FROM part""",

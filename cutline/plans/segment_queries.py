@@ -25,6 +25,16 @@ def _overrides(spark: SparkSession, info: DataFrame) -> DataFrame:
     return info.filter("user_id % 3 = 0").join(F.broadcast(rows), F.col("end") <= F.col("n_elements")).drop("n_elements")
 
 
+def options_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """Options of parts: inherited ones, replaced by an override's own, and dropped where it resets them; some parts have none of either."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    text = lambda c: c.cast("string")
+    base = F.when(key % 7 != 0, F.create_map(F.lit("--speed"), text(size % 10), F.lit("--cq"), text(size)))
+    own = F.when(key % 3 == 0, F.create_map(F.lit("--cq"), text(size + 1), F.lit("--grain"), F.lit("4")))
+    merged = table(spark, sf, "part").select("p_partkey", segments.merged_options(base, own, key % 5 == 0).alias("m"))
+    return merged.select("p_partkey", F.size("m").alias("n"), *(F.try_element_at("m", F.lit(f"--{k}")).alias(k) for k in ("speed", "cq", "grain")))
+
+
 def _errors(e: DataFrame) -> DataFrame:
     return e.filter("event_type = 'error'").select("user_id", "pos")
 
@@ -144,7 +154,7 @@ def keys_in_segments(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        cuts_to_segments, sample_every_n, override_gap_fill, override_overlaps, override_attach, override_attach_cells, concat_offsets, contiguity_violations, forced_cuts,
+        options_merged, cuts_to_segments, sample_every_n, override_gap_fill, override_overlaps, override_attach, override_attach_cells, concat_offsets, contiguity_violations, forced_cuts,
         forced_cuts_outside, even_splits, score_guided_splits, change_points_scalar, change_points_vector, min_length_cuts, segment_pipeline, keys_in_segments,
     )
 }
@@ -192,6 +202,9 @@ _ATTACH = f"""{_BASE}{_OVERRIDES} SELECT e.user_id, pos, o.start AS override_sta
 _FORCED = ", ".join(f"({p})" for p in FORCED)
 
 SQL = {
+    "options_merged": """WITH m AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 OR p_partkey % 7 = 0 THEN NULL ELSE (p_size % 10)::VARCHAR END AS speed,
+        CASE WHEN p_partkey % 3 = 0 THEN (p_size + 1)::VARCHAR WHEN p_partkey % 5 = 0 OR p_partkey % 7 = 0 THEN NULL ELSE p_size::VARCHAR END AS cq, CASE WHEN p_partkey % 3 = 0 THEN '4' END AS grain FROM part)
+        SELECT *, (speed IS NOT NULL)::INT + (cq IS NOT NULL)::INT + (grain IS NOT NULL)::INT AS n FROM m""",
     "cuts_to_segments": f'{_BASE}{_SEGMENTS} SELECT *, "end" - start AS n FROM s',
     "sample_every_n": f"WITH {LINES_SQL} SELECT l_partkey, pos, l_quantity FROM l WHERE pos >= 2 AND pos < 30 AND (pos - 2) % 3 = 0",
     "override_gap_fill": f"""{_BASE}{_OVERRIDES}, p AS (SELECT user_id, start, "end", coalesce(max("end") OVER (PARTITION BY user_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS q FROM o)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutline.staging import temporary
-from cutline.streaming import streams
+from cutline.streaming import streams, waiting
 
 from .ledger_queries import _rendered
 from .tables import EVENTS_SQL, table
@@ -44,6 +44,16 @@ def stream_segments(spark: SparkSession, sf: str) -> DataFrame:
     return streams.closed(streams.run_once(found, *_folders(spark, "segments")))
 
 
+def stream_segments_map(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with waiting elements as entries of the state store."""
+    found = waiting.segments(_stream(spark, sf).select("user_id", "ts", "event_id", "value"), "user_id", "ts", "event_id", "value", 60.0, 3, LATE)
+    before = waiting.use_rocksdb(spark)
+    try:
+        return streams.closed(streams.run_once(found, *_folders(spark, "segments-map")))
+    finally:
+        spark.conf.set(waiting.PROVIDER, before) if before else spark.conf.unset(waiting.PROVIDER)
+
+
 def stream_late(spark: SparkSession, sf: str) -> DataFrame:
     """The events, those of even ids first and the others as a second file: elements that came too late for their user's segments, as nothing waits."""
     folder = temporary(spark, f"late-in-{uuid.uuid4().hex}")
@@ -95,7 +105,7 @@ def stream_rollback(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("user_id").agg(F.sum("increment").alias("net"))
 
 
-QUERIES = {f.__name__: f for f in (stream_progress, stream_projection, stream_segments, stream_late, stream_windows, stream_sliding, stream_sessions, stream_too_late, stream_rollback)}
+QUERIES = {f.__name__: f for f in (stream_progress, stream_projection, stream_segments, stream_segments_map, stream_late, stream_windows, stream_sliding, stream_sessions, stream_too_late, stream_rollback)}
 
 SQL = {
     "stream_progress": "SELECT user_id, max(CASE WHEN event_id % 6 IN (3, 4) AND event_id % 4 = 1 THEN NULL ELSE event_id % 1000 END) AS done FROM events GROUP BY user_id HAVING max(CASE WHEN event_id % 6 IN (3, 4) AND event_id % 4 = 1 THEN NULL ELSE event_id % 1000 END) IS NOT NULL",
@@ -112,3 +122,4 @@ SQL = {
         s AS (SELECT user_id, last AS start, lead(last) OVER (PARTITION BY user_id ORDER BY last) AS "end" FROM r) SELECT * FROM s WHERE "end" IS NOT NULL""",
     "stream_late": "WITH m AS (SELECT user_id, max(ts) AS upto FROM events WHERE event_id % 2 = 0 GROUP BY user_id) SELECT e.user_id, e.ts, e.value FROM events e JOIN m ON m.user_id = e.user_id WHERE event_id % 2 = 1 AND e.ts < m.upto",
 }
+SQL["stream_segments_map"] = SQL["stream_segments"]

@@ -22,6 +22,13 @@ def vocab_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return names.groupBy("kind", "param").agg(F.count(F.lit(1)).alias("texts"))
 
 
+def option_names_x265(spark: SparkSession, sf: str) -> DataFrame:
+    """The vocabulary of help texts of the kind x265, one a part: a short and a long name in one word, a name that can be negated, one that is cut off at a sign, and words that are no names."""
+    size, key = F.col("p_size").cast("string"), (F.col("p_partkey") % 40).cast("string")
+    text = F.concat(F.lit("   -"), F.substring(F.lit("abcdefghij"), (F.col("p_size") % 10 + 1).cast("int"), F.lit(1)), F.lit("/--size-"), size, F.lit(" <int> - of a -- part\n   --[no-]flag"), key, F.lit("   on\n --value"), size, F.lit(":<a|b>  default")).alias("help")
+    return match.vocabulary(table(spark, sf, "part").select(F.lit("x265").alias("kind"), text))
+
+
 def _tokens(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.split("text", r"[ \n]+")).alias("token")).distinct()
 
@@ -145,9 +152,11 @@ def json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return units.groupBy(series.alias("series_id")).agg(F.count(F.lit(1)).alias("units"), F.sum("n_elements").alias("elements"), F.sum("size_bytes").alias("bytes"))
 
 
-QUERIES = {f.__name__: f for f in (vocab_tokens, unknown_terms, fuzzy_match, series_info_json, series_sanity, overrides_text, policy_texts, zip_channels, paired_inputs, json_roundtrip)}
+QUERIES = {f.__name__: f for f in (vocab_tokens, option_names_x265, unknown_terms, fuzzy_match, series_info_json, series_sanity, overrides_text, policy_texts, zip_channels, paired_inputs, json_roundtrip)}
 
 SQL = {
+    "option_names_x265": """SELECT 'x265' AS kind, param FROM (SELECT '-' || substr('abcdefghij', (p_size % 10 + 1)::INT, 1) AS param FROM part UNION SELECT '--size-' || p_size FROM part
+        UNION SELECT '--flag' || (p_partkey % 40) FROM part UNION SELECT '--no-flag' || (p_partkey % 40) FROM part UNION SELECT '--value' || p_size FROM part)""",
     "vocab_tokens": r"""WITH h AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'aom' ELSE 'vpx' END AS kind, unnest(string_split_regex('--' || replace(text, ' ', ' --'), '[ \t\n\r\f]+')) AS w FROM documents),
         n AS (SELECT DISTINCT doc_id, kind, CASE WHEN regexp_extract(w, '^[-_0-9A-Za-z]*') = w THEN CASE WHEN kind = 'vpx' THEN regexp_replace(w, '-$', '') ELSE w END
             WHEN length(regexp_extract(w, '^[-_0-9A-Za-z]*')) > 1 THEN regexp_extract(w, '^[-_0-9A-Za-z]*') END AS param FROM h WHERE w LIKE '-%' AND w NOT IN ('-', '--'))
