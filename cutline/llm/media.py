@@ -9,7 +9,7 @@ A media column is a binary column holding one whole image file a row. ``decode``
 into ``uint8``/``uint16`` arrays of shape (height, width) or (height, width, 3), of at least one sample. Every row is handled on its own in a
 ``mapInArrow`` pass: no shuffle, memory bounded by one Arrow batch.
 
-Null media gives null features; whatever bytes are no such image, cut off, of no or too many samples (``MOST_SAMPLES``), or with a sample above its maximum, give null features and a text in
+Null media gives null features; whatever bytes are no such image, cut off, of no samples or of more than their bytes can hold, or with a sample above its maximum, give null features and a text in
 ``media_error``. Texts of any length are stored whole. Empty tables give empty results, repeated rows give repeated results, and columns of the input are kept (a clash with an
 output name is resolved in favour of the output).
 """
@@ -33,8 +33,6 @@ from . import common
 SIDE, PAD = 24, 255
 #: Height and width of the stored tile, and of the grid whose neighbours the difference hash compares.
 TILE, HASH_GRID = (16, 16), (8, 9)
-#: Samples that a decoded image may have; a header can claim any number.
-MOST_SAMPLES = 1 << 28
 
 _HEADER = re.compile(rb"\s*(?:#[^\r\n]*[\r\n]\s*)*(\d+)")
 
@@ -50,10 +48,10 @@ def _netpbm_numbers(data: bytes, at: int, count: int) -> tuple[list[int], int]:
     return found, at
 
 
-def _checked(width: int, height: int) -> int:
-    """Samples of a plane, if an image may have them."""
-    if not 0 < width * height <= MOST_SAMPLES:
-        raise ValueError("no samples, or too many")
+def _checked(width: int, height: int, data: bytes) -> int:
+    """Samples of a plane, if the file can hold them: a header can claim any number, but each takes a bit at least."""
+    if not 0 < width * height <= 8 * len(data):
+        raise ValueError("no samples, or more than the file can hold")
     return width * height
 
 
@@ -65,7 +63,7 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
     top = 1 if bitmap else numbers[2]
     if not 0 < top < 65536:
         raise ValueError("bad Netpbm maximum")
-    n = _checked(width, height) * planes
+    n = _checked(width, height, data) * planes
     if kind in b"123":
         body = re.sub(rb"#[^\r\n]*", b"", data[at:])
         values = re.findall(rb"[01]" if kind == b"1" else rb"\d+", body)[:n]
@@ -79,7 +77,7 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
     if samples.size != n:
         raise ValueError("short Netpbm body")
     if bitmap:
-        samples = (1 - samples.astype(np.int64)) * 255  # 1 is black
+        samples = (1 - samples.astype(np.uint8)) * np.uint8(255)  # 1 is black
     elif samples.size and int(samples.max()) > top:
         raise ValueError("Netpbm sample above its maximum")
     elif top not in (255, 65535):
@@ -97,7 +95,7 @@ def _decode_bmp(data: bytes) -> np.ndarray:
     if packing not in (0, 3) or (packing == 3 and bits not in (16, 32)) or bits not in (1, 4, 8, 16, 24, 32) or width <= 0:
         raise ValueError("unsupported BMP")
     rows, stride = abs(height), (width * bits + 31) // 32 * 4
-    _checked(width, rows)
+    _checked(width, rows, data)
     body = np.frombuffer(data, np.uint8, rows * stride, offset).reshape(rows, stride)
     if packing == 3 or bits == 16:
         masks = struct.unpack_from("<III", data, 54) if packing == 3 else (0x7C00, 0x3E0, 0x1F)
