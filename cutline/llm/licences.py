@@ -91,15 +91,18 @@ class Templates:
         if len(templates) > MAX_TEMPLATES:
             raise ValueError(f"more than {MAX_TEMPLATES} templates")
         self.of_prefix: dict[bytes, list[int]] = {}
-        self.all: list[tuple[str, list[bytes], int, int]] = []
+        self.all: list[tuple[str, list[int], int, int]] = []
+        self.verified, self.stopped = 0, 0  # pairs that passed the length filter, and those that their words' places ended
+        every = {w for text in templates for w in words(text)}
+        self.place = {w: i for i, w in enumerate(sorted(every, key=lambda w: (frequency.get(w, 0), w)))}  # the global order, rare words first
         for text, label in templates.items():
             if not words(text):
                 raise ValueError("a template without words")
-            ordered = sorted(set(words(text)), key=lambda w: (frequency.get(w, 0), w))
+            ordered = sorted(set(words(text)), key=self.place.__getitem__)
             needed = max(1, math.ceil(containment * len(ordered) - 1e-9))
             for w in ordered[: len(ordered) - needed + 1]:
                 self.of_prefix.setdefault(w, []).append(len(self.all))
-            self.all.append((label, ordered, needed, fitting_step(text)))
+            self.all.append((label, [self.place[w] for w in ordered], needed, fitting_step(text)))
         self.prefixes = self.of_prefix.keys()
 
     def matches(self, found: list[bytes]) -> list[tuple[str, int, int, float]]:
@@ -116,19 +119,33 @@ class Templates:
         out = []
         for begin, t in sorted(pairs):
             label, ordered, needed, step = self.all[t]
-            if (begin, step) not in held:
-                held[begin, step] = set(found[begin : begin + 2 * step])
+            if (begin, step) not in held:  # words of no template can be in no overlap
+                held[begin, step] = sorted({self.place[w] for w in found[begin : begin + 2 * step] if w in self.place})
             block = held[begin, step]
             if len(block) < needed:
                 continue
-            first = next(i for i, w in enumerate(ordered) if w in block)
-            if len(ordered) - first < needed:
-                continue
-            overlap = sum(w in block for w in ordered[first:])
+            self.verified += 1
+            overlap = self._overlap(ordered, block, needed)
             if overlap >= needed:
                 out.append((label, begin, min(len(found), begin + 2 * step) - 1, overlap / len(ordered)))
         return out
 
+    def _overlap(self, a: list[int], b: list[int], needed: int) -> int:
+        """Words in common of two lists in the global order. It ends as soon as what is common so far and the shorter rest of the two can't come to needed: the positional filter, at each word."""
+        i = j = common = 0
+        n, m = len(a), len(b)
+        while i < n and j < m:
+            if common + min(n - i, m - j) < needed:
+                self.stopped += 1
+                return 0
+            if a[i] == b[j]:
+                common, i, j = common + 1, i + 1, j + 1
+            elif a[i] < b[j]:
+                i += 1
+            else:
+                j += 1
+        return common
+
 
 def frequencies(docs: DataFrame, vocabulary: set[bytes], text: str = "text") -> dict[bytes, int]:
     """In how many documents each template word stands, over all documents."""

@@ -75,6 +75,15 @@ def test_bad_media_are_named(spark):
     assert got[98].media_error is None and got[98].media_bytes is None and got[99].feature == "0" * 16 and got[99].media_error is None
 
 
+def test_images_are_bounded_by_their_bytes():
+    large = b"P5\n16384 16385\n255\n" + bytes(16384 * 16385)  # more than 2 ** 28 samples
+    assert media.decode(large).shape == (16385, 16384)
+    assert media.decode(b"P4\n4096 64\n" + bytes(512 * 64)).min() == 255
+    for header in (b"P5\n99999999 99999999\n255\n", b"P4\n4096 64\n", b"P1\n100 100\n1"):
+        with pytest.raises(ValueError):
+            media.decode(header + b"0" * 100)
+
+
 def test_samples_of_other_ranges():
     assert media.decode(b"P2\n3 1\n3\n0 1 3").tolist() == [[0, 85, 255]] and media.decode(b"P5\n2 1\n1023\n\x03\xff\x02\x00").tolist() == [[65535, 32800]]
     head = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 0, 0, 0, 66, 40, 2, -1, 1, 16, 3, 0, 0, 0, 0, 0) + struct.pack("<III", 0xF800, 0x7E0, 0x1F)
@@ -184,6 +193,7 @@ def test_licence_filters_drop_no_pair():
             held = set(found[block * licences.STEP : block * licences.STEP + 2 * licences.STEP])
             want |= {(label, block * licences.STEP) for t, label in templates.items() if len(held & set(licences.words(t))) >= 0.8 * len(set(licences.words(t))) - 1e-9}
         assert {(m[0], m[1]) for m in known.matches(found)} == want
+    assert 0 < known.stopped < known.verified
 
 
 def test_whole_licence_texts_match_at_every_offset():
