@@ -51,7 +51,7 @@ GROUPED = Fraction(88, 100)
 #: Most common shingles whose rank tasks know; bytes of the table they stand in; elements that a task counts at once.
 MOST_COMMON, CELLS, COUNTED = 8_000_000, 1 << 24, 2_000_000
 #: Elements of a cluster that one task joins; most rows that are broadcast; nodes that a task remembers to have sent; nodes that one task holds against a pivot.
-BLOCK_ELEMENTS, BROADCAST_ROWS, SEEN, LEAVES = 10_000_000, 300_000, 50_000, 256
+BLOCK_ELEMENTS, BROADCAST_ROWS, SEEN, LEAVES = 5_000_000, 300_000, 50_000, 256
 #: Sets whose bounds are computed at once, against so many others.
 TILE, TILED = 64, 4096
 
