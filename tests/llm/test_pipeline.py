@@ -152,7 +152,7 @@ def test_whole_pipeline(spark, small):
     assert out.filter(F.size("tokens") != F.col("n_tokens")).isEmpty()
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op11_variants", "op13_collocations"}))  # these return words and phrases
 def test_registered_queries_return_every_document(spark, small, name):
     documents = spark.read.parquet(f"{small}/documents.parquet")
     got = queries.QUERIES[name](spark, small)
