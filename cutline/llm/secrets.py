@@ -116,22 +116,21 @@ def _odd(found: Column) -> Column:
 
 
 def features(c: Column, path: Column, words: list[str] = DICTIONARY) -> Column:
-    """array<double>: the forest's inputs, in the order of FEATURES, of a candidate and the path it stands under."""
-    head = F.left(c["value"], F.lit(4096))  # shares of a key's beginning are those of the key
+    """array<double>: the forest's inputs, in the order of FEATURES, of a candidate's whole value and the path it stands under."""
     prepared = F.struct(
-        c["value"].alias("value"), c["kind"].alias("kind"), head.alias("head"), F.lower(F.concat_ws(" ", c["before"], c["after"])).alias("beside"),
-        F.greatest(F.length(head), F.lit(1)).cast("double").alias("n"),
+        c["value"].alias("value"), c["kind"].alias("kind"), F.lower(F.concat_ws(" ", c["before"], c["after"])).alias("beside"),
+        F.greatest(F.length(c["value"]), F.lit(1)).cast("double").alias("n"),
     )
     return let(prepared, lambda x: F.array(*_inputs(x, path, words)))
 
 
 def _inputs(c: Column, path: Column, words: list[str]) -> list[Column]:
-    v, beside, n = c["head"], c["beside"], c["n"]
+    v, beside, n = c["value"], c["beside"], c["n"]
     share = lambda pattern: F.regexp_count(v, F.lit(pattern)) / n
     flag = lambda condition: F.coalesce(condition, F.lit(False)).cast("double")
     known = "|".join(map(re.escape, sorted(words, key=len, reverse=True)))
     return [
-        F.length(c["value"]).cast("double"), share("[0-9]"), share("[A-Z]"), share("[+/_=-]"),
+        F.length(v).cast("double"), share("[0-9]"), share("[A-Z]"), share("[+/_=-]"),
         share("(?<=[a-z])[0-9A-Z]|(?<=[0-9])[A-Za-z]|(?<=[A-Z])[0-9a-z]"),
         share(r"(.)(?=\1)"),
         F.size(F.array_distinct(F.split(v, ""))) / n,
