@@ -10,27 +10,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_GAP = r"[ \t\n\r\f]"
+#: A name where a word begins; for vpx without the dash that ends its word. One pass over a text finds all of them.
+NAME = rf"(?<![^ \t\n\r\f])-(?!-?(?:{_GAP}|\z))[-_0-9A-Za-z]++"
+VPX_NAME = rf"(?<![^ \t\n\r\f])-(?!-?(?:{_GAP}|\z))(?:[-_0-9A-Za-z]+(?=-(?:{_GAP}|\z))|[-_0-9A-Za-z]++)"
+
+
 def option_names(help_text: Column, kind: Column) -> Column:
     """Distinct option names in a help text.
 
     Words that begin with a dash count, up to their first character that no name has; ``-`` and ``--`` do not, nor a dash before another sign. For x265 ``-x/--long`` names both and
     ``--[no-]x`` names ``--x`` and ``--no-x``; for vpx a dash at the end of a name, left where the text was cut off, is dropped.
     """
-    words = F.filter(F.split(help_text, r"[ \t\n\r\f]+"), lambda w: w.startswith("-") & ~w.isin("-", "--"))
-    x265 = kind == "x265"
+    words = F.array_distinct(F.filter(F.split(help_text, f"{_GAP}+"), lambda w: w.startswith("-") & ~w.isin("-", "--")))
 
     def names(word: Column) -> Column:
-        paired = x265 & word.rlike("^-./--")
+        paired = word.rlike("^-./--")
         short = F.when(paired, F.array(F.substring(word, 1, 2))).otherwise(F.array().cast("array<string>"))
         long = F.when(paired, F.substring(word, F.lit(4), F.length(word))).otherwise(word)
         toggle = F.regexp_extract(long, r"^--\[no-\]-?(.*)$", 1)
         head = F.regexp_extract(long, "^[-_0-9A-Za-z]*", 0)
-        whole = F.when(kind == "vpx", F.regexp_replace(long, "-$", "")).otherwise(long)
-        plain = F.when(head == long, F.array(whole)).when(F.length(head) > 1, F.array(head)).otherwise(F.array().cast("array<string>"))
+        plain = F.when((head == long) | (F.length(head) > 1), F.array(head)).otherwise(F.array().cast("array<string>"))
         toggled = F.array(F.concat(F.lit("--"), toggle), F.concat(F.lit("--no-"), toggle))
-        return F.concat(short, F.when(x265 & long.startswith("--[no-]"), toggled).otherwise(plain))
+        return F.concat(short, F.when(long.startswith("--[no-]"), toggled).otherwise(plain))
 
-    return F.array_distinct(F.flatten(F.transform(words, names)))
+    found = lambda pattern: F.regexp_extract_all(help_text, F.lit(pattern), F.lit(0))
+    pairs = F.flatten(F.transform(words, names))
+    return F.array_distinct(F.when(kind == "x265", pairs).when(kind == "vpx", found(VPX_NAME)).otherwise(found(NAME)))
 
 
 def vocabulary(helps: DataFrame, help_text: str = "help", kind: str = "kind") -> DataFrame:

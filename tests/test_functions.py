@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,6 +148,30 @@ def test_option_names(spark):
     assert by["vpx"] == {"--rate", "--target", "--two-pass"} and by["aom"] == {"-o", "--output", "--good"}
 
 
+def test_option_names_word_by_word(spark):
+    """Names as words give them one after the other, with dashes and signs in all places."""
+    rng = random.Random(3)
+    texts = [(k, "".join(rng.choice("--ab_9!=é \t\n") for _ in range(rng.randrange(40)))) for k in ("aom", "vpx", "other") for _ in range(400)] + [("vpx", None)]
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "i int, kind string, help string")
+    for r in df.select("i", match.option_names(F.col("help"), F.col("kind")).alias("n")).collect():
+        kind, text = texts[r.i]
+        if text is None:
+            assert r.n is None
+            continue
+        want = []
+        for w in re.split(r"[ \t\n\r\f]+", text):
+            head = re.match("[-_0-9A-Za-z]*", w)[0]
+            if w.startswith("-") and w not in ("-", "--") and (head == w or len(head) > 1):
+                want.append(re.sub("-$", "", w) if head == w and kind == "vpx" else head)
+        assert r.n == list(dict.fromkeys(want)), (kind, text)
+
+
+def test_names_are_found_in_one_pass(spark):
+    """One expression over a text, not some for each of its words, but for the kind whose words name two options."""
+    plan = spark.range(1).select(match.option_names(F.col("id").cast("string"), F.lit("aom")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan
+
+
 def test_nearest_known_name(spark):
     used = spark.createDataFrame([("--speeed",), ("--qqq",)], "param string")
     known = spark.createDataFrame([("--speed",), ("--spread",), ("--tune",)], "param string")
