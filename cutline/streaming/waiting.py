@@ -1,7 +1,7 @@
 """Live segments whose waiting elements are entries of the state of their own.
 
-What ``streams.segments`` keeps as arrays of one row, rewritten with each batch, stands here in a map of the state store by time and tie: a batch adds its elements and takes out those that are ripe, and
-touches no other. A series can begin from what a batch job has left (its next position, last cut, last value and time), and states that are not touched for ``idle`` run out by themselves. The
+What ``streams.segments`` keeps as arrays of one row, rewritten with each batch, stands here in a map of the state store by time and tie: a batch reads what waits in one go, adds those of its elements
+that are not ripe yet and takes out those that are; what is ripe at once never enters the state, so calls to the store are as many as elements that wait, not as elements. A series can begin from what a batch job has left (its next position, last cut, last value and time), and states that are not touched for ``idle`` run out by themselves. The
 store must be RocksDB (``use_rocksdb``).
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,31 +44,44 @@ class _Series(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pos, cut, last, upto = self.done.get() if self.done.exists() else (0, 0, None, None)
-        newest = self.newest.get()[0] if self.newest.exists() else None
-        late: list[tuple[int, float]] = []
-        for batch in rows:
-            for t, k, v in zip(batch["place_"].tolist(), batch["tie_"].tolist(), batch["value_"].tolist(), strict=True):
-                if upto is not None and t < upto:
-                    late.append((t, v))
-                    continue
-                times = self.waiting.getValue((t, k))[1] if self.waiting.containsKey((t, k)) else 0
-                self.waiting.updateValue((t, k), (v, times + 1))  # an element that comes again waits once more
-                newest = t if newest is None else max(newest, t)
+        known = self.newest.exists()
+        newest = self.newest.get()[0] if known else None
+        given = [(b["place_"].to_numpy("int64"), b["tie_"].to_numpy("int64"), b["value_"].to_numpy(float)) for b in rows]
+        times, ties, values = (np.concatenate(c) for c in zip(*given, strict=True))
+        old = times < upto if upto is not None else np.zeros(len(times), bool)
+        late = list(zip(times[old].tolist(), values[old].tolist(), strict=True))
+        times, ties, values = times[~old], ties[~old], values[~old]
+        if len(times):
+            newest = int(times.max()) if newest is None else max(newest, int(times.max()))
+            self.newest.update((newest,))
         closed: list[tuple[int, int]] = []
         if newest is not None:
-            self.newest.update((newest,))
-            ripe = sorted(e for e in self.waiting.keys() if e[0] <= newest - self.late)
-            for e in ripe:
-                v, times = self.waiting.getValue(e)
+            held = dict(self.waiting.iterator()) if known else {}
+            ripe = [(e, v, n) for e, (v, n) in held.items() if e[0] <= newest - self.late]
+            for e, _, _ in ripe:
                 self.waiting.removeKey(e)
-                for _ in range(times):
-                    if last is not None and abs(v - last) >= self.threshold and pos - cut >= self.min_len:
-                        closed.append((cut, pos))
-                        cut = pos
-                    pos, last, upto = pos + 1, v, e[0]
-            if ripe:
+            waits: dict[tuple[int, int], tuple[float, int]] = {}
+            on = times > newest - self.late
+            for *e, v in zip(times[on].tolist(), ties[on].tolist(), values[on].tolist(), strict=True):  # an element that comes again waits once more
+                waits[tuple(e)] = (v, (waits.get(tuple(e)) or held.get(tuple(e)) or (v, 0))[1] + 1)
+            for e, x in waits.items():
+                self.waiting.updateValue(e, x)
+            often = [n for _, _, n in ripe]
+            times = np.concatenate([np.repeat(np.array([e[0] for e, _, _ in ripe], "int64"), often), times[~on]])
+            ties = np.concatenate([np.repeat(np.array([e[1] for e, _, _ in ripe], "int64"), often), ties[~on]])
+            order = np.lexsort((ties, times))
+            values = np.concatenate([np.repeat(np.array([v for _, v, _ in ripe], float), often), values[~on]])[order]
+            if len(values):
+                before = np.concatenate([[np.nan if last is None else last], values[:-1]])
+                for i in np.flatnonzero(np.abs(values - before) >= self.threshold).tolist():
+                    if pos + i - cut >= self.min_len:
+                        closed.append((cut, pos + i))
+                        cut = pos + i
+                pos, last, upto = pos + len(values), float(values[-1]), int(times[order[-1]])
                 self.done.update((pos, cut, last, upto))
         n, m = len(closed), len(late)
+        if not n + m:
+            return
         yield pd.DataFrame(
             {
                 self.key: [key[0]] * (n + m), "kind": ["segment"] * n + ["late"] * m, "start": pd.array([a for a, _ in closed] + [None] * m, "Int64"), "end": pd.array([b for _, b in closed] + [None] * m, "Int64"),

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 
 from cutline.streaming import streams, waiting
@@ -46,3 +47,31 @@ def test_restarts_and_states_from_a_batch(spark, tmp_path, rocksdb):
     stream = feed(spark, rows[23:], SCHEMA, tmp_path / "rest", 2)
     late = streams.run_once(waiting.segments(stream, "k", "t", "t", "v", 40.0, 4, 3, begun=begun), str(tmp_path / "out2"), str(tmp_path / "cp2"))
     assert sorted((r.start, r.end) for r in streams.closed(late).collect()) == [w for w in want if w[1] >= 25][:-1] + [w for w in want if w[1] >= 25][-1:]
+
+
+class Store:
+    """A state that counts what it is asked for."""
+
+    calls = 0
+
+    def __init__(self):
+        self.held = {}
+
+    def __getattr__(self, name):
+        Store.calls += 1
+        return {
+            "exists": lambda: "value" in self.held, "get": lambda: self.held["value"], "update": lambda v: self.held.update(value=v), "containsKey": lambda k: k in self.held, "getValue": lambda k: self.held[k],
+            "updateValue": lambda k, v: self.held.update({k: v}), "removeKey": lambda k: self.held.pop(k), "keys": lambda: iter([*self.held]), "iterator": lambda: iter([*self.held.items()]),
+        }[name]
+
+
+def test_what_is_ripe_at_once_never_enters_the_state():
+    one = waiting._Series("k", 40.0, 4, 6, None)
+    one.done, one.waiting, one.newest = Store(), Store(), Store()
+    found = []
+    for part in (range(0, 3000), range(3000, 3010), [3008, 3008]):
+        batch = pd.DataFrame({"place_": list(part), "tie_": list(part), "value_": [float(50 * (i // 5 % 2)) for i in part]})
+        found += [(int(a), int(b)) for out in one.handleInputRows(("a",), iter([batch]), None) for a, b in zip(out["start"], out["end"], strict=True)]
+    assert Store.calls < 60
+    assert found == [(a, a + 5) for a in range(0, 3000, 5)]
+    assert one.waiting.held[(3008, 3008)] == (50.0, 3) and len(one.waiting.held) == 6
