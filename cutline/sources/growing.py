@@ -6,7 +6,7 @@
 
 Rows: ``file`` (path below the folder), ``start`` (byte at which the line begins, so lines are in order and told apart without counting them) and ``line``. A file is read by ranges of
 bytes, each by a task of its own; a line belongs to the range in which it begins. A last line without an end is still being written: it is kept back, and comes whole in a later batch. A stream's offset holds, of each file, the byte behind its last
-whole line; a file that has become shorter was begun anew and is read from its start. Options: ``lineSep`` (one byte, a line end by default), ``rangeBytes`` (64 MB), ``suffix`` (of the files to read). Paths may be
+whole line; a file that has become shorter was begun anew and is read from its start. Options: ``lineSep`` (one byte, a line end by default), ``rangeBytes`` (64 MB; smaller ranges become so large, 64 MB at most, that about ``RANGES`` hold all that is read at once), ``suffix`` (of the files to read). Paths may be
 local or of any store that Arrow's file systems know. Bytes that aren't UTF-8 are replaced. An empty or absent file has no rows; a folder without files gives none.
 """
 
@@ -22,8 +22,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 NAME, SCHEMA = "growing_log", "file string, start bigint, line string"
-#: Bytes of a range; bytes that are read at once; lines of one batch of rows.
-RANGE, READ, LINES = 64 << 20, 1 << 20, 10_000
+#: Bytes of a range; ranges of one reading, where small ones would be more; bytes that are read at once; lines of one batch of rows.
+RANGE, RANGES, READ, LINES = 64 << 20, 128, 1 << 20, 10_000
 
 
 @dataclass
@@ -70,8 +70,11 @@ class _Folder:
                 at = begin
         return least
 
-    def ranges(self, file: str, begin: int, known: int) -> list[Range]:
-        return [Range(file, at, min(at + self.step, known), known) for at in range(begin, known, self.step)]
+    def ranges(self, fresh: dict[str, tuple[int, int]]) -> list[Range]:
+        """The ranges of each file's bytes (begin, known): a task each, so they don't become more with the input before they are of full size."""
+        size = sum(known - begin for begin, known in fresh.values())
+        step = max(self.step, min(RANGE, -(-size // RANGES)))
+        return [Range(file, at, min(at + step, known), known) for file, (begin, known) in fresh.items() for at in range(begin, known, step)] or [Range("", 0, 0, 0)]
 
     def lines(self, part: Range) -> Iterator[pa.RecordBatch]:
         store, root = self.open()
@@ -112,7 +115,7 @@ class _Batch(DataSourceReader):
         self.folder = _Folder(options)
 
     def partitions(self):
-        return [r for file, size in self.folder.sizes().items() for r in self.folder.ranges(file, 0, self.folder.whole(file, size))] or [Range("", 0, 0, 0)]
+        return self.folder.ranges({file: (0, self.folder.whole(file, size)) for file, size in self.folder.sizes().items()})
 
     def read(self, partition):
         if partition.known:
@@ -139,8 +142,7 @@ class _Stream(DataSourceStreamReader):
 
     def partitions(self, start, end):
         before, now = json.loads(start["files"]), json.loads(end["files"])
-        fresh = {file: (before.get(file, 0) if before.get(file, 0) <= known else 0, known) for file, known in now.items()}
-        return [r for file, (begin, known) in fresh.items() for r in self.folder.ranges(file, begin, known)] or [Range("", 0, 0, 0)]
+        return self.folder.ranges({file: (before.get(file, 0) if before.get(file, 0) <= known else 0, known) for file, known in now.items()})
 
     def read(self, partition):
         if partition.known:

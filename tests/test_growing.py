@@ -52,3 +52,13 @@ def test_stream_of_a_growing_log_goes_on_after_a_restart(spark, tmp_path):
     rows = lambda df: sorted(tuple(r) for r in df.collect())
     assert rows(streams.run_once(stream, out, mark)) == rows(batch) and batch.count() == 51
     assert batch.filter(F.col("file") == "a.log").orderBy("start").first().line == "encoded 0 frames"
+
+
+def test_small_ranges_do_not_become_tasks_without_end(tmp_path):
+    (tmp_path / "a.log").write_bytes(b"encoded 5 frames\r" * 50_000)
+    (tmp_path / "b.log").write_bytes(b"encoded 5 frames\r" * 10)
+    reader = growing.GrowingLog({"path": str(tmp_path), "lineSep": "\r", "rangeBytes": "16"}).reader(None)
+    parts = reader.partitions()
+    assert len(parts) <= growing.RANGES + 2 and sum(b.num_rows for p in parts for b in reader.read(p)) == 50_010
+    stream = growing.GrowingLog({"path": str(tmp_path), "lineSep": "\r", "rangeBytes": "16"}).streamReader(None)
+    assert len(stream.partitions(stream.initialOffset(), stream.latestOffset())) <= growing.RANGES + 2
