@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,16 @@ def _folders(spark: SparkSession, name: str) -> tuple[str, str]:
     return f"{folder}/out", f"{folder}/checkpoint"
 
 
+def _by_halves(rows: DataFrame, name: str, query: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream writes over the rows of even ids, a first batch, and over the others, which come when it is started again, a second."""
+    spark, places = rows.sparkSession, _folders(rows.sparkSession, name)
+    folder, found = temporary(spark, f"{name}-in-{uuid.uuid4().hex}"), None
+    for part in (0, 1):  # files as tasks leave them: one file a half would be one task's work
+        rows.filter(F.col("event_id") % 2 == part).write.mode("append").parquet(folder)
+        found = streams.run_once(query(spark.readStream.schema(rows.schema).parquet(folder)), *places)
+    return found
+
+
 def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
     best = streams.progress(_rendered(_stream(spark, sf)), ["user_id"])
     return streams.run_once(best, *_folders(spark, "progress"), mode="update", latest_by=["user_id"])
@@ -55,13 +66,10 @@ def stream_segments_map(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_late(spark: SparkSession, sf: str) -> DataFrame:
-    """The events, those of even ids first and the others as a second file: elements that came too late for their user's segments, as nothing waits."""
-    folder = temporary(spark, f"late-in-{uuid.uuid4().hex}")
-    for part in (0, 1):
-        table(spark, sf, "events").filter(F.col("event_id") % 2 == part).select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value").coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema("user_id long, ts timestamp, event_id long, value double").option("maxFilesPerTrigger", 1).parquet(folder)
-    found = streams.segments(stream, "user_id", "ts", "event_id", "value", 60.0, 3)
-    return streams.late_elements(streams.run_once(found, *_folders(spark, "late"))).select("user_id", F.timestamp_micros("at").cast("timestamp_ntz").alias("ts"), "value")
+    """The events, those of even ids first and the others as a second batch: elements that came too late for their user's segments, as nothing waits."""
+    rows = table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    found = _by_halves(rows, "late", lambda stream: streams.segments(stream, "user_id", "ts", "event_id", "value", 60.0, 3))
+    return streams.late_elements(found).select("user_id", F.timestamp_micros("at").cast("timestamp_ntz").alias("ts"), "value")
 
 
 def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,26 +90,20 @@ def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")), "n")
 
 
-def _halves(spark: SparkSession, sf: str) -> DataFrame:
-    """Events of even ids as a first file, the others as a second, a batch each."""
-    folder = temporary(spark, f"halves-{uuid.uuid4().hex}")
-    rows = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.floor("value").cast("long").alias("done"))
-    for part in (0, 1):
-        rows.filter(F.col("event_id") % 2 == part).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.floor("value").cast("long").alias("done"))
 
 
 def stream_too_late(spark: SparkSession, sf: str) -> DataFrame:
     """Events of odd ids, which come as a second batch, that windows with a watermark an hour behind drop."""
-    late = streams.later_than_watermark(_halves(spark, sf).select("event_id", "ts"), "ts", "1 hour")
-    return streams.run_once(late, *_folders(spark, "too-late")).select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    found = _by_halves(_events(spark, sf), "too-late", lambda stream: streams.later_than_watermark(stream.select("event_id", "ts"), "ts", "1 hour"))
+    return found.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 def stream_rollback(spark: SparkSession, sf: str) -> DataFrame:
     """Events as reports of a unit, errors as failures, in batches that don't keep the order: what is finished in the end, and the sum of all increments."""
-    rows = _halves(spark, sf).withColumn("failed", F.col("event_type") == "error")
-    net = streams.net_progress(rows, "user_id", "event_id", "done", "failed")
-    found = streams.run_once(net, *_folders(spark, "rollback"))
+    rows = _events(spark, sf).withColumn("failed", F.col("event_type") == "error")
+    found = _by_halves(rows, "rollback", lambda stream: streams.net_progress(stream, "user_id", "event_id", "done", "failed"))
     return found.groupBy("user_id").agg(F.sum("increment").alias("net"))
 
 

@@ -79,20 +79,24 @@ def net_progress(reports: DataFrame, key: str, order: str, done: str, failed: st
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         known = state.exists
         failure, told, places, counts = state.get if known else (None, 0, [], [])
-        rows = pd.concat(list(batches))
-        broken = rows.loc[rows["_failed"].astype(bool), "_order"]
-        if len(broken):
-            failure = int(broken.max()) if failure is None else max(failure, int(broken.max()))
-        reported = rows.loc[~rows["_failed"].astype(bool) & rows["_done"].notna(), ["_order", "_done"]]
-        standing = sorted([*zip(places, counts, strict=True), *((int(a), int(b)) for a, b in reported.itertuples(index=False))], reverse=True)
-        left: list[tuple[int, int]] = []
-        for place, count in standing:  # from the last one back
-            if (failure is None or place > failure) and (not left or count > left[-1][1]):
-                left.append((place, count))
-        net = max(0, left[-1][1]) if left else 0
-        state.update((failure, net, [p for p, _ in left], [c for _, c in left]))
-        changed = net != told or not known
-        yield pd.DataFrame({key: [name[0]] * changed, "increment": pd.array([net - told] * changed, "int64"), "net": pd.array([net] * changed, "int64")})
+        given = [(b["_order"].to_numpy("int64"), b["_done"].to_numpy(), b["_failed"].to_numpy(bool)) for b in batches]
+        orders, dones, broken = (np.concatenate(c) for c in zip(*given, strict=True))
+        if broken.any():
+            failure = max([int(orders[broken].max()), *([failure] if failure is not None else [])])
+        reported = ~broken & ~pd.isna(dones)
+        orders = np.concatenate([np.array(places, "int64"), orders[reported]])
+        dones = np.concatenate([np.array(counts, "int64"), dones[reported].astype("int64")])
+        if failure is not None:
+            orders, dones = orders[orders > failure], dones[orders > failure]
+        back = np.lexsort((dones, orders))[::-1]  # from the last one back
+        orders, dones = orders[back], dones[back]
+        stands = np.ones(len(dones), bool)
+        stands[1:] = dones[1:] > np.maximum.accumulate(dones)[:-1]
+        orders, dones = orders[stands], dones[stands]
+        net = max(0, int(dones[-1])) if len(dones) else 0
+        state.update((failure, net, orders.tolist(), dones.tolist()))
+        if net != told or not known:
+            yield pd.DataFrame({key: [name[0]], "increment": [net - told], "net": [net]})
 
     chosen = reports.select(key, F.col(order).cast("bigint").alias("_order"), F.col(done).cast("bigint").alias("_done"), F.coalesce(F.col(failed), F.lit(False)).alias("_failed"))
     held = "failure bigint, told bigint, places array<bigint>, counts array<bigint>"
@@ -112,38 +116,42 @@ def segments(elements: DataFrame, key: str, ts: str, tie: str, value: str, thres
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pos, cut, last, seen, upto, *waiting = state.get if state.exists else (0, 0, 0.0, False, None, [], [], [])
-        rows = pd.DataFrame(dict(zip(("t", "k", "v"), waiting, strict=True)))
-        old = rows.iloc[:0]
+        rows = [np.array(c, d) for c, d in zip(waiting, ("int64", "int64", float), strict=True)]
+        old = [c[:0] for c in rows]
         if not state.hasTimedOut:
-            new = pd.concat(list(batches))
-            times = new["_ts"].to_numpy("datetime64[us]").astype("int64") if new["_ts"].dtype.kind == "M" else new["_ts"].to_numpy("int64")
-            new = pd.DataFrame({"t": times, "k": new["_tie"].to_numpy(), "v": new["_value"].to_numpy(float)})
+            given = [(b["_ts"].to_numpy("datetime64[us]").astype("int64") if b["_ts"].dtype.kind == "M" else b["_ts"].to_numpy("int64"), b["_tie"].to_numpy(), b["_value"].to_numpy(float)) for b in batches]
+            new = [np.concatenate(c) for c in zip(*given, strict=True)]
             if upto is not None:
-                old, new = new[new["t"] < upto], new[new["t"] >= upto]
-            rows = pd.concat([rows, new]) if len(rows) else new
-        rows = rows.sort_values(["t", "k"])
-        ripe = len(rows) if state.hasTimedOut or not len(rows) else int(np.searchsorted(rows["t"].to_numpy("int64"), int(rows["t"].iloc[-1]) - late, "right"))
-        taken, rows = rows.iloc[:ripe], rows.iloc[ripe:]
-        values, closed = taken["v"].to_numpy(float), []
+                passed = new[0] < upto
+                old, new = [c[passed] for c in new], [c[~passed] for c in new]
+            rows = [np.concatenate(c) for c in zip(rows, new, strict=True)] if len(rows[0]) else new
+        order = np.lexsort((rows[1], rows[0]))
+        rows = [c[order] for c in rows]
+        ripe = len(order) if state.hasTimedOut or not len(order) else int(np.searchsorted(rows[0], int(rows[0][-1]) - late, "right"))
+        values, closed = rows[2][:ripe], []
         before = np.concatenate([[last if seen else np.nan], values[:-1]]) if len(values) else values
         for i in np.flatnonzero(np.abs(values - before) >= threshold).tolist():
             if pos + i - cut >= min_len:
                 closed.append((cut, pos + i))
                 cut = pos + i
         if len(values):
-            pos, last, seen, upto = pos + len(values), float(values[-1]), True, int(taken["t"].iloc[-1])
+            pos, last, seen, upto = pos + len(values), float(values[-1]), True, int(rows[0][ripe - 1])
         if state.hasTimedOut:
             state.remove()
             closed += [(cut, pos)] if pos > cut else []
         else:
-            state.update((pos, cut, last, seen, upto, *(rows[c].tolist() for c in "tkv")))
+            state.update((pos, cut, last, seen, upto, *(c[ripe:].tolist() for c in rows)))
             if patience:
                 state.setTimeoutDuration(patience)
-        n, m = len(closed), len(old)
+        n, m = len(closed), len(old[0])
+        if not n + m:
+            return
+        late_ones = np.arange(n + m) >= n
+        whole = lambda some, absent: pd.arrays.IntegerArray(np.asarray(some, "int64"), absent)
         yield pd.DataFrame(
             {
-                key: [name[0]] * (n + m), "kind": ["segment"] * n + ["late"] * m, "start": pd.array([a for a, _ in closed] + [None] * m, "Int64"), "end": pd.array([b for _, b in closed] + [None] * m, "Int64"),
-                "at": pd.array([None] * n + old["t"].tolist(), "Int64"), "value": [None] * n + old["v"].tolist(),
+                key: [name[0]] * (n + m), "kind": ["segment"] * n + ["late"] * m, "start": whole([a for a, _ in closed] + [0] * m, late_ones), "end": whole([b for _, b in closed] + [0] * m, late_ones),
+                "at": whole([0] * n + old[0].tolist(), ~late_ones), "value": np.concatenate([np.full(n, np.nan), old[2]]),
             }
         )
 

@@ -2,9 +2,11 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from cutline.operators import ledger
+from cutline.plans import stream_queries
 from cutline.streaming import streams
 
 
@@ -73,3 +75,35 @@ def test_projection_of_stream_totals(spark, tmp_path):
     got = streams.run_once(streams.projection(stream, ["series"]), str(tmp_path / "out"), str(tmp_path / "cp"), mode="update", latest_by=["series"])
     row = ledger.projection(got.filter("series = 's'"), F.lit(20.0), F.lit(80), F.lit(7.0)).first()
     assert (row.done_elements, row.progress, row.estimated_bytes, row.kbps) == (40, 0.5, 1207.0, 600 * 8 / 1000 / 2)
+
+
+class State:
+    """The state of one group, outside of a stream."""
+
+    exists, hasTimedOut, get = False, False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+
+def test_groups_without_news_write_nothing(monkeypatch, spark):
+    """No frame for a group of which there is nothing to tell: a stream of very many series would be made of them."""
+    steps = []
+    monkeypatch.setattr("pyspark.sql.GroupedData.applyInPandasWithState", lambda self, step, *rest: steps.append(step), raising=False)
+    monkeypatch.setattr("pyspark.sql.group.GroupedData.applyInPandasWithState", lambda self, step, *rest: steps.append(step))
+    rows = spark.createDataFrame([("a", 1, 1.0, False)], "k string, t long, v double, f boolean")
+    streams.segments(rows, "k", "t", "t", "v", 40.0, 4)
+    streams.net_progress(rows, "k", "t", "v", "f")
+    cut, net = steps
+    state = State()
+    assert list(cut(("a",), iter([pd.DataFrame({"_ts": [1, 2], "_tie": [1, 2], "_value": [1.0, 2.0]})]), state)) == []
+    state = State()
+    report = lambda t, d, f=False: iter([pd.DataFrame({"_order": [t], "_done": [d], "_failed": [f]})])
+    assert [len(x) for x in net(("a",), report(1, 5), state)] == [1] and list(net(("a",), report(2, 5), state)) == []
+    assert [x["increment"][0] for x in net(("a",), report(3, None, True), state)] == [-5] and state.get == (3, 0, [], [])
+
+
+def test_halves_are_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(40).withColumnRenamed("id", "event_id").repartition(4)
+    seen = stream_queries._by_halves(rows, "test", lambda stream: stream.select("event_id", F.input_file_name().alias("file")))
+    assert sorted(r.event_id for r in seen.collect()) == list(range(40)) and seen.select("file").distinct().count() > 2
