@@ -279,14 +279,50 @@ def spaced(cuts: DataFrame, keys: Sequence[str], split: Cells, min_len: str = "m
 # Order statistics of huge groups
 
 
-def selected(df: DataFrame, keys: Sequence[str], value: str, ranks, split: Cells) -> DataFrame:
+@dataclass(frozen=True)
+class Brackets:
+    """Where the asked elements of each large group are looked for: keys and bounds ``_b0``, ``_b1``, ... of values, null where there is none."""
+
+    keys: tuple[str, ...]
+    bounds: DataFrame
+    n: int
+
+    def place(self, df: DataFrame, value: Column) -> DataFrame:
+        """df with ``_cell``, the number of bounds up to a row's value; null for groups without bounds. A few comparisons a row, whatever the input."""
+        found = joined(df, F.broadcast(self.bounds.withColumn("_cut", F.lit(True))), self.keys, "left")
+        names = [f"_b{i}" for i in range(self.n)]
+        passed = sum((F.when(F.col(b) <= value, 1).otherwise(0) for b in names), F.lit(0))
+        return found.withColumn("_cell", F.when(F.col("_cut"), passed)).drop(*names, "_cut")
+
+
+def brackets(df: DataFrame, keys: Sequence[str], value: str, ranks, rows: int = CELL_ROWS, n: int | None = None) -> Brackets:
+    """Bounds around the values that ranks (see ``selected``) ask for, of groups of about so many rows and more.
+
+    From a sample of ``SAMPLED * MOST_CELLS`` rows at most, none of which reaches the driver: the asked element of a group's sample, five standard deviations of its place lower and higher. What lies between is a share of the group
+    that falls with the root of its sample (0.8 % at most where a group has all of it). A sample that is off costs time only, as elements are counted exactly in all cells. n: df's rows, if known.
+    """
+    keys = list(keys)
+    some = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x"))
+    share = min(1.0, SAMPLED * MOST_CELLS / max(some.count() if n is None else n, 1))
+    groups = (some.sample(share, 17) if share < 1 else some).groupBy(*keys).agg(F.sort_array(F.collect_list("_x")).alias("_s")).withColumn("_m", F.size("_s").cast("long"))
+    groups = groups.filter(F.col("_m") >= max(2.0 * SAMPLED, rows * share))  # so there are MOST_CELLS / 2 at most
+    bounds = []
+    for rank in ranks.values():
+        at = F.least(F.greatest(rank(F.col("_m")).cast("long"), F.lit(0)), F.col("_m") - 1)
+        p = (at + 0.5) / F.col("_m")
+        off = (F.ceil(5 * F.sqrt(F.greatest(F.col("_m") * p * (1 - p), F.lit(1.0)))) + 1).cast("long")
+        bounds += [F.get("_s", (at - off).cast("int")), F.get("_s", (at + off).cast("int"))]
+    return Brackets(tuple(keys), groups.select(*keys, *(b.alias(f"_b{i}") for i, b in enumerate(bounds))), len(bounds))
+
+
+def selected(df: DataFrame, keys: Sequence[str], value: str, ranks, split: Brackets | Cells) -> DataFrame:
     """(keys, _n, name, value) of the elements of each group that ranks asks for, without sorting a group.
 
     ranks: name to a function of the group's size (a column) that gives an element's place from 0. Elements are counted by ranges of their values (cells); the range that holds a rank is narrowed to its distinct values, counted
     beforehand, and only those are put in order. Nulls are left out.
     """
     keys = list(keys)
-    placed = split.place(df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x")), F.col("_x")).withColumn("_cell", F.coalesce("_cell", F.lit(0)))
+    placed = split.place(df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x")), F.col("_x"))
     counts = placed.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_m"))
     group = Window.partitionBy(*keys)
     past = group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -294,7 +330,9 @@ def selected(df: DataFrame, keys: Sequence[str], value: str, ranks, split: Cells
     asked = F.array(*(F.struct(F.lit(name).alias("name"), rank(F.col("_n")).cast("long").alias("at")) for name, rank in ranks.items()))
     asks = ranges.select(*keys, "_cell", "_n", "_m", "_before", F.explode(asked).alias("_a")).filter("_a.at >= _before and _a.at < _before + _m")
     asks = asks.select(*keys, "_cell", "_n", F.col("_a.name").alias("name"), (F.col("_a.at") - F.col("_before")).alias("_at"))
-    narrowed = joined(placed, asks.select(*keys, "_cell").distinct(), [*keys, "_cell"], "left_semi").groupBy(*keys, "_cell", "_x").agg(F.count(F.lit(1)).alias("_m"))
+    # groups of several cells are few, so their asked cells are broadcast; of the others all rows are asked for
+    hits = asks.filter("_cell is not null").select(*keys, "_cell").distinct().withColumn("_asked", F.lit(True))
+    narrowed = joined(placed, F.broadcast(hits), [*keys, "_cell"], "left").filter("_cell is null or _asked").groupBy(*keys, "_cell", "_x").agg(F.count(F.lit(1)).alias("_m"))
     upto = F.sum("_m").over(Window.partitionBy(*keys, "_cell").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
     ordered = narrowed.withColumn("_upto", upto)
     hit = joined(ordered, asks, [*keys, "_cell"]).filter("_at < _upto and _at >= _upto - _m")
@@ -313,14 +351,16 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: Sequence[flo
         return at
 
     some = df.filter(F.col(value).isNotNull())
-    found = selected(some, keys, value, {name(p): rank(p) for p in ps}, cells(some, keys, value, rows))
+    ranks = {name(p): rank(p) for p in ps}
+    found = selected(some, keys, value, ranks, brackets(some, keys, value, ranks, rows))
     return found.groupBy(*keys).agg(*(F.max(F.when(F.col("name") == name(p), F.col("value"))).alias(name(p)) for p in ps))
 
 
 def median(df: DataFrame, keys: Sequence[str], value: str, out: str = "median", rows: int = CELL_ROWS) -> DataFrame:
     """The mean of the two middle elements of each group, which are one where the size is odd."""
     some = df.filter(F.col(value).isNotNull())
-    found = selected(some, keys, value, {"low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.floor(n / 2)}, cells(some, keys, value, rows))
+    ranks = {"low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.floor(n / 2)}
+    found = selected(some, keys, value, ranks, brackets(some, keys, value, ranks, rows))
     return found.groupBy(*keys).agg(F.avg(F.col("value").cast("double")).alias(out))
 
 
@@ -343,10 +383,10 @@ def levels(df: DataFrame, keys: Sequence[str], value: str, p: float, rows: int =
         "low": lambda n: held(n, n * (share - RANK_ERROR) - 1),
         "high": lambda n: held(n, n * (share + RANK_ERROR) + 1),
     }
-    out = None
+    out, n = None, some.count()
     for level in range(len(keys), -1, -1):
         own, dropped = keys[:level], keys[level:]
-        split = cells(some, own, "_x", rows)
+        split = brackets(some, own, "_x", ranks, rows, n)
         found = selected(some, own, "_x", ranks, split).groupBy(*own).agg(F.first("_n").alias("n"), *(F.max(F.when(F.col("name") == r, F.col("value"))).alias(r) for r in ranks))
         merged = finest.groupBy(*own).agg(F.expr("kll_merge_agg_double(_sketch)").alias("_sketch")).select(*own, F.expr(f"kll_sketch_get_quantile_double(_sketch, {share}D)").alias("estimate"))
         both = joined(found, merged, own).select(*own, *(F.lit(None).cast(df.schema[k].dataType).alias(k) for k in dropped), F.lit(level).alias("level"), "n", "exact", "estimate", "low", "high")

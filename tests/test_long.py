@@ -109,3 +109,17 @@ def test_levels(series):
         whole = next(r for r in found if r.level == 0)
         values = sorted(r.value for r in known.collect())
         assert (whole.n, whole.exact) == (len(values), values[int(len(values) * p / 100)])
+
+
+def test_asked_values_are_looked_for_between_few_bounds(spark):
+    """However many rows: two bounds an asked element, and what lies between them is a small share of a group."""
+    ranks = {"fifth": lambda n: F.floor(n * 0.05), "last": lambda n: n - 1}
+    df = spark.range(300_000).select((F.col("id") % 2).alias("k"), (F.xxhash64("id") / 1e9).alias("v"))
+    found = long.brackets(df, ["k"], "v", ranks, 2_000)
+    assert len(found.bounds.columns) == 5 and found.bounds.count() == 2
+    sizes = {(r.k, r["_cell"]): r["count"] for r in found.place(df, F.col("v")).groupBy("k", "_cell").count().collect()}
+    assert max(sizes[k, 1] for k in (0, 1)) < 2_000 and sum(sizes.values()) == 300_000
+    rows = {(r.k, r.name): r.value for r in long.selected(df, ["k"], "v", ranks, found).collect()}
+    for k in (0, 1):
+        values = sorted(r.v for r in df.filter(F.col("k") == k).collect())
+        assert (rows[k, "fifth"], rows[k, "last"]) == (values[7_500], values[-1])
