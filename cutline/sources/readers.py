@@ -64,10 +64,17 @@ def channels(line: Column, pattern: str = ELEMENT_LINE) -> Column:
 def channel_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(elements, averages, rejects) of text logs; a log without its line of averages is rejected.
 
-    Files are read line by line and may be split: lines of a split come in order, so its start in the file and the order within it place a line.
+    Files are read line by line and may be split, and a series may have several files: the file, a split's start in it and the order within it place a line. Nothing is sorted: a split's elements have
+    consecutive numbers, and a small table of the splits tells how many elements of their series come before.
     """
-    lines = spark.read.text(path).select(_series().alias("series_id"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"), F.col("value").alias("line"))
-    elements = lines.filter(F.col("line").rlike(ELEMENT_LINE)).withColumn("pos", F.row_number().over(Window.partitionBy("series_id").orderBy("at")) - 1)
+    piece = ["series_id", "file", "block"]
+    texts = spark.read.text(path).select(_series().alias("series_id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    lines = texts.select("series_id", F.struct("file", "block", F.monotonically_increasing_id().alias("line")).alias("at"), "line")
+    numbered = texts.filter(F.col("line").rlike(ELEMENT_LINE)).withColumn("_id", F.monotonically_increasing_id())
+    splits = numbered.groupBy(*piece).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    past = Window.partitionBy("series_id").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select(*piece, (F.coalesce(F.sum("_n").over(past), F.lit(0)) - F.col("_first")).alias("_add"))
+    elements = numbered.join(F.broadcast(splits), piece).withColumn("pos", F.col("_id") + F.col("_add"))
     averages = lines.filter(F.col("line").contains("XPSNR average")).groupBy("series_id").agg(F.min_by("line", "at").alias("line"))
     found = averages.withColumn("c", channels(F.col("line"), AVERAGE_LINE)).filter("c is not null").select("series_id", "c.*")
     rejects = lines.select("series_id").distinct().join(found, "series_id", "left_anti").withColumn("reject_reason", F.lit("no line of averages"))

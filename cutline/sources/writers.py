@@ -41,14 +41,19 @@ def documents(df: DataFrame, path: str) -> None:
 
 
 def channel_log(elements: DataFrame, path: str, key: str = "series_id") -> None:
-    """Logs of elements (key, pos, y, u, v): a folder for each series, a line for each element in order, and at the end the averages, with the least of them."""
+    """Logs of elements (key, pos, y, u, v): a folder for each series, a line for each element in order, and at the end the averages, with the least of them.
+
+    A long series stands in several files, in order of their names, as it is dealt out by ranges of positions.
+    """
     shown = lambda c: F.when(c == float("inf"), "inf").otherwise(F.format_string("%.4f", c))
     parts = lambda names, gap: F.concat_ws(gap, *(F.concat(F.lit(f"{n}: "), shown(F.col(n))) for n in names))
     line = F.concat(F.format_string("n: %4d  ", F.col("pos") + 1), F.concat_ws("  ", *(F.concat(F.lit(f"XPSNR {n}: "), shown(F.col(n))) for n in "yuv")))
     means = elements.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(c) for c in "yuv"))
     last = F.concat(F.format_string("XPSNR average, %d frames  ", "n"), parts("yuv", "  "), F.lit("  (minimum: "), shown(F.least("y", "u", "v")), F.lit(")"))
-    rows = elements.select(F.col(key).alias("series_id"), F.col("pos").cast("long").alias("pos"), line.alias("value")).unionByName(means.select(F.col(key).alias("series_id"), F.col("n").alias("pos"), last.alias("value")))
-    rows.repartition("series_id").sortWithinPartitions("series_id", "pos").select("series_id", "value").write.partitionBy("series_id").text(path)
+    rows = elements.select(F.col(key).alias("series_id"), F.lit(False).alias("ends"), F.col("pos").cast("long").alias("pos"), line.alias("value"))
+    rows = rows.unionByName(means.select(F.col(key).alias("series_id"), F.lit(True).alias("ends"), F.col("n").alias("pos"), last.alias("value")))
+    order = ["series_id", "ends", "pos"]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("series_id", "value").write.partitionBy("series_id").text(path)
 
 
 def progress_lines(lines: DataFrame, path: str) -> None:

@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from cutline.sources import readers, writers
 
 
@@ -22,6 +24,25 @@ def test_channel_log(spark, tmp_path):
     assert [r.series_id for r in rejects.collect()] == ["bad"]
 
 
+def test_channel_log_of_a_long_series_has_several_files_in_order(spark, tmp_path):
+    """No task sorts a whole series, neither to write nor to read it."""
+    rows = spark.range(4000).select(F.when(F.col("id") < 3990, "long").otherwise("short").alias("series_id"), F.when(F.col("id") < 3990, F.col("id")).otherwise(F.col("id") - 3990).alias("pos"), (F.col("id") % 97 + 1.5).alias("y"), F.lit(2.0).alias("u"), F.lit(float("inf")).alias("v"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # keeps small partitions apart
+    try:
+        writers.channel_log(rows, str(tmp_path / "log"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    files = sorted((tmp_path / "log" / "series_id=long").glob("*.txt"))
+    text = "".join(f.read_text() for f in files).splitlines()
+    assert len(files) > 1 and [int(t.split()[1]) for t in text[:-1]] == list(range(1, 3991)) and text[-1].startswith("XPSNR average, 3990")
+    elements, averages, rejects = readers.channel_log(spark, str(tmp_path / "log"))
+    assert {tuple(r) for r in elements.collect()} == {tuple(r) for r in rows.collect()}
+    assert averages.count() == 2 and rejects.count() == 0
+    windows = elements._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in windows
+
+
 def test_segments_and_ledger(spark, tmp_path):
     (tmp_path / "new").mkdir()
     (tmp_path / "new" / "a.json").write_text(json.dumps({"frames": 9, "scenes": [{"start_frame": 0, "end_frame": 9}], "split_scenes": [{"start_frame": 0, "end_frame": 4, "zone_overrides": {"extra_splits_len": 5}}, {"start_frame": 4, "end_frame": 9}]}))
