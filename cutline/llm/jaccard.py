@@ -10,7 +10,10 @@ with equal sets are one *node*; the smallest doc_id names them, or none where al
    in the first part (at 0.8: a fifth) of either. Passages that many documents share give no common keys either way: a group takes elements
    from the whole text, and common elements stand last in the order. Keys travel packed in buckets of about ``BUCKET_DOCS`` documents' keys
    each, so that a task holds little, however large the table.
-   A task first joins the nodes of one key among themselves and sends on only its ends and a node in each size step, so a key that very many nodes share is no one's load.
+   The nodes of a single element's key, ``PAIRED`` at most, are listed in pairs, and pairs are kept that have enough such keys in common: of two sets the one
+   whose first part ends earlier in the order has there all that it shares with the other, so these shared elements and its rest bound the overlap. A passage that two long
+   texts have in common does not connect them then, and clusters do not grow together as the table grows. Keys of more nodes, and of groups, join their nodes without counting:
+   a task first joins the nodes of one key among themselves and sends on only its ends and a node in each size step, so a key that very many nodes share is no one's load.
 2. *Pivots.* The node of a cluster that shares most keys is verified against all others, dealt out ``LEAVES`` at a time. A group of copies mostly ends here,
    in linear time; clusters that are then one component are done.
 3. *Join within the other clusters.* Nodes fall apart again where they share no element of their prefixes, in the cluster's own order of elements. Group counts
@@ -46,6 +49,8 @@ SHINGLE, THRESHOLD, FANOUT = 3, Fraction(9, 10), 16
 #: Bytes of a key, beyond its bucket, and of a node that candidates are found by (a chance agreement only enlarges a cluster);
 #: documents to a bucket; keys that a task gathers before it sends them.
 KEY_BYTES, SHORT_BYTES, BUCKET_DOCS, FLUSHED_KEYS = 6, 6, 1000, 500_000
+#: Most nodes of a key that are listed in pairs; rows of keys whose pairs a task lists at once; the bit of a row's size that says its key has more nodes.
+PAIRED, PAIRED_ROWS, CROWDED = 32, 65_536, 31
 #: Threshold from which groups are the keys.
 GROUPED = Fraction(88, 100)
 #: Most common shingles whose rank tasks know; bytes of the table they stand in; elements that a task counts at once.
@@ -198,11 +203,18 @@ def sets_of(docs: DataFrame, size: int = SHINGLE, kept: tuple[str, ...] = ("doc_
     return chosen.mapInArrow(run, ", ".join(fields))
 
 
+def needed_keys(a: np.ndarray, b: np.ndarray, threshold: Fraction) -> np.ndarray:
+    """Least number of elements that prefixes of linked sets of a and b elements have in common: what the overlap has beyond the longer rest."""
+    p, q = threshold.numerator, threshold.denominator
+    return -(-p * (a + b) // (p + q)) - (-(-np.maximum(a, b) * p // q) - 1)
+
+
 def _packed(docs: DataFrame, buckets: int, size: int, threshold: Fraction, common: np.ndarray, by_group: bool) -> DataFrame:
     """The keys of all nodes, dealt to buckets: KEY_BYTES of each key, SHORT_BYTES of its node and the node's size, many in a row. A task sends a set once.
 
-    Of the nodes that have one key in a task, in runs of sizes without too large a step, only a run's ends and the ends of each step on a scale of sizes go on; they stand
-    in for the run, whose other nodes are joined to its first here. Such edges are rows of a bucket below 0.
+    Where a task has more than PAIRED nodes of one key, or keys are groups, of the nodes in runs of sizes without too large a step only a run's ends and the ends of each step on a
+    scale of sizes go on; they stand in for the run, whose other nodes are joined to its first here. Such edges are rows of a bucket below 0. A key is also taken
+    for crowded if its shortened form stands twice in one set, as counts of shared keys would be too small.
     """
     held_common = docs.sparkSession.sparkContext.broadcast(common)  # CELLS bytes at most
     p, q = threshold.numerator, threshold.denominator
@@ -214,16 +226,21 @@ def _packed(docs: DataFrame, buckets: int, size: int, threshold: Fraction, commo
     def flushed(keys: list[np.ndarray], nodes: list[int], sizes: list[int]) -> pa.RecordBatch:
         times = [len(k) for k in keys]
         key, node, n = np.concatenate(keys), np.repeat(np.array(nodes, np.int64).view(_U), times), np.repeat(np.array(sizes, np.int64), times)
-        bucket = (key % _U(buckets)).astype(np.int64)
+        bucket, key = (key % _U(buckets)).astype(np.int64), (key // _U(buckets)) & _U((1 << 8 * KEY_BYTES) - 1)
         order = np.lexsort((node, n, key, bucket))
         bucket, key, node, n = bucket[order], key[order], node[order], n[order]
-        begin = np.append(True, (key[1:] != key[:-1]) | (n[:-1] * q < n[1:] * p))
+        new = np.append(True, (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1]))
+        times = np.diff(np.append(np.flatnonzero(new), len(key)))
+        crowd = times > (1 if by_group else PAIRED)
+        crowd[(np.cumsum(new) - 1)[1:][(node[1:] == node[:-1]) & ~new[1:]]] = True
+        crowded = np.repeat(crowd, times)
+        begin = new | np.append(True, n[:-1] * q < n[1:] * p)
         step = np.floor(np.log(n) / scale)
         first = begin | np.append(True, step[1:] != step[:-1])
-        kept = first | np.append(first[1:], True)
+        kept = first | np.append(first[1:], True) | ~crowded
         hub = node[np.maximum.accumulate(np.where(begin, np.arange(len(key)), 0))]
         local = np.concatenate([narrow(hub[~kept], SHORT_BYTES), narrow(node[~kept], SHORT_BYTES)], axis=1)
-        row = np.concatenate([narrow((key // _U(buckets))[kept], KEY_BYTES), narrow(node[kept], SHORT_BYTES), narrow(n[kept].view(_U), 4)], axis=1)
+        row = np.concatenate([narrow(key[kept], KEY_BYTES), narrow(node[kept], SHORT_BYTES), narrow((n | crowded.astype(np.int64) << CROWDED)[kept].view(_U), 4)], axis=1)
         bucket = bucket[kept]
         start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         names, rows = bucket[start].tolist(), [row[a:b].tobytes() for a, b in zip(start, np.append(start[1:], len(bucket)), strict=True)]
@@ -256,28 +273,70 @@ def _packed(docs: DataFrame, buckets: int, size: int, threshold: Fraction, commo
     return docs.select("text").mapInArrow(run, "bucket long, rows binary")
 
 
-def _edges(packed: DataFrame, threshold: Fraction) -> DataFrame:
-    """Edges (a, b) of shortened nodes: of the nodes with one key, in order of size, each to the first of a run without too large a step. A task holds one bucket at a time."""
-    width, p, q = KEY_BYTES + SHORT_BYTES + 4, threshold.numerator, threshold.denominator
+def _edges(packed: DataFrame, threshold: Fraction, by_group: bool) -> DataFrame:
+    """Edges (a, b, shared, needed) of shortened nodes, a task holding one bucket at a time.
+
+    Of a crowded key's nodes, in order of size, each has one to the first of a run without too large a step: needed is 0. Of other keys' nodes all pairs of like size have one, with
+    how many keys of the bucket they share, and how many they must share in all. Linked nodes that share a crowded key are in one run, so all keys of the others are counted.
+    """
+    width, p, q, most = KEY_BYTES + SHORT_BYTES + 4, threshold.numerator, threshold.denominator, 1 if by_group else PAIRED
 
     def wide(data: np.ndarray, a: int, b: int) -> np.ndarray:
         out = np.zeros((len(data), 8), np.uint8)
         out[:, : b - a] = data[:, a:b]
         return out.view("<i8").ravel()
 
+    def edges(a: np.ndarray, b: np.ndarray, shared: np.ndarray, needed: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b), "shared": pa.array(shared, pa.int64()), "needed": pa.array(needed, pa.int64())})
+
+    def sure(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return edges(a, b, np.ones(len(a), np.int64), np.zeros(len(a), np.int64))
+
     def known(rows: bytes) -> pa.RecordBatch:
         data = np.frombuffer(rows, np.uint8).reshape(-1, 2 * SHORT_BYTES)
-        return pa.RecordBatch.from_pydict({"a": pa.array(wide(data, 0, SHORT_BYTES)), "b": pa.array(wide(data, SHORT_BYTES, 2 * SHORT_BYTES))})
+        return sure(wide(data, 0, SHORT_BYTES), wide(data, SHORT_BYTES, 2 * SHORT_BYTES))
 
-    def star(rows: list[bytes]) -> pa.RecordBatch:
+    def star(key: np.ndarray, node: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        begin = np.append(True, (key[1:] != key[:-1]) | (n[:-1] * q < n[1:] * p))
+        hub = node[np.maximum.accumulate(np.where(begin, np.arange(len(key)), 0))]
+        return sure(*np.unique(np.stack([hub, node])[:, hub != node], axis=1))
+
+    def pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray) -> pa.RecordBatch | None:
+        found = []
+        for d in range(1, most):
+            i = np.flatnonzero(key[d:] == key[:-d])
+            if not len(i):
+                break
+            i = i[(n[i] * q >= n[i + d] * p) & (node[i] != node[i + d])]
+            found.append(np.stack([node[i], node[i + d], needed_keys(n[i], n[i + d], threshold)]))
+        if not found or not sum(f.shape[1] for f in found):
+            return None
+        a, b, needed = (x := np.concatenate(found, axis=1))[:, np.lexsort(x[::-1])]
+        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        return edges(a[first], b[first], np.diff(np.append(first, len(a))), needed[first])
+
+    def joined(rows: list[bytes]):
         data = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, width)
         key, node, n = wide(data, 0, KEY_BYTES), wide(data, KEY_BYTES, KEY_BYTES + SHORT_BYTES), wide(data, KEY_BYTES + SHORT_BYTES, width)
+        crowded, n = n >> CROWDED, n & ((1 << CROWDED) - 1)
         order = np.lexsort((node, n, key))
-        key, node, n = key[order], node[order], n[order]
-        begin = np.append(True, (key[1:] != key[:-1]) | (n[:-1] * q < n[1:] * p))
-        hub = node[np.maximum.accumulate(np.where(begin, np.arange(len(key)), 0))]
-        pairs = np.unique(np.stack([hub, node])[:, hub != node], axis=1)
-        return pa.RecordBatch.from_pydict({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
+        key, node, n, crowded = key[order], node[order], n[order], crowded[order]
+        new = np.append(True, key[1:] != key[:-1])
+        once = new | np.append(True, node[1:] != node[:-1])  # several tasks may send a set
+        place = np.cumsum(new) - 1
+        times = np.bincount(place, once).astype(np.int64)
+        crowd = (times > most) | (np.bincount(place, crowded) > 0)
+        if crowd.any():
+            yield star(*(x[once & crowd[place]] for x in (key, node, n)))
+        alone = once & (~crowd & (times > 1))[place]
+        key, node, n = key[alone], node[alone], n[alone]
+        if not len(key):
+            return
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        cuts = begin[np.append(True, begin[1:] // PAIRED_ROWS != begin[:-1] // PAIRED_ROWS)]
+        for x, y in zip(cuts, np.append(cuts[1:], len(key)), strict=True):
+            if (found := pairs(key[x:y], node[x:y], n[x:y])) is not None:
+                yield found
 
     def run(batches):
         bucket, rows = None, []
@@ -287,14 +346,14 @@ def _edges(packed: DataFrame, threshold: Fraction) -> DataFrame:
                     yield known(r)
                     continue
                 if b != bucket and rows:
-                    yield star(rows)
+                    yield from joined(rows)
                     rows = []
                 bucket = b
                 rows.append(r)
         if rows:
-            yield star(rows)
+            yield from joined(rows)
 
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, shared long, needed long")
 
 
 class CountTree:
@@ -541,11 +600,17 @@ def _texts_of(base: DataFrame, named: DataFrame, few: bool) -> DataFrame:
 
 
 def _clustered(base: DataFrame, nodes: DataFrame, size: int, threshold: Fraction, by_group: bool, tag: str) -> DataFrame:
-    """(node, n, rep, degree, cluster) of the nodes that share a key with another one of base; degree: edges that it is the hub of."""
+    """(node, n, rep, degree, cluster) of the nodes that share a key, or enough of them, with another one of base; degree: edges that it is the hub of, in each bucket."""
     buckets = 1 << max(6, (nodes.count() // BUCKET_DOCS).bit_length())
     common = np.zeros(0, np.uint8) if by_group else common_shingles(base, size)
-    edges = written(_edges(_packed(base, buckets, size, threshold, common, by_group), threshold), f"{tag}-edges")
-    degrees = edges.groupBy(F.col("a").alias("short")).agg(F.count(F.lit(1)).alias("degree"))
+    found = _edges(_packed(base, buckets, size, threshold, common, by_group), threshold, by_group)
+    if by_group:
+        edges = found.select("a", "b", F.lit(1).alias("times"))
+    else:
+        counted = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.sum("shared").alias("shared"), F.min("needed").alias("needed"))
+        edges = counted.filter("shared >= needed").select("a", "b", "times")
+    edges = written(edges, f"{tag}-edges")
+    degrees = edges.groupBy(F.col("a").alias("short")).agg(F.sum("times").alias("degree"))
     clusters = components(edges, tag).select(F.col("node").alias("short"), F.col("component").alias("cluster")).join(degrees, "short", "left").fillna(0, ["degree"])
     shortened = nodes.withColumn("short", F.col("node").bitwiseAND(F.lit((1 << 8 * SHORT_BYTES) - 1)))
     return written(shortened.join(clusters, "short").drop("short"), f"{tag}-members")

@@ -707,6 +707,65 @@ def test_joins_with_keys_combined_in_tasks(spark, monkeypatch):
         assert got == {i: least[group[i]] for i in range(len(texts))}
 
 
+def of_passages(rng, texts, passages, words=40):
+    """Long texts of passages, each of which stands in a few texts; no two texts are alike."""
+    pool = [" ".join(f"p{k}x{rng.randrange(10**6)}" for _ in range(words)) for k in range(passages)]
+    return [" ".join(rng.sample(pool, 6)) + " " + " ".join(f"own{k}x{j}" for j in range(20)) for k in range(texts)]
+
+
+def test_passages_in_common_make_no_cluster(spark):
+    """Texts that passages connect in chains stay out of the join, so that clusters don't grow with the table; near copies among them are found."""
+    texts = of_passages(random.Random(5), 400, 600)
+    texts += [t + " more" for t in texts[:10]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = jaccard.sets_of(docs.withColumn("hashed", F.xxhash64("text")), 5, ("doc_id", "hashed"))
+    nodes = sets.select("node", "n", F.col("doc_id").alias("rep"), F.col("hashed").alias("rep_hashed"))
+    clusters = Counter(r.cluster for r in jaccard._clustered(docs, nodes, 5, Fraction(8, 10), False, "test").collect())
+    assert max(clusters.values()) <= 4 and len(clusters) >= 10 and sum(clusters.values()) <= 80
+
+
+@pytest.mark.parametrize(("paired", "rows", "flushed"), [(32, 65_536, 500_000), (3, 50, 3000), (1, 7, 1000)])
+def test_counted_keys_lose_no_link(spark, monkeypatch, paired, rows, flushed):
+    """Near copies in few and in many, down to the threshold, between texts with passages in common; keys of few and of many nodes."""
+    rng = random.Random(29)
+    texts = of_passages(rng, 60, 90, 15)
+    for copies, edits in ((2, 3), (3, 9), (6, 4), (40, 2), (45, 5)):
+        base = rng.choice(texts).split() + [f"b{copies}x{j}" for j in range(rng.randrange(60))]
+        for _ in range(copies):
+            edited = list(base)
+            for _ in range(rng.randint(0, edits)):
+                edited[rng.randrange(len(edited))] = f"e{rng.randrange(50)}"
+            texts.append(" ".join(edited[: len(edited) - rng.randrange(12)]))
+    texts += [" ".join(rng.choices("abcd", k=rng.randint(1, 9))) for _ in range(60)] + texts[:5]
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in map(str.split, texts)]
+    group = brute_components(sets, Fraction(8, 10))
+    least = {g: min(i for i in range(len(texts)) if group[i] == g) for g in set(group)}
+    for name, value in (("PAIRED", paired), ("PAIRED_ROWS", rows), ("FLUSHED_KEYS", flushed)):
+        monkeypatch.setattr(jaccard, name, value)
+    got = {r.doc_id: r.component_id for r in jaccard.near_classes(df, 5, Fraction(8, 10)).collect()}
+    assert got == {i: least[group[i]] for i in range(len(texts))}
+
+
+def test_needed_keys_are_what_linked_prefixes_share():
+    rng = np.random.default_rng(8)
+    table = np.zeros(jaccard.CELLS, np.uint8)
+    for t in (Fraction(8, 10), Fraction(9, 10)):
+        met = 0
+        for _ in range(3000):
+            base = np.unique(rng.integers(0, 1 << 62, rng.integers(2, 90))).astype(np.uint64)
+            a, b = (base[rng.random(len(base)) > rng.choice([0.02, 0.05, 0.1])] for _ in range(2))
+            both = len(np.intersect1d(a, b))
+            if not both or both < t * (len(a) + len(b) - both):
+                continue
+            met += 1
+            table[rng.integers(0, jaccard.CELLS, 1000)] = rng.integers(0, 9)
+            shared = len(np.intersect1d(jaccard.prefix(a, table, t), jaccard.prefix(b, table, t)))
+            assert 1 <= jaccard.needed_keys(np.array([len(a)]), np.array([len(b)]), t)[0] <= shared
+        assert met > 300
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1200)]
