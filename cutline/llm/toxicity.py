@@ -11,7 +11,7 @@ A document's score is a logistic function, fitted on the same documents, of its
 fold into one weight for each triple, which is all that tasks need.
 
 At most ``TRAIN_ROWS`` labelled rows are read, the first by a hash of the id, and at most ``POSITIVE + NEGATIVE + HARD`` units and two numbers a document reach the driver; everything else covers all rows in one ``mapInArrow`` pass
-without a shuffle. Whole texts are read. Null and empty texts, and those without letters, get the score of a text whose units say nothing; repeated rows get repeated scores; an empty table gives an empty result; labels of null or for ids without
+without a shuffle. Whole texts are read, long ones in slices of their units, so that a task holds the texts of a batch and a bounded number of units. Null and empty texts, and those without letters, get the score of a text whose units say nothing; repeated rows get repeated scores; an empty table gives an empty result; labels of null or for ids without
 document are ignored; columns named like outputs are replaced. Where nothing can be learned all scores are 0.
 """
 
@@ -20,6 +20,8 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from heapq import nlargest
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +38,15 @@ TRAIN_ROWS, POSITIVE, NEGATIVE, HARD, LANDMARKS, THRESHOLD = 20_000, 300, 3_000,
 DECAY, SPAN, WINDOW, CHANCE = 0.7, 8, 24, 2.0
 #: Least toxic share of a positive unit's places; weight of its clean places.
 PURE, DOUBT = 0.7, 8.0
-#: Penalty of the SVM; decisions that a task remembers; units that are worked on at once.
+#: Penalty of the SVM; decisions that a task remembers; windows that are worked on at once.
 PENALTY, REMEMBERED, BLOCK = 10.0, 1_000_000, 4096
+#: Characters from which a text's units are taken in slices; units of a slice, and of the texts that are scored at once; counted places and windows that a task holds.
+LONG, SLICE, HELD = 1 << 20, 1 << 17, 1 << 18
 
 #: Letters 1 to 26, others by their code in 27 to 30, 31 the boundary, 0 what is no letter. Digits and signs that stand for letters count as these.
 _AS_LETTER = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
-_SINGLES = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
+_SINGLES = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}+")  # possessive: a long run keeps no places to go back to
+_UNIT = re.compile(r"\S+")
 _EDGE, _CODES = 31, 1 << 15
 
 
@@ -65,14 +70,15 @@ def letters(unit: str) -> list[int]:
     return out
 
 
-def windows(unit: str) -> list[list[int]]:
+def each_window(unit: str):
     """A unit's codes between boundaries, in windows of bounded length; none where it has no letter."""
-    if not any(map(str.isalpha, unit)):
-        return []
-    codes = letters(unit)
-    if len(codes) <= WINDOW:
-        return [[_EDGE, *codes, _EDGE]]
-    return [[_EDGE, *codes[a : a + WINDOW], _EDGE] for a in range(0, len(codes) - WINDOW // 2, WINDOW // 2)]
+    if any(map(str.isalpha, unit)):
+        for a in range(0, len(unit) - WINDOW // 2, WINDOW // 2) if len(unit) > WINDOW else (0,):
+            yield [_EDGE, *letters(unit[a : a + WINDOW]), _EDGE]
+
+
+def windows(unit: str) -> list[list[int]]:
+    return list(each_window(unit))
 
 
 def features(rows: list[list[int]]):
@@ -115,16 +121,14 @@ def kernel(a: list[str], b: list[str]) -> np.ndarray:
 
 def decide(units: list[str], table: np.ndarray, offset: float) -> np.ndarray:
     """The machine's decision on each unit: of its windows' the highest; -inf without letters."""
-    rows, whose = [], []
-    for i, u in enumerate(units):
-        for w in windows(u):
-            rows.append(w)
-            whose.append(i)
-    value = np.full(len(rows), offset)
-    for some, row, triple, weight in features(rows):
-        value[some] += np.bincount(row, weights=weight * table[triple], minlength=len(some))
     out = np.full(len(units), -np.inf)
-    np.maximum.at(out, np.array(whose, np.int64), value)
+    each = ((i, w) for i, u in enumerate(units) for w in each_window(u))
+    while some := list(islice(each, HELD)):
+        whose, rows = zip(*some, strict=True)
+        value = np.full(len(rows), offset)
+        for own, row, triple, weight in features(rows):
+            value[own] += np.bincount(row, weights=weight * table[triple], minlength=len(own))
+        np.maximum.at(out, np.array(whose, np.int64), value)
     return out
 
 
@@ -134,6 +138,28 @@ def units_of(text: str | None) -> list[str]:
     return text.split() + ["".join(m.split()) for m in _SINGLES.findall(text)]
 
 
+def slices(text: str | None):
+    """A text's units in lists; those of a long text are never held together."""
+    if len(text or "") < LONG:
+        yield units_of(text)
+        return
+    text = text.lower()
+    for each in (map(re.Match.group, _UNIT.finditer(text)), ("".join(m.group().split()) for m in _SINGLES.finditer(text))):
+        while some := list(islice(each, SLICE)):
+            yield some
+
+
+def placed(text: str | None):
+    """Each unit with the units before and after it."""
+    before, last = "", []
+    for own in slices(text):
+        own = last + own
+        yield from zip(own[:-1], zip([before, *own[:-2]], own[1:], strict=False), strict=False)
+        before, last = own[-2] if len(own) > 1 else before, own[-1:]
+    for unit in last:
+        yield unit, (before, "")
+
+
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 40) -> np.ndarray:
     """Newton's method on ``|v|^2 / 2 + sum(weight * max(0, 1 - y * x v)^2)``; the last column of x is the offset's and not shrunk."""
     ridge = np.eye(x.shape[1])
@@ -208,21 +234,35 @@ class Scorer:
     """The two highest decisions among a text's distinct units, remembered by unit."""
 
     def __init__(self, machine: Machine):
-        self.machine, self.known = machine, {}
+        self.machine, self.known, self.letters = machine, {}, 0
 
     def top(self, texts: list[str | None]) -> np.ndarray:
-        if len(self.known) > REMEMBERED:
+        out, best = np.full((len(texts), 2), -2.0), [()] * len(texts)
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            for own in slices(text):
+                held.append((i, set(own)))
+                size += len(own)
+                if size > HELD:
+                    self._settle(held, best, out)
+                    held, size = [], 0
+        self._settle(held, best, out)
+        return out
+
+    def _settle(self, held: list[tuple[int, set[str]]], best: list[tuple[str, ...]], out: np.ndarray) -> None:
+        """Take in the units of some texts. best: the two highest units of each so far, as a text may come in slices."""
+        if len(self.known) > REMEMBERED or self.letters > 64 * REMEMBERED:
             self.known.clear()
-        units = [set(units_of(t)) for t in texts]
-        new = list(set().union(*units) - self.known.keys()) if units else []
+            self.letters = 0
+        new = list(set().union(*(own for _, own in held), *(best[i] for i, _ in held)) - self.known.keys())
+        self.letters += sum(map(len, new))
         for a in range(0, len(new), 50_000):
             some = new[a : a + 50_000]
             self.known.update(zip(some, self.machine.decide(some).tolist(), strict=True))
-        out = np.full((len(texts), 2), -2.0)
-        for i, own in enumerate(units):
-            found = sorted((self.known[u] for u in own), reverse=True)[:2]
-            out[i, : len(found)] = found
-        return out
+        for i, own in held:
+            own.update(best[i])
+            best[i] = nlargest(2, own, key=self.known.__getitem__)
+            out[i, : len(best[i])] = [self.known[u] for u in best[i]]
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
@@ -231,18 +271,27 @@ def _labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
-def unit_counts(labelled: DataFrame) -> DataFrame:
-    """(unit, toxic, clean): between how many different pairs of units a unit stands in documents of either label."""
+def places(batches):
+    """(unit, before, after, toxic) of texts of either label; most of those that occur more than once are given once."""
+    for batch in batches:
+        found = set()
+        for t, y in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+            each = zip(placed(t.as_py()), repeat(int(y)), strict=False)
+            while some := set(islice(each, SLICE)):
+                found |= some
+                if len(found) > HELD:
+                    yield _rows(found)
+                    found = set()
+        yield _rows(found)
+
+
+def _rows(found) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"unit": pa.array([x[0][0] for x in found], pa.string()), "before": pa.array([x[0][1][0] for x in found], pa.string()), "after": pa.array([x[0][1][1] for x in found], pa.string()), "toxic": pa.array([x[1] for x in found], pa.int32())})
 
-    def run(batches):
-        for batch in batches:
-            found = set()
-            for t, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                own = units_of(t)
-                found.update(zip(own, zip(["", *own[:-1]], [*own[1:], ""], strict=True), [int(y)] * len(own), strict=True))
-            yield pa.RecordBatch.from_pydict({"unit": pa.array([x[0] for x in found], pa.string()), "before": pa.array([x[1][0] for x in found], pa.string()), "after": pa.array([x[1][1] for x in found], pa.string()), "toxic": pa.array([x[2] for x in found], pa.int32())})
 
-    each = labelled.mapInArrow(run, "unit string, before string, after string, toxic int").select("unit", F.xxhash64("before", "after").alias("place"), "toxic").distinct()
+def unit_counts(labelled: DataFrame) -> DataFrame:
+    """(unit, toxic, clean): between how many different pairs of units a unit stands in documents of either label."""
+    each = labelled.mapInArrow(places, "unit string, before string, after string, toxic int").select("unit", F.xxhash64("before", "after").alias("place"), "toxic").distinct()
     return each.groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")).filter(F.length("unit") <= 4 * WINDOW)
 
 

@@ -3,10 +3,12 @@
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cutline.llm import common, queries, toxicity
@@ -72,6 +74,58 @@ def test_weights_fold_into_triples():
     assert (gaps > 0).all() and np.mean(m.decide(clean) > 0) < 0.01
 
 
+def in_small_slices(monkeypatch):
+    for name, value in (("LONG", 1 << 12), ("SLICE", 1 << 10), ("HELD", 1 << 11), ("REMEMBERED", 1 << 11)):
+        monkeypatch.setattr(toxicity, name, value, raising=False)
+
+
+def counted(batch):
+    return {(r["unit"], r["before"], r["after"], r["toxic"]) for b in toxicity.places([batch]) for r in b.to_pylist()}
+
+
+def test_slices_of_long_texts_change_nothing(monkeypatch):
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rng.choices(letters, k=rng.choice([1, 1, 1, 5, 9, 40]))) for _ in range(3000)]
+    texts = [None, "", " ", "x", "Idiot", " ".join(words), "\t\n".join(words[:1024]), " ".join("a B" for _ in range(3000)), "q" * 9000 + " id.iot", "Moron " + " ".join(words[:2000]) + " moron"]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "toxic": pa.array([1, 0] * 5, pa.int32())})
+    m, _ = machine()
+    top, places = toxicity.Scorer(m).top(texts), counted(batch)
+    twin = set()
+    for t, y in zip(texts, batch.column("toxic").to_pylist(), strict=True):
+        own = toxicity.units_of(t)
+        twin |= {(u, own[i - 1] if i else "", "".join(own[i + 1 : i + 2]), y) for i, u in enumerate(own)}
+    in_small_slices(monkeypatch)
+    assert [u for x in toxicity.slices(texts[5]) for u in x] == toxicity.units_of(texts[5]) and max(map(len, toxicity.slices(texts[5]))) == 1 << 10
+    assert places == counted(batch) == twin
+    assert (toxicity.Scorer(m).top(texts) == top).all() and (top[:3] == -2).all() and top[9, 0] > top[9, 1]
+
+
+def test_long_texts_are_not_held_unit_by_unit(monkeypatch):
+    in_small_slices(monkeypatch)
+    m, _ = machine()
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(60_000))
+    batch = pa.RecordBatch.from_pydict({"text": [text], "toxic": pa.array([1], pa.int32())})
+    for run, most in ((lambda: toxicity.Scorer(m).top([text]), 18e6), (lambda: [b.num_rows for b in toxicity.places([batch])], 5e6)):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most
+
+
+def test_labelled_texts_without_units(spark):
+    rows = [(i, f"you are an idiot {i} indeed" if i % 2 else f"the river runs {i} past old town") for i in range(200)]
+    empties = [(1000 + i, t) for i, t in enumerate([None, "", " \t\n", None, ""])]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows + empties], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows + empties, "doc_id long, text string")
+    count = lambda d: {tuple(r) for r in toxicity.unit_counts(toxicity._labelled(d, labels, 1000)).collect()}
+    assert count(docs) == count(docs.filter("doc_id < 1000")) != set()
+    got = {r.doc_id: r for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert len(got) == 205 and len({got[i].score for i, _ in empties}) == 1 and got[1].score > got[1000].score
+
+
 def held_out(i):
     return zlib.crc32(str(i).encode()) % 4 == 2
 
